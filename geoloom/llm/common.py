@@ -135,7 +135,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def word_spans(docs: list[bytes], is_word: np.ndarray, table: np.ndarray | None, chunk: int = 1 << 21):
+def word_spans(docs: list[bytes], is_word: np.ndarray, table: np.ndarray | None, chunk: int = 1 << 20):
     """Words of all the texts: (data, starts, ends, hashes or None, first word of each text and one past the last).
 
     Starts and ends count bytes of data, which holds the texts one after the other. The work

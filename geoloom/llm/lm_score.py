@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, fresh, held_out, mix, per_doc, separator_mask, ship, sum_by, utf8, word_spans, written
+from .common import U64, byte_table, held_out, mix, per_doc, separator_mask, ship, sum_by, utf8, word_spans, written
 
 ship(__name__)
 
@@ -68,7 +68,7 @@ def count_words(batches):
         counts.update({b"\n": len(docs)})  # the end mark; no word holds white space
         for text in docs:
             counts.update(text.lower().split())
-            if len(counts) > 1_000_000:
+            if len(counts) > 250_000:
                 yield rows()
                 counts.clear()
     yield rows()
@@ -94,13 +94,13 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(segments) >> U64(32)).astype(np.int32)
 
 
-def count_pairs(segments: int, table: np.ndarray, is_word: np.ndarray, hold: int = 3_000_000):
+def count_pairs(segments: int, table: np.ndarray, is_word: np.ndarray, hold: int = 1_500_000):
     def run(batches):
         kept: list[np.ndarray] = []
         held = 0
         for batch in batches:
             docs = utf8(batch.column(0))
-            step = max(1, 8_000_000 // max(1, sum(map(len, docs)) // max(1, len(docs)) + 1))
+            step = max(1, 3_000_000 // max(1, sum(map(len, docs)) // max(1, len(docs)) + 1))
             for i in range(0, len(docs), step):
                 *_, hashes, first = word_spans(docs[i : i + step], is_word, table)
                 tokens, at = chain(hashes, first)
@@ -179,11 +179,12 @@ class Filter:
         self.segments, self.probes, self.levels = segments, probes, levels
         self.base = np.zeros(segments, U64)
         self.size = np.zeros(segments, U64)
+        self.bits = np.zeros(max(8, sum(len(bits) for _, bits in parts)), np.uint8)
         at = 0
         for seg, bits in parts:
             self.base[seg], self.size[seg] = at * 8, len(bits) * 8
+            self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
             at += len(bits)
-        self.bits = np.frombuffer(b"".join(b for _, b in parts) or b"\0" * 8, np.uint8)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The level of each item, 0 for those not found or in segments that are not here."""
@@ -204,6 +205,11 @@ class Filter:
         return out
 
 
+def _segments(rows: pa.Table) -> list[tuple[int, memoryview]]:
+    """Segments as views of the collected rows, so that the driver holds them once."""
+    return [(seg, memoryview(bits.as_buffer())) for seg, bits in zip(rows.column("seg").to_pylist(), rows.column("bits"))]
+
+
 class LogFrequencyBloom:
     """A language model of words and pairs. Fit once, then score any frame of texts."""
 
@@ -218,19 +224,15 @@ class LogFrequencyBloom:
         text = texts.select(F.col(text_col).alias("text"))
         counted = text.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         self.vocab = written(counted.where("n > 0"), "lm-words")
-        edges = [int(x) for x in self.levels]
-        level = F.lit(0)
-        for e in edges:
-            level = level + F.when(F.col("n") >= e, 1).otherwise(0)
-        sums = self.vocab.groupBy(level.alias("q")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # a row for each level at most
+        sums = self.vocab.groupBy(F.floor(F.log2("n")).alias("q")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # a row for each power of two
         self.n_tokens = sum(r["n"] for r in sums)
         self.n_types = sum(r["v"] for r in sums)
-        fit, self.head_from = 0, edges[-1]
+        fit, self.head_from = 0, 2**62
         for r in sorted(sums, key=lambda r: -r["q"]):
             fit += r["v"]
             if fit > self.head_words:
                 break
-            self.head_from = edges[r["q"] - 1]
+            self.head_from = 2 ** r["q"]
         self.segments = max(1, -(-self.n_tokens // self.ngrams_per_segment))
         shape = "seg int, hashes binary, counts binary"
         runs = text.mapInArrow(count_pairs(self.segments, self.table, self.is_word), shape).unionByName(self.vocab.mapInArrow(word_runs(self.segments, self.table, self.is_word), shape))
@@ -250,8 +252,7 @@ class LogFrequencyBloom:
 
     def _sent(self, spark: SparkSession, first: int, last: int):
         parts = self.filter.where(F.col("seg").between(first, last)).select("seg", "bits").toArrow()
-        data = list(zip(parts.column("seg").to_pylist(), parts.column("bits").to_pylist()))
-        return spark.sparkContext.broadcast(Filter(self.segments, data, self.probes, self.levels))
+        return spark.sparkContext.broadcast(Filter(self.segments, _segments(parts), self.probes, self.levels))
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """id, n_tokens, n_known, train_tokens, base_score, score for each row; a null text counts as empty.
@@ -301,7 +302,7 @@ class LogFrequencyBloom:
         few = max(1, -(-self.n_types // self.ngrams_per_segment))
         runs = self.vocab.mapInArrow(word_runs(few, self.table, self.is_word), shape)
         bits = runs.groupBy("seg").applyInArrow(fill_segment(self.levels, self.bits_per_item, self.probes), "seg int, bits binary, n_bytes long").select("seg", "bits").toArrow()
-        return spark.sparkContext.broadcast(Filter(few, list(zip(bits.column("seg").to_pylist(), bits.column("bits").to_pylist())), self.probes, self.levels))
+        return spark.sparkContext.broadcast(Filter(few, _segments(bits), self.probes, self.levels))
 
     def _scorer(self, sent, counts, words, part: tuple[int, int], leading: bool):
         levels, mu, bottom = self.levels, self.mu, float(self.n_tokens + self.n_types + 1)
@@ -316,7 +317,7 @@ class LogFrequencyBloom:
             logs = np.log10((np.concatenate((n, [0])) + 1) / bottom)
             for batch in batches:
                 texts = utf8(batch.column(2))
-                step = max(1, 8_000_000 // max(1, sum(map(len, texts)) // max(1, len(texts)) + 1))
+                step = max(1, 3_000_000 // max(1, sum(map(len, texts)) // max(1, len(texts)) + 1))
                 for i in range(0, len(texts), step):
                     docs = texts[i : i + step]
                     data, starts, ends, hashes, first = word_spans(docs, is_word, table)

@@ -1,9 +1,15 @@
 """Registered queries of the corpus operators, and SQL for those that SQL can express."""
 
+from .langid import op4_language_id
 from .lm_score import op1_lm_score
+from .token_counts import op10_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_toxicity": op2_toxicity,
+    "op4_language_id": op4_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
