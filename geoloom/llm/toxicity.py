@@ -74,7 +74,7 @@ def one_epoch(state, dims: int, rates: tuple):
 
 
 class ToxicityModel:
-    def __init__(self, dims: int = 1 << 20, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1e-3, epochs: int = 4, shards: int = 4, max_rows: int = 20_000):
+    def __init__(self, dims: int = 1 << 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1e-3, epochs: int = 6, shards: int = 4, max_rows: int = 20_000):
         assert dims & (dims - 1) == 0
         self.dims, self.rates, self.epochs, self.shards, self.max_rows = dims, (alpha, beta, l1, l2), epochs, shards, max_rows
         self.table, self.mask = byte_table(23), separator_mask(LETTERS)
