@@ -3,12 +3,14 @@
 from .langid import op4_language_id
 from .lm_score import op1_lm_score
 from .token_counts import op10_token_counts
+from .simhash import op6_simhash_dedup
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -51,7 +51,7 @@ class TokenCounts:
                 n = [len(ids.ids(t)) // 4 for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"content": b.column(1), "tokenizer": pa.array([version] * len(n), pa.binary()), "n_tokens": pa.array(n, pa.int64())})
 
-        wanted = rows.join(missing.select("row"), "row", "left_semi").select("text", "content")
+        wanted = rows.join(missing.select("row").hint("merge"), "row", "left_semi").select("text", "content")
         wanted.mapInArrow(encode, SHAPE).write.mode("append").parquet(self.cache_path)
 
     def count(self, docs: DataFrame, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:

@@ -55,6 +55,28 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def count_features(dims: int):
+    def run(batches):
+        total = np.zeros(dims, np.int64)
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                total[np.frombuffer(f, "<i4")] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int32()), "n": total[at]})
+
+    return run
+
+
+def prune_features(sent):
+    def run(batches):
+        for b in batches:
+            lists = [np.frombuffer(f, "<i4") for f in b.column("f").to_pylist()]
+            f = pa.array([x[sent.value[x]].tobytes() for x in lists], pa.binary())
+            yield pa.RecordBatch.from_arrays([f if n == "f" else b.column(n) for n in b.schema.names], b.schema.names)
+
+    return run
+
+
 def one_epoch(state, dims: int, rates: tuple):
     """A shard's pass over its rows, from the shared state; returns the coordinates it touched."""
 
@@ -74,7 +96,7 @@ def one_epoch(state, dims: int, rates: tuple):
 
 
 class ToxicityModel:
-    def __init__(self, dims: int = 1 << 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1e-3, epochs: int = 6, shards: int = 4, max_rows: int = 20_000):
+    def __init__(self, dims: int = 1 << 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1e-3, epochs: int = 6, shards: int = 4, max_rows: int = 12_000):
         assert dims & (dims - 1) == 0
         self.dims, self.rates, self.epochs, self.shards, self.max_rows = dims, (alpha, beta, l1, l2), epochs, shards, max_rows
         self.table, self.mask = byte_table(23), separator_mask(LETTERS)
@@ -100,6 +122,13 @@ class ToxicityModel:
                 yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary())], ["y", "o", "f"])
 
         sample = written(rows.select("text", "y", "o").mapInArrow(listed, "y int, o long, f binary").withColumn("shard", F.pmod("o", F.lit(self.shards)).cast("int")), "tox-sample")
+        # While a weight is 0 its z is a sum of gradients, each 1 at most: a feature of so few texts never passes L1, so it goes now.
+        least = int(self.rates[2] // self.epochs) + 1
+        often = sample.select("f").mapInArrow(count_features(dims), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("i").toArrow()  # dims rows at most
+        kept = np.zeros(dims, bool)
+        kept[often.column("i").to_numpy()] = True
+        sent = spark.sparkContext.broadcast(kept)
+        sample = written(sample.mapInArrow(prune_features(sent), sample.schema), "tox-pruned")
         model = Ftrl(dims, *self.rates)
         for _ in range(self.epochs):
             state = spark.sparkContext.broadcast((model.z, model.n))
