@@ -3,6 +3,8 @@
 from .langid import op4_language_id
 from .lm_score import op1_lm_score
 from .token_counts import op10_token_counts
+from .packing import op9_packing
+from .secrets import op8_secret_scan
 from .simhash import op6_simhash_dedup
 from .toxicity import op2_toxicity
 
@@ -11,6 +13,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
 
