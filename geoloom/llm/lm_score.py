@@ -100,7 +100,7 @@ def count_pairs(segments: int, table: np.ndarray, is_word: np.ndarray, hold: int
         held = 0
         for batch in batches:
             docs = utf8(batch.column(0))
-            step = max(1, 3_000_000 // max(1, sum(map(len, docs)) // max(1, len(docs)) + 1))
+            step = max(1, 1_000_000 // max(1, sum(map(len, docs)) // max(1, len(docs)) + 1))
             for i in range(0, len(docs), step):
                 *_, hashes, first = word_spans(docs[i : i + step], is_word, table)
                 tokens, at = chain(hashes, first)
@@ -213,7 +213,7 @@ def _segments(rows: pa.Table) -> list[tuple[int, memoryview]]:
 class LogFrequencyBloom:
     """A language model of words and pairs. Fit once, then score any frame of texts."""
 
-    def __init__(self, growth: float = 1.5, bits_per_item: int = 9, probes: int = 4, mu: float = 200.0, max_filter_bytes: int = 192 << 20, head_words: int = 400_000, ngrams_per_segment: int = 1_000_000):
+    def __init__(self, growth: float = 1.5, bits_per_item: int = 8, probes: int = 4, mu: float = 200.0, max_filter_bytes: int = 128 << 20, head_words: int = 300_000, ngrams_per_segment: int = 1_000_000):
         self.levels = thresholds(growth)
         self.bits_per_item, self.probes, self.mu = bits_per_item, probes, mu
         self.max_filter_bytes, self.head_words, self.ngrams_per_segment = max_filter_bytes, head_words, ngrams_per_segment
@@ -316,8 +316,9 @@ class LogFrequencyBloom:
             keys, n = counts.value
             logs = np.log10((np.concatenate((n, [0])) + 1) / bottom)
             for batch in batches:
+                pa.default_memory_pool().release_unused()
                 texts = utf8(batch.column(2))
-                step = max(1, 3_000_000 // max(1, sum(map(len, texts)) // max(1, len(texts)) + 1))
+                step = max(1, 1_000_000 // max(1, sum(map(len, texts)) // max(1, len(texts)) + 1))
                 for i in range(0, len(texts), step):
                     docs = texts[i : i + step]
                     data, starts, ends, hashes, first = word_spans(docs, is_word, table)
