@@ -1,5 +1,7 @@
 """Registered queries of the corpus operators, and SQL for those that SQL can express."""
 
+import corpus_pipeline
+
 from .decontam import op3_decontamination
 from .langid import op4_language_id
 from .lm_score import op1_lm_score
@@ -12,6 +14,7 @@ from .toxicity import op2_toxicity
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_lm_score": op1_lm_score,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
@@ -25,3 +28,5 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
