@@ -1,7 +1,7 @@
 """Token ids of a public byte-level BPE vocabulary inside tasks.
 
 Byte-level BPE never merges across pre-tokens, so ids are kept by pre-token: a text is split with
-the vocabulary's public pattern and each new pre-token is encoded once by the tokenizers library.
+the vocabulary's public pattern and each new pre-token is encoded once by the library's BPE model.
 Texts that hold one of the vocabulary's special strings go to the library whole."""
 
 from __future__ import annotations
@@ -22,10 +22,17 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class PretokenIds(dict):
     """Little-endian unsigned 32-bit ids of a text, as bytes."""
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 600_000):
         import tokenizers
 
         super().__init__()
@@ -33,13 +40,13 @@ class PretokenIds(dict):
         self.tok.no_truncation()
         self.tok.no_padding()
         self.split = regex.compile(pattern).findall
-        self.most = most
+        self.most, self.letters = most, byte_letters()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = self.whole(piece)
+        ids = np.array([t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
         if len(piece) < 64:
             self[piece] = ids
         return ids
