@@ -1,9 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip pairs.
 
 Training runs on a bounded sample of labelled rows (`max_rows`, those with the smallest id hash).
-The sample is dealt to `shards` tasks; in each epoch every shard runs per-coordinate FTRL from the
-shared state, and coordinates are then averaged over the shards that touched them (iterative
-parameter mixing, one Spark aggregation per epoch). The L1 term leaves few weights: their indexes and values are all that scoring
+The sample is dealt to `shards` tasks; in each round every shard runs some epochs of per-coordinate
+FTRL from the shared state, and coordinates are then averaged over the shards that touched them
+(iterative parameter mixing, one Spark aggregation per round). The L1 term leaves few weights: their indexes and values are all that scoring
 broadcasts, at most `dims` of them.
 """
 
@@ -77,15 +77,16 @@ def prune_features(sent):
     return run
 
 
-def one_epoch(state, dims: int, rates: tuple):
-    """A shard's pass over its rows, from the shared state; returns the coordinates it touched."""
+def one_round(state, dims: int, rates: tuple, epochs: int):
+    """A shard's passes over its rows, from the shared state; returns the coordinates it touched."""
 
     def run(key, group):
         own = Ftrl(dims, *rates)
         own.z, own.n = state.value[0].copy(), state.value[1].copy()
         touched = np.zeros(dims, bool)
         y, f = group.column("y").to_pylist(), group.column("f").to_pylist()
-        for i in np.argsort(group.column("o").to_numpy(), kind="stable"):
+        order = np.argsort(group.column("o").to_numpy(), kind="stable")
+        for i in np.tile(order, epochs):
             at = np.frombuffer(f[i], "<i4")
             own.learn(at, y[i])
             touched[at] = True
@@ -96,9 +97,9 @@ def one_epoch(state, dims: int, rates: tuple):
 
 
 class ToxicityModel:
-    def __init__(self, dims: int = 1 << 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1e-3, epochs: int = 6, shards: int = 4, max_rows: int = 12_000):
+    def __init__(self, dims: int = 1 << 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1e-3, rounds: int = 2, epochs: int = 3, shards: int = 4, max_rows: int = 12_000):
         assert dims & (dims - 1) == 0
-        self.dims, self.rates, self.epochs, self.shards, self.max_rows = dims, (alpha, beta, l1, l2), epochs, shards, max_rows
+        self.dims, self.rates, self.rounds, self.epochs, self.shards, self.max_rows = dims, (alpha, beta, l1, l2), rounds, epochs, shards, max_rows
         self.table, self.mask = byte_table(23), separator_mask(LETTERS)
         self.index, self.weight = np.zeros(0, np.int32), np.zeros(0)
 
@@ -123,16 +124,16 @@ class ToxicityModel:
 
         sample = written(rows.select("text", "y", "o").mapInArrow(listed, "y int, o long, f binary").withColumn("shard", F.pmod("o", F.lit(self.shards)).cast("int")), "tox-sample")
         # While a weight is 0 its z is a sum of gradients, each 1 at most: a feature of so few texts never passes L1, so it goes now.
-        least = int(self.rates[2] // self.epochs) + 1
+        least = int(self.rates[2] // (self.rounds * self.epochs)) + 1
         often = sample.select("f").mapInArrow(count_features(dims), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("i").toArrow()  # dims rows at most
         kept = np.zeros(dims, bool)
         kept[often.column("i").to_numpy()] = True
         sent = spark.sparkContext.broadcast(kept)
         sample = written(sample.mapInArrow(prune_features(sent), sample.schema), "tox-pruned")
         model = Ftrl(dims, *self.rates)
-        for _ in range(self.epochs):
+        for _ in range(self.rounds):
             state = spark.sparkContext.broadcast((model.z, model.n))
-            new = sample.groupBy("shard").applyInArrow(one_epoch(state, dims, self.rates), "i int, z double, n double").groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()  # dims rows at most
+            new = sample.groupBy("shard").applyInArrow(one_round(state, dims, self.rates, self.epochs), "i int, z double, n double").groupBy("i").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()  # dims rows at most
             at = new.column("i").to_numpy()
             model.z[at], model.n[at] = new.column("z").to_numpy(), new.column("n").to_numpy()
             state.destroy()
