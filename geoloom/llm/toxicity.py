@@ -3,7 +3,8 @@
 Training runs on a bounded sample of labelled rows (`max_rows`, those with the smallest id hash).
 The sample is dealt to `shards` tasks; in each round every shard runs some epochs of per-coordinate
 FTRL from the shared state, and coordinates are then averaged over the shards that touched them
-(iterative parameter mixing, one Spark aggregation per round). The L1 term leaves few weights: their indexes and values are all that scoring
+(iterative parameter mixing, one Spark aggregation per round). One shard, the default, is plain
+FTRL over the sample; more shards train in parallel on larger samples, at some loss of recall. The L1 term leaves few weights: their indexes and values are all that scoring
 broadcasts, at most `dims` of them.
 """
 
@@ -97,7 +98,7 @@ def one_round(state, dims: int, rates: tuple, epochs: int):
 
 
 class ToxicityModel:
-    def __init__(self, dims: int = 1 << 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1e-3, rounds: int = 2, epochs: int = 3, shards: int = 4, max_rows: int = 12_000):
+    def __init__(self, dims: int = 1 << 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 1e-3, rounds: int = 1, epochs: int = 6, shards: int = 1, max_rows: int = 12_000):
         assert dims & (dims - 1) == 0
         self.dims, self.rates, self.rounds, self.epochs, self.shards, self.max_rows = dims, (alpha, beta, l1, l2), rounds, epochs, shards, max_rows
         self.table, self.mask = byte_table(23), separator_mask(LETTERS)
