@@ -40,11 +40,15 @@ def arc_flags(arcs: DataFrame) -> DataFrame:
     return arcs.withColumn("is_null", F.col("edge_count") == 0).withColumn("is_single", (F.col("edge_count") == 1) & (F.col("first_edge") == F.col("last_edge"))).withColumn("is_virtual", F.col("first_edge").isNull())
 
 
-def contract_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, drop: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Takes the chords of drop(map_id, chord_id) out: joined regions get the lowest id; arcs and the other chords move; neighbouring arcs of a region that meet end to end become one."""
+def contract_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, drop: DataFrame, matched: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Takes the chords of drop(map_id, chord_id) out (matched: no two of them share a region): joined regions get the lowest id; arcs and the other chords move; neighbouring arcs of a region that meet end to end become one."""
     out = chords.join(drop, ["map_id", "chord_id"], "left_semi")
     v = regions.select(F.col("map_id").alias("gid"), F.col("region_id").alias("v"))
-    label = components(v, out.select(F.col("map_id").alias("gid"), F.col("region_a").alias("u"), F.col("region_b").alias("v"))).select(F.col("gid").alias("map_id"), F.col("v").alias("region_id"), "component")
+    if matched:
+        pairs = out.select(F.col("map_id").alias("gid"), F.greatest("region_a", "region_b").alias("v"), F.least("region_a", "region_b").alias("to"))
+        label = v.join(pairs, ["gid", "v"], "left").select(F.col("gid").alias("map_id"), F.col("v").alias("region_id"), F.coalesce("to", "v").alias("component"))
+    else:
+        label = components(v, out.select(F.col("map_id").alias("gid"), F.col("region_a").alias("u"), F.col("region_b").alias("v"))).select(F.col("gid").alias("map_id"), F.col("v").alias("region_id"), "component")
     moved = arcs.join(label, ["map_id", "region_id"]).drop("region_id").withColumnRenamed("component", "region_id")
     w = Window.partitionBy("map_id", "region_id", "first_side").orderBy("first_edge", "arc_id")
     new = F.when(F.lag("last_edge").over(w) + 1 == F.col("first_edge"), 0).otherwise(1)
@@ -58,19 +62,20 @@ def contract_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, drop
 
 
 def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma. In a round those go that are the lowest candidate at both their regions. The merged weight is bounded by the sum of both sides' weights."""
-    for _ in range(most):
+    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average. The merged weight is bounded by the sum of both sides' weights."""
+    for k in range(most):
         d, w = region_degree(regions, chords), region_weight(regions, arcs)
         s = d.join(w, ["map_id", "region_id"])
         c = chords.where("region_a <> region_b")
-        for k in ("a", "b"):
-            c = c.join(s.select("map_id", F.col("region_id").alias(f"region_{k}"), F.col("degree").alias(f"d{k}"), F.col("weight").alias(f"w{k}")), ["map_id", f"region_{k}"])
+        for side in ("a", "b"):
+            c = c.join(s.select("map_id", F.col("region_id").alias(f"region_{side}"), F.col("degree").alias(f"d{side}"), F.col("weight").alias(f"w{side}")), ["map_id", f"region_{side}"])
         c = c.where((F.least("da", "db") < 3) & (F.col("wa") + F.col("wb") <= gamma)).select("map_id", "chord_id", "region_a", "region_b")
-        first = c.select("map_id", "chord_id", F.explode(F.array("region_a", "region_b")).alias("region_id")).groupBy("map_id", "region_id").agg(F.min("chord_id").alias("chord_id"))
+        rank = F.struct(F.xxhash64("map_id", "chord_id", F.lit(k)), "chord_id")
+        first = c.select("map_id", "chord_id", F.explode(F.array("region_a", "region_b")).alias("region_id")).groupBy("map_id", "region_id").agg(F.min_by("chord_id", rank).alias("chord_id"))
         chosen = cut(first.groupBy("map_id", "chord_id").agg(F.count("*").alias("n")).where("n = 2").select("map_id", "chord_id"))
         if chosen.isEmpty():
             return regions, arcs, chords
-        regions, arcs, chords = map(cut, contract_chords(regions, arcs, chords, chosen))
+        regions, arcs, chords = map(cut, contract_chords(regions, arcs, chords, chosen, matched=True))
     raise RuntimeError(f"chords can still go after {most} rounds")
 
 

@@ -52,3 +52,23 @@ def grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 GRID_SQL = f"""
 gv AS (SELECT CAST(p_partkey // {BLOCK} AS BIGINT) AS gid, CAST(p_partkey AS BIGINT) AS v, CAST(p_size AS DOUBLE) AS cost FROM part),
 ge AS (SELECT a.gid, a.v AS u, b.v AS v FROM gv a JOIN gv b ON a.gid = b.gid AND ((b.v = a.v + 1 AND a.v % {WIDTH} < {WIDTH - 1}) OR b.v = a.v + {WIDTH}))"""
+
+
+def region_map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(regions, arcs, chords): one map for each part, an arc for each of its line items, three arcs to a region and a chord from each region to the next."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").cast("long").alias("map_id"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("long").alias("q"), *ORDER)
+    a = rows.select("map_id", "n", "q", (F.row_number().over(Window.partitionBy("map_id").orderBy(*ORDER)) - 1).cast("long").alias("arc_id"))
+    arcs = a.select("map_id", "arc_id", F.expr("arc_id div 3").alias("region_id"), (F.col("arc_id") * 2).alias("first_edge"), (F.col("arc_id") * 2 + F.col("q") % 3).alias("last_edge"), F.when(F.col("n") % 2 == 1, "L").otherwise("R").alias("first_side"), F.when(F.col("n") % 2 == 1, "L").otherwise("R").alias("last_side"), (F.col("q") % 11).alias("edge_count"))
+    regions = arcs.select("map_id", "region_id").distinct()
+    last = regions.groupBy("map_id").agg(F.max("region_id").alias("last"))
+    c = a.where("arc_id % 3 = 2").join(last, "map_id").withColumn("r", F.expr("arc_id div 3")).where("r < last")
+    chords = c.select("map_id", F.col("r").alias("chord_id"), F.col("r").alias("region_a"), (F.col("r") + 1).alias("region_b"), (F.col("r") * 6 + F.col("q") % 5).alias("left_edge"), (F.col("r") * 6 + F.col("q") % 17).alias("right_edge"), F.col("q").cast("double").alias("y"), (F.col("q") % 5 == F.col("q") % 17).alias("is_null_length"))
+    return regions, arcs, chords
+
+
+REGION_SQL = f"""
+a AS (SELECT CAST(l_partkey AS BIGINT) AS map_id, CAST(l_linenumber AS BIGINT) AS n, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_partkey ORDER BY {', '.join(ORDER)}) - 1 AS arc_id FROM lineitem),
+arcs AS (SELECT map_id, arc_id, arc_id // 3 AS region_id, arc_id * 2 AS first_edge, arc_id * 2 + q % 3 AS last_edge, CASE WHEN n % 2 = 1 THEN 'L' ELSE 'R' END AS first_side, q % 11 AS edge_count FROM a),
+regions AS (SELECT DISTINCT map_id, region_id FROM arcs),
+chords AS (SELECT map_id, arc_id // 3 AS chord_id, arc_id // 3 AS region_a, arc_id // 3 + 1 AS region_b, (arc_id // 3) * 6 + q % 5 AS left_edge, (arc_id // 3) * 6 + q % 17 AS right_edge, CAST(q AS DOUBLE) AS y, q % 5 = q % 17 AS is_null_length FROM a JOIN (SELECT map_id AS m, max(region_id) AS last FROM regions GROUP BY 1) ON m = map_id WHERE arc_id % 3 = 2 AND arc_id // 3 < last),
+ch AS (SELECT *, least(left_edge, right_edge) AS lo, greatest(left_edge, right_edge) AS hi FROM chords)"""
