@@ -62,7 +62,7 @@ def contract_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, drop
 
 
 def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average. The merged weight is bounded by the sum of both sides' weights."""
+    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average. The merged weight is taken as the sum of both sides' weights, which bounds it as long as a chord's removal joins one arc of each side."""
     for k in range(most):
         d, w = region_degree(regions, chords), region_weight(regions, arcs)
         s = d.join(w, ["map_id", "region_id"])

@@ -35,7 +35,8 @@ def _m5(s, d):
 def _m6(s, d):
     """Whether merged weights stay within gamma where they were, and no chord is left that could go."""
     gamma = 25
-    r, a, c = map(cut, region_map(s, d))
+    r, a, c = region_map(s, d)
+    r, a, c = map(cut, (r, a.withColumn("first_edge", F.col("arc_id") * 10).withColumn("last_edge", F.col("arc_id") * 10 + 3), c))
     r2, a2, c2 = regions.coarsen(r, a, c, gamma)
     w = regions.region_weight(r2, a2)
     deg = regions.region_degree(r2, c2)
@@ -61,7 +62,7 @@ query("m11_canonical_chords", REG + "SELECT map_id, chord_id, row_number() OVER
 query("m12_chord_adjacent_arcs", REG + ", near AS (SELECT DISTINCT ch.map_id, chord_id, arc_id FROM ch JOIN arcs ON arcs.map_id = ch.map_id AND region_id IN (region_a, region_b) AND (ch.lo BETWEEN first_edge - 1 AND last_edge + 1 OR ch.hi BETWEEN first_edge - 1 AND last_edge + 1)) SELECT map_id, chord_id, string_agg(arc_id, ',' ORDER BY arc_id) AS arcs FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY map_id, chord_id ORDER BY arc_id) <= 4) GROUP BY 1, 2")(
     lambda s, d: regions.chord_adjacent_arcs((m := region_map(s, d))[2], m[1]).withColumn("arcs", F.concat_ws(",", F.col("arcs").cast("array<string>")))
 )
-query("m13_merge_chord_sets", REG + "SELECT map_id, lo, hi, y, bool_or(is_null_length) AS is_null_length FROM ch WHERE left_edge <> right_edge OR is_null_length GROUP BY 1, 2, 3, 4")(lambda s, d: regions.merge_chord_sets((c := region_map(s, d)[2]), c.withColumnsRenamed({"left_edge": "right_edge", "right_edge": "left_edge"}), c.where("chord_id % 2 = 0")))
+query("m13_merge_chord_sets", REG + "SELECT map_id, lo, hi, y, bool_or(is_null_length) AS is_null_length FROM ch WHERE left_edge <> right_edge OR is_null_length GROUP BY 1, 2, 3, 4")(lambda s, d: regions.merge_chord_sets((c := region_map(s, d)[2]), c.withColumns({"left_edge": F.col("right_edge"), "right_edge": F.col("left_edge")}), c.where("chord_id % 2 = 0")))
 query("m14_region_adjacency", REG + """, at_ AS (SELECT DISTINCT map_id, unnest([left_edge, left_edge - 1, right_edge, right_edge - 1]) AS e FROM chords), h AS (SELECT DISTINCT arcs.map_id, e, region_id FROM at_ JOIN arcs ON arcs.map_id = at_.map_id AND first_edge <= e AND e <= last_edge)
 SELECT map_id, region_a AS r1, region_b AS r2 FROM chords UNION SELECT x.map_id, x.region_id, y.region_id FROM h x JOIN h y ON x.map_id = y.map_id AND x.e = y.e AND x.region_id < y.region_id""")(lambda s, d: regions.region_adjacency((m := region_map(s, d))[2], m[1]))
 query("m15_split_regions", REG + "SELECT arcs.map_id, arcs.arc_id, (SELECT chord_id FROM ch WHERE ch.map_id = arcs.map_id AND ch.lo <= arcs.first_edge AND arcs.last_edge <= ch.hi ORDER BY ch.hi - ch.lo, chord_id LIMIT 1) AS chord_id FROM arcs")(lambda s, d: regions.split_regions((m := region_map(s, d))[1], m[2]))
