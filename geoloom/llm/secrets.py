@@ -111,14 +111,14 @@ def redact(texts, spans) -> list:
             if s["end"] <= at:
                 continue
             if s["start"] >= at:
-                parts += [text[at : s["start"]], f"<{'secret' if s['live'] else 'example'}:{s['kind']}>"]
+                parts += [text[at : s["start"]], f"[{'redacted' if s['live'] else 'example'} {s['kind']}]"]
             at = s["end"]
         out.append("".join([*parts, text[at:]]))
     return out
 
 
 def redact_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = 2) -> DataFrame:
-    """The documents, all columns as they were, with every candidate in the text replaced by <secret:kind>, or <example:kind> if many owners hold it.
+    """The documents, all columns as they were, with every candidate in the text replaced by [redacted kind], or [example kind] if many owners hold it.
 
     The texts stay in place: each text's candidates are looked up in a table of the digests that
     many owners hold (a join on digests), and texts without candidates are passed on."""

@@ -40,12 +40,12 @@ def test_owners_tell_examples_from_live_ones(spark):
     assert (got[0][0].owners, got[0][0].repositories, got[0][0].live) == (10, 10, False)
     assert [s.kind for s in got[20]] == ["assign"] and got[20][0].live and got[21][0].kind == "token"
     clean = {r.doc_id: r.text for r in redact_secrets(docs).where("doc_id <> 22").collect()}
-    assert clean[0] == "example <example:access> here" and clean[20] == "<secret:assign>'" and clean[21] == "mine <secret:token>"
+    assert clean[0] == "example [example access] here" and clean[20] == "[redacted assign]'" and clean[21] == "mine [redacted token]"
 
 
 def test_overlapping_spans_become_one_mark():
     span = lambda s, e: {"start": s, "end": e, "kind": "hex", "live": True}
-    assert redact(["0123456789"], [[span(2, 6), span(3, 5), span(5, 8)]]) == ["01<secret:hex>89"]
+    assert redact(["0123456789"], [[span(2, 6), span(3, 5), span(5, 8)]]) == ["01[redacted hex]89"]
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
