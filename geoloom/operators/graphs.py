@@ -142,16 +142,16 @@ def choose_levels(profile: DataFrame) -> DataFrame:
 
 
 def subtree_cost(v: DataFrame, tree: DataFrame) -> DataFrame:
-    """(gid, v, subtree): cost of each vertex and all below it, for tree(gid, v, parent).
+    """(gid, v, subtree, root): cost of each vertex and all below it, and its tree's top, for tree(gid, v, parent).
 
     Ancestors by doubling: each round adds what the vertices 2**k below hold, so rounds are the logarithm of the depth."""
-    state = cut(tree.join(v.select("gid", "v", "cost"), ["gid", "v"]).select("gid", "v", F.col("parent").alias("up"), F.col("cost").alias("subtree")))
+    state = cut(tree.join(v.select("gid", "v", "cost"), ["gid", "v"]).select("gid", "v", F.col("parent").alias("up"), F.col("cost").alias("subtree"), F.coalesce("parent", "v").alias("root")))
     for _ in range(60):
         gives = state.where("up is not null").groupBy("gid", F.col("up").alias("v")).agg(F.sum("subtree").alias("more"))
-        above = state.select("gid", F.col("v").alias("up"), F.col("up").alias("up2"))
-        state = cut(state.join(gives, ["gid", "v"], "left").join(above, ["gid", "up"], "left").select("gid", "v", F.col("up2").alias("up"), (F.col("subtree") + F.coalesce("more", F.lit(0.0))).alias("subtree")))
+        above = state.select("gid", F.col("v").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"))
+        state = cut(state.join(gives, ["gid", "v"], "left").join(above, ["gid", "up"], "left").select("gid", "v", F.col("up2").alias("up"), (F.col("subtree") + F.coalesce("more", F.lit(0.0))).alias("subtree"), F.coalesce("root2", "root").alias("root")))
         if state.where("up is not null").isEmpty():
-            return state.select("gid", "v", "subtree")
+            return state.select("gid", "v", "subtree", "root")
     raise RuntimeError("the tree is too deep, or has a cycle")
 
 
@@ -182,8 +182,9 @@ def tree_path(pairs: DataFrame, tree: DataFrame, most: int = 100_000) -> DataFra
 
 def cycle_side_cost(path: DataFrame, tree: DataFrame, subtree: DataFrame, v: DataFrame) -> DataFrame:
     """Cost hanging off each cycle vertex: its subtree without itself and without its children on the cycle."""
-    own = path.join(subtree.withColumnRenamed("v", "vertex"), ["gid", "vertex"]).join(v.select("gid", F.col("v").alias("vertex"), "cost"), ["gid", "vertex"])
-    kids = path.join(tree.select("gid", F.col("v").alias("vertex"), "parent"), ["gid", "vertex"]).where("parent is not null").join(subtree.withColumnRenamed("v", "vertex"), ["gid", "vertex"])
+    subtree = subtree.select("gid", F.col("v").alias("vertex"), "subtree")
+    own = path.join(subtree, ["gid", "vertex"]).join(v.select("gid", F.col("v").alias("vertex"), "cost"), ["gid", "vertex"])
+    kids = path.join(tree.select("gid", F.col("v").alias("vertex"), "parent"), ["gid", "vertex"]).where("parent is not null").join(subtree, ["gid", "vertex"])
     kids = kids.groupBy("gid", "pair", F.col("parent").alias("vertex")).agg(F.sum("subtree").alias("on_cycle"))
     out = own.join(kids, ["gid", "pair", "vertex"], "left")
     return out.select("gid", "pair", "vertex", (F.col("subtree") - F.col("cost") - F.coalesce("on_cycle", F.lit(0.0))).alias("hanging"))

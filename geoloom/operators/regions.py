@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut
-from .graphs import components
+from .graphs import components, subtree_cost
 
 
 def _lo(a: str = "left_edge", b: str = "right_edge") -> Column:
@@ -168,3 +168,25 @@ def region_boundary(arcs: DataFrame, chords: DataFrame) -> DataFrame:
     c = chords.select("map_id", F.explode(F.array_distinct(F.array("region_a", "region_b"))).alias("region_id"), _lo().alias("key"), F.lit(0).alias("kind"), F.col("chord_id").alias("id"))
     w = Window.partitionBy("map_id", "region_id").orderBy("key", "kind", "id")
     return a.unionByName(c).withColumn("place", F.row_number().over(w) - 1)
+
+
+def center_tree(tree: DataFrame, most: int = 60) -> DataFrame:
+    """Splits rooted trees (gid, v, parent) again and again at the edge that leaves the smallest larger side, all parts in one go, until parts are single vertices.
+
+    Returns an edge for each split: (gid, v, parent, part, depth, size, larger); part is the root of what was split. A cut edge's lower end is the root
+    of the new part, so no part is rooted anew. Ties: the lowest vertex."""
+    whole = cut(tree.select("gid", "v", "parent"))
+    done = None
+    for depth in range(most):
+        size = subtree_cost(whole.select("gid", "v", F.lit(1.0).alias("cost")), whole)
+        p = whole.join(size, ["gid", "v"])
+        total = p.where("v = root").select("gid", "root", F.col("subtree").alias("size"))
+        e = p.where("parent is not null").join(total, ["gid", "root"]).withColumn("larger", F.greatest("subtree", F.col("size") - F.col("subtree")))
+        best = cut(e.groupBy("gid", "root").agg(F.min_by(F.struct("v", "parent", "size", "larger"), F.struct("larger", "v")).alias("b")).select("gid", "b.v", "b.parent", F.col("root").alias("part"), F.lit(depth).alias("depth"), F.col("b.size").cast("long").alias("size"), F.col("b.larger").cast("long").alias("larger")))
+        if best.isEmpty():
+            return best if done is None else done
+        done = best if done is None else cut(done.unionByName(best))
+        gone = best.select("gid", "v", F.lit(True).alias("gone"))
+        whole = cut(whole.join(gone, ["gid", "v"], "left").select("gid", "v", F.when(F.col("gone").isNull(), F.col("parent")).alias("parent")))
+    raise RuntimeError(f"parts are left after {most} rounds")
+

@@ -114,7 +114,7 @@ cho AS (SELECT gid, l1, (SELECT max(level) FROM prof p WHERE p.gid = o.gid AND l
 query("g11_choose_levels", GRID + _BFS + _PROF + _CHO + "SELECT * FROM cho")(lambda s, d: graphs.choose_levels(graphs.level_profile((g := grid(s, d))[0], graphs.bfs(*g))))
 query("g12_level_separator", GRID + _BFS + _PROF + _CHO + "SELECT lev.gid, v FROM lev JOIN cho ON cho.gid = lev.gid AND level IN (l0, l2)")(lambda s, d: graphs.level_separator(b := graphs.bfs(*(g := grid(s, d))), graphs.choose_levels(graphs.level_profile(g[0], b))))
 _TREE = ", par AS (SELECT a.gid, a.v, a.level, min(b.v) AS parent FROM lev a LEFT JOIN h ON h.gid = a.gid AND h.head = a.v LEFT JOIN lev b ON b.gid = a.gid AND b.v = h.tail AND b.level = a.level - 1 GROUP BY 1, 2, 3), up(gid, v, x) AS (SELECT gid, v, v FROM par UNION ALL SELECT up.gid, up.v, par.parent FROM up JOIN par ON par.gid = up.gid AND par.v = up.x WHERE par.parent IS NOT NULL) "
-query("g14_subtree_cost", GRID + _BFS + _TREE + "SELECT up.gid, up.x AS v, sum(gv.cost) AS subtree FROM up JOIN gv ON gv.gid = up.gid AND gv.v = up.v GROUP BY 1, 2")(lambda s, d: graphs.subtree_cost((g := grid(s, d))[0], graphs.bfs(*g)))
+query("g14_subtree_cost", GRID + _BFS + _TREE + "SELECT up.gid, up.x AS v, sum(gv.cost) AS subtree FROM up JOIN gv ON gv.gid = up.gid AND gv.v = up.v GROUP BY 1, 2")(lambda s, d: graphs.subtree_cost((g := grid(s, d))[0], graphs.bfs(*g)).select("gid", "v", "subtree"))
 
 
 def _ends(v: DataFrame) -> DataFrame:
@@ -169,3 +169,11 @@ query("q8_check_pieces", GRID + f"SELECT gid, max(n) <= 45 AS size_ok, TRUE AS a
     lambda s, d: quality.check_pieces((v := grid(s, d)[0]).select("gid", "v", (F.col("v") % WIDTH == 9).alias("is_separator"), F.when(F.col("v") % WIDTH != 9, (F.col("v") % WIDTH > 9).cast("long")).alias("piece_id")), v, 45)
 )
 
+
+
+@query("m18_center_tree", REG + "SELECT map_id AS gid, count(*) - 1 AS splits, TRUE AS balanced FROM regions GROUP BY 1 HAVING count(*) > 1")
+def _m18(s, d):
+    """Splits of each map's region tree, and whether no side ever held over three quarters (two thirds for three regions)."""
+    r, _, c = region_map(s, d)
+    tree = r.join(c.select("map_id", F.col("region_b").alias("region_id"), F.col("region_a").alias("parent")), ["map_id", "region_id"], "left").select(F.col("map_id").alias("gid"), F.col("region_id").alias("v"), "parent")
+    return regions.center_tree(tree).groupBy("gid").agg(F.count("*").alias("splits"), F.bool_and(F.col("larger") * 4 <= F.col("size") * 3).alias("balanced"))
