@@ -58,7 +58,7 @@ def _power(n) -> F.Column:
 def pad_ring(vertices: DataFrame) -> DataFrame:
     """Puts evenly spaced points on the edge from the last but one vertex to the last until there are 2**p + 1; the last vertex gets the last idx."""
     n = F.count("*").over(Window.partitionBy("pid"))
-    rows = vertices.withColumn("n", n).withColumn("size", F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), _power(F.col("n"))).cast("long") + 1).withColumn("k", F.col("size") - F.col("n"))
+    rows = vertices.withColumn("n", n).withColumn("size", F.pow(F.lit(2.0), _power(F.col("n"))).cast("long") + 1).withColumn("k", F.col("size") - F.col("n"))
     w = Window.partitionBy("pid").orderBy("idx")
     rows = rows.withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w))
     moved = rows.withColumn("idx", F.when(F.col("idx") == F.col("n") - 1, F.col("size") - 1).otherwise(F.col("idx"))).select("pid", "idx", "x", "y")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.plane import edge_x, orient2d, x_at
+from ..functions.plane import edge_x, orient2d
 from .rings import ring, ring_neighbors, y_extrema
 
 

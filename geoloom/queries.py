@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.plane import orient2d, x_at
-from .operators import chains, graphs, quality, regions, rings, triangulation, visibility
-from .plans.fixtures import GRID_SQL, ORDER, grid, skyline_sql, skylines
+from .operators import chains, quality, rings, triangulation, visibility
+from .plans.fixtures import ORDER, skyline_sql, skylines
 from .plans.iterate import cut
 from .sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 SKY = "WITH " + skyline_sql()
-GRID = "WITH RECURSIVE " + GRID_SQL
 
 
 def query(name: str, sql: str | None = None):
