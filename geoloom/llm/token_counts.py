@@ -36,6 +36,10 @@ class TokenCounts:
         rows = self.spark.read.schema(SHAPE).parquet(self.cache_path).where(F.hex("tokenizer") == self.version.upper())
         return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
+    def known(self) -> DataFrame:
+        """The same as a table of its own: a join with it can be split where many rows have one content."""
+        return written(self.cached(), "token-known")
+
     def encode_misses(self, docs: DataFrame, text_col: str = "text") -> None:
         """Encodes each distinct text that the cache lacks once and appends the counts."""
         text = F.coalesce(F.col(text_col), F.lit(""))
@@ -60,7 +64,7 @@ class TokenCounts:
         while key in {c.lower() for c in docs.columns}:
             key += "_"
         keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-        counts = self.cached().select(F.col("content").alias(key), F.col("n_tokens").alias(out_col))
+        counts = self.known().select(F.col("content").alias(key), F.col("n_tokens").alias(out_col))
         return keyed.drop(out_col).join(counts, key, "left").drop(key)
 
 
@@ -72,4 +76,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache.encode_misses(docs)
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("content"))
-    return narrow.join(cache.cached(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    return narrow.join(cache.known(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
