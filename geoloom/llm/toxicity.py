@@ -153,7 +153,7 @@ class ToxicityModel:
             dense = np.zeros(dims)
             dense[index] = weight
             texts, out = utf8(texts), []
-            step = max(1, 6_000_000 // max(1, sum(map(len, texts)) // max(1, len(texts)) + 1))
+            step = max(1, 1_500_000 // max(1, sum(map(len, texts)) // max(1, len(texts)) + 1))
             for i in range(0, len(texts), step):
                 part = texts[i : i + step]
                 f, d = features(part, dims, table, mask)
