@@ -6,6 +6,7 @@ import os
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,7 +132,7 @@ def compare(a, b):
     assert list(a.columns) == list(b.columns)
 
     def plain(df):
-        return sorted(tuple("None" if x is None or x != x else str(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df.astype(object).itertuples(index=False))
+        return sorted(tuple("None" if pd.isna(x) else str(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in df.astype(object).itertuples(index=False))
 
     assert plain(a) == plain(b)
 
