@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, byte_table, mix, separator_mask, ship, utf8, word_spans, written
+from .common import U64, blocks, byte_table, fresh, mix, separator_mask, ship, utf8, word_spans, written
 from .toxicity import LETTERS
 
 ship(__name__)
@@ -198,9 +198,11 @@ class Decontaminator:
         return scored.groupBy("id", "item_id").agg(best.alias("b")).select("id", "item_id", "b.*")
 
     def clean(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-        """The documents without the contaminated ones; rows of a null id stay."""
-        bad = self.find(docs, benchmark, id_col, text_col, **names).select(F.col("id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-        return docs.join(bad, id_col, "left_anti")
+        """The documents without the contaminated ones, told apart by row: ids may be null or repeated."""
+        uid = fresh(docs, "row_uid")
+        rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "leak-rows")
+        bad = self.find(rows, benchmark, uid, text_col, **names).select(F.col("id").alias(uid)).distinct()
+        return rows.join(bad, uid, "left_anti").select(*docs.columns)
 
 
 def score_pairs(threshold: float):

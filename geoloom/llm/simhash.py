@@ -214,19 +214,25 @@ def link_fingerprints(distinct: DataFrame, col: str, distance: int = 4, bucket_r
     return out
 
 
+def with_roots(kinds: DataFrame, distance: int = 4, bucket_rows: int = 20_000) -> DataFrame:
+    """Adds root to a written table of distinct fingerprints fp: one fingerprint of the component, and of no other."""
+    roots = components(link_fingerprints(kinds, "fp", distance, bucket_rows), "a", "b")
+    return kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, seed: int = 42, distance: int = 4, bucket_rows: int = 20_000) -> DataFrame:
-    """(id, fingerprint as signed long, component): component is the lowest id that links reach.
+    """(id, fingerprint as signed long, component, root): component is the lowest id that links reach.
 
     Texts without words (null, empty) have fingerprint 0 and are linked like any other. Repeated
-    rows each get a row. A null id gets a row and never names a component, unless all its ids are null."""
+    rows each get a row. A null id gets a row and never names a component, unless all its ids are null.
+    So components share a name where ids are null or repeated; root, a fingerprint, tells them apart."""
     rows = docs.select(F.col(id_col).alias("id"), fingerprints(size, seed)(F.col(text_col)).alias("fp"))
     rows = written(rows, "sim-fingerprints")
     kinds = written(rows.groupBy("fp").agg(F.min("id").alias("lowest")), "sim-kinds")
-    roots = components(link_fingerprints(kinds, "fp", distance, bucket_rows), "a", "b")
-    linked = kinds.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
+    linked = with_roots(kinds, distance, bucket_rows)
     best = linked.groupBy("root").agg(F.min("lowest").alias("component"))
-    named = written(linked.join(best, "root").select("fp", "component"), "sim-components")
-    return rows.join(named, "fp").select("id", F.col("fp").alias("fingerprint"), "component")
+    named = written(linked.join(best, "root").select("fp", "component", "root"), "sim-components")
+    return rows.join(named, "fp").select("id", F.col("fp").alias("fingerprint"), "component", "root")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

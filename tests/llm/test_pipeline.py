@@ -72,6 +72,18 @@ def test_odd_rows(spark, odd_docs):
     assert 0 in ids and 1 not in ids and 7 in ids and 8 not in ids and len(ids) == len(set(ids))
 
 
+def test_null_and_repeated_ids_in_dedup_and_decontamination(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, words(k)) for k in range(5)] + [(None, words(0)), (3, words(10)), (3, words(11)), (3, words(10)), (4, words(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.simhash_dedup(spark, docs, SF)
+    assert sorted(r.text for r in kept.collect()) == sorted({t for _, t in rows})
+    extra = spark.createDataFrame([(None, leak), (3, leak)], docs.schema)
+    clean = corpus_pipeline.decontamination(spark, docs.unionByName(extra), SF)
+    assert sorted((str(r.doc_id), r.text) for r in clean.collect()) == sorted((str(i), t) for i, t in rows)
+
+
 def test_registered(spark):
     from geoloom.llm import queries
 
