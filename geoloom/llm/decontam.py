@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. Test items become seeds: (n-gram hash, item, place). A bitmap of fixed size (`bitmap_bits`) of
    their hashes goes to the tasks.
 2. One scan of the corpus finds the places whose n-gram is in the bitmap and keeps the words around
    them (as hashes), so the rest of the corpus is never shuffled. Texts are read whole.
-3. A seed is rare if it occurs in few passages beside the other seeds of its item: at most `rare_from`,
-   or `rare_times` the lower quartile of the item's seeds. So a stock phrase inside an item is no
-   seed, while an item that leaked into very many texts keeps all of its seeds.
-4. Passages and items that share a rare seed are aligned: local alignment of words, match 2,
-   mismatch and gap -1, in blocks of pairs at once. The score is divided by that of the whole item.
+3. Passages of equal words are one from there on, and every pair of a passage and an item that share
+   a seed counts, however many passages have that seed.
+4. Pairs whose common words cannot reach the threshold are left out, which is exact; the others are
+   aligned: local alignment of words, match 2, mismatch and gap -1, in blocks of pairs at once. The
+   score is divided by that of the whole item.
 """
 
 from __future__ import annotations
@@ -87,9 +87,9 @@ def alignments(rows: list[tuple[np.ndarray, np.ndarray]], cells: int = 1_000_000
 
 
 class Decontaminator:
-    def __init__(self, n: int = 5, threshold: float = 0.5, rare_from: int = 20, rare_times: int = 8, bitmap_bits: int = 1 << 26):
+    def __init__(self, n: int = 5, threshold: float = 0.5, bitmap_bits: int = 1 << 26):
         """threshold: share of the item's full alignment score from which a text counts as contaminated."""
-        self.n, self.threshold, self.rare_from, self.rare_times, self.bitmap_bits = n, threshold, rare_from, rare_times, bitmap_bits
+        self.n, self.threshold, self.bitmap_bits = n, threshold, bitmap_bits
         self.table, self.mask = byte_table(41), separator_mask(LETTERS)
 
     def _items(self, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -184,16 +184,17 @@ class Decontaminator:
         longest = items.agg(F.max(F.octet_length("item_words") / 8)).collect()[0][0] or 0
         margin = int(longest * 1.25) + n
         passages = self._passages(docs, id_col, text_col, self._bitmap(seeds), margin)
-        hits = passages.select("passage", F.explode("hits").alias("h")).select("passage", "h.g", "h.at")
-        spread = hits.groupBy("g").agg(F.count("*").alias("df"))
-        known = seeds.join(spread, "g")
-        limit = known.groupBy("item").agg(F.greatest(F.percentile_approx("df", 0.25) * self.rare_times, F.lit(self.rare_from)).alias("most"))
-        rare = written(known.join(limit, "item").where(F.col("df") <= F.col("most")).select("item", "g", "ipos"), "leak-seeds")
+        keyed = passages.withColumn("key", F.sha2("words", 256))
+        first = written(keyed.groupBy("key").agg(F.min("passage").alias("passage")), "leak-kinds")
+        kinds = passages.join(first.select("passage"), "passage", "left_semi")
+        hits = kinds.select("passage", F.explode("hits").alias("h")).select("passage", "h.g", "h.at")
         diagonal = F.col("at") - F.col("ipos")
-        pairs = hits.join(rare, "g").groupBy("passage", "item").agg(F.min(diagonal).alias("lo"), F.max(diagonal).alias("hi"))
-        rows = pairs.join(passages.select("passage", "id", "begin", "words"), "passage").join(items.select("item", "item_id", "item_words"), "item")
-        kinds = (docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
-        scored = rows.select("id", "item_id", "begin", "words", "item_words", "lo", "hi").mapInArrow(score_pairs(self.threshold), f"id {kinds[0]}, item_id {kinds[1]}, score double, matched long, begin long, end long")
+        pairs = hits.join(seeds.select("item", "g", "ipos"), "g").groupBy("passage", "item").agg(F.min(diagonal).alias("lo"), F.max(diagonal).alias("hi"))
+        rows = pairs.join(passages.select("passage", "words"), "passage").join(items.select("item", "item_id", "item_words"), "item")
+        kind = benchmark.schema[item_col].dataType.simpleString()
+        found = rows.select("passage", "item_id", "words", "item_words", "lo", "hi").mapInArrow(score_pairs(self.threshold), f"passage long, item_id {kind}, score double, matched long, from long, to long")
+        found = written(found.join(first, "passage").drop("passage"), "leak-found")
+        scored = keyed.select("key", "id", "begin").join(found, "key").select("id", "item_id", "score", "matched", (F.col("begin") + F.col("from")).alias("begin"), (F.col("begin") + F.col("to")).alias("end"))
         best = F.max_by(F.struct("score", "matched", "begin", "end"), F.struct("score", -F.col("begin")))
         return scored.groupBy("id", "item_id").agg(best.alias("b")).select("id", "item_id", "b.*")
 
@@ -208,19 +209,23 @@ class Decontaminator:
 def score_pairs(threshold: float):
     def run(batches):
         for b in batches:
-            rows, starts = [], []
-            for words, item, lo, hi in zip(*(b.column(c).to_pylist() for c in ("words", "item_words", "lo", "hi"))):
+            rows, starts, whence = [], [], []
+            for k, (words, item, lo, hi) in enumerate(zip(*(b.column(c).to_pylist() for c in ("words", "item_words", "lo", "hi")))):
                 t, i = np.frombuffer(words, U64), np.frombuffer(item, U64)
                 slack = len(i) // 4 + 5
                 x, y = max(0, lo - slack), min(len(t), hi + len(i) + slack)
+                # a match needs a word of the item that is in the text: no score passes twice their number
+                if 2 * np.isin(i, t[x:y]).sum() / max(1, 2 * len(i)) < threshold:
+                    continue
                 rows.append((t[x:y], i))
                 starts.append(x)
+                whence.append(k)
             got = alignments(rows)
             share = got[:, 0] / np.array([max(1, 2 * len(i)) for _, i in rows]) if rows else np.zeros(0)
             keep = np.flatnonzero(share >= threshold)
-            at = np.array(starts, np.int64)[keep] + b.column("begin").to_numpy()[keep] if len(keep) else np.zeros(0, np.int64)
-            pick = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pick), b.column("item_id").take(pick), pa.array(share[keep]), pa.array(got[keep, 2] - got[keep, 1]), pa.array(at + got[keep, 1]), pa.array(at + got[keep, 2])], ["id", "item_id", "score", "matched", "begin", "end"])
+            at = np.array(starts, np.int64)[keep]
+            pick = pa.array(np.array(whence, np.int64)[keep])
+            yield pa.RecordBatch.from_arrays([b.column("passage").take(pick), b.column("item_id").take(pick), pa.array(share[keep]), pa.array(got[keep, 2] - got[keep, 1]), pa.array(at + got[keep, 1]), pa.array(at + got[keep, 2])], ["passage", "item_id", "score", "matched", "from", "to"])
 
     return run
 

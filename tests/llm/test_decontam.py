@@ -51,6 +51,24 @@ def test_edited_and_hot_copies(spark):
     assert {r.doc_id for r in Decontaminator().clean(docs, bench).collect()} == {k for k in range(300) if k % 3 == 2}
 
 
+def test_edited_copies_whose_seeds_are_all_frequent(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    item = [word() for _ in range(40)]
+    edited = item[:13] + [word()] + item[14:28] + [word()] + item[29:35] + [word()] + item[36:]
+    rows = []
+    for k in range(90):
+        own = [word() for _ in range(30)]
+        copy = item if k < 3 else edited if k < 60 else item[20:25]  # only a stock phrase of the item in the last
+        rows.append((k, " ".join(own[:15] + copy + own[15:])))
+    rows += [(k, rows[5][1]) for k in range(90, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.id: r for r in Decontaminator().find(docs, bench).collect()}
+    assert got.keys() == {*range(60), *range(90, 120)}
+    assert all(got[k][1:] == got[5][1:] for k in range(90, 120))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "same text here now same text here"), (None, "no id at all here"), (2, "")], "item_id long, text string")
     got = Decontaminator().find(odd_docs, bench).collect()
