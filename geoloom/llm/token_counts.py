@@ -5,17 +5,18 @@ distinct content digests are joined with the cache's entries of the tokenizer ve
 one row of each missing content is encoded and the counts are appended. Contents are compared by
 SHA-256 of the normalised text, so that copies are encoded once, in whatever task they lie.
 
-Digests travel through the shuffles; a text travels only where its digest is missing: whether
-it is missing is known from a join of digests.
+The texts are grouped by digest together with the cache's entries: of each text one copy travels a
+task, and only those whose group has no count are encoded. The groups are a property of the texts,
+not of the tasks that read them, so a lost executor or another split of the files changes nothing.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship, written
+from .common import fresh, scratch_path, ship, written
 from .tokens import PretokenIds, tokenizer_version
 
 ship(__name__)
@@ -43,9 +44,10 @@ class TokenCounts:
     def encode_misses(self, docs: DataFrame, text_col: str = "text") -> None:
         """Encodes each distinct text that the cache lacks once and appends the counts."""
         text = F.coalesce(F.col(text_col), F.lit(""))
-        rows = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("content"), F.monotonically_increasing_id().alias("row"))
-        first = rows.groupBy("content").agg(F.min("row").alias("row"))
-        missing = written(first.join(self.cached(), "content", "left_anti"), "token-misses")
+        rows = docs.select(F.unhex(F.sha2(text, 256)).alias("content"), text.alias("text"), F.lit(None).cast("long").alias("n_tokens"))
+        known = self.cached().select("content", F.lit(None).cast("string").alias("text"), "n_tokens")
+        whole = rows.unionByName(known).groupBy("content").agg(F.first("text", ignorenulls=True).alias("text"), F.max("n_tokens").alias("n_tokens"))
+        wanted = whole.where(F.col("n_tokens").isNull()).select("text", "content")
         path, pattern, version = self.path, self.pattern, bytes.fromhex(self.version)
 
         def encode(batches):
@@ -54,7 +56,6 @@ class TokenCounts:
                 n = [len(ids.ids(t)) // 4 for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"content": b.column(1), "tokenizer": pa.array([version] * len(n), pa.binary()), "n_tokens": pa.array(n, pa.int64())})
 
-        wanted = rows.join(missing.select("row").hint("merge"), "row", "left_semi").select("text", "content")
         wanted.mapInArrow(encode, SHAPE).write.mode("append").parquet(self.cache_path)
 
     def count(self, docs: DataFrame, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
@@ -64,8 +65,14 @@ class TokenCounts:
         while key in {c.lower() for c in docs.columns}:
             key += "_"
         keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-        counts = self.known().select(F.col("content").alias(key), F.col("n_tokens").alias(out_col))
-        return keyed.drop(out_col).join(counts, key, "left").drop(key)
+        n = fresh(keyed, "known_tokens")
+        counts = self.known().select(F.col("content").alias(key), F.col("n_tokens").alias(n))
+        return keyed.drop(out_col).join(counts, key, "left").withColumn(out_col, counted(n)).drop(key, n)
+
+
+def counted(n: str) -> Column:
+    """The count, or an error where a content has none."""
+    return F.when(F.col(n).isNull(), F.raise_error(F.lit("a content has no token count"))).otherwise(F.col(n)).cast("long")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +83,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache.encode_misses(docs)
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("content"))
-    return narrow.join(cache.known(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    got = narrow.join(cache.known(), "content", "left").withColumn("n_tokens", counted("n_tokens"))
+    return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))

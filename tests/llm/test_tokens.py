@@ -84,6 +84,22 @@ def test_only_misses_are_encoded(spark, tmp_path):
     assert again.count(b).count() == 4 and rows() == 3
 
 
+def test_counts_when_rows_come_in_another_order_each_time(spark):
+    def shuffled(batches):
+        for b in batches:
+            yield b.take(np.random.default_rng().permutation(b.num_rows))
+
+    docs = spark.createDataFrame([(k, f"text {k % 100}") for k in range(300)], "doc_id long, text string").coalesce(1).mapInArrow(shuffled, "doc_id long, text string")
+    got = TokenCounts(spark, PATH, P.PATTERN).count(docs).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {k: len(ids_of(f"text {k % 100}")) for k in range(300)}
+
+
+def test_a_content_without_count_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(TokenCounts, "encode_misses", lambda *args: None)
+    with pytest.raises(Exception, match="no token count"):
+        op10_token_counts(spark, SF).collect()
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     cache = TokenCounts(spark, PATH, P.PATTERN)
     got = cache.count(odd_docs).collect()
