@@ -1,35 +1,49 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The filter holds words and word pairs of the training texts. A count c is kept as a level
-q (the number of thresholds up to c), and an item of level q is put in q times, each time with
+The filter holds pairs of neighbouring classes of the training texts. A count c is kept as a level q
+(the number of thresholds up to c), and a pair of level q is put in q times, each time with
 another number; probing 1, 2, ... until the first miss gives the level back. Levels are lost
 in no case and raised seldom (by false positives).
 
+The model: the `head_words` most frequent words (up to a power of two as least count) and the end of
+a text are classes of their own, all other words are one class. With C the exact count of a class,
+P(b) = (C(b) + 1) / (tokens + classes) and J(a, b) the lower bound of the pair's level less one,
+
+    p(b after a) = (J + (mu + share * C(a)) * P(b)) / ((1 + share) * C(a) + mu + margin)
+
+and a word w of the common class also has its exact share (c(w) + 1) / (N' + V' + 1) of that
+class. Taking one off each J leaves slack for every successor of a, J never passes C(a) or C(b), and
+margin bounds the false positives of all classes together; so the sum over b stays at or below 1.
+
 How it runs on Spark:
-* words: per-task counters, one shuffle by word; pairs: per-task sorted (hash, count) runs,
-  one shuffle by hash range, each range then becomes a filter segment sized by its own items.
-* the filter is sent to the workers in one or more passes of at most `max_filter_bytes`; each
-  pass sends the segments of some hash ranges and adds up the logarithms of the pairs that fall
-  there, so a larger corpus needs more passes and not more memory.
-* exact counts of frequent words are broadcast (`head_words` at most); rarer words are joined.
+* words: per-task counters and one shuffle by word; head words' counts are broadcast (`head_words` rows).
+* one scan of the texts turns them into class numbers, which are written as a table (`encode`); pairs
+  are counted and scored from there, so texts are read and hashed once. Rarer words are joined by word.
+* pairs: per-task sorted (pair, count) runs, one shuffle by hash range; each range becomes a
+  segment of the filter, sized by its own items.
+* segments are laid one behind the other in files of about `max_filter_bytes`, which Spark hands to each
+  executor once; its workers read them through one memory map. A larger filter has several files:
+  each goes over the class numbers and adds the logarithms of its own pairs, so a larger corpus
+  needs more passes over a small table and not more memory. Scores don't depend on the number of files.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, held_out, mix, per_doc, separator_mask, ship, sum_by, utf8, word_spans, written
+from .common import U64, blocks, byte_table, held_out, mix, per_doc, scratch_path, separator_mask, ship, sum_by, utf8, word_spans, written
 
 ship(__name__)
 
 SEED = 11
-PAIR = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
+STEP = 0x9E3779B97F4A7C15
 
 
 def thresholds(growth: float = 1.5, most: int = 2**62) -> np.ndarray:
@@ -40,20 +54,11 @@ def thresholds(growth: float = 1.5, most: int = 2**62) -> np.ndarray:
     return np.array(out[:-1], np.int64)
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * U64(PAIR[0]) + b * U64(PAIR[1]))
-
-
-def chain(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's tokens between a start and an end mark, and where each text begins there."""
-    n = len(first) - 1
-    at = first + 2 * np.arange(n + 1)
-    out = np.empty(at[-1], U64)
-    inner = np.ones(at[-1], bool)
-    inner[at[:-1]] = inner[at[1:] - 1] = False
-    out[at[:-1]], out[at[1:] - 1] = START, END
-    out[inner] = hashes
-    return out, at
+def text_blocks(column: pa.Array, most: int = 1_000_000):
+    """(first row, texts as UTF-8) for blocks of a column, so that only one block exists twice."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for x, y in blocks(sizes.tolist(), most):
+        yield x, utf8(column.slice(x, y - x))
 
 
 def count_words(batches):
@@ -64,323 +69,380 @@ def count_words(batches):
         return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
     for batch in batches:
-        docs = utf8(batch.column(0))
-        counts.update({b"\n": len(docs)})  # the end mark; no word holds white space
-        for text in docs:
-            counts.update(text.lower().split())
-            if len(counts) > 250_000:
+        for _, docs in text_blocks(batch.column(0)):
+            counts.update({b"\n": len(docs)})  # the end mark; no word holds white space
+            for text in docs:
+                counts.update(text.lower().split())
+            if len(counts) > 150_000:
                 yield rows()
                 counts.clear()
     yield rows()
 
 
-def runs_by_segment(keys: np.ndarray, counts: np.ndarray, segments: int):
-    """One row for each segment: the sorted hashes and their counts as bytes."""
-    keys, counts = sum_by(keys, counts)
+def word_keys(words: list[bytes], table: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+    return word_spans(words, is_word, table)[3]
+
+
+class Classes:
+    """Class numbers of hashed words: 0 to n - 1 the head words in order of their hashes, then END, RARE and START."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_docs: int, n_tokens: int):
+        self.keys, self.n = keys, len(keys)
+        self.end, self.rare, self.start = self.n, self.n + 1, self.n + 2
+        self.counts = np.concatenate((counts, [n_docs, n_tokens - n_docs - int(counts.sum()), n_docs])).astype(np.int64)
+        self.unigram = (self.counts + 1) / (n_tokens + self.n + 2)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not self.n:
+            return np.full(len(hashes), self.rare, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), self.n - 1)
+        return np.where(self.keys[at] == hashes, at, self.rare).astype(np.int32)
+
+
+def rare_words(data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The words at these places as a list of (word, n) for each text."""
+    doc = np.searchsorted(first, at, "right") - 1
+    order = np.lexsort((hashes[at], doc))
+    at, doc = at[order], doc[order]
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (hashes[at[1:]] != hashes[at[:-1]])))) if len(at) else at
+    n = np.diff(np.append(new, len(at)))
+    words = [data[x:y].lower() for x, y in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
+    each = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(first))), pa.int32()), each)
+
+
+ENCODED = "uid long, id {}, train boolean, n_tokens long, head_known long, head_sum double, n_rare long, ids binary, tail array<struct<word:binary,n:long>>"
+
+
+def encoder(sent, table: np.ndarray, is_word: np.ndarray, bottom: float):
+    def run(batches):
+        classes = sent.value
+        logs = np.log10((classes.counts[: classes.end + 1] + 1) / bottom)
+        for batch in batches:
+            for x, docs in text_blocks(batch.column(3)):
+                data, starts, ends, hashes, first = word_spans(docs, is_word, table)
+                kinds, which = np.unique(hashes, return_inverse=True)
+                own = classes.of(kinds)[which]
+                in_head = own < classes.n
+                rare = np.flatnonzero(~in_head)
+                n_rare = per_doc((~in_head).astype(np.int64), first)
+                sums = per_doc(np.where(in_head, logs[np.minimum(own, classes.end)], 0.0), first) + logs[classes.end]
+                size = first[1:] - first[:-1]
+                cut = first.tolist()
+                part = batch.slice(x, len(docs))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        part.column(2),
+                        pa.array(size + 1, pa.int64()),
+                        pa.array(size - n_rare + (classes.counts[classes.end] > 0), pa.int64()),
+                        pa.array(sums),
+                        pa.array(n_rare, pa.int64()),
+                        pa.array([own[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                        rare_words(data, starts, ends, hashes, rare, first),
+                    ],
+                    ["uid", "id", "train", "n_tokens", "head_known", "head_sum", "n_rare", "ids", "tail"],
+                )
+
+    return run
+
+
+def neighbours(column: pa.Array, classes_start: int, classes_end: int, most: int = 1_000_000):
+    """(first row, pairs of neighbouring classes as a * 2**32 + b, where each text's pairs begin) for blocks of encoded texts."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    for x, y in blocks((sizes + 8).tolist(), most):
+        rows = column.slice(x, y - x).to_pylist()
+        ids = np.frombuffer(b"".join(rows), np.int32).astype(np.int64)
+        n = sizes[x:y] // 4
+        at = np.concatenate(([0], np.cumsum(n + 1)))  # a text of n words has n + 1 pairs
+        after = np.empty(at[-1], np.int64)
+        after[at[1:] - 1] = classes_end
+        inner = np.ones(at[-1], bool)
+        inner[at[1:] - 1] = False
+        after[inner] = ids
+        before = np.concatenate(([0], after[:-1]))
+        before[at[:-1]] = classes_start
+        yield x, (before << 32 | after).view(U64), at
+
+
+def segment_of(pairs: np.ndarray, segments: int) -> np.ndarray:
+    return ((mix(pairs * U64(STEP) + U64(1)) >> U64(32)) * U64(segments) >> U64(32)).astype(np.int64)
+
+
+def runs_by_segment(pairs: np.ndarray, segments: int):
+    """One row for each segment: the sorted pairs and their counts as bytes."""
+    keys, counts = np.unique(pairs, return_counts=True)
     seg = segment_of(keys, segments)
+    order = np.argsort(seg, kind="stable")
+    seg, keys, counts = seg[order], keys[order], counts[order]
     cut = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if len(seg) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(seg))
     small = counts.max(initial=0) < 256
     return pa.RecordBatch.from_pydict(
         {
             "seg": pa.array(seg[cut], pa.int32()),
-            "hashes": pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+            "pairs": pa.array([keys[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
             "counts": pa.array([counts[a:b].astype("<u1" if small else "<i8").tobytes() for a, b in zip(cut, ends)], pa.binary()),
         }
     )
 
 
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> U64(32)) * U64(segments) >> U64(32)).astype(np.int32)
-
-
-def count_pairs(segments: int, table: np.ndarray, is_word: np.ndarray, hold: int = 1_500_000):
+def count_pairs(segments: int, start: int, end: int, hold: int = 1_500_000):
     def run(batches):
-        kept: list[np.ndarray] = []
-        held = 0
+        kept, held = [], 0
         for batch in batches:
-            docs = utf8(batch.column(0))
-            step = max(1, 1_000_000 // max(1, sum(map(len, docs)) // max(1, len(docs)) + 1))
-            for i in range(0, len(docs), step):
-                *_, hashes, first = word_spans(docs[i : i + step], is_word, table)
-                tokens, at = chain(hashes, first)
-                inside = np.ones(len(tokens), bool)
-                inside[at[1:] - 1] = False
-                left = np.flatnonzero(inside)
-                kept.append(pair_hash(tokens[left], tokens[left + 1]))
-                held += len(left)
+            for _, pairs, _ in neighbours(batch.column(0), start, end):
+                kept.append(pairs)
+                held += len(pairs)
                 if held >= hold:
-                    keys = np.concatenate(kept)
-                    yield runs_by_segment(keys, np.ones(len(keys), np.int64), segments)
+                    yield runs_by_segment(np.concatenate(kept), segments)
                     kept, held = [], 0
         if held:
-            keys = np.concatenate(kept)
-            yield runs_by_segment(keys, np.ones(len(keys), np.int64), segments)
+            yield runs_by_segment(np.concatenate(kept), segments)
 
     return run
 
 
-def word_runs(segments: int, table: np.ndarray, is_word: np.ndarray):
-    """Counted words as runs by segment, like those of pairs."""
-
-    def run(batches):
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            counts = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
-            if not len(words):
-                continue
-            yield runs_by_segment(word_keys(words, table, is_word), counts, segments)
-
-    return run
-
-
-def word_keys(words: list[bytes], table: np.ndarray, is_word: np.ndarray) -> np.ndarray:
-    keys = np.empty(len(words), U64)
-    end = np.array([w == b"\n" for w in words], bool)
-    *_, hashes, _ = word_spans([w for w in words if w != b"\n"], is_word, table)
-    keys[~end], keys[end] = hashes, END
-    return keys
-
-
-def probe_positions(keys: np.ndarray, level: int, probes: int, base, size):
-    """Bit positions of an item at a level: double hashing inside its segment."""
-    a = mix(keys + U64(level * 0x9E3779B97F4A7C15 % 2**64))
+def places(pairs: np.ndarray, level: int, probe: int, base, size) -> np.ndarray:
+    """Bit positions of items at a level: double hashing inside their segments."""
+    a = mix(pairs + U64(level * STEP % 2**64))
     b = (a >> U64(32)) | U64(1)
-    for j in range(probes):
-        yield base + (((a + U64(j) * b) & U64(0xFFFFFFFF)) * size >> U64(32))
+    return base + (((a + U64(probe) * b) & U64(0xFFFFFFFF)) * size >> U64(32))
 
 
-def fill_segment(levels: np.ndarray, bits_per_item: int, probes: int):
+def fill_segment(levels: np.ndarray, probes: np.ndarray, bits_per_probe: float):
     """Merges a segment's runs and sets its bits."""
 
     def run(key, group):
         keys, counts = [], []
-        for h, c in zip(group.column("hashes").to_pylist(), group.column("counts").to_pylist()):
+        for h, c in zip(group.column("pairs").to_pylist(), group.column("counts").to_pylist()):
             k = np.frombuffer(h, U64)
             keys.append(k)
             counts.append(np.frombuffer(c, "<u1" if len(c) == len(k) else "<i8").astype(np.int64))
         k, c = sum_by(np.concatenate(keys), np.concatenate(counts))
         q = np.searchsorted(levels, c, "right")
-        items = int(q.sum())
-        size = max(64, -(-items * bits_per_item // 64) * 64)
+        set_ = int((np.bincount(q, minlength=len(levels) + 1)[::-1].cumsum()[::-1][1:] * probes).sum())
+        size = max(64, -(-int(set_ * bits_per_probe) // 64) * 64)
         bits = np.zeros(size, bool)
         for level in range(1, int(q.max(initial=0)) + 1):
-            for at in probe_positions(k[q >= level], level, probes, U64(0), U64(size)):
-                bits[at] = True
-        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), "n_bytes": pa.array([size // 8], pa.int64())})
+            own = k[q >= level]
+            for j in range(probes[level - 1]):
+                bits[places(own, level, j, U64(0), U64(size))] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed], pa.binary()), "n_bytes": pa.array([size // 8], pa.int64()), "n_set": pa.array([int(bits.sum())], pa.int64())})
 
     return run
 
 
 class Filter:
-    """Some segments of the filter in one array; probing gives levels."""
-
-    def __init__(self, segments: int, parts: list[tuple[int, bytes]], probes: int, levels: np.ndarray):
-        self.segments, self.probes, self.levels = segments, probes, levels
-        self.base = np.zeros(segments, U64)
-        self.size = np.zeros(segments, U64)
-        self.bits = np.zeros(max(8, sum(len(bits) for _, bits in parts)), np.uint8)
-        at = 0
-        for seg, bits in parts:
-            self.base[seg], self.size[seg] = at * 8, len(bits) * 8
-            self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
-            at += len(bits)
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each item, 0 for those not found or in segments that are not here."""
-        out = np.zeros(len(keys), np.int64)
-        seg = segment_of(keys, self.segments)
-        base, size = self.base[seg], self.size[seg]
-        live = np.flatnonzero(size > 0)
-        for q in range(1, len(self.levels) + 1):
-            for j in range(self.probes):
+    """Segments of the filter over one array of bytes; probing gives levels."""
+
+    def __init__(self, segments: int, place: list[tuple[int, int, int]], probes: np.ndarray, bits: np.ndarray):
+        """place: (segment, first byte, bytes) of the segments that are here."""
+        self.segments, self.probes, self.bits = segments, probes, bits
+        self.base, self.size = np.zeros(segments, U64), np.zeros(segments, U64)
+        for seg, at, n in place:
+            self.base[seg], self.size[seg] = at * 8, n * 8
+
+    def level(self, pairs: np.ndarray) -> np.ndarray:
+        """The level of each pair, 0 for those not found; pairs of segments that are not here count as not found."""
+        out = np.zeros(len(pairs), np.int64)
+        seg = segment_of(pairs, self.segments)
+        live = np.flatnonzero(self.size[seg] > 0)
+        for q, probes in enumerate(self.probes, 1):
+            k, base, size = pairs[live], self.base[seg[live]], self.size[seg[live]]
+            a = mix(k + U64(q * STEP % 2**64))
+            b = (a >> U64(32)) | U64(1)
+            for j in range(probes):
                 if not len(live):
                     return out
-                k = keys[live]
-                a = mix(k + U64(q * 0x9E3779B97F4A7C15 % 2**64))
-                b = (a >> U64(32)) | U64(1)
-                at = base[live] + (((a + U64(j) * b) & U64(0xFFFFFFFF)) * size[live] >> U64(32))
-                live = live[(self.bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) > 0]
+                at = base + (((a + U64(j) * b) & U64(0xFFFFFFFF)) * size >> U64(32))
+                hit = (self.bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) > 0
+                if not hit.all():
+                    live, a, b, base, size = live[hit], a[hit], b[hit], base[hit], size[hit]
             out[live] = q
         return out
 
 
-def _segments(rows: pa.Table) -> list[tuple[int, memoryview]]:
-    """Segments as views of the collected rows, so that the driver holds them once."""
-    return [(seg, memoryview(bits.as_buffer())) for seg, bits in zip(rows.column("seg").to_pylist(), rows.column("bits"))]
+def mapped(name: str | None) -> np.ndarray:
+    """A file that Spark handed to this machine; all its workers share the pages."""
+    from pyspark import SparkFiles
+
+    return np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r")) if name else np.zeros(1, np.uint8)
+
+
+class Model:
+    """The logarithm of p(b after a) from levels."""
+
+    def __init__(self, classes: Classes, levels: np.ndarray, mu: float, share: float, margin: float):
+        self.classes = classes
+        self.mu, self.share, self.margin = mu, share, margin
+        self.joint = np.concatenate(([0, 0], levels[1:] - 1)).astype(float)  # by level: its lower bound less one
+
+    def log10(self, pairs: np.ndarray, level: np.ndarray) -> np.ndarray:
+        counts = self.classes.counts
+        a, b = (pairs >> U64(32)).astype(np.int64), (pairs & U64(0xFFFFFFFF)).astype(np.int64)
+        context = counts[a].astype(float)
+        joint = np.minimum(self.joint[level], np.minimum(context, counts[b]))
+        return np.log10((joint + (self.mu + self.share * context) * self.classes.unigram[b]) / ((1 + self.share) * context + self.mu + self.margin))
 
 
 class LogFrequencyBloom:
     """A language model of words and pairs. Fit once, then score any frame of texts."""
 
-    def __init__(self, growth: float = 1.5, bits_per_item: int = 8, probes: int = 4, mu: float = 200.0, max_filter_bytes: int = 128 << 20, head_words: int = 300_000, ngrams_per_segment: int = 1_000_000):
+    def __init__(self, growth: float = 1.5, probes: int = 8, sure_probes: int = 24, sure_from: int = 32, bits_per_probe: float = 1.5, mu: float = 100.0, share: float = 0.5, max_filter_bytes: int = 256 << 20, head_words: int = 300_000, ngrams_per_segment: int = 1_000_000):
+        """probes: bits an item sets at a level; levels from the count sure_from on, where a raised level would weigh most, set sure_probes."""
         self.levels = thresholds(growth)
-        self.bits_per_item, self.probes, self.mu = bits_per_item, probes, mu
+        self.probes = np.where(self.levels < sure_from, probes, sure_probes)
+        self.bits_per_probe, self.mu, self.share = bits_per_probe, mu, share
         self.max_filter_bytes, self.head_words, self.ngrams_per_segment = max_filter_bytes, head_words, ngrams_per_segment
         self.table, self.is_word = byte_table(SEED), separator_mask()
 
     def fit(self, texts: DataFrame, text_col: str = "text") -> LogFrequencyBloom:
-        """Counts the texts' tokens and builds the filter's segments (both stay as tables in the shared folder)."""
-        text = texts.select(F.col(text_col).alias("text"))
-        counted = text.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        """Learns from all rows; a null text counts as empty, repeated rows count as often as they are there."""
+        self.fit_words(texts, text_col)
+        return self.fit_pairs(self.encode(texts.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text"))
+
+    def fit_words(self, texts: DataFrame, text_col: str = "text") -> LogFrequencyBloom:
+        """Counts the texts' tokens and settles the classes."""
+        counted = texts.select(F.col(text_col).alias("text")).mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         self.vocab = written(counted.where("n > 0"), "lm-words")
-        sums = self.vocab.groupBy(F.floor(F.log2("n")).alias("q")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # a row for each power of two
-        self.n_tokens = sum(r["n"] for r in sums)
-        self.n_types = sum(r["v"] for r in sums)
+        is_end = F.col("word") == F.lit(b"\n")
+        sums = self.vocab.groupBy(F.when(is_end, -1).otherwise(F.floor(F.log2("n"))).alias("q")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()  # a row for each power of two
+        self.n_tokens, self.n_types = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
+        self.n_docs = sum(r["n"] for r in sums if r["q"] == -1)
         fit, self.head_from = 0, 2**62
-        for r in sorted(sums, key=lambda r: -r["q"]):
+        for r in sorted((r for r in sums if r["q"] >= 0), key=lambda r: -r["q"]):
             fit += r["v"]
             if fit > self.head_words:
                 break
             self.head_from = 2 ** r["q"]
+        head = self.vocab.where((F.col("n") >= self.head_from) & ~is_end).toArrow()  # head_words rows at most
+        keys = word_keys(head.column("word").to_pylist(), self.table, self.is_word)
+        order = np.argsort(keys)
+        self.classes = Classes(keys[order], np.asarray(head.column("n").to_numpy(), np.int64)[order], self.n_docs, self.n_tokens)
+        self.sent_classes = texts.sparkSession.sparkContext.broadcast(self.classes)
+        return self
+
+    @property
+    def bottom(self) -> float:
+        return float(self.n_tokens + self.n_types + 1)
+
+    def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
+        """A written table of the rows' class numbers and rare words; train marks rows for fit_pairs (all, if not given)."""
+        kind = docs.schema[id_col].dataType.simpleString()
+        rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), (F.lit(True) if train is None else train).alias("train"), F.col(text_col).alias("text"))
+        return written(rows.mapInArrow(encoder(self.sent_classes, self.table, self.is_word, self.bottom), ENCODED.format(kind)), "lm-encoded")
+
+    def fit_pairs(self, encoded: DataFrame) -> LogFrequencyBloom:
+        """Builds the filter from the encoded rows that are marked for training."""
         self.segments = max(1, -(-self.n_tokens // self.ngrams_per_segment))
-        shape = "seg int, hashes binary, counts binary"
-        runs = text.mapInArrow(count_pairs(self.segments, self.table, self.is_word), shape).unionByName(self.vocab.mapInArrow(word_runs(self.segments, self.table, self.is_word), shape))
-        filled = runs.groupBy("seg").applyInArrow(fill_segment(self.levels, self.bits_per_item, self.probes), "seg int, bits binary, n_bytes long")
-        self.filter = written(filled, "lm-filter")
+        runs = encoded.where("train").select("ids").mapInArrow(count_pairs(self.segments, self.classes.start, self.classes.end), "seg int, pairs binary, counts binary")
+        filled = written(runs.groupBy("seg").applyInArrow(fill_segment(self.levels, self.probes, self.bits_per_probe), "seg int, bits binary, n_bytes long, n_set long"), "lm-filter")
+        whole = filled.agg(F.sum("n_bytes").alias("n"), F.sum("n_set").alias("ones")).collect()[0]
+        n_bytes = whole["n"] or 0
+        miss = ((whole["ones"] or 0) / (8 * n_bytes) if n_bytes else 0.0) ** int(self.probes[0])
+        false = (self.classes.n + 2) * miss**2  # classes that would look like successors of any one, with a J of at least 1
+        self.model = Model(self.classes, self.levels, self.mu, self.share, false + 6 * false**0.5 + 16)
+        self.files = self._lay_out(filled, min(self.segments, max(1, -(-n_bytes // self.max_filter_bytes))))
         return self
 
-    def passes(self) -> list[tuple[int, int]]:
-        """Ranges of segments that are sent together: each pass stays within max_filter_bytes."""
-        begins, held = [0], 0
-        for r in self.filter.select("seg", "n_bytes").orderBy("seg").collect():  # one small row for each million tokens
-            if held and held + r["n_bytes"] > self.max_filter_bytes:
-                begins.append(r["seg"])
-                held = 0
-            held += r["n_bytes"]
-        return list(zip(begins, [b - 1 for b in begins[1:]] + [self.segments - 1]))
+    def _lay_out(self, filled: DataFrame, n_files: int) -> list[tuple[str | None, list[tuple[int, int, int]]]]:
+        """Writes the segments into n_files files of nearly equal ranges of segments: (name, [(segment, first byte, bytes)]) of each; no name for a range without pairs."""
+        spark = filled.sparkSession
+        folder, segments = scratch_path(spark, "lm-files"), self.segments
 
-    def _sent(self, spark: SparkSession, first: int, last: int):
-        parts = self.filter.where(F.col("seg").between(first, last)).select("seg", "bits").toArrow()
-        return spark.sparkContext.broadcast(Filter(self.segments, _segments(parts), self.probes, self.levels))
+        def run(batches):
+            from pyarrow.fs import FileSystem
+
+            fs, root = FileSystem.from_uri(folder)
+            fs.create_dir(root, recursive=True)
+            out, at, last, name = None, 0, None, None
+            for b in batches:
+                rows = []
+                for part, seg, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    if part != last:
+                        if out:
+                            out.close()
+                        name, at, last = f"{uuid.uuid4().hex}.bits", 0, part
+                        out = fs.open_output_stream(f"{root}/{name}")
+                    data = bits.as_buffer()
+                    out.write(data)
+                    rows.append((part, name, seg, at, data.size))
+                    at += data.size
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["part", "name", "seg", "at", "n"])
+            if out:
+                out.close()
+
+        part = F.expr(f"cast(seg as bigint) * {n_files} div {segments}")
+        laid = filled.select(part.alias("part"), "seg", "bits").repartition(n_files, "part").sortWithinPartitions("part", "seg")
+        report = written(laid.mapInArrow(run, "part long, name string, seg int, at long, n long"), "lm-places")
+        files: list = [(None, [])] * n_files
+        for r in report.groupBy("part", "name").agg(F.collect_list(F.struct("seg", "at", "n")).alias("place")).collect():  # a few bytes for each segment
+            files[r["part"]] = (r["name"], [tuple(p) for p in r["place"]])
+            spark.sparkContext.addFile(f"{folder}/{r['name']}")
+        return files
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """id, n_tokens, n_known, train_tokens, base_score, score for each row; a null text counts as empty.
 
-        Repeated ids and texts are scored row by row. Other columns are left out."""
-        spark = docs.sparkSession
-        head = self.vocab.where(F.col("n") >= self.head_from).toArrow()  # head_words rows at most
-        keys = word_keys(head.column("word").to_pylist(), self.table, self.is_word)
-        order = np.argsort(keys)
-        counts = spark.sparkContext.broadcast((keys[order], np.asarray(head.column("n").to_numpy(), np.int64)[order]))
-        parts = self.passes()
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        words = None
-        if len(parts) > 1:
-            rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "lm-rows")
-            # a pair's words may lie in segments of other passes, so the passes first find the levels of words
-            words = self._word_levels(spark)
-        else:
-            rows = rows.withColumn("uid", F.monotonically_increasing_id())
-        whole = "uid long, id {}, n_tokens long, head_known long, head_sum double, score double, tail array<struct<word:binary,n:long>>".format(docs.schema[id_col].dataType.simpleString())
+        Repeated ids and texts are scored row by row. Other columns are left out, so their names can't clash."""
+        return self.score_encoded(self.encode(docs, id_col, text_col), id_col)
+
+    def score_encoded(self, encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        base = ["uid", "id", "n_tokens", "head_known", "head_sum", "n_rare"]
+        kind = encoded.schema["id"].dataType.simpleString()
+        shape = f"uid long, id {kind}, n_tokens long, head_known long, head_sum double, n_rare long, score double"
         scored = None
-        for k, part in enumerate(parts):
-            sent = self._sent(spark, *part)
-            one = rows.select("uid", "id", "text").mapInArrow(self._scorer(sent, counts, words, part, k == 0), whole)
+        for k in range(len(self.files)):
+            one = encoded.select(*base, "ids").mapInArrow(self._scorer(k), shape)
             scored = one if scored is None else scored.unionByName(one)
-        scored = written(scored, "lm-scores")
-        if len(parts) > 1:
-            scored = scored.groupBy("uid").agg(F.min("id").alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum("head_known").alias("head_known"), F.sum("head_sum").alias("head_sum"), F.sum("score").alias("score"), F.max("tail").alias("tail"))
-        bottom = float(self.n_tokens + self.n_types + 1)
-        tail = scored.where(F.size("tail") > 0).select("uid", F.explode("tail").alias("t")).select("uid", "t.word", F.col("t.n").alias("tf"))
+        if len(self.files) > 1:
+            scored = scored.groupBy("uid").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.max("head_known").alias("head_known"), F.max("head_sum").alias("head_sum"), F.max("n_rare").alias("n_rare"), F.sum("score").alias("score"))
+        tail = encoded.where(F.size("tail") > 0).select("uid", F.explode("tail").alias("t")).select("uid", "t.word", F.col("t.n").alias("tf"))
         rare = self.vocab.where(F.col("n") < self.head_from).select("word", F.col("n").alias("c"))
         c = F.coalesce("c", F.lit(0))
-        tail = tail.join(rare, "word", "left").groupBy("uid").agg(F.sum(F.col("tf") * F.log10((c + 1) / F.lit(bottom))).alias("tail_sum"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
-        zero = F.lit(0)
+        tail = tail.join(rare, "word", "left").groupBy("uid").agg(F.sum(F.col("tf") * F.log10((c + 1) / F.lit(self.bottom))).alias("tail_sum"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
+        n_rare, v_rare = int(self.classes.counts[self.classes.rare]), self.n_types - self.classes.n - (self.n_docs > 0)
+        shift = float(np.log10(self.bottom / (n_rare + v_rare + 1)))  # from the whole base to that of the rare words
+        none = F.lit(0.0)
         return scored.join(tail, "uid", "left").select(
             F.col("id").alias(id_col),
             "n_tokens",
-            (F.col("head_known") + F.coalesce("tail_known", zero)).alias("n_known"),
+            (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
             F.lit(self.n_tokens).cast("long").alias("train_tokens"),
-            (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0))).alias("base_score"),
-            "score",
+            (F.col("head_sum") + F.coalesce("tail_sum", none)).alias("base_score"),
+            (F.col("score") + F.coalesce("tail_sum", none) + F.col("n_rare") * shift).alias("score"),
         )
 
-    def _word_levels(self, spark: SparkSession):
-        """Filter segments rebuilt from words alone: small beside that of pairs, so that each pass has all words' levels."""
-        shape = "seg int, hashes binary, counts binary"
-        few = max(1, -(-self.n_types // self.ngrams_per_segment))
-        runs = self.vocab.mapInArrow(word_runs(few, self.table, self.is_word), shape)
-        bits = runs.groupBy("seg").applyInArrow(fill_segment(self.levels, self.bits_per_item, self.probes), "seg int, bits binary, n_bytes long").select("seg", "bits").toArrow()
-        return spark.sparkContext.broadcast(Filter(few, _segments(bits), self.probes, self.levels))
-
-    def _scorer(self, sent, counts, words, part: tuple[int, int], leading: bool):
-        levels, mu, bottom = self.levels, self.mu, float(self.n_tokens + self.n_types + 1)
-        table, is_word, segments, several = self.table, self.is_word, self.segments, words is not None
-        floor = np.concatenate(([0], levels)).astype(float)
-        ceiling = np.concatenate(([0], levels[1:] - 1, [levels[-1]])).astype(float)
+    def _scorer(self, k: int):
+        """Adds up the logarithms of the pairs whose segments are in the k-th file's range; a text's other pairs are left to the other files."""
+        sent, n_files = self.sent_classes, len(self.files)
+        (name, place), segments, probes = self.files[k], self.segments, self.probes
+        levels, mu, share, margin = self.levels, self.mu, self.share, self.model.margin
 
         def run(batches):
-            model = sent.value
-            lexicon = words.value if several else model
-            keys, n = counts.value
-            logs = np.log10((np.concatenate((n, [0])) + 1) / bottom)
+            own = Model(sent.value, levels, mu, share, margin)
+            filter_ = Filter(segments, place, probes, mapped(name))
             for batch in batches:
-                pa.default_memory_pool().release_unused()
-                texts = utf8(batch.column(2))
-                step = max(1, 1_000_000 // max(1, sum(map(len, texts)) // max(1, len(texts)) + 1))
-                for i in range(0, len(texts), step):
-                    docs = texts[i : i + step]
-                    data, starts, ends, hashes, first = word_spans(docs, is_word, table)
-                    tokens, at = chain(hashes, first)
-                    kinds, which = np.unique(tokens, return_inverse=True)
-                    q = lexicon.level(kinds)
-                    inside = np.ones(len(tokens), bool)
-                    inside[at[1:] - 1] = False
-                    left = np.flatnonzero(inside)
-                    pairs = pair_hash(tokens[left], tokens[left + 1])
-                    here = np.ones(len(left), bool)
-                    if several:
-                        seg = segment_of(pairs, segments)
-                        here = (seg >= part[0]) & (seg <= part[1])
-                    p = np.zeros(len(left))
-                    lv = model.level(pairs[here])
-                    a, b = which[left[here]], which[left[here] + 1]
-                    start = kinds[a] == START
-                    above = np.where(start, np.inf, ceiling[q[a]])
-                    joint = np.minimum(floor[lv], np.minimum(above, ceiling[q[b]]))
-                    context = np.where(start, ceiling[q[np.searchsorted(kinds, END)]] if len(kinds) else 0, above)
-                    p[here] = np.log10((joint + mu * (floor[q[b]] + 1) / bottom) / (context + mu))
-                    ends_at = np.searchsorted(left, at)
-                    score = per_doc(p, ends_at)
-                    if leading:
-                        found = np.searchsorted(keys, kinds)
-                        ok = (found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == kinds) if len(keys) else np.zeros(len(kinds), bool)
-                        slot = np.where(ok, found, len(keys))[which]
-                        real = np.ones(len(tokens), bool)
-                        real[at[:-1]] = False
-                        known = per_doc(((slot < len(keys)) & real).astype(np.int64), at)
-                        sums = per_doc(np.where((slot < len(keys)) & real, logs[slot], 0.0), at)
-                        real[at[1:] - 1] = False
-                        rare_words = slot[real] == len(keys)
-                        tail = rare_tail(data, starts, ends, rare_words, first)
-                        if not len(keys) or not ok[np.searchsorted(kinds, END)]:  # an end mark that is no frequent word
-                            tail = [[*t, {"word": b"\n", "n": 1}] for t in tail]
-                        size = first[1:] - first[:-1] + 1
-                    else:
-                        known, sums, tail, size = np.zeros(len(docs), np.int64), np.zeros(len(docs)), [None] * len(docs), np.zeros(len(docs), np.int64)
-                    part_of = batch.slice(i, len(docs))
-                    yield pa.RecordBatch.from_arrays(
-                        [part_of.column(0), part_of.column(1), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(score), pa.array(tail, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                        ["uid", "id", "n_tokens", "head_known", "head_sum", "score", "tail"],
-                    )
+                for x, pairs, at in neighbours(batch.column(6), own.classes.start, own.classes.end):
+                    kinds, which = np.unique(pairs, return_inverse=True)
+                    p = own.log10(kinds, filter_.level(kinds))
+                    if n_files > 1:
+                        p = np.where(segment_of(kinds, segments) * n_files // segments == k, p, 0.0)
+                    part = batch.slice(x, len(at) - 1)
+                    rest = [part.column(c) if k == 0 else pa.nulls(part.num_rows, part.column(c).type) for c in range(1, 6)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *rest, pa.array(per_doc(p[which], at))], ["uid", "id", "n_tokens", "head_known", "head_sum", "n_rare", "score"])
 
         return run
 
 
-def rare_tail(data: bytes, starts, ends, rare: np.ndarray, first: np.ndarray) -> list[list[dict]]:
-    """Each text's words that are not among the frequent ones, with their counts."""
-    at = np.flatnonzero(rare)
-    cut = np.searchsorted(at, first)
-    s, e = starts[at].tolist(), ends[at].tolist()
-    out = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        out.append([{"word": w, "n": n} for w, n in Counter(data[x:y].lower() for x, y in zip(s[a:b], e[a:b])).items()])
-    return out
-
-
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = LogFrequencyBloom().fit(docs.where(~held_out("doc_id", 7, 2)))
-    scored = model.score(docs)
-    return scored.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    left = held_out("doc_id", 7, 2)
+    model = LogFrequencyBloom().fit_words(docs.where(~left))
+    encoded = model.encode(docs, train=~left)
+    scored = model.fit_pairs(encoded).score_encoded(encoded)
+    return scored.select("doc_id", left.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -3,9 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm.lm_score import LogFrequencyBloom, op1_lm_score, thresholds
+from geoloom.llm.lm_score import Filter, LogFrequencyBloom, mapped, op1_lm_score, thresholds
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,27 +42,85 @@ def test_query_against_brute_force(spark):
     assert sum(r.score for r in got if r.held_out) > 1.02 * sum(r.base_score for r in got if r.held_out)
 
 
-def test_rare_words_joined_and_several_passes_agree(spark):
+def scores_by_hand(docs, train, growth=1.5, mu=100.0, share=0.5, margin=0.0, head_from=0):
+    """The model's formula over exact dictionaries."""
+    words, pairs = Counter(), Counter()
+    for _, x in train:
+        tk = tokens(x)
+        words.update(tk)
+        pairs.update(zip(["<s>", *tk], tk))
+    head = {w for w, c in words.items() if w != "\n" and c >= head_from}
+    name = lambda t: t if t in head or t in ("\n", "<s>") else "<rare>"
+    n, n_rare = sum(words.values()), sum(c for w, c in words.items() if name(w) == "<rare>")
+    v_rare = sum(name(w) == "<rare>" for w in words)
+    classes = Counter({"<s>": len(train), "\n": len(train), "<rare>": n_rare}) + Counter({w: words[w] for w in head})
+    joint = Counter()
+    for (a, b), c in pairs.items():
+        joint[name(a), name(b)] += c
+    levels = thresholds(growth)
+
+    def p(a, b):
+        q = int(np.searchsorted(levels, joint[a, b], "right"))
+        j = min(int(levels[q - 1]) - 1 if q else 0, classes[a], classes[b])
+        return (j + (mu + share * classes[a]) * (classes[b] + 1) / (n + len(head) + 2)) / ((1 + share) * classes[a] + mu + margin)
+
+    out = {}
+    for i, x in docs:
+        tk = tokens(x)
+        kinds = [name(t) for t in tk]
+        out[i] = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *kinds], kinds)) + sum(math.log10((words[t] + 1) / (n_rare + v_rare + 1)) for t, k in zip(tk, kinds) if k == "<rare>")
+    return out
+
+
+@pytest.mark.parametrize("more", [{}, {"head_words": 400}, {"head_words": 400, "ngrams_per_segment": 5000, "max_filter_bytes": 50_000}])
+def test_score_against_brute_force_with_one_file_and_with_several(spark, more):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = [(r.doc_id, r.text) for r in rows.collect()]
+    m = LogFrequencyBloom(probes=20, sure_probes=24, bits_per_probe=4.0, **more).fit(rows)  # next to no false positives
+    assert (len(m.files) > 1) == ("max_filter_bytes" in more)
+    want = scores_by_hand(docs, docs, margin=m.model.margin, head_from=m.head_from)
+    for r in m.score(rows).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9)
+
+
+def test_query_scores_differ_from_exact_levels_by_false_positives_only(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    train = [(i, x) for i, x in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r.score for r in op1_lm_score(spark, SF).collect()}
+    want = scores_by_hand(docs, train, margin=16.0)
+    assert all(want[i] * 1.01 < got[i] < want[i] * 0.97 + 1e-9 for i in want)
+
+
+def test_number_of_files_does_not_change_scores(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    whole = {r.doc_id: r for r in LogFrequencyBloom().fit(docs).score(docs).collect()}
-    cut = {r.doc_id: r for r in LogFrequencyBloom(head_words=50, ngrams_per_segment=5000, max_filter_bytes=20_000).fit(docs).score(docs).collect()}
-    assert whole.keys() == cut.keys()
-    for i, a in whole.items():
-        b = cut[i]
-        assert (a.n_tokens, a.n_known) == (b.n_tokens, b.n_known)
-        assert math.isclose(a.base_score, b.base_score, rel_tol=1e-9)
-        assert math.isclose(a.score, b.score, rel_tol=0.05)
+    one = LogFrequencyBloom(head_words=50, ngrams_per_segment=5000).fit(docs)
+    more = LogFrequencyBloom(head_words=50, ngrams_per_segment=5000, max_filter_bytes=4_000).fit(docs)
+    assert len(one.files) == 1 and len(more.files) > 2
+    a, b = ({r.doc_id: r for r in m.score(docs).collect()} for m in (one, more))
+    assert a.keys() == b.keys()
+    for i in a:
+        assert (a[i].n_tokens, a[i].n_known) == (b[i].n_tokens, b[i].n_known)
+        assert math.isclose(a[i].base_score, b[i].base_score, rel_tol=1e-12) and math.isclose(a[i].score, b[i].score, rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("head_words", [300_000, 400])
+def test_probabilities_after_any_class_sum_to_one_at_most(spark, head_words):
+    m = LogFrequencyBloom(head_words=head_words).fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    k, filter_ = m.classes, Filter(m.segments, m.files[0][1], m.probes, mapped(m.files[0][0]))
+    contexts = np.concatenate((np.argsort(-k.counts[: k.n])[:100], np.arange(0, k.n, max(1, k.n // 200)), [k.rare, k.start]))
+    for a in contexts.astype(np.uint64):
+        pairs = (a << np.uint64(32)) | np.arange(k.n + 2).astype(np.uint64)
+        assert 0.4 < (10.0 ** m.model.log10(pairs, filter_.level(pairs))).sum() <= 1
 
 
 def test_levels_are_never_lost(spark):
     docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}") for i in range(100)], "doc_id long, text string")
     m = LogFrequencyBloom().fit(docs)
-    sent = m._sent(spark, 0, m.segments - 1).value
-    from geoloom.llm.lm_score import word_keys
-
-    words = m.vocab.collect()
-    got = sent.level(word_keys([bytes(r.word) for r in words], m.table, m.is_word))
-    want = np.searchsorted(thresholds(1.5), [r.n for r in words], "right")
+    rows = [np.frombuffer(r.ids, np.int32) for r in m.encode(docs).collect()]
+    counts = Counter((int(a), int(b)) for ids in rows for a, b in zip([m.classes.start, *ids], [*ids, m.classes.end]))
+    pairs = np.array([a << 32 | b for a, b in counts], np.uint64)
+    got = Filter(m.segments, m.files[0][1], m.probes, mapped(m.files[0][0])).level(pairs)
+    want = np.searchsorted(thresholds(1.5), list(counts.values()), "right")
     assert (got >= want).all() and (got == want).mean() > 0.8
 
 
