@@ -94,7 +94,7 @@ def test_query_scores_differ_from_exact_levels_by_false_positives_only(spark):
 def test_number_of_files_does_not_change_scores(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     one = LogFrequencyBloom(head_words=50, ngrams_per_segment=5000).fit(docs)
-    more = LogFrequencyBloom(head_words=50, ngrams_per_segment=5000, max_filter_bytes=4_000).fit(docs)
+    more = LogFrequencyBloom(head_words=50, ngrams_per_segment=5000, max_filter_bytes=1_500).fit(docs)
     assert len(one.files) == 1 and len(more.files) > 2
     a, b = ({r.doc_id: r for r in m.score(docs).collect()} for m in (one, more))
     assert a.keys() == b.keys()
