@@ -30,8 +30,9 @@ v AS (SELECT pid, m + 1 - k AS idx, CAST(k AS DOUBLE) AS x, q AS y FROM roof WHE
   UNION ALL SELECT pid, 0, 0.0, -1.0 FROM roof WHERE m >= 2 AND k = 0
   UNION ALL SELECT pid, 1, CAST(m - 1 AS DOUBLE), -1.0 FROM roof WHERE m >= 2 AND k = 0),
 r AS (SELECT *, count(*) OVER (PARTITION BY pid) AS n, row_number() OVER (PARTITION BY pid ORDER BY y, x, idx) AS rk FROM v),
-ring AS (SELECT a.pid, a.idx, a.x, a.y, a.n, a.rk, p.idx AS prev_idx, p.x AS prev_x, p.y AS prev_y, p.rk AS prev_rk, b.idx AS next_idx, b.x AS next_x, b.y AS next_y, b.rk AS next_rk
-  FROM r a JOIN r b ON b.pid = a.pid AND b.idx = (a.idx + 1) % a.n JOIN r p ON p.pid = a.pid AND p.idx = (a.idx + a.n - 1) % a.n)"""
+ring AS (SELECT pid, idx, x, y, n, rk, coalesce(lag(idx) OVER w, n - 1) AS prev_idx, coalesce(lag(x) OVER w, last_value(x) OVER f) AS prev_x, coalesce(lag(y) OVER w, last_value(y) OVER f) AS prev_y, coalesce(lag(rk) OVER w, last_value(rk) OVER f) AS prev_rk,
+  coalesce(lead(idx) OVER w, 0) AS next_idx, coalesce(lead(x) OVER w, first_value(x) OVER f) AS next_x, coalesce(lead(y) OVER w, first_value(y) OVER f) AS next_y, coalesce(lead(rk) OVER w, first_value(rk) OVER f) AS next_rk
+  FROM r WINDOW w AS (PARTITION BY pid ORDER BY idx), f AS (PARTITION BY pid ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 
 
 WIDTH = 20

@@ -105,9 +105,9 @@ def _c3(s, d):
 # Visibility
 
 _SHOT = """, e AS (SELECT pid, idx AS e, x AS ax, y AS ay, next_x AS bx, next_y AS by_, least(rk, next_rk) AS lo, greatest(rk, next_rk) AS hi FROM ring),
-pairs AS (SELECT a.pid, a.idx, a.x, e.e, e.ax + (a.y - e.ay) * ((e.bx - e.ax) / (e.by_ - e.ay)) AS xi, (e.bx - e.ax) / (e.by_ - e.ay) AS slope FROM ring a JOIN e ON a.pid = e.pid AND e.lo < a.rk AND a.rk < e.hi),
-ranked AS (SELECT *, CASE WHEN xi <= x THEN row_number() OVER (PARTITION BY pid, idx, xi <= x ORDER BY xi DESC, slope DESC) END AS nl, CASE WHEN xi >= x THEN row_number() OVER (PARTITION BY pid, idx, xi >= x ORDER BY xi, slope DESC) END AS nr FROM pairs),
-shot AS (SELECT ring.*, l.e AS hl, l.xi AS hl_x, t.e AS hr, t.xi AS hr_x FROM ring LEFT JOIN (SELECT * FROM ranked WHERE nl = 1) l ON l.pid = ring.pid AND l.idx = ring.idx LEFT JOIN (SELECT * FROM ranked WHERE nr = 1) t ON t.pid = ring.pid AND t.idx = ring.idx) """
+pairs AS MATERIALIZED (SELECT a.pid, a.idx, a.x, e.e, e.ax + (a.y - e.ay) * ((e.bx - e.ax) / (e.by_ - e.ay)) AS xi, (e.bx - e.ax) / (e.by_ - e.ay) AS slope FROM ring a JOIN e ON a.pid = e.pid AND e.lo < a.rk AND a.rk < e.hi),
+ranked AS MATERIALIZED (SELECT *, CASE WHEN xi <= x THEN row_number() OVER (PARTITION BY pid, idx, xi <= x ORDER BY xi DESC, slope DESC) END AS nl, CASE WHEN xi >= x THEN row_number() OVER (PARTITION BY pid, idx, xi >= x ORDER BY xi, slope DESC) END AS nr FROM pairs),
+shot AS MATERIALIZED (SELECT ring.*, l.e AS hl, l.xi AS hl_x, t.e AS hr, t.xi AS hr_x FROM ring LEFT JOIN (SELECT * FROM ranked WHERE nl = 1) l ON l.pid = ring.pid AND l.idx = ring.idx LEFT JOIN (SELECT * FROM ranked WHERE nr = 1) t ON t.pid = ring.pid AND t.idx = ring.idx) """
 query("r1_ray_shoot", _poly(_SHOT + "SELECT pid, idx, hl, hl_x, hr, hr_x FROM shot"))(lambda s, d: visibility.ray_shoot(skylines(s, d)).select("pid", "idx", "hl", "hl_x", "hr", "hr_x"))
 query("r1_ray_shoot_dyadic", _poly(_SHOT + "SELECT pid, idx, hl, hl_x, hr, hr_x FROM shot"))(lambda s, d: visibility.ray_shoot(skylines(s, d), small=0).select("pid", "idx", "hl", "hl_x", "hr", "hr_x"))
 _FREE = """, e AS (SELECT pid, idx AS e, x AS ax, y AS ay, next_x AS bx, next_y AS by_ FROM ring), rays AS ({rays}),
@@ -215,9 +215,9 @@ query("q4_check_count", _poly(_FAN + _N + "SELECT pid, n, count(*) AS triangles
 query("q9_check_area", _poly(", f AS (SELECT a.pid, abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS t FROM ring b JOIN v a ON a.pid = b.pid AND a.idx = 0 JOIN v c ON c.pid = b.pid AND c.idx = b.idx + 1 WHERE b.idx BETWEEN 1 AND b.n - 2) SELECT r2.pid, area2, triangles2 FROM (SELECT pid, sum(x * next_y - next_x * y) AS area2 FROM ring GROUP BY pid) r2 JOIN (SELECT pid, sum(t) AS triangles2 FROM f GROUP BY pid) USING (pid)"))(lambda s, d: quality.check_area(triangulation.ring_fan(v := skylines(s, d)), v))
 
 
-@query("q10_check_simple", _poly(""", w AS (SELECT pid, CASE idx WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE idx END AS idx, x, y, n FROM ring), e AS (SELECT a.pid, a.idx AS e, a.x, a.y, b.x AS u, b.y AS z FROM w a JOIN w b ON a.pid = b.pid AND b.idx = (a.idx + 1) % a.n)
-SELECT a.pid, a.e, b.e AS other FROM e a JOIN e b ON a.pid = b.pid AND a.e < b.e
-WHERE sign((a.u - a.x) * (b.y - a.y) - (a.z - a.y) * (b.x - a.x)) * sign((a.u - a.x) * (b.z - a.y) - (a.z - a.y) * (b.u - a.x)) < 0 AND sign((b.u - b.x) * (a.y - b.y) - (b.z - b.y) * (a.x - b.x)) * sign((b.u - b.x) * (a.z - b.y) - (b.z - b.y) * (a.u - b.x)) < 0"""))
+@query("q10_check_simple", _poly(""", w AS MATERIALIZED (SELECT pid, CASE idx WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE idx END AS idx, x, y, n FROM ring), e AS MATERIALIZED (SELECT a.pid, a.idx AS e, a.x, a.y, b.x AS u, b.y AS z FROM w a JOIN w b ON a.pid = b.pid AND b.idx = (a.idx + 1) % a.n),
+crossing AS MATERIALIZED (SELECT a.pid, a.e, b.e AS other FROM e a JOIN e b ON a.pid = b.pid AND a.e < b.e
+WHERE sign((a.u - a.x) * (b.y - a.y) - (a.z - a.y) * (b.x - a.x)) * sign((a.u - a.x) * (b.z - a.y) - (a.z - a.y) * (b.u - a.x)) < 0 AND sign((b.u - b.x) * (a.y - b.y) - (b.z - b.y) * (a.x - b.x)) * sign((b.u - b.x) * (a.z - b.y) - (b.z - b.y) * (a.u - b.x)) < 0) SELECT * FROM crossing"""))
 def _q10(s, d):
     v = skylines(s, d)
     return quality.check_simple(v.withColumn("idx", F.when(F.col("idx") == 2, 3).when(F.col("idx") == 3, 2).otherwise(F.col("idx"))))
