@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
-_OWN_DIR: dict[str, str] = {}
 U64 = np.uint64
 
 
@@ -29,14 +27,11 @@ ship(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it nothing can be written that all would see."""
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="geoloom-")
-    return _OWN_DIR[app]
+    if not there:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return there.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -59,6 +54,52 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+class Bitmap:
+    """A set of 64-bit keys that may hold a few more than were put in; two bits for each."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return keys & U64(bits - 1), (keys >> U64(32)) & U64(bits - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        one, two = self.places(keys, len(self.bits) * 8)
+        hit = (self.bits[one >> U64(3)] >> (one & U64(7)).astype(np.uint8)) & 1 > 0
+        at = np.flatnonzero(hit)
+        two = two[at]
+        hit[at] = (self.bits[two >> U64(3)] >> (two & U64(7)).astype(np.uint8)) & 1 > 0
+        return hit
+
+
+def digest_keys(digests: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each digest as a number."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<u8")
+
+
+def sent_bitmap(keys: DataFrame, bits: int = 1 << 26):
+    """A broadcast Bitmap of a frame's only column, signed 64-bit numbers: bits / 8 bytes in all, whatever the number of keys. Put together by segments on Spark."""
+    assert bits & (bits - 1) == 0 and bits <= 1 << 32
+    part = min(bits, 1 << 16)
+
+    def places(batches):
+        for b in batches:
+            at = np.unique(np.concatenate(Bitmap.places(b.column(0).to_numpy().view(U64), bits))).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"seg": pa.array(at // part, pa.int32()), "bit": pa.array(at % part, pa.int32())})
+
+    def segment(key, group):
+        own = np.zeros(part, bool)
+        own[group.column("bit").to_numpy()] = True
+        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    rows = keys.mapInArrow(places, "seg int, bit int").distinct().groupBy("seg").applyInArrow(segment, "seg int, bits binary").toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for seg, data in zip(rows.column("seg").to_pylist(), rows.column("bits").to_pylist()):
+        out[seg * part // 8 : (seg + 1) * part // 8] = np.frombuffer(data, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(Bitmap(out))
+
+
 def one_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

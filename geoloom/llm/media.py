@@ -4,16 +4,19 @@ A payload is cut where a rolling gear hash of its last bytes has `mask_bits` zer
 stretches are cut alike wherever they lie. Chunk digests meet in a Spark aggregation that tells
 which occur more than once; a bitmap of fixed size of those goes to the tasks. The store is two tables:
 
-* `lists`: for each payload its ordered chunk digests, with the bytes of the chunks that nobody shares;
+* `lists`: for each payload its length, its SHA-256, its recipe (an entry of digest, size and a mark for
+  shared chunks, in order) and, in one piece, the bytes of the chunks that nobody shares;
 * `chunks`: digest and bytes of the shared chunks, one row for each (deduplicated by a join key, the digest).
 
-Reading back fetches shared chunks by a join on digests; payloads without any are put together
-where they lie. Every chunk's digest and each payload's length is checked.
+Reading back fetches shared chunks by left joins on digests; payloads without any are put together
+where they lie. Every chunk's digest, and each payload's length and SHA-256, are checked: a chunk that is
+missing or altered, or a list out of order, is an error and never a missing row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections import Counter
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship
+from .common import Bitmap, digest_keys, scratch_path, sent_bitmap, ship
 
 ship(__name__)
 
@@ -87,58 +90,51 @@ def chunk_digests(mask_bits: int):
     return run
 
 
-SHAPE = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
+ENTRY, ENTRY_BYTES = "<32sIB", 37
+STORED = pa.schema([("row", pa.int64()), ("id", pa.null()), ("n_bytes", pa.int64()), ("sha256", pa.binary()), ("recipe", pa.binary()), ("own", pa.binary()), ("far", pa.list_(pa.binary())), ("digest", pa.binary()), ("bytes", pa.binary())])
 
 
-def bitmap_places(digests: list[bytes], bits: int) -> np.ndarray:
-    return (np.frombuffer(b"".join(d[:8] for d in digests), "<u8") & np.uint64(bits - 1)).astype(np.int64)
-
-
-def is_shared(sent, digests: list[bytes]) -> np.ndarray:
-    at = bitmap_places(digests, len(sent.value) * 8)
-    return (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
-def in_place(mask_bits: int, sent):
-    """Each payload's ordered chunks, without the bytes of those that may be shared."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            data = payload_of(text)
-            ends = cuts(data, mask_bits)
-            pieces = [data[a:z] for a, z in zip([0, *ends], ends)]
-            digests = [hashlib.sha256(x).digest() for x in pieces]
-            out.append([{"digest": d, "bytes": None if far else x} for d, x, far in zip(digests, pieces, is_shared(sent, digests))])
-        return pa.array(out, SHAPE)
-
-    return F.arrow_udf(run, "array<struct<digest:binary,bytes:binary>>")
-
-
-def shared_pieces(mask_bits: int, sent, hold: int = 8 << 20):
-    """(digest, bytes) of chunks that may be shared, not twice in a row from one task."""
+def store_rows(mask_bits: int, sent, hold: int = 4 << 20):
+    """List rows, and rows of chunks that may be shared (digest and bytes; not twice in a row from one task)."""
 
     def run(batches):
         kept: dict[bytes, bytes] = {}
         size = 0
+        shared: Bitmap = sent.value
 
-        def flush():
-            return pa.RecordBatch.from_pydict({"digest": pa.array(list(kept), pa.binary()), "bytes": pa.array(list(kept.values()), pa.binary())})
+        def table(lists: list[tuple], ids: pa.Array, chunks: dict[bytes, bytes]):
+            n, m = len(lists), len(chunks)
+            columns = [pa.concat_arrays([ids, pa.nulls(m, ids.type)])] if n else [pa.nulls(m, ids.type)]
+            rest = [pa.array([*(x[k] for x in lists), *[None] * m], STORED.field(c).type) for k, c in enumerate(("row", "n_bytes", "sha256", "recipe", "own", "far"))]
+            tail = [pa.array([*[None] * n, *c], pa.binary()) for c in (chunks.keys(), chunks.values())]
+            return pa.RecordBatch.from_arrays([rest[0], *columns, *rest[1:], *tail], STORED.names)
 
+        ids = None
         for b in batches:
-            for text in b.column(0).to_pylist():
-                data = payload_of(text)
-                ends = cuts(data, mask_bits)
-                pieces = [data[a:z] for a, z in zip([0, *ends], ends)]
-                digests = [hashlib.sha256(x).digest() for x in pieces]
-                for d, x, far in zip(digests, pieces, is_shared(sent, digests)):
-                    if far and d not in kept:
-                        kept[d] = x
-                        size += len(x)
+            ids = b.column(1)
+            for x in range(0, b.num_rows, 500):
+                part = b.slice(x, 500)
+                lists = []
+                for row, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                    data = payload_of(text)
+                    ends = cuts(data, mask_bits)
+                    pieces = [data[a:z] for a, z in zip([0, *ends], ends)]
+                    digests = [hashlib.sha256(c).digest() for c in pieces]
+                    far = shared.has(digest_keys(digests)).tolist()
+                    for d, c, away in zip(digests, pieces, far):
+                        if away and d not in kept:
+                            kept[d] = c
+                            size += len(c)
+                    recipe = b"".join(struct.pack(ENTRY, d, len(c), away) for d, c, away in zip(digests, pieces, far))
+                    own = b"".join(c for c, away in zip(pieces, far) if not away)
+                    lists.append((row, len((text or "").encode()), hashlib.sha256(data).digest(), recipe, own, list({d for d, away in zip(digests, far) if away})))
                 if size > hold:
-                    yield flush()
+                    yield table(lists, part.column(1), kept)
                     kept, size = {}, 0
-        yield flush()
+                else:
+                    yield table(lists, part.column(1), {})
+        if kept:
+            yield table([], ids, kept)
 
     return run
 
@@ -147,65 +143,65 @@ class ChunkStore:
     def __init__(self, spark: SparkSession, folder: str, mask_bits: int = 10, bitmap_bits: int = 1 << 26):
         self.spark, self.folder, self.mask_bits, self.bitmap_bits = spark, folder, mask_bits, bitmap_bits
 
-    def _bitmap(self, often: DataFrame):
-        """bitmap_bits / 8 bytes, whatever the number of digests."""
-        bits, part = self.bitmap_bits, 1 << 16
+    def write(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """Stores every row's payload (a null text's is empty); repeated rows share their chunks. Other columns are left out."""
+        bits, kind = self.mask_bits, docs.schema[id_col].dataType.simpleString()
+        text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        each = text.select("text").mapInArrow(chunk_digests(bits), "digest binary, n long")
+        often = each.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
 
-        def places(batches):
+        def keys(batches):
             for b in batches:
-                digests = b.column(0).to_pylist()
-                at = np.unique(bitmap_places(digests, bits)) if digests else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_pydict({"seg": pa.array(at // part, pa.int32()), "bit": pa.array(at % part, pa.int32())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(digest_keys(b.column(0).to_pylist()).view(np.int64))})
 
-        def segment(key, group):
-            own = np.zeros(part, bool)
-            own[group.column("bit").to_numpy()] = True
-            return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+        sent = sent_bitmap(often.mapInArrow(keys, "key long"), self.bitmap_bits)
+        shape = f"row long, id {kind}, n_bytes long, sha256 binary, recipe binary, own binary, far array<binary>, digest binary, bytes binary"
+        text.mapInArrow(store_rows(bits, sent), shape).withColumn("part", F.when(F.col("digest").isNull(), "lists").otherwise("pieces")).write.partitionBy("part").option("compression", "zstd").parquet(f"{self.folder}/store")
+        self.shape = shape
+        pieces = self._part("pieces").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+        pieces.write.option("compression", "zstd").parquet(f"{self.folder}/chunks")
 
-        rows = often.mapInArrow(places, "seg int, bit int").distinct().groupBy("seg").applyInArrow(segment, "seg int, bits binary").toArrow()
-        out = np.zeros(bits // 8, np.uint8)
-        for seg, data in zip(rows.column("seg").to_pylist(), rows.column("bits").to_pylist()):
-            out[seg * part // 8 : (seg + 1) * part // 8] = np.frombuffer(data, np.uint8)
-        return self.spark.sparkContext.broadcast(out)
+    def _part(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.shape}, part string").parquet(f"{self.folder}/store").where(F.col("part") == name)
 
-    def write(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Stores every row's payload; repeated rows share their chunks."""
-        bits = self.mask_bits
-        text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        each = text.select("text").mapInArrow(chunk_digests(bits), "digest binary, n long")
-        often = each.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
-        sent = self._bitmap(often)
-        stored = text.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), in_place(bits, sent)(F.col("text")).alias("chunks"))
-        stored.write.option("compression", "zstd").parquet(f"{self.folder}/lists")
-        pieces = text.select("text").mapInArrow(shared_pieces(bits, sent), "digest binary, bytes binary")
-        pieces.groupBy("digest").agg(F.first("bytes").alias("bytes")).write.option("compression", "zstd").parquet(f"{self.folder}/chunks")
+    def lists(self) -> DataFrame:
+        return self._part("lists").select("row", "id", "n_bytes", "sha256", "recipe", "own", "far")
+
+    def chunks(self) -> DataFrame:
+        return self.spark.read.schema("digest binary, bytes binary").parquet(f"{self.folder}/chunks")
 
     def read(self) -> DataFrame:
-        """(id, n_bytes, payload): payloads put together from the stored bytes; a missing or altered chunk is an error."""
-        lists = self.spark.read.parquet(f"{self.folder}/lists")
-        chunks = self.spark.read.parquet(f"{self.folder}/chunks")
-        away = lambda c: c.getField("bytes").isNull()
-        whole = lists.where(~F.exists("chunks", away)).withColumn("more", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>"))
-        part = lists.where(F.exists("chunks", away))
-        wanted = part.select("row", F.explode(F.array_distinct(F.transform(F.filter("chunks", away), lambda c: c.getField("digest")))).alias("digest"))
-        fetched = wanted.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("digest", "bytes")).alias("more"))
-        rows = whole.unionByName(part.join(fetched, "row"))
-        return rows.select("id", "n_bytes", assemble()(F.col("chunks"), F.col("more")).alias("payload"))
+        """(id, n_bytes, recipe, payload): payloads put together from the stored bytes; whatever differs from what was stored is an error."""
+        lists = self.lists()
+        whole = lists.where(F.size("far") == 0).withColumn("more", F.lit(None).cast("array<struct<digest:binary,bytes:binary>>"))
+        part = lists.where(F.size("far") > 0)
+        wanted = part.select("row", F.explode("far").alias("digest"))
+        fetched = wanted.join(self.chunks(), "digest", "left").groupBy("row").agg(F.collect_list(F.struct("digest", "bytes")).alias("more"))
+        rows = whole.unionByName(part.join(fetched, "row", "left"))
+        payload = assemble()(F.col("n_bytes"), F.col("sha256"), F.col("recipe"), F.col("own"), F.col("more"))
+        return rows.select("id", "n_bytes", "recipe", payload.alias("payload"))
+
+
+def put_together(n_bytes: int, sha256: bytes, recipe: bytes, own: bytes, more: dict[bytes, bytes | None]) -> bytes:
+    out, at = [], 0
+    for digest, size, away in struct.iter_unpack(ENTRY, recipe):
+        data = more.get(digest) if away else own[at : at + size]
+        if data is None:
+            raise ValueError(f"chunk {digest.hex()} is missing")
+        if len(data) != size or hashlib.sha256(data).digest() != digest:
+            raise ValueError(f"chunk {digest.hex()} differs from its digest or size")
+        at += 0 if away else size
+        out.append(data)
+    payload = b"".join(out)
+    if len(payload) != max(UNIT, -(-n_bytes // UNIT) * UNIT) or hashlib.sha256(payload).digest() != sha256:
+        raise ValueError("a payload differs from its length or digest")
+    return payload
 
 
 def assemble():
-    def run(chunks: pa.Array, more: pa.Array) -> pa.Array:
-        out = []
-        for own, far in zip(chunks.to_pylist(), more.to_pylist()):
-            known = {c["digest"]: c["bytes"] for c in far or ()}
-            for c in own:
-                if c["bytes"] is not None:
-                    known[c["digest"]] = c["bytes"]
-            for d, data in known.items():
-                if hashlib.sha256(data).digest() != d:
-                    raise ValueError("a chunk differs from its digest")
-            out.append(b"".join(known[c["digest"]] for c in own))
-        return pa.array(out, pa.binary())
+    def run(n_bytes: pa.Array, sha256: pa.Array, recipe: pa.Array, own: pa.Array, more: pa.Array) -> pa.Array:
+        each = zip(*(c.to_pylist() for c in (n_bytes, sha256, recipe, own, more)))
+        return pa.array([put_together(n, s, r, o, {c["digest"]: c["bytes"] for c in m or ()}) for n, s, r, o, m in each], pa.binary())
 
     return F.arrow_udf(run, "binary")
 
@@ -213,14 +209,15 @@ def assemble():
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def describe(mask_bits: int):
-    """Figures of payloads read back. The media form of one payload is its chunk list (digest and 32-bit size of each) and then its bytes."""
+def describe():
+    """Figures of payloads read back. The media form of one payload is as it is stored: for each chunk its digest and 32-bit size, taken from the recipe, and then the chunks' bytes.
+
+    Whether a chunk is shared depends on other rows, so that mark is no part of the form: equal texts have equal values."""
 
-    def run(payloads: pa.Array) -> pa.Array:
+    def run(recipes: pa.Array, payloads: pa.Array) -> pa.Array:
         rows = []
-        for data in payloads.to_pylist():
-            ends = cuts(data, mask_bits)
-            head = b"".join(hashlib.sha256(data[a:z]).digest() + (z - a).to_bytes(4, "little") for a, z in zip([0, *ends], ends))
+        for recipe, data in zip(recipes.to_pylist(), payloads.to_pylist()):
+            head = b"".join(recipe[k : k + ENTRY_BYTES - 1] for k in range(0, len(recipe), ENTRY_BYTES))
             media = hashlib.sha256(head)
             media.update(data)
             raw = np.frombuffer(data, np.uint8)
@@ -231,7 +228,7 @@ def describe(mask_bits: int):
                     "tail_crc32": zlib.crc32(data[-UNIT:]),
                     "media_bytes": len(head) + len(data),
                     "media_sha256": media.hexdigest(),
-                    "feature": f"{len(ends)}:{int(raw.sum(dtype=np.int64))}:{int(np.count_nonzero(raw[1:] < raw[:-1]))}",
+                    "feature": f"{len(recipe) // ENTRY_BYTES}:{int(raw.sum(dtype=np.int64))}:{int(np.count_nonzero(raw[1:] < raw[:-1]))}",
                 }
             )
         return pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
@@ -243,4 +240,4 @@ def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     store = ChunkStore(spark, scratch_path(spark, "media"))
     store.write(docs)
-    return store.read().select(F.col("id").alias("doc_id"), "n_bytes", describe(store.mask_bits)(F.col("payload")).alias("d")).select("doc_id", "n_bytes", "d.*")
+    return store.read().select(F.col("id").alias("doc_id"), "n_bytes", describe()(F.col("recipe"), F.col("payload")).alias("d")).select("doc_id", "n_bytes", "d.*")

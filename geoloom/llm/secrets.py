@@ -1,9 +1,12 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Candidates are found text by text: assigned values, access keys, long hex runs, and mixed-class
-tokens of high entropy. Each candidate's SHA-256 is counted over the whole corpus by distinct
-repositories and distinct owners. A value that many owners hold is a copied example; one that
-few owners hold looks live. Only hashes, ids and places are shuffled, never texts.
+Candidates are found text by text: assigned values, access keys, long hex runs, and other tokens of 16
+characters or more that hold a digit and vary enough. Each candidate's SHA-256 is counted over the
+whole corpus by distinct repositories and distinct owners. A value that many owners hold is a copied
+example; one that few owners hold looks live. The first three kinds are always reported, with their
+counts; a plain token is a span of its own only as long as few owners hold it.
+Only hashes, ids and places are shuffled, never texts. Counts are written out before they are joined,
+so that Spark can split a value that very many documents hold.
 
 In the registered query a document is a repository and its source is the owner.
 """
@@ -27,7 +30,7 @@ KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 
 
 def entropy(text: str) -> float:
@@ -36,7 +39,7 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values())
 
 
-def scan(text: str | None, min_entropy: float = 3.5) -> list[tuple[int, int, str, str]]:
+def scan(text: str | None, min_entropy: float = 2.5) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) by start, then kind; tokens only where no other kind's span is touched."""
     if not text:
         return []
@@ -55,7 +58,7 @@ def scan(text: str | None, min_entropy: float = 3.5) -> list[tuple[int, int, str
             k += 1
         if reach > m.start():
             continue
-        if any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v) and entropy(v) >= min_entropy:
+        if any(c.isdigit() for c in v) and entropy(v) >= min_entropy:
             found.append((m.start(), m.end(), "token", v))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
@@ -81,22 +84,26 @@ def ownership(found: DataFrame, repo_col: str, owner_col: str) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: the kept columns, and `secrets`, an array of
+    """One row for each document: repo_col, owner_col, the kept columns as they are, and `secrets`, an array of
     (start, end, kind, digest, repositories, owners, live) by start, then kind.
 
-    live: at most max_owners owners hold the value. Null and empty texts have no secrets; repeated
-    rows each get a row, and count as one repository if their repository is the same."""
-    named = [F.col(c) for c in dict.fromkeys((repo_col, owner_col, *keep))]
-    rows = candidates(docs.select(*named, F.col(text_col).alias("__text")), "__text").drop("__text")
-    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "secret-candidates")
-    owned = ownership(rows, repo_col, owner_col)
+    live: at most max_owners owners hold the value. Plain tokens that aren't live are left out. Null and
+    empty texts have no secrets; repeated rows each get a row, and count as one repository if their
+    repository is the same. A column named secrets that is to be kept is an error."""
+    names = list(dict.fromkeys((repo_col, owner_col, *keep)))
+    if "secrets" in {c.lower() for c in names}:
+        raise ValueError("the result has a column secrets of its own")
+    rows = docs.select(F.struct(*names).alias("kept"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"))
+    rows = written(candidates(rows, "text", "found").drop("text").withColumn("uid", F.monotonically_increasing_id()), "secret-candidates")
+    owned = written(ownership(rows, "repo", "owner"), "secret-owners")
     spans = rows.select("uid", F.explode("found").alias("f")).select("uid", "f.*").join(owned, "digest")
+    spans = spans.withColumn("live", F.col("owners") <= max_owners).where((F.col("kind") != KINDS[-1]) | F.col("live"))
     order = F.when(F.col("kind") == KINDS[0], 0)
     for i, k in enumerate(KINDS[1:], 1):
         order = order.when(F.col("kind") == k, i)
-    spans = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", order.alias("rank"), "end", "kind", "digest", "repositories", "owners", (F.col("owners") <= max_owners).alias("live")))).alias("secrets"))
+    spans = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", order.alias("rank"), "end", "kind", "digest", "repositories", "owners", "live"))).alias("secrets"))
     empty = F.array().cast(spans.schema["secrets"].dataType)
-    return rows.drop("found").join(spans, "uid", "left").withColumn("secrets", F.coalesce("secrets", empty)).drop("uid")
+    return rows.join(spans, "uid", "left").select("kept.*", F.coalesce("secrets", empty).alias("secrets"))
 
 
 def redact(texts, spans) -> list:
@@ -119,23 +126,20 @@ def redact(texts, spans) -> list:
 
 def redact_secrets(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", max_owners: int = 2) -> DataFrame:
     """The documents, all columns as they were, with every candidate in the text replaced by [redacted kind], or [example kind] if many owners hold it.
-
-    The texts stay in place: each text's candidates are looked up in a table of the digests that
-    many owners hold (a join on digests), and texts without candidates are passed on."""
-    uid, found = fresh(docs, "uid"), "found"
-    rows = written(candidates(docs.select(F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text")), "text", found).drop("text").where(F.size(found) > 0), "secret-candidates")
-    copied = ownership(rows, "repo", "owner").where(F.col("owners") > max_owners).select("digest")
-    inner = fresh(docs, found)
-    hit = candidates(docs, text_col, inner)
-    clean = hit.where(F.size(inner) == 0).drop(inner)
-    dirty = hit.where(F.size(inner) > 0).withColumn(uid, F.monotonically_increasing_id())
-    dirty = written(dirty, "secret-texts")
-    each = dirty.select(uid, F.explode(inner).alias("f")).select(uid, "f.*").join(copied.withColumn("many", F.lit(True)), "digest", "left")
-    marks = fresh(docs, "marks")
+    Plain tokens that many owners hold stay.
+
+    Each text is searched once, when the documents are written with their candidates. Texts without candidates are
+    passed on in place; the others' digests are looked up in the written table of those that many owners hold."""
+    uid, found, marks = fresh(docs, "uid"), fresh(docs, "found"), fresh(docs, "marks")
+    hit = written(candidates(docs, text_col, found).withColumn(uid, F.monotonically_increasing_id()), "secret-texts")
+    some = hit.where(F.size(found) > 0)
+    owned = ownership(some.select(F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.col(found).alias("found")), "repo", "owner")
+    copied = written(owned.where(F.col("owners") > max_owners).select("digest", F.lit(True).alias("many")), "secret-copied")
+    each = some.select(uid, F.explode(found).alias("f")).select(uid, "f.*").join(copied, "digest", "left").where((F.col("kind") != KINDS[-1]) | F.col("many").isNull())
     listed = each.groupBy(uid).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", F.col("many").isNull().alias("live")))).alias(marks))
-    fixed = dirty.join(listed, uid)
     cut = F.arrow_udf(lambda t, s: pa.array(redact(t.to_pylist(), s.to_pylist()), pa.string()), "string")
-    return clean.unionByName(fixed.withColumn(text_col, cut(F.col(text_col), F.col(marks))).select(*docs.columns))
+    fixed = some.join(listed, uid, "left").withColumn(text_col, cut(F.col(text_col), F.col(marks)))
+    return hit.where(F.size(found) == 0).select(*docs.columns).unionByName(fixed.select(*docs.columns))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,5 +148,4 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda s: s.kind != "token")
     text = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
     size = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long")
-    live = F.filter("secrets", lambda s: (s.kind != "token") | s.live)
-    return got.select("doc_id", size("assign").alias("n_assign"), size("access").alias("n_access"), size("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(live).alias("spans"), F.size(F.filter("secrets", lambda s: s.live)).cast("long").alias("n_live"))
+    return got.select("doc_id", size("assign").alias("n_assign"), size("access").alias("n_access"), size("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text("secrets").alias("spans"), F.size(F.filter("secrets", lambda s: s.live)).cast("long").alias("n_live"))

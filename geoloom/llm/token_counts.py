@@ -5,18 +5,22 @@ distinct content digests are joined with the cache's entries of the tokenizer ve
 one row of each missing content is encoded and the counts are appended. Contents are compared by
 SHA-256 of the normalised text, so that copies are encoded once, in whatever task they lie.
 
-The texts are grouped by digest together with the cache's entries: of each text one copy travels a
-task, and only those whose group has no count are encoded. The groups are a property of the texts,
-not of the tasks that read them, so a lost executor or another split of the files changes nothing.
+Digests are counted and joined with the cache first. A missing text that occurs once is encoded in the
+task that reads it; of one that occurs more often, one copy a task is shuffled and one of all is
+encoded. Two bitmaps of fixed size tell the tasks which is which, so texts with a count stay where they
+are. Bitmaps may hold a few digests too many: what is then encoded in vain is dropped by an exact join.
+All keys are digests of the texts, not of the tasks that read them, so a lost executor or another
+split of the files changes nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, scratch_path, ship, written
+from .common import digest_keys, fresh, scratch_path, sent_bitmap, ship, written
 from .tokens import PretokenIds, tokenizer_version
 
 ship(__name__)
@@ -41,33 +45,58 @@ class TokenCounts:
         """The same as a table of its own: a join with it can be split where many rows have one content."""
         return written(self.cached(), "token-known")
 
-    def encode_misses(self, docs: DataFrame, text_col: str = "text") -> None:
+    def encode_misses(self, docs: DataFrame, text_col: str = "text", bitmap_bits: int = 1 << 26) -> None:
         """Encodes each distinct text that the cache lacks once and appends the counts."""
         text = F.coalesce(F.col(text_col), F.lit(""))
-        rows = docs.select(F.unhex(F.sha2(text, 256)).alias("content"), text.alias("text"), F.lit(None).cast("long").alias("n_tokens"))
-        known = self.cached().select("content", F.lit(None).cast("string").alias("text"), "n_tokens")
-        whole = rows.unionByName(known).groupBy("content").agg(F.first("text", ignorenulls=True).alias("text"), F.max("n_tokens").alias("n_tokens"))
-        wanted = whole.where(F.col("n_tokens").isNull()).select("text", "content")
+        rows = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("content"))
+        counted = rows.groupBy("content").agg(F.count("*").alias("n")).join(self.cached().select("content"), "content", "left_anti")
+        missing = written(counted, "token-misses")
+
+        def keys(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"key": pa.array(digest_keys(b.column(0).to_pylist()).view(np.int64))})
+
+        once, more = (sent_bitmap(missing.where(c).select("content").mapInArrow(keys, "key long"), bitmap_bits) for c in ("n = 1", "n > 1"))
         path, pattern, version = self.path, self.pattern, bytes.fromhex(self.version)
 
+        def in_place(batches):
+            ids, passed = PretokenIds(path, pattern), {}
+            for b in batches:
+                for x in range(0, b.num_rows, 500):
+                    part = b.slice(x, 500)
+                    content = part.column(1).to_pylist()
+                    k = digest_keys(content)
+                    wait, here = more.value.has(k), once.value.has(k)
+                    out = []
+                    for i, c in enumerate(content):
+                        if wait[i]:
+                            if c not in passed:
+                                if len(passed) > 200_000:
+                                    passed.clear()
+                                passed[c] = None
+                                out.append((c, None, part.column(0)[i].as_py()))
+                        elif here[i]:
+                            out.append((c, len(ids.ids(part.column(0)[i].as_py())) // 4, None))
+                    yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.string()))], ["content", "n_tokens", "text"])
+
         def encode(batches):
             ids = PretokenIds(path, pattern)
             for b in batches:
-                n = [len(ids.ids(t)) // 4 for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"content": b.column(1), "tokenizer": pa.array([version] * len(n), pa.binary()), "n_tokens": pa.array(n, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"content": b.column(0), "n_tokens": pa.array([len(ids.ids(t)) // 4 for t in b.column(1).to_pylist()], pa.int64())})
 
-        wanted.mapInArrow(encode, SHAPE).write.mode("append").parquet(self.cache_path)
+        first = written(rows.mapInArrow(in_place, "content binary, n_tokens long, text string"), "token-first")
+        late = first.where("text is not null").groupBy("content").agg(F.first("text").alias("text")).mapInArrow(encode, "content binary, n_tokens long")
+        new = first.where("text is null").select("content", "n_tokens").unionByName(late).join(missing.select("content"), "content", "left_semi")
+        new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(self.cache_path)
 
     def count(self, docs: DataFrame, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
-        """Adds out_col to every row; a null text counts as empty (0 tokens), repeated rows stay repeated."""
+        """Adds out_col to every row (with underscores behind it where the frame has that column already); a null text counts as empty (0 tokens), repeated rows stay repeated."""
         self.encode_misses(docs, text_col)
-        key = "content"
-        while key in {c.lower() for c in docs.columns}:
-            key += "_"
+        key = fresh(docs, "content")
         keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-        n = fresh(keyed, "known_tokens")
+        n = fresh(keyed, out_col)
         counts = self.known().select(F.col("content").alias(key), F.col("n_tokens").alias(n))
-        return keyed.drop(out_col).join(counts, key, "left").withColumn(out_col, counted(n)).drop(key, n)
+        return keyed.join(counts, key, "left").withColumn(n, counted(n)).drop(key)
 
 
 def counted(n: str) -> Column:

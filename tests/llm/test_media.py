@@ -2,9 +2,10 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 
 from geoloom.llm.common import scratch_path
-from geoloom.llm.media import GEAR, ChunkStore, cuts, op7_media_chunks, payload_of
+from geoloom.llm.media import GEAR, ChunkStore, cuts, op7_media_chunks, payload_of, put_together
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +37,33 @@ def test_query_round_trip(spark):
         p = payload_of(t.decode())
         assert len(p) % 64 == 0 and len(p) > 0 and p.startswith(t)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        ends = slow_cuts(p)
+        pieces = [p[a:z] for a, z in zip([0, *ends], ends)]
+        form = b"".join(hashlib.sha256(c).digest() + len(c).to_bytes(4, "little") for c in pieces) + p
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        assert r.feature == f"{len(pieces)}:{sum(p)}:{sum(b < a for a, b in zip(p, p[1:]))}"
+
+
+def test_lost_or_altered_chunks_are_errors(spark):
+    rng = np.random.default_rng(5)
+    base = bytes(rng.integers(97, 123, 9_000, dtype=np.uint8)).decode()
+    rows = [(1, base), (2, base), (3, "alone")]
+    store = ChunkStore(spark, scratch_path(spark, "media-test"))
+    store.write(spark.createDataFrame(rows, "doc_id long, text string"))
+    chunks = [(bytes(r.digest), bytes(r.bytes)) for r in store.chunks().collect()]
+    for bad in ([], chunks[1:], [(d, b"x" + c[1:]) for d, c in chunks]):
+        broken = ChunkStore(spark, store.folder)
+        broken.shape = store.shape
+        frame = spark.createDataFrame(bad, "digest binary, bytes binary")
+        broken.chunks = lambda frame=frame: frame
+        with pytest.raises(Exception, match="chunk"):
+            broken.read().collect()
+    whole = [r for r in store.lists().collect() if r.id == 3][0]
+    assert put_together(whole.n_bytes, bytes(whole.sha256), bytes(whole.recipe), bytes(whole.own), {}) == payload_of("alone")
+    with pytest.raises(ValueError, match="payload"):
+        put_together(whole.n_bytes + 64, bytes(whole.sha256), bytes(whole.recipe), bytes(whole.own), {})
+    with pytest.raises(ValueError, match="payload"):
+        put_together(whole.n_bytes, bytes(32), bytes(whole.recipe), bytes(whole.own), {})
 
 
 def test_shared_chunks_are_stored_once(spark, odd_docs, no_docs):

@@ -103,7 +103,7 @@ def test_a_content_without_count_is_an_error(spark, monkeypatch):
 def test_odd_rows(spark, odd_docs, no_docs):
     cache = TokenCounts(spark, PATH, P.PATTERN)
     got = cache.count(odd_docs).collect()
-    assert len(got) == odd_docs.count() and {r.n_tokens for r in got if r.doc_id in (0, 1)} == {0}
+    assert len(got) == odd_docs.count() and {r.n_tokens_ for r in got if r.doc_id in (0, 1)} == {0} and {r.n_tokens for r in got} == {7}
     packed = pack(odd_docs, PATH, P.PATTERN).collect()
-    assert sum(r.length for r in packed) == sum(r.n_tokens + 1 for r in got)
+    assert sum(r.length for r in packed) == sum(r.n_tokens_ + 1 for r in got)
     assert pack(no_docs, PATH, P.PATTERN).count() == 0 and cache.count(no_docs).count() == 0
