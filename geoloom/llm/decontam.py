@@ -1,9 +1,10 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Test items become seeds: (n-gram hash, item, place). A bitmap of fixed size (`bitmap_bits`) of
-   their hashes goes to the tasks.
+1. Test items become seeds: (n-gram hash, item, place). A bitmap of fixed size of their hashes goes to
+   the tasks, and with it a table of fixed size that tells for a hash how long the longest item around it is.
 2. One scan of the corpus finds the places whose n-gram is in the bitmap and keeps the words around
-   them (as hashes), so the rest of the corpus is never shuffled. Texts are read whole.
+   them (as hashes), as far as those items reach, so the rest of the corpus is never shuffled. Texts
+   are read whole.
 3. Passages of equal words are one from there on, and every pair of a passage and an item that share
    a seed counts, however many passages have that seed.
 4. Pairs whose common words cannot reach the threshold are left out, which is exact; the others are
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, byte_table, fresh, mix, separator_mask, ship, utf8, word_spans, written
+from .common import U64, blocks, byte_table, fresh, mix, sent_bitmap, separator_mask, ship, utf8, word_spans, written
 from .toxicity import LETTERS
 
 ship(__name__)
@@ -38,8 +39,9 @@ def ngrams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return mix(g[inside]), inside
 
 
-def bit_places(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return g & U64(bits - 1), (g >> U64(32)) & U64(bits - 1)
+def reach_of(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Words of the longest item that has one of the n-grams, rounded up to a power of two; others of the same place in the table count too."""
+    return 1 << bits[g & U64(len(bits) - 1)].astype(np.int64)
 
 
 def align(texts: np.ndarray, items: np.ndarray, n_items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +89,9 @@ def alignments(rows: list[tuple[np.ndarray, np.ndarray]], cells: int = 1_000_000
 
 
 class Decontaminator:
-    def __init__(self, n: int = 5, threshold: float = 0.5, bitmap_bits: int = 1 << 26):
-        """threshold: share of the item's full alignment score from which a text counts as contaminated."""
-        self.n, self.threshold, self.bitmap_bits = n, threshold, bitmap_bits
+    def __init__(self, n: int = 5, threshold: float = 0.5, bitmap_bits: int = 1 << 26, reach_places: int = 1 << 18):
+        """threshold: share of the item's full alignment score from which a text counts as contaminated. n is also the least length of an item: shorter ones say too little to be searched for."""
+        self.n, self.threshold, self.bitmap_bits, self.reach_places = n, threshold, bitmap_bits, reach_places
         self.table, self.mask = byte_table(41), separator_mask(LETTERS)
 
     def _items(self, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,48 +111,39 @@ class Decontaminator:
         rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {kind}, item_words binary, grams array<long>")
         return written(rows.withColumn("item", F.monotonically_increasing_id()), "leak-items")
 
-    def _bitmap(self, seeds: DataFrame):
-        """Bits of the seeds' hashes, put together by segment; bitmap_bits / 8 bytes in all, whatever the benchmark's size."""
-        bits, part = self.bitmap_bits, 1 << 16
+    def _reach(self, items: DataFrame):
+        """By place of a table of reach_places bytes: the logarithm of the longest item's number of words."""
+        most = self.reach_places
 
-        def places(batches):
+        def run(batches):
             for b in batches:
                 g = b.column(0).to_numpy().view(U64)
-                p = np.unique(np.concatenate(bit_places(g, bits))).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"seg": pa.array(p // part, pa.int32()), "bit": pa.array(p % part, pa.int32())})
-
-        def segment(key, group):
-            own = np.zeros(part, bool)
-            own[group.column("bit").to_numpy()] = True
-            return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_arrays([pa.array((g & U64(most - 1)).astype(np.int32)), b.column(1)], ["place", "e"])
 
-        rows = seeds.select("g").mapInArrow(places, "seg int, bit int").distinct().groupBy("seg").applyInArrow(segment, "seg int, bits binary").toArrow()
-        out = np.zeros(bits // 8, np.uint8)
-        for seg, data in zip(rows.column("seg").to_pylist(), rows.column("bits").to_pylist()):
-            out[seg * part // 8 : (seg + 1) * part // 8] = np.frombuffer(data, np.uint8)
-        return seeds.sparkSession.sparkContext.broadcast(out)
+        e = F.ceil(F.log2(F.greatest(F.octet_length("item_words") / 8, F.lit(1)))).cast("int")
+        rows = items.select(F.explode("grams").alias("g"), e.alias("e")).mapInArrow(run, "place int, e int").groupBy("place").agg(F.max("e").alias("e")).toArrow()  # reach_places rows at most
+        out = np.zeros(most, np.uint8)
+        out[rows.column("place").to_numpy()] = rows.column("e").to_numpy()
+        return items.sparkSession.sparkContext.broadcast(out)
 
-    def _passages(self, docs: DataFrame, id_col: str, text_col: str, sent, margin: int) -> DataFrame:
-        table, mask, n, bits = self.table, self.mask, self.n, self.bitmap_bits
+    def _passages(self, docs: DataFrame, id_col: str, text_col: str, sent, reach) -> DataFrame:
+        table, mask, n = self.table, self.mask, self.n
 
         def run(batches):
             from pyspark import TaskContext
 
-            name = TaskContext.get().partitionId() << 40
-            bitmap = sent.value
+            name = whole = TaskContext.get().partitionId() << 40
             for b in batches:
                 texts = utf8(b.column(1))
                 rows = []
                 for x, y in blocks(map(len, texts), 2_000_000):
                     *_, h, first = word_spans(texts[x:y], mask, table)
                     g, at = ngrams(h, first, n)
-                    one, two = bit_places(g, bits)
-                    hit = np.flatnonzero((bitmap[one >> U64(3)] >> (one & U64(7)).astype(np.uint8)) & 1)
-                    two = two[hit]
-                    hit = hit[(bitmap[two >> U64(3)] >> (two & U64(7)).astype(np.uint8)) & 1 > 0]
+                    hit = np.flatnonzero(sent.value.has(g))
                     if not len(hit):
                         continue
                     g, at = g[hit], at[hit]
+                    margin = reach_of(reach.value, g) * 5 // 4 + n
                     doc = np.searchsorted(first, at, "right") - 1
                     lo, hi = np.maximum(at - margin, first[doc]), np.minimum(at + n + margin, first[doc + 1])
                     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1]))))
@@ -158,32 +151,32 @@ class Decontaminator:
                         a, z = lo[s], hi[s:e].max()
                         rows.append((x + doc[s], int(a - first[doc[s]]), h[a:z].tobytes(), g[s:e].view(np.int64), at[s:e] - a))
                 name += len(rows)
+                whole += b.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
+                        pa.array([whole - b.num_rows + int(r[0]) for r in rows], pa.int64()),
                         pa.array(range(name - len(rows), name), pa.int64()),
                         pa.array([r[1] for r in rows], pa.int64()),
                         pa.array([r[2] for r in rows], pa.binary()),
                         pa.array([[{"g": g, "at": a} for g, a in zip(r[3].tolist(), r[4].tolist())] for r in rows], pa.list_(pa.struct([("g", pa.int64()), ("at", pa.int64())]))),
                     ],
-                    ["id", "passage", "begin", "words", "hits"],
+                    ["id", "row", "passage", "begin", "words", "hits"],
                 )
 
         kind = docs.schema[id_col].dataType.simpleString()
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        return written(rows.mapInArrow(run, f"id {kind}, passage long, begin long, words binary, hits array<struct<g:long,at:long>>"), "leak-passages")
+        return written(rows.mapInArrow(run, f"id {kind}, row long, passage long, begin long, words binary, hits array<struct<g:long,at:long>>"), "leak-passages")
 
     def find(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-        """(id, item, score, matched, begin, end) of contaminated texts: the best alignment of each id and item; begin and end count words.
+        """(id, item, score, matched, begin, end) of contaminated texts: the best alignment of each row and item; begin and end count words.
 
-        Items of fewer than n words have no seeds and are never found; null and empty texts neither.
-        Repeated rows give one row for each id and item; null ids are one group."""
-        n = self.n
+        Null and empty texts are never found, nor are items of fewer than n words. Repeated rows, and rows of
+        null or equal ids, each give rows of their own. Other columns are left out, so their names can't clash."""
         items = self._items(benchmark, item_col, item_text_col)
         seeds = items.select("item", F.posexplode("grams").alias("ipos", "g"))
-        longest = items.agg(F.max(F.octet_length("item_words") / 8)).collect()[0][0] or 0
-        margin = int(longest * 1.25) + n
-        passages = self._passages(docs, id_col, text_col, self._bitmap(seeds), margin)
+        bitmap = sent_bitmap(seeds.select("g"), self.bitmap_bits)
+        passages = self._passages(docs, id_col, text_col, bitmap, self._reach(items))
         keyed = passages.withColumn("key", F.sha2("words", 256))
         first = written(keyed.groupBy("key").agg(F.min("passage").alias("passage")), "leak-kinds")
         kinds = passages.join(first.select("passage"), "passage", "left_semi")
@@ -194,15 +187,16 @@ class Decontaminator:
         kind = benchmark.schema[item_col].dataType.simpleString()
         found = rows.select("passage", "item_id", "words", "item_words", "lo", "hi").mapInArrow(score_pairs(self.threshold), f"passage long, item_id {kind}, score double, matched long, from long, to long")
         found = written(found.join(first, "passage").drop("passage"), "leak-found")
-        scored = keyed.select("key", "id", "begin").join(found, "key").select("id", "item_id", "score", "matched", (F.col("begin") + F.col("from")).alias("begin"), (F.col("begin") + F.col("to")).alias("end"))
+        scored = keyed.select("key", "id", "row", "begin").join(found, "key").select("id", "row", "item_id", "score", "matched", (F.col("begin") + F.col("from")).alias("begin"), (F.col("begin") + F.col("to")).alias("end"))
         best = F.max_by(F.struct("score", "matched", "begin", "end"), F.struct("score", -F.col("begin")))
-        return scored.groupBy("id", "item_id").agg(best.alias("b")).select("id", "item_id", "b.*")
+        return scored.groupBy("row", "item_id").agg(F.first("id").alias("id"), best.alias("b")).select("id", "item_id", "b.*")
 
     def clean(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
         """The documents without the contaminated ones, told apart by row: ids may be null or repeated."""
         uid = fresh(docs, "row_uid")
         rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "leak-rows")
-        bad = self.find(rows, benchmark, uid, text_col, **names).select(F.col("id").alias(uid)).distinct()
+        # a written table: where it is small, Spark sends it to the documents, which then stay where they are
+        bad = written(self.find(rows, benchmark, uid, text_col, **names).select(F.col("id").alias(uid)).distinct(), "leak-rows-found")
         return rows.join(bad, uid, "left_anti").select(*docs.columns)
 
 

@@ -6,9 +6,11 @@ likelihood is the product of its words' likelihoods, and a word's is the sum ove
 segmentations (forward algorithm), so nothing depends on one best segmentation. Pieces never
 cross words (maximal runs of letters and marks, in lower case), hence the product is exact.
 
-Single bytes are pieces of the vocabulary too, so every word has a segmentation.
+Single bytes are pieces of the vocabulary too, so every word has a segmentation. Words may be of any
+length, as they are in scripts without spaces: long ones are summed in logarithms.
 
-On Spark: a bounded sample of texts for each language (`max_docs`) is reduced to word counts by
+On Spark: a bounded sample of distinct texts for each language (about `max_docs`, those of the smallest
+hashes, so that the sample is a property of the texts) is reduced to word counts by
 a shuffle; each EM round is one pass over these counts and one aggregation to pieces by
 languages. Scoring sends that matrix (vocabulary x languages) and works word by distinct word.
 """
@@ -23,14 +25,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, held_out, ship, written
+from .common import U64, byte_table, fresh, held_out, ship, written
 
 ship(__name__)
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-LONGEST = 64
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -44,7 +45,7 @@ def vocabulary(path: str) -> list[bytes]:
             continue
         piece = sp.id_to_piece(i)
         text = piece.replace("▁", " ")
-        if " " not in text[1:] and text == text.lower() and len(text.encode()) <= LONGEST:
+        if " " not in text[1:] and text == text.lower():
             out.add(text.encode())
     return sorted(out)
 
@@ -93,7 +94,7 @@ def by_length(words: list[str], most: int = 4000):
     cut = np.flatnonzero(np.diff(size[order])) + 1
     for same in np.split(order, cut) if len(order) else []:
         n = int(size[same[0]])
-        step = max(1, min(most, 4_000_000 // n))
+        step = max(1, min(most, 1_000_000 // n))
         for k in range(0, len(same), step):
             at = same[k : k + step]
             yield at, np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(len(at), n)
@@ -121,20 +122,31 @@ def forward(lattice: Lattice, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.log(live[n]) + shift
 
 
-def expected(lattice: Lattice, rows: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Expected counts of the pieces in words of one language, each counted n times; words of at most LONGEST bytes."""
+def expected(lattice: Lattice, rows: np.ndarray, p: np.ndarray, n: np.ndarray, plain: int = 64) -> np.ndarray:
+    """Expected counts of the pieces in words of one language, each counted n times. Words of more than `plain` bytes, whose products might vanish, are summed in logarithms; the sums are the same."""
     w, size = rows.shape
     arcs = list(lattice.arcs(rows))
-    ahead, back = np.zeros((size + 1, w)), np.zeros((size + 1, w))
-    ahead[0] = back[size] = 1
+    out = np.zeros(len(p))
+    if size <= plain:
+        ahead, back = np.zeros((size + 1, w)), np.zeros((size + 1, w))
+        ahead[0] = back[size] = 1
+        for i, j, hit, piece in arcs:
+            ahead[j, hit] += ahead[i, hit] * p[piece]
+        for i, j, hit, piece in reversed(arcs):
+            back[i, hit] += back[j, hit] * p[piece]
+        share = n / ahead[size]
+        for i, j, hit, piece in arcs:
+            out += np.bincount(piece, ahead[i, hit] * p[piece] * back[j, hit] * share[hit], len(p))
+        return out
+    logs = np.log(p)
+    ahead, back = np.full((size + 1, w), -np.inf), np.full((size + 1, w), -np.inf)
+    ahead[0] = back[size] = 0
     for i, j, hit, piece in arcs:
-        ahead[j, hit] += ahead[i, hit] * p[piece]
+        ahead[j, hit] = np.logaddexp(ahead[j, hit], ahead[i, hit] + logs[piece])
     for i, j, hit, piece in reversed(arcs):
-        back[i, hit] += back[j, hit] * p[piece]
-    share = n / ahead[size]
-    out = np.zeros(len(p))
+        back[i, hit] = np.logaddexp(back[i, hit], back[j, hit] + logs[piece])
     for i, j, hit, piece in arcs:
-        out += np.bincount(piece, ahead[i, hit] * p[piece] * back[j, hit] * share[hit], len(p))
+        np.add.at(out, piece, np.exp(ahead[i, hit] + logs[piece] + back[j, hit] - ahead[size, hit]) * n[hit])
     return out
 
 
@@ -169,7 +181,7 @@ class LanguageModel:
         self.p = np.zeros((len(self.pieces), 0))
 
     def fit(self, docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-        """Learns from rows with a language; about max_docs of each, drawn at random, so that the sample is bounded."""
+        """Learns from rows with a language; of each about max_docs distinct texts, those of the smallest hashes, so that the sample is bounded."""
         spark, v = docs.sparkSession, len(self.pieces)
         rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
         sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
@@ -177,18 +189,18 @@ class LanguageModel:
         if not self.langs:
             return self
         share = F.create_map(*[x for g in self.langs for x in (F.lit(g), F.lit(min(1.0, self.max_docs / sizes[g])))])
-        drawn = F.rand(7) < F.element_at(share, F.col("lang"))
+        drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003
         place = {g: k for k, g in enumerate(self.langs)}
 
         def count(batches):
             for b in batches:
                 by: dict[str, Counter] = {}
                 for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    by.setdefault(lang, Counter()).update(w for w in fold(text) if len(w.encode()) < LONGEST)
+                    by.setdefault(lang, Counter()).update(fold(text))
                 for lang, c in by.items():
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([place[lang]] * len(c), pa.int32()), "word": pa.array(list(c)), "n": pa.array(list(c.values()), pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([place[lang]] * len(c), pa.int32()), "word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
-        words = written(rows.where(drawn).mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+        words = written(rows.where(drawn).dropDuplicates(["text", "lang"]).mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
         sent_pieces = spark.sparkContext.broadcast(self.pieces)
         p = np.full((v, len(self.langs)), 1.0 / v)
         for _ in range(self.rounds):
@@ -202,8 +214,10 @@ class LanguageModel:
         return self
 
     def predict(self, docs: DataFrame, text_col: str = "text", out_col: str = "language") -> DataFrame:
-        """Adds out_col, a struct of lang and score (the winner's share of the likelihoods). Without letters or without languages learned: und, 0. Ties: the first name."""
-        spark = docs.sparkSession
+        """Adds out_col, a struct of lang and score (the winner's share of the likelihoods), with underscores behind its name where the frame has that column already.
+
+        Without letters (null and empty texts too) or without languages learned: und, 0. Ties: the first name. Repeated rows and other columns stay."""
+        spark, out_col = docs.sparkSession, fresh(docs, out_col)
         sent = spark.sparkContext.broadcast((self.pieces, self.langs, self.p))
         most = self.cache_words
 

@@ -12,6 +12,11 @@ their children share and the children only what is new. A query adds up differen
 and drops a node with all below it once they pass the distance.
 
 A bucket reports links of a spanning forest of the pairs it found, not all pairs.
+
+`later_copies` decides by the texts themselves: fingerprints of two-word shingles, which move less
+under edits, only propose pairs, and a link needs a Jaccard similarity of the five-word shingles of
+`least` or more. There a bucket reports a spanning forest of smallest differences, whose links are then
+checked, so that large groups are joined by few links between their closest members.
 """
 
 from __future__ import annotations
@@ -109,7 +114,7 @@ class GrayIndex:
             lower[4] = lower[2] & ~upper[2][parent]
 
     def search(self, query: np.ndarray, code: np.ndarray, bucket: np.ndarray, most: int):
-        """(query, member) pairs within the distance, member behind the query in the order; each bucket has one root."""
+        """(query, member, difference) of pairs within the distance, member behind the query in the order; each bucket has one root."""
         node, acc = bucket, np.zeros(len(query), np.int64)
         for first, last, _, value, new in reversed(self.levels):
             acc = acc + np.bitwise_count((code ^ value[node]) & new[node])
@@ -123,7 +128,8 @@ class GrayIndex:
                 behind = child > query
                 query, child, acc = query[behind], child[behind], acc[behind]
                 far = acc + np.bitwise_count((code[behind] ^ self.codes[child]) & ~np.repeat(leaf_shared, n)[behind])
-                return query[far <= most], child[far <= most]
+                near = far <= most
+                return query[near], child[near], far[near]
             node = child
         raise AssertionError
 
@@ -147,10 +153,36 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def bucket_links(distance: int, fan: int, frontier: int = 1_000_000):
-    """Links of a spanning forest in each bucket; rows come sorted by bucket and Gray rank."""
+def closest_forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of smallest differences of all the pairs (Boruvka), keeping one forest at a time."""
+    a, b, d = (np.zeros(0, np.int64) for _ in range(3))
+    for more in chunks:
+        if not len(more[0]):
+            continue
+        a, b, d = (np.concatenate(x) for x in zip((a, b, d), more))
+        order = np.argsort(d, kind="stable")
+        a, b, d = a[order], b[order], d[order]
+        label, chosen, live = np.arange(n), np.zeros(len(a), bool), np.arange(len(a))
+        while True:
+            x, y = label[a[live]], label[b[live]]
+            apart = x != y
+            live, x, y = live[apart], x[apart], y[apart]
+            if not len(live):
+                break
+            best = np.full(n, len(a))
+            np.minimum.at(best, x, live)
+            np.minimum.at(best, y, live)
+            pick = np.unique(best[best < len(a)])
+            chosen[pick] = True
+            label = forest(n, iter([(a[chosen], b[chosen])]))
+        a, b, d = a[chosen], b[chosen], d[chosen]
+    return a, b
 
-    def links(codes: np.ndarray, key: np.ndarray):
+
+def bucket_links(distance: int, fan: int, closest: bool, frontier: int = 1_000_000):
+    """Links of a spanning forest in each bucket; rows (mask, value, code, node) come sorted by bucket and Gray rank."""
+
+    def links(codes: np.ndarray, key: np.ndarray, node: np.ndarray):
         begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
         size = np.diff(begin)
         index = GrayIndex(codes, begin, fan)
@@ -164,52 +196,59 @@ def bucket_links(distance: int, fan: int, frontier: int = 1_000_000):
                 yield index.search(np.arange(i, min(j, len(codes))), codes[i:j], bucket[i:j], distance)
                 i = j
 
-        label = forest(len(codes), pairs())
-        at = np.flatnonzero(label != np.arange(len(codes)))
-        return pa.RecordBatch.from_pydict({"a": pa.array(codes[at].view(np.int64)), "b": pa.array(codes[label[at]].view(np.int64))})
+        if closest:
+            a, b = closest_forest(len(codes), pairs())
+        else:
+            label = forest(len(codes), (p[:2] for p in pairs()))
+            a = np.flatnonzero(label != np.arange(len(codes)))
+            b = label[a]
+        return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
     def run(batches):
-        codes, key = np.zeros(0, U64), np.zeros((0, 2), np.int64)
+        codes, key, node = np.zeros(0, U64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             codes = np.concatenate((codes, batch.column(2).to_numpy().view(U64)))
+            node = np.concatenate((node, batch.column(3).to_numpy()))
             key = np.concatenate((key, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)))
             cut = np.flatnonzero((key != key[-1]).any(1))
             cut = int(cut[-1]) + 1 if len(cut) else 0  # the last bucket may go on
             if cut:
-                yield links(codes[:cut], key[:cut])
-                codes, key = codes[cut:], key[cut:]
+                yield links(codes[:cut], key[:cut], node[:cut])
+                codes, key, node = codes[cut:], key[cut:], node[cut:]
         if len(codes):
-            yield links(codes, key)
+            yield links(codes, key, node)
 
     return run
 
 
-def link_fingerprints(distinct: DataFrame, col: str, distance: int = 4, bucket_rows: int = 20_000, fan: int = 8) -> DataFrame:
-    """(a, b): links that join all fingerprints that chains of differences up to the distance join. Input: distinct non-null 64-bit numbers."""
+def link_fingerprints(distinct: DataFrame, col: str, distance: int = 4, bucket_rows: int = 20_000, fan: int = 8, node: str | None = None) -> DataFrame:
+    """(a, b): links that join all fingerprints that chains of differences up to the distance join. Input: distinct non-null 64-bit numbers.
+
+    With node, a column of distinct numbers that fingerprints may share, links name nodes and are those of smallest differences."""
     code = F.col(col).alias("code")
     masks = split_mask(0, distance + 1)
-    rows = distinct.select(code, F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks])).alias("mask"))
-    rows = written(rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code"), "sim-buckets")
+    rows = distinct.select(code, F.col(node or col).alias("node"), F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks])).alias("mask"))
+    rows = written(rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code", "node"), "sim-buckets")
     parts = []
     while True:
-        # buckets with at most `distance` free bits have 2**distance members at most
+        # buckets with at most `distance` free bits have 2**distance different fingerprints at most
         large = rows.groupBy("mask", "value").agg(F.count("*").alias("n")).where((F.col("n") > bucket_rows) & (F.bit_count("mask") < 64 - distance))
         large = written(large.select("mask", "value"), "sim-large")
         if large.isEmpty():
             parts.append(rows)
             break
         parts.append(rows.join(large, ["mask", "value"], "left_anti"))
-        rows = rows.join(large, ["mask", "value"], "left_semi").select("code", F.explode(finer_masks(distance + 1)(F.col("mask"))).alias("mask"))
-        rows = written(rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code").distinct(), "sim-buckets")
+        rows = rows.join(large, ["mask", "value"], "left_semi").select("code", "node", F.explode(finer_masks(distance + 1)(F.col("mask"))).alias("mask"))
+        rows = written(rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code", "node").distinct(), "sim-buckets")
     out = None
     gray = F.col("code")
     for s in (1, 2, 4, 8, 16, 32):
         gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
     for p in parts:
         spread = p.withColumn("gray", gray).repartition("mask", "value").sortWithinPartitions("mask", "value", "gray")
-        found = spread.select("mask", "value", "code").mapInArrow(bucket_links(distance, fan), "a long, b long")
+        found = spread.select("mask", "value", "code", "node").mapInArrow(bucket_links(distance, fan, node is not None), "a long, b long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -235,6 +274,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", F.col("fp").alias("fingerprint"), "component", "root")
 
 
+def word_digest(text: str | None) -> bytes:
+    """128 bits of the text's words: equal for texts that differ in case and white space alone."""
+    return xxhash.xxh128_digest(b" ".join(text.encode().lower().split()) if text else b"")
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Hashes of the different word shingles; fewer words are one shingle, none give none."""
+    words = text.encode().lower().split() if text else []
+    k = min(size, len(words))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 7) for i in range(len(words) - k + 1)] if words else [], U64)).view(np.int64)
+
+
+def later_copies(rows: DataFrame, uid: str, text_col: str = "text", order: tuple[str, ...] = (), least: float = 0.8, size: int = 5, index_size: int = 2, distance: int = 9, bucket_rows: int = 20_000) -> DataFrame:
+    """A written table of the uids that are not the first of their group, by the order columns (nulls last) and then uid.
+
+    rows: a written table in which uid tells rows apart. Groups are chains of texts of equal words and of
+    links with a Jaccard similarity of at least `least` of their `size`-word shingles. Null and empty texts have
+    equal words. Texts are read where they lie; fingerprints, digests and the shingles of linked texts are shuffled."""
+
+    def prints(texts: pa.Array) -> pa.Array:
+        every = texts.to_pylist()
+        fp = pa.array(np.array([fingerprint(t, index_size) for t in every], U64).view(np.int64))
+        return pa.StructArray.from_arrays([fp, pa.array([word_digest(t) for t in every], pa.binary())], ["fp", "digest"])
+
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t, size) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    own = rows.select(F.col(uid).alias("uid"), F.struct(*[x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{k}"), F.col(c).alias(f"c{k}"))], F.col(uid).alias("uid")).alias("place"), F.arrow_udf(prints, "fp long, digest binary")(F.col(text_col)).alias("p"))
+    own = written(own.select("uid", "place", "p.fp", "p.digest"), "sim-prints")
+    kinds = written(own.groupBy("digest").agg(F.min("place").alias("place"), F.first("fp").alias("fp")).select(F.col("place.uid").alias("node"), "place", "fp"), "sim-kinds")
+    links = written(link_fingerprints(kinds, "fp", distance, bucket_rows, node="node").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "sim-proposed")
+    ends = written(links.select(F.explode(F.array("a", "b")).alias(uid)).distinct(), "sim-ends")
+    found = written(rows.select(uid, text_col).join(ends, uid, "left_semi").select(F.col(uid).alias("node"), F.arrow_udf(sets, "array<long>")(F.col(text_col)).alias("s")), "sim-shingles")
+    both = links.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    roots = components(alike, "a", "b")
+    first = kinds.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place"))
+    return written(own.select("uid").join(first.select(F.col("place.uid").alias("uid")), "uid", "left_anti").select(F.col("uid").alias(uid)), "sim-later")
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = near_duplicates(docs)

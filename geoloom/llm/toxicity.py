@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, byte_table, held_out, mix, separator_mask, ship, utf8, word_spans, written
+from .common import U64, byte_table, fresh, held_out, mix, separator_mask, ship, utf8, word_spans, written
 
 ship(__name__)
 
@@ -105,11 +105,15 @@ class ToxicityModel:
         self.index, self.weight = np.zeros(0, np.int32), np.zeros(0)
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-        """Labels of null or other than 0 and 1 are left out, as are labels without a text. Without labels all weights stay 0."""
+        """Labels of null or other than 0 and 1 are left out, as are labels without a text. Without labels all weights stay 0.
+
+        An id with several labels counts once, as toxic if one of them says so. Where several rows have that id, the
+        text of the lowest hash stands for it, so that the sample never has more than max_rows rows."""
         dims, table, mask, spark = self.dims, self.table, self.mask, docs.sparkSession
-        order = F.xxhash64(F.col(id_col))
-        picked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), order.alias("o")).orderBy("o", "id", "y").limit(self.max_rows)
+        one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+        picked = one.withColumn("o", F.xxhash64("id")).orderBy("o", "id").limit(self.max_rows)
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # max_rows ids at most
+        rows = rows.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"), F.first("o").alias("o"))
 
         def listed(batches):
             for b in batches:
@@ -144,7 +148,8 @@ class ToxicityModel:
         return self
 
     def score(self, docs: DataFrame, text_col: str = "text", out_col: str = "score") -> DataFrame:
-        """Adds out_col, 0 to 1, to every row; all other columns stay. A null or empty text gets the score of the constant feature alone."""
+        """Adds out_col, 0 to 1, to every row, with underscores behind its name where the frame has that column already; all other columns stay. A null or empty text gets the score of the constant feature alone."""
+        out_col = fresh(docs, out_col)
         dims, table, mask = self.dims, self.table, self.mask
         sent = docs.sparkSession.sparkContext.broadcast((self.index, self.weight))
 

@@ -1,5 +1,6 @@
 import numpy as np
 
+from geoloom.llm.common import sent_bitmap, word_spans
 from geoloom.llm.decontam import Decontaminator, alignments, op3_decontamination
 
 SF = "/root/testdata/sf0.01"
@@ -35,6 +36,41 @@ def test_query_finds_every_pasted_item(spark):
         assert slow_align(words(docs[i]), words(items[j])) / (2 * len(words(items[j]))) >= 0.5
 
 
+def test_recall_against_exhaustive_alignment(spark):
+    """Every document against every item, without seeds: at least nine in ten of the pairs that pass the threshold are found, and no others."""
+    d = Decontaminator()
+
+    def words(rows):
+        *_, h, first = word_spans([(r[1] or "").encode() for r in rows], d.mask, d.table)
+        return [h[a:z] for a, z in zip(first, first[1:])]
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dw, iw = words(docs), words(items)
+    pairs = [(a, b) for a in range(len(docs)) for b in range(len(items)) if np.isin(iw[b], dw[a]).mean() >= 0.5]
+    score = alignments([(dw[a], iw[b]) for a, b in pairs])[:, 0]
+    want = {(docs[a][0], items[b][0]) for (a, b), s in zip(pairs, score) if s / (2 * len(iw[b])) >= 0.5}
+    got = {(r.doc_id, r.item_id) for r in op3_decontamination(spark, SF).collect()}
+    print(f"recall against exhaustive alignment: {len(got & want)} of {len(want)}")
+    assert want and got <= want and len(got & want) >= 0.9 * len(want)
+
+
+def test_one_long_item_does_not_widen_the_others(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    short, long = [word() for _ in range(12)], [word() for _ in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join([word() for _ in range(2000)] + short + [word() for _ in range(2000)])), (2, " ".join(long)), (None, " ".join(short)), (None, " ".join(short)), (5, " ".join(short)), (5, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    d = Decontaminator()
+    got = sorted((str(r.id), r.item_id, r.matched) for r in d.find(docs, bench).collect())
+    assert got == [("1", 1, 12), ("2", 2, 3000), ("5", 1, 12), ("None", 1, 12), ("None", 1, 12)]
+    items = d._items(bench, "item_id", "text")
+    seeds = items.selectExpr("explode(grams) as g")
+    kept = {r.id: len(r.words) // 8 for r in d._passages(docs.where("doc_id < 3"), "doc_id", "text", sent_bitmap(seeds), d._reach(items)).collect()}
+    assert kept[1] < 150
+    assert [r.text for r in d.clean(docs, bench).collect()] == ["clean"]
+
+
 def test_edited_and_hot_copies(spark):
     rng = np.random.default_rng(9)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))

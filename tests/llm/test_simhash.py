@@ -64,7 +64,7 @@ def test_index_finds_every_pair_and_prunes():
     codes = codes[np.argsort(gray_rank(codes))]
     index = GrayIndex(codes, np.array([0, len(codes)]))
     q = np.arange(len(codes))
-    a, b = index.search(q, codes, np.zeros(len(codes), np.int64), 4)
+    a, b, _ = index.search(q, codes, np.zeros(len(codes), np.int64), 4)
     near = np.bitwise_count(codes[:, None] ^ codes[None]) <= 4
     assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i, j in zip(*np.nonzero(near)) if i < j}
 
