@@ -32,7 +32,7 @@ def byte_letters() -> dict[int, str]:
 class PretokenIds(dict):
     """Little-endian unsigned 32-bit ids of a text, as bytes."""
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str, pattern: str, most: int = 300_000):
         import tokenizers
 
         super().__init__()
