@@ -223,26 +223,30 @@ def sides(v: DataFrame, e: DataFrame, c: DataFrame) -> DataFrame:
     return parts.join(packed, ["gid", "component"]).select("gid", "v", "part").unionByName(c.select("gid", "v", F.lit("C").alias("part")))
 
 
-def find_separator(v: DataFrame, e: DataFrame) -> DataFrame:
-    """(gid, v, part): no edge between A and B, neither above two thirds of the cost, C at most 2 sqrt(2 n) vertices.
-
-    Graphs whose components are all light are packed without C. Otherwise two levels of a breadth-first
-    search in the heaviest component are C. Where what lies between them still weighs more than
-    two thirds, a cycle would be needed too; such graphs are refused."""
-    v = cut(normalize_cost(v))
-    parts = components(v, e)
-    top = heaviest(component_cost(v, parts))
-    heavy = parts.join(top.where("cost * 3 > 2").select("gid", "component"), ["gid", "component"]).select("gid", "v")
-    hv, he = live_subgraph(v, e, heavy)
-    levels = bfs(hv, he)
-    chosen = cut(choose_levels(level_profile(hv, levels)))
-    c = cut(level_separator(levels, chosen))
-    out = cut(sides(v, e, c))
-    weight = out.where("part <> 'C'").join(v, ["gid", "v"]).groupBy("gid", "part").agg(F.sum("cost").alias("w"))
-    bad = weight.where("w > 2.0 / 3 + 1e-9").select("gid").distinct()
-    if not bad.isEmpty():
-        raise NotImplementedError("a graph needs a separating cycle between its two levels")
-    return out
+def find_separator(v: DataFrame, e: DataFrame, most: int = 60) -> DataFrame:
+    """(gid, v, part): no edge between A and B, and neither above two thirds of the cost.
+
+    Graphs whose components are all light are packed without C. Otherwise two levels of a breadth-first search in
+    the heaviest component go to C, and again in what is left of the graphs that still have a component of more than
+    two thirds, until none has; all graphs in one go. One cut keeps C within 2 sqrt(2 n) vertices; a further cut
+    stands in for the cycle between the two levels and adds as much for the part it divides, which
+    holds for hubs and nested rings but is not bounded for every planar graph: see quality.check_balance."""
+    v, e = cut(normalize_cost(v)), cut(e)
+    c = None
+    for _ in range(most):
+        rest = v if c is None else v.join(c, ["gid", "v"], "left_anti")
+        _, live = live_subgraph(v, e, rest)
+        parts = components(rest, live)
+        top = heaviest(component_cost(rest, parts))
+        heavy = cut(parts.join(top.where("cost * 3 > 2 + 1e-9").select("gid", "component"), ["gid", "component"]).select("gid", "v"))
+        if heavy.isEmpty():
+            return sides(v, e, c if c is not None else heavy)
+        hv, he = live_subgraph(v, e, heavy)
+        levels = bfs(hv, he)
+        chosen = choose_levels(level_profile(hv, levels)).withColumn("l0", F.coalesce("l0", "l1"))
+        more = level_separator(levels, chosen)
+        c = cut(more if c is None else c.unionByName(more))
+    raise RuntimeError(f"graphs are not divided after {most} rounds")
 
 
 def iterated_separator(v: DataFrame, e: DataFrame, max_piece: int, most: int = 40) -> DataFrame:

@@ -40,8 +40,22 @@ def arc_flags(arcs: DataFrame) -> DataFrame:
     return arcs.withColumn("is_null", F.col("edge_count") == 0).withColumn("is_single", (F.col("edge_count") == 1) & (F.col("first_edge") == F.col("last_edge"))).withColumn("is_virtual", F.col("first_edge").isNull())
 
 
-def contract_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, drop: DataFrame, matched: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Takes the chords of drop(map_id, chord_id) out (matched: no two of them share a region): joined regions get the lowest id; arcs and the other chords move; neighbouring arcs of a region that meet end to end become one."""
+def _ends(chords: DataFrame, *keep: str) -> DataFrame:
+    """A row for each end of a chord: map_id, the kept columns, edge, y."""
+    return chords.select("map_id", *keep, "y", F.explode(F.array_distinct(F.array("left_edge", "right_edge"))).alias("edge"))
+
+
+def _no_vertex(ends: DataFrame, heights: DataFrame | None) -> DataFrame:
+    """Without the ends that are vertices: those at the height of an end of their edge, for heights(map_id, edge, y), two rows an edge."""
+    return ends if heights is None else ends.join(heights.select("map_id", "edge", "y"), ["map_id", "edge", "y"], "left_anti")
+
+
+def contract_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, drop: DataFrame, matched: bool = False, heights: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Takes the chords of drop(map_id, chord_id) out (matched: no two of them share a region): joined regions get the lowest id; arcs and the other chords move.
+
+    An end of a dropped chord vanishes if it is no vertex (see heights; without them no end is one) and no
+    other chord of the joined region has an end on that edge. Neighbouring arcs of a side that meet on the edge of
+    a vanished end become one: that with the lowest id, the edge counts summed."""
     out = chords.join(drop, ["map_id", "chord_id"], "left_semi")
     v = regions.select(F.col("map_id").alias("gid"), F.col("region_id").alias("v"))
     if matched:
@@ -49,33 +63,62 @@ def contract_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, drop
         label = v.join(pairs, ["gid", "v"], "left").select(F.col("gid").alias("map_id"), F.col("v").alias("region_id"), F.coalesce("to", "v").alias("component"))
     else:
         label = components(v, out.select(F.col("map_id").alias("gid"), F.col("region_a").alias("u"), F.col("region_b").alias("v"))).select(F.col("gid").alias("map_id"), F.col("v").alias("region_id"), "component")
-    moved = arcs.join(label, ["map_id", "region_id"]).drop("region_id").withColumnRenamed("component", "region_id")
-    w = Window.partitionBy("map_id", "region_id", "first_side").orderBy("first_edge", "arc_id")
-    new = F.when(F.lag("last_edge").over(w) + 1 == F.col("first_edge"), 0).otherwise(1)
+
+    def renamed(c: DataFrame) -> DataFrame:
+        for side in ("region_a", "region_b"):
+            c = c.join(label.select("map_id", F.col("region_id").alias(side), F.col("component").alias(f"{side}_")), ["map_id", side]).withColumn(side, F.col(f"{side}_")).drop(f"{side}_")
+        return c.select(*chords.columns)
+
+    kept = renamed(chords.join(drop, ["map_id", "chord_id"], "left_anti"))
+    used = _ends(kept.select("map_id", F.explode(F.array("region_a", "region_b")).alias("region_id"), "left_edge", "right_edge", "y"), "region_id").select("map_id", "region_id", "edge")
+    gone = _no_vertex(_ends(renamed(out), "region_a").withColumnRenamed("region_a", "region_id"), heights).select("map_id", "region_id", "edge")
+    gone = gone.join(used, ["map_id", "region_id", "edge"], "left_anti").distinct().withColumn("gone_", F.lit(True))
+    moved = arcs.join(label, ["map_id", "region_id"]).drop("region_id").withColumnRenamed("component", "region_id").withColumn("lo_", F.least("first_edge", "last_edge")).withColumn("hi_", F.greatest("first_edge", "last_edge"))
+    moved = moved.join(gone.withColumnRenamed("edge", "lo_"), ["map_id", "region_id", "lo_"], "left")
+    w = Window.partitionBy("map_id", "region_id", "first_side").orderBy("lo_", "arc_id")
+    before = F.lag("hi_").over(w)
+    new = F.when(F.col("gone_") & ((before == F.col("lo_")) | (before + 1 == F.col("lo_"))), 0).otherwise(1)
     run = moved.withColumn("new_", new).withColumn("run_", F.sum("new_").over(w))
-    glued = run.groupBy("map_id", "region_id", "first_side", "run_").agg(F.min("arc_id").alias("arc_id"), F.min("first_edge").alias("first_edge"), F.max("last_edge").alias("last_edge"), F.max_by("last_side", "last_edge").alias("last_side"), F.sum("edge_count").alias("edge_count")).drop("run_")
-    kept = chords.join(drop, ["map_id", "chord_id"], "left_anti")
-    for c in ("region_a", "region_b"):
-        kept = kept.join(label.select("map_id", F.col("region_id").alias(c), F.col("component").alias(f"{c}_")), ["map_id", c]).withColumn(c, F.col(f"{c}_")).drop(f"{c}_")
+    first, last = F.struct("lo_", "arc_id"), F.struct("hi_", "arc_id")
+    glued = run.groupBy("map_id", "region_id", "first_side", "run_").agg(F.min("arc_id").alias("arc_id"), F.min_by("first_edge", first).alias("first_edge"), F.max_by("last_edge", last).alias("last_edge"), F.max_by("last_side", last).alias("last_side"), F.sum("edge_count").alias("edge_count")).drop("run_")
     alive = label.select("map_id", F.col("component").alias("region_id")).distinct()
-    return region_weight(alive, glued), glued, kept.select(*chords.columns)
-
-
-def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average. The merged weight is taken as the sum of both sides' weights, which bounds it as long as a chord's removal joins one arc of each side."""
+    return region_weight(alive, glued), glued, kept
+
+
+def merged_weights(regions: DataFrame, arcs: DataFrame, chords: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """(map_id, chord_id, region_a, region_b, da, db, merged) for each chord between two regions: their degrees, and the largest edge count that an arc would have without the chord.
+
+    Arcs of both regions that touch an end which would vanish count together; those that touch both ends join both sums."""
+    s = region_degree(regions, chords).join(region_weight(regions, arcs), ["map_id", "region_id"])
+    c = chords.where("region_a <> region_b")
+    for side in ("a", "b"):
+        c = c.join(s.select("map_id", F.col("region_id").alias(f"region_{side}"), F.col("degree").alias(f"d{side}"), F.col("weight").alias(f"w{side}")), ["map_id", f"region_{side}"])
+    both = F.explode(F.array("region_a", "region_b")).alias("region_id")
+    uses = _ends(chords.select("map_id", "chord_id", both, "left_edge", "right_edge", "y"), "chord_id", "region_id").select("map_id", "region_id", "edge", F.col("chord_id").alias("other"))
+    ends = _no_vertex(_ends(c.select("map_id", "chord_id", both, "left_edge", "right_edge", "y"), "chord_id", "region_id"), heights)
+    held = ends.join(uses, ["map_id", "region_id", "edge"]).where("other <> chord_id").select("map_id", "chord_id", "edge").distinct()
+    free = ends.join(held, ["map_id", "chord_id", "edge"], "left_anti")
+    lo, hi = F.least("first_edge", "last_edge"), F.greatest("first_edge", "last_edge")
+    touch = arcs.where("first_edge is not null").select("map_id", "region_id", "arc_id", "edge_count", F.explode(F.array_distinct(F.array(lo, hi, hi + 1))).alias("edge"))
+    met = free.join(touch, ["map_id", "region_id", "edge"]).groupBy("map_id", "chord_id", "arc_id").agg(F.first("edge_count").alias("n"), F.min("edge").alias("e0"), F.max("edge").alias("e1"))
+    met = met.join(c.select("map_id", "chord_id", F.least("left_edge", "right_edge").alias("a_")), ["map_id", "chord_id"])
+    part = lambda x: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0))
+    one = met.groupBy("map_id", "chord_id").agg(part((F.col("e0") == F.col("a_")) & (F.col("e1") == F.col("a_"))).alias("low"), part(F.col("e0") > F.col("a_")).alias("high"), part(F.col("e0") < F.col("e1")).alias("bridge"))
+    sums = F.when(F.col("bridge") > 0, F.col("low") + F.col("high") + F.col("bridge")).otherwise(F.greatest("low", "high"))
+    got = c.join(one.select("map_id", "chord_id", sums.alias("sums")), ["map_id", "chord_id"], "left")
+    return got.select("map_id", "chord_id", "region_a", "region_b", "da", "db", F.greatest("wa", "wb", F.coalesce("sums", F.lit(0))).alias("merged"))
+
+
+def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200, heights: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma (see merged_weights). In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average."""
     for k in range(most):
-        d, w = region_degree(regions, chords), region_weight(regions, arcs)
-        s = d.join(w, ["map_id", "region_id"])
-        c = chords.where("region_a <> region_b")
-        for side in ("a", "b"):
-            c = c.join(s.select("map_id", F.col("region_id").alias(f"region_{side}"), F.col("degree").alias(f"d{side}"), F.col("weight").alias(f"w{side}")), ["map_id", f"region_{side}"])
-        c = c.where((F.least("da", "db") < 3) & (F.col("wa") + F.col("wb") <= gamma)).select("map_id", "chord_id", "region_a", "region_b")
+        c = merged_weights(regions, arcs, chords, heights).where((F.least("da", "db") < 3) & (F.col("merged") <= gamma))
         rank = F.struct(F.xxhash64("map_id", "chord_id", F.lit(k)), "chord_id")
         first = c.select("map_id", "chord_id", F.explode(F.array("region_a", "region_b")).alias("region_id")).groupBy("map_id", "region_id").agg(F.min_by("chord_id", rank).alias("chord_id"))
         chosen = cut(first.groupBy("map_id", "chord_id").agg(F.count("*").alias("n")).where("n = 2").select("map_id", "chord_id"))
         if chosen.isEmpty():
             return regions, arcs, chords
-        regions, arcs, chords = map(cut, contract_chords(regions, arcs, chords, chosen, matched=True))
+        regions, arcs, chords = map(cut, contract_chords(regions, arcs, chords, chosen, matched=True, heights=heights))
     raise RuntimeError(f"chords can still go after {most} rounds")
 
 

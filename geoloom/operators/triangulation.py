@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from .graphs import faces
 from .rings import orient_ccw, ring_neighbors
 from .visibility import trapezoids
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 def classify_trapezoids(traps: DataFrame, vertices: DataFrame) -> DataFrame:
     """class A if top and bottom are neighbours on the ring, else B."""

@@ -53,21 +53,30 @@ def ray_shoot(vertices: DataFrame, closed: bool = True, small: int = 2000) -> Da
     return r.select("pid", "idx", "x", "y").join(hits.drop("x", "y"), ["pid", "idx"], "left")
 
 
-def shoot_from_point(rays: DataFrame, vertices: DataFrame) -> DataFrame:
+def _heights(rays: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rays, edges) with the heights of both numbered together in each polygon: an edge is met if lo < rk < hi, that is from its lower end on, up to but without its upper end."""
+    v = vertices.select("pid", "idx", "x", "y").withColumn("ray_", F.lit(False))
+    both = v.unionByName(rays.withColumn("ray_", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy("pid")
+    both = both.withColumn("rk", F.dense_rank().over(w.orderBy("y")).cast("long")).withColumn("n", F.count("*").over(w))
+    r = ring_neighbors(both.where("not ray_").select("pid", "idx", "x", "y", "rk", F.col("n").alias("n_")), ("idx", "x", "y", "rk"))
+    e = edges_of(r.withColumn("n", F.col("n_"))).withColumn("lo", F.col("lo") - 1)
+    return both.where("ray_").select(*rays.columns, "rk", "n"), e
+
+
+def shoot_from_point(rays: DataFrame, vertices: DataFrame, small: int = 2000) -> DataFrame:
     """Rays (pid, ray_id, x, y) from free points: nearest edges left and right. An edge covers heights from its lower end on, up to but without its upper end."""
-    e = edges_of(ring(vertices)).drop("n")
-    pairs = rays.join(e, "pid").where((F.least("ay", "by") <= F.col("y")) & (F.col("y") < F.greatest("ay", "by")))
-    hits = nearest(pairs, ["pid", "ray_id"], F.col("x"), F.col("y"))
+    asked, e = _heights(rays.select("pid", "ray_id", "x", "y"), vertices)
+    hits = nearest(_pairs(asked, e, small), ["pid", "ray_id"], F.col("x"), F.col("y"))
     return rays.select("pid", "ray_id").join(hits, ["pid", "ray_id"], "left")
 
 
-def shoot_from_edge(rays: DataFrame, vertices: DataFrame) -> DataFrame:
+def shoot_from_edge(rays: DataFrame, vertices: DataFrame, small: int = 2000) -> DataFrame:
     """Rays (pid, ray_id, e, y) from a point of edge e: x by the edge, then the nearest other edges."""
     e = ring_neighbors(vertices).select("pid", F.col("idx").alias("own"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("next_x").alias("qx"), F.col("next_y").alias("qy"))
     start = rays.withColumnRenamed("e", "own").join(e, ["pid", "own"]).withColumn("x", edge_x("ox", "oy", "qx", "qy", "y")).select("pid", "ray_id", "own", "x", "y")
-    other = edges_of(ring(vertices)).drop("n")
-    pairs = start.join(other, "pid").where((F.least("ay", "by") <= F.col("y")) & (F.col("y") < F.greatest("ay", "by")) & (F.col("e") != F.col("own")))
-    hits = nearest(pairs, ["pid", "ray_id"], F.col("x"), F.col("y"))
+    asked, other = _heights(start, vertices)
+    hits = nearest(_pairs(asked, other, small).where("e <> own"), ["pid", "ray_id"], F.col("x"), F.col("y"))
     return start.select("pid", "ray_id", "x").join(hits, ["pid", "ray_id"], "left")
 
 
@@ -96,12 +105,12 @@ def null_length_chords(vertices: DataFrame, closed: bool = True) -> DataFrame:
     return e.select("pid", F.col("idx").alias("vertex"), "y", F.col("idx").alias("left_edge"), F.col("idx").alias("right_edge"), F.lit(True).alias("is_null_length"))
 
 
-def cross_chain_visibility(vertices: DataFrame, chain: str) -> DataFrame:
+def cross_chain_visibility(vertices: DataFrame, chain: str, small: int = 2000) -> DataFrame:
     """Vertices of either chain (column `chain`, 0 or 1, by edge start) that see the other chain before their own: (pid, idx, side, e)."""
     r = ring(vertices)
     names = r.select("pid", "idx", chain)
-    e = edges_of(r, closed=False).join(names.select("pid", F.col("idx").alias("e"), F.col(chain).alias("on")), ["pid", "e"]).drop("n")
-    p = r.select("pid", "idx", "x", "y", "rk", F.col(chain).alias("of")).join(e, "pid").where("lo < rk and rk < hi")
+    e = edges_of(r, closed=False).join(names.select("pid", F.col("idx").alias("e"), F.col(chain).alias("on")), ["pid", "e"])
+    p = _pairs(r.select("pid", "idx", "x", "y", F.col("rk").cast("long").alias("rk"), "n", F.col(chain).alias("of")), e, small)
     own = nearest(p.where("of = on"), ["pid", "idx", "x", "y"], F.col("x"), F.col("y"))
     other = nearest(p.where("of <> on"), ["pid", "idx", "x", "y"], F.col("x"), F.col("y"))
     both = other.join(own.select("pid", "idx", F.col("hl_x").alias("ol"), F.col("hr_x").alias("orx")), ["pid", "idx"], "left")

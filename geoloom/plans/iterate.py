@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the checkpoint folder that all executors share (spark.checkpoint.dir, or one of our own where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geoloom-"))
-    return df.checkpoint(eager=True)
+    """The same rows, written as a Parquet table in spark.checkpoint.dir, which all executors share, and read back.
+
+    Plans of later rounds start from that table: they carry neither the lineage nor the constraints of
+    earlier ones, which grow from round to round, and know its size."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{folder.rstrip('/')}/geoloom/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

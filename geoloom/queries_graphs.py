@@ -23,29 +23,26 @@ query("m3_map_flags", REG + _W + "SELECT map_id, max(degree) AS max_degree, bool
 query("m4_arc_flags", REG + "SELECT map_id, arc_id, edge_count = 0 AS is_null, edge_count = 1 AND first_edge = last_edge AS is_single, FALSE AS is_virtual FROM arcs")(lambda s, d: regions.arc_flags(region_map(s, d)[1]).select("map_id", "arc_id", "is_null", "is_single", "is_virtual"))
 
 
-@query("m5_contract_chords", REG + """, cutoff AS (SELECT r.map_id, r.region_id, (SELECT coalesce(max(c.region_b), 0) FROM chords c WHERE c.map_id = r.map_id AND c.chord_id % 2 = 1 AND c.region_b <= r.region_id) AS low FROM regions r)
-SELECT cutoff.map_id, low AS region_id, max(weight2) AS weight FROM cutoff JOIN (SELECT map_id, region_id, sum(edge_count) AS s, max(edge_count) AS weight2 FROM arcs GROUP BY 1, 2) w2 USING (map_id, region_id) GROUP BY 1, 2""".replace("max(weight2)", "max(weight2)"))
+@query("m5_contract_chords", REG + """, low AS (SELECT r.map_id, r.region_id, (SELECT coalesce(max(c.region_b), 0) FROM chords c WHERE c.map_id = r.map_id AND c.chord_id % 2 = 1 AND c.region_b <= r.region_id) AS low FROM regions r),
+used AS (SELECT k.map_id, low, unnest([left_edge, right_edge]) AS e FROM chords k JOIN low ON low.map_id = k.map_id AND low.region_id IN (region_a, region_b) WHERE chord_id % 2 = 1),
+gone AS (SELECT k.map_id, low, unnest([left_edge, right_edge]) AS e FROM chords k JOIN low ON low.map_id = k.map_id AND low.region_id = region_a WHERE chord_id % 2 = 0 EXCEPT SELECT map_id, low, e FROM used),
+run AS (SELECT arcs.map_id, low.low, first_side, arc_id, first_edge, last_edge, edge_count, CASE WHEN gone.e IS NOT NULL AND first_edge - lag(last_edge) OVER w IN (0, 1) THEN 0 ELSE 1 END AS new FROM arcs JOIN low USING (map_id, region_id) LEFT JOIN gone ON gone.map_id = arcs.map_id AND gone.low = low.low AND gone.e = first_edge WINDOW w AS (PARTITION BY arcs.map_id, low.low, first_side ORDER BY first_edge, arc_id)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY map_id, low, first_side ORDER BY first_edge, arc_id) AS run FROM run)
+SELECT map_id, low AS region_id, min(arc_id) AS arc_id, min(first_edge) AS first_edge, max(last_edge) AS last_edge, CAST(sum(edge_count) AS BIGINT) AS edge_count, CAST(max(sum(edge_count)) OVER (PARTITION BY map_id, low) AS BIGINT) AS weight FROM runs GROUP BY map_id, low, first_side, run""")
 def _m5(s, d):
-    r, a, c = region_map(s, d)
-    a = a.withColumn("first_edge", F.col("arc_id") * 10).withColumn("last_edge", F.col("arc_id") * 10 + 3)  # gaps: arcs don't meet, so weights stay
-    return regions.contract_chords(r, a, c, c.where("chord_id % 2 = 0").select("map_id", "chord_id"))[0]
+    """Arcs after every other chord has gone, with their regions' weights."""
+    r, a, c = map(cut, region_map(s, d))
+    weights, glued, _ = regions.contract_chords(r, a, c, c.where("chord_id % 2 = 0").select("map_id", "chord_id"))
+    return glued.join(weights, ["map_id", "region_id"]).select("map_id", "region_id", "arc_id", "first_edge", "last_edge", "edge_count", "weight")
 
 
 @query("m6_coarsen", REG + "SELECT DISTINCT map_id, TRUE AS bounded, TRUE AS maximal FROM regions")
 def _m6(s, d):
-    """Whether merged weights stay within gamma where they were, and no chord is left that could go."""
+    """Whether weights stay within gamma, and no chord is left that could go."""
     gamma = 25
-    r, a, c = region_map(s, d)
-    r, a, c = map(cut, (r, a.withColumn("first_edge", F.col("arc_id") * 10).withColumn("last_edge", F.col("arc_id") * 10 + 3), c))
-    r2, a2, c2 = regions.coarsen(r, a, c, gamma)
-    w = regions.region_weight(r2, a2)
-    deg = regions.region_degree(r2, c2)
-    s2 = w.join(deg, ["map_id", "region_id"])
-    open_ = c2.where("region_a <> region_b")
-    for k in ("a", "b"):
-        open_ = open_.join(s2.select("map_id", F.col("region_id").alias(f"region_{k}"), F.col("degree").alias(f"d{k}"), F.col("weight").alias(f"w{k}")), ["map_id", f"region_{k}"])
-    left = open_.where((F.least("da", "db") < 3) & (F.col("wa") + F.col("wb") <= gamma)).groupBy("map_id").agg(F.count("*").alias("left_"))
-    return w.groupBy("map_id").agg((F.max("weight") <= gamma).alias("bounded")).join(left, "map_id", "left").select("map_id", "bounded", F.col("left_").isNull().alias("maximal"))
+    r, a, c = regions.coarsen(*map(cut, region_map(s, d)), gamma)
+    left = regions.merged_weights(r, a, c).where((F.least("da", "db") < 3) & (F.col("merged") <= gamma)).groupBy("map_id").agg(F.count("*").alias("left_"))
+    return regions.region_weight(r, a).groupBy("map_id").agg((F.max("weight") <= gamma).alias("bounded")).join(left, "map_id", "left").select("map_id", "bounded", F.col("left_").isNull().alias("maximal"))
 
 
 query("m7_split_ranges", REG + ", q AS (SELECT map_id, chord_id AS range_id, lo AS s, hi AS e FROM ch), e2 AS (SELECT q.map_id, range_id, first_edge AS fin FROM q JOIN arcs USING (map_id) WHERE s <= first_edge AND first_edge < e UNION SELECT map_id, range_id, e FROM q) SELECT e2.map_id, e2.range_id, coalesce(lag(fin) OVER (PARTITION BY e2.map_id, e2.range_id ORDER BY fin) + 1, s) AS s, fin AS e FROM e2 JOIN q USING (map_id, range_id)")(
@@ -137,16 +134,9 @@ query("g19_sides", GRID + f", c AS (SELECT gid, v FROM gv WHERE v % {WIDTH} = 9)
 _OK = GRID + "SELECT DISTINCT gid, TRUE AS a_ok, TRUE AS b_ok, TRUE AS c_ok, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS misplaced FROM gv"
 
 
-def _grid_large(s, d):
-    """Grids of at least 60 vertices."""
-    v, e = grid(s, d)
-    n = v.groupBy("gid").agg(F.count("*").alias("n")).where("n >= 60").select("gid")
-    return v.join(n, "gid", "left_semi"), e.join(n, "gid", "left_semi")
-
-
-@query("g20_find_separator", GRID + "SELECT gid, TRUE AS a_ok, TRUE AS b_ok, TRUE AS c_ok, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS misplaced FROM gv GROUP BY gid HAVING count(*) >= 60")
+@query("g20_find_separator", GRID + "SELECT gid, TRUE AS a_ok, TRUE AS b_ok, TRUE AS c_ok, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS misplaced FROM gv GROUP BY gid")
 def _g20(s, d):
-    v, e = _grid_large(s, d)
+    v, e = grid(s, d)
     parts = cut(graphs.find_separator(v, e))
     flags = quality.check_balance(parts, v)
     for name, bad in (("crossing", quality.check_cross_edges(parts, e)), ("misplaced", quality.check_partition(parts, v))):
@@ -154,9 +144,9 @@ def _g20(s, d):
     return flags
 
 
-@query("g21_iterated_separator", GRID + "SELECT gid, TRUE AS size_ok, TRUE AS all_ok, TRUE AS ids_ok FROM gv GROUP BY gid HAVING count(*) >= 60")
+@query("g21_iterated_separator", GRID + "SELECT gid, TRUE AS size_ok, TRUE AS all_ok, TRUE AS ids_ok FROM gv GROUP BY gid")
 def _g21(s, d):
-    v, e = _grid_large(s, d)
+    v, e = grid(s, d)
     return quality.check_pieces(cut(graphs.iterated_separator(v, e, 30)), v, 30)
 
 
