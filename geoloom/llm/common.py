@@ -116,6 +116,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def in_slices(run, *columns: pa.Array, rows: int = 500) -> pa.Array:
+    """run over slices of the columns, put together: only one slice exists as Python values at a time."""
+    return pa.concat_arrays([run(*(c.slice(i, rows) for c in columns)) for i in range(0, len(columns[0]), rows)] or [run(*columns)])
+
+
 def blocks(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes sum to about most at the utmost; a larger item stands alone."""
     begin = total = i = 0

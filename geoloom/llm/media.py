@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, digest_keys, scratch_path, sent_bitmap, ship
+from .common import Bitmap, digest_keys, in_slices, scratch_path, sent_bitmap, ship
 
 ship(__name__)
 
@@ -199,9 +199,11 @@ def put_together(n_bytes: int, sha256: bytes, recipe: bytes, own: bytes, more: d
 
 
 def assemble():
+    def some(*columns: pa.Array) -> pa.Array:
+        return pa.array([put_together(n, s, r, o, {c["digest"]: c["bytes"] for c in m or ()}) for n, s, r, o, m in zip(*(c.to_pylist() for c in columns))], pa.binary())
+
     def run(n_bytes: pa.Array, sha256: pa.Array, recipe: pa.Array, own: pa.Array, more: pa.Array) -> pa.Array:
-        each = zip(*(c.to_pylist() for c in (n_bytes, sha256, recipe, own, more)))
-        return pa.array([put_together(n, s, r, o, {c["digest"]: c["bytes"] for c in m or ()}) for n, s, r, o, m in each], pa.binary())
+        return in_slices(some, n_bytes, sha256, recipe, own, more)
 
     return F.arrow_udf(run, "binary")
 
@@ -214,7 +216,7 @@ def describe():
 
     Whether a chunk is shared depends on other rows, so that mark is no part of the form: equal texts have equal values."""
 
-    def run(recipes: pa.Array, payloads: pa.Array) -> pa.Array:
+    def some(recipes: pa.Array, payloads: pa.Array) -> pa.Array:
         rows = []
         for recipe, data in zip(recipes.to_pylist(), payloads.to_pylist()):
             head = b"".join(recipe[k : k + ENTRY_BYTES - 1] for k in range(0, len(recipe), ENTRY_BYTES))
@@ -233,6 +235,9 @@ def describe():
             )
         return pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]))
 
+    def run(recipes: pa.Array, payloads: pa.Array) -> pa.Array:
+        return in_slices(some, recipes, payloads)
+
     return F.arrow_udf(run, FEATURES)
 
 
