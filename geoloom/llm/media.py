@@ -95,10 +95,11 @@ STORED = pa.schema([("row", pa.int64()), ("id", pa.null()), ("n_bytes", pa.int64
 
 
 def store_rows(mask_bits: int, sent, hold: int = 4 << 20):
-    """List rows, and rows of chunks that may be shared (digest and bytes; not twice in a row from one task)."""
+    """List rows, and rows of chunks that may be shared (digest and bytes; once from a task of up to 200,000)."""
 
     def run(batches):
         kept: dict[bytes, bytes] = {}
+        told: set[bytes] = set()
         size = 0
         shared: Bitmap = sent.value
 
@@ -122,12 +123,15 @@ def store_rows(mask_bits: int, sent, hold: int = 4 << 20):
                     digests = [hashlib.sha256(c).digest() for c in pieces]
                     far = shared.has(digest_keys(digests)).tolist()
                     for d, c, away in zip(digests, pieces, far):
-                        if away and d not in kept:
+                        if away and d not in told:
+                            told.add(d)
                             kept[d] = c
                             size += len(c)
                     recipe = b"".join(struct.pack(ENTRY, d, len(c), away) for d, c, away in zip(digests, pieces, far))
                     own = b"".join(c for c, away in zip(pieces, far) if not away)
                     lists.append((row, len((text or "").encode()), hashlib.sha256(data).digest(), recipe, own, list({d for d, away in zip(digests, far) if away})))
+                if len(told) > 200_000:  # then a chunk may be told again
+                    told.clear()
                 if size > hold:
                     yield table(lists, part.column(1), kept)
                     kept, size = {}, 0
