@@ -201,6 +201,80 @@ def shrink(v: DataFrame, e: DataFrame, inside: DataFrame) -> tuple[DataFrame, Da
     return kept, undirected_edges(ends)
 
 
+def lowest_common(pairs: DataFrame, tree: DataFrame, levels: DataFrame, most: int = 60) -> DataFrame:
+    """Adds `common`, the lowest common ancestor of u and v in a tree (gid, v, parent) with levels (gid, v, level), to pairs (gid, pair, u, v).
+
+    Ancestors 2**k above by doubling: as many rounds as the logarithm of the depth, not one a level."""
+    jumps = [cut(tree.where("parent is not null").select("gid", F.col("v").alias("x"), F.col("parent").alias("up")))]
+    for _ in range(most):
+        j = jumps[-1]
+        above = cut(j.join(j.select("gid", F.col("x").alias("up"), F.col("up").alias("up2")), ["gid", "up"]).select("gid", "x", F.col("up2").alias("up")))
+        if above.isEmpty():
+            break
+        jumps.append(above)
+    s = pairs
+    for c in ("u", "v"):
+        s = s.withColumn(f"{c}_", F.col(c)).join(levels.select("gid", F.col("v").alias(f"{c}_"), F.col("level").cast("long").alias(f"l{c}")), ["gid", f"{c}_"])
+
+    def lifted(s: DataFrame, k: int) -> DataFrame:
+        for c in ("u", "v"):
+            s = s.join(jumps[k].select("gid", F.col("x").alias(f"{c}_"), F.col("up").alias(f"{c}up")), ["gid", f"{c}_"], "left")
+        return s
+
+    for level_first in (True, False):  # the deeper end climbs to the other's level; then both climb to just below their common ancestor
+        for k in reversed(range(len(jumps))):
+            s = lifted(s, k)
+            if level_first:
+                moves = {c: F.col(f"l{c}") - 2**k >= F.col(f"l{o}") for c, o in (("u", "v"), ("v", "u"))}
+            else:
+                moves = dict.fromkeys("uv", F.coalesce((F.col("u_") != F.col("v_")) & (F.col("uup") != F.col("vup")), F.lit(False)))
+            s = s.select(*pairs.columns, *[F.when(moves[c], F.col(f"{c}up")).otherwise(F.col(f"{c}_")).alias(f"{c}_") for c in "uv"], *[(F.col(f"l{c}") - F.when(moves[c], 2**k).otherwise(0)).alias(f"l{c}") for c in "uv"])
+            s = cut(s)
+    return lifted(s, 0).select(*pairs.columns, F.when(F.col("u_") == F.col("v_"), F.col("u_")).otherwise(F.col("uup")).alias("common"))
+
+
+def cycle_costs(v: DataFrame, half: DataFrame, tree: DataFrame) -> DataFrame:
+    """(gid, u, v, inside, outside, on_cycle) for the cycle that each edge outside a spanning tree closes: what the two sides and the cycle weigh.
+
+    half: an embedding (gid, tail, head, pos), pos growing clockwise; tree: (gid, v, parent), a tree for each component.
+    One walk around the tree passes all half-edges. Between both passes of (u, v) it stays on one side of the cycle, and the
+    vertices first met there are those inside and the path below the lowest common ancestor; so all
+    sides are differences of running sums. The side away from the walk's start, the lowest vertex, is `inside`."""
+    up = tree.where("parent is not null").select("gid", F.col("v").alias("u"), F.col("parent").alias("v"))
+    linked = both_ways(up).select("gid", F.col("u").alias("tail"), F.col("v").alias("head"), F.lit(True).alias("linked"))
+    h = cut(rotation(half).join(linked, ["gid", "tail", "head"], "left").select("gid", "tail", "head", "cw", F.coalesce("linked", F.lit(False)).alias("linked")))
+    back = h.select("gid", F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("cw").alias("turn"))
+    after = F.when(F.col("linked"), F.struct(F.col("head").alias("tail"), F.col("turn").alias("head"))).otherwise(F.struct("tail", F.col("cw").alias("head")))
+    walk = faces(h.join(back, ["gid", "tail", "head"]).select("gid", F.struct("tail", "head").alias("h"), after.alias("next"), "linked"))
+    walk = cut(walk.select("gid", "h.tail", "h.head", "face", "pos").join(h.select("gid", "tail", "head", "linked"), ["gid", "tail", "head"]))
+    cost = v.select("gid", "v", "cost")
+    w = walk.join(walk.select("gid", F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("pos").alias("back")), ["gid", "tail", "head"])
+    w = w.join(cost.select("gid", F.col("v").alias("head"), F.col("cost").alias("hc")), ["gid", "head"]).join(cost.select("gid", F.col("v").alias("tail"), F.col("cost").alias("tc")), ["gid", "tail"])
+    down, upward = F.col("linked") & (F.col("pos") < F.col("back")), F.col("linked") & (F.col("pos") > F.col("back"))
+    so_far = Window.partitionBy("gid", "face").orderBy("pos")
+    run = lambda x: F.sum(x).over(so_far)
+    w = cut(w.select("gid", "tail", "head", "face", "pos", "back", "tc", "linked", down.alias("down"), run(F.when(down, F.col("hc")).otherwise(0.0)).alias("met"), (run(F.when(down, F.col("hc")).when(upward, -F.col("tc")).otherwise(0.0)) + F.first("tc").over(so_far)).alias("chain"), run(F.when(down, 1).when(upward, -1).otherwise(0)).alias("level")))
+    below = w.where("down").select("gid", F.col("head").alias("v"), F.col("tail").alias("parent"), "chain", "level")
+    tops = w.where("pos = 0").select("gid", F.col("tail").alias("v"), F.lit(None).cast("long").alias("parent"), F.col("tc").alias("chain"), F.lit(0).cast("long").alias("level"))
+    rooted = cut(below.unionByName(tops).join(cost, ["gid", "v"]))
+    total = w.groupBy("gid", "face").agg((F.max("met") + F.min_by("tc", "pos")).alias("total"))
+    first = w.where("not linked and pos < back").select("gid", "face", F.col("tail").alias("u"), F.col("head").alias("v"), F.col("met").alias("met_u"), F.col("chain").alias("chain_u"))
+    second = w.where("not linked and pos > back").select("gid", F.col("head").alias("u"), F.col("tail").alias("v"), F.col("met").alias("met_v"), F.col("chain").alias("chain_v"))
+    c = first.join(second, ["gid", "u", "v"]).join(total, ["gid", "face"]).withColumn("pair", F.struct("u", "v"))
+    c = lowest_common(c, rooted, rooted).join(rooted.select("gid", F.col("v").alias("common"), F.col("chain").alias("chain_c"), F.col("cost").alias("cost_c")), ["gid", "common"])
+    inside = F.col("met_v") - F.col("met_u") - (F.col("chain_v") - F.col("chain_c"))
+    on = F.col("chain_u") + F.col("chain_v") - 2 * F.col("chain_c") + F.col("cost_c")
+    return c.select("gid", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), inside.alias("inside"), (F.col("total") - inside - on).alias("outside"), on.alias("on_cycle"))
+
+
+def best_cycle(v: DataFrame, half: DataFrame, tree: DataFrame) -> DataFrame:
+    """The cycle of each graph whose larger side weighs least (see cycle_costs); ties: the lowest edge (u, v). Graphs without a cycle give no row.
+
+    In a triangulated connected graph neither side is above two thirds of the cost."""
+    c = cycle_costs(v, half, tree).withColumn("larger", F.greatest("inside", "outside"))
+    return c.groupBy("gid").agg(F.min_by(F.struct("u", "v", "inside", "outside", "on_cycle", "larger"), F.struct("larger", "u", "v")).alias("b")).select("gid", "b.*")
+
+
 def pack_components(costs: DataFrame) -> DataFrame:
     """part of each component (gid, component, cost): A until it holds more than a third, the rest B; heavy ones first."""
     w = Window.partitionBy("gid").orderBy(F.desc("cost"), "component")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.plane import orient2d
+from .chains import holding
 from .rings import ring_neighbors, signed_area
 
 
@@ -55,14 +56,15 @@ def check_area(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def check_simple(vertices: DataFrame) -> DataFrame:
-    """Pairs of edges that cross in their inner points; pairs meet by pid and overlapping x ranges."""
-    e = ring_neighbors(vertices).select("pid", F.col("idx").alias("e"), "x", "y", F.col("next_x").alias("u"), F.col("next_y").alias("w"))
-    a, b = e, e.select("pid", *[F.col(c).alias(f"o_{c}") for c in ("e", "x", "y", "u", "w")])
-    p = a.join(b, "pid").where((F.col("e") < F.col("o_e")) & (F.least("x", "u") <= F.greatest("o_x", "o_u")) & (F.least("o_x", "o_u") <= F.greatest("x", "u")))
+    """Pairs of edges that cross in their inner points. Edges meet only where their x ranges overlap, by numbered x: the range of one then holds the other's lower end."""
+    v = vertices.select("pid", "idx", "x", "y", F.dense_rank().over(Window.partitionBy("pid").orderBy("x")).cast("long").alias("k"))
+    e = ring_neighbors(v, ("x", "y", "k")).select("pid", F.col("idx").alias("e"), "x", "y", F.col("next_x").alias("u"), F.col("next_y").alias("w"), F.least("k", "next_k").alias("lo"), F.greatest("k", "next_k").alias("hi"))
+    b = e.select("pid", *[F.col(c).alias(f"o_{c}") for c in ("e", "x", "y", "u", "w", "lo")])
+    p = holding(b, e, ["pid"], F.col("o_lo"), F.col("lo"), F.col("hi")).where("lo < o_lo or e < o_e")
     side = lambda ax, ay, bx, by, cx, cy: F.signum(orient2d(ax, ay, bx, by, cx, cy))
     one = side("x", "y", "u", "w", "o_x", "o_y") * side("x", "y", "u", "w", "o_u", "o_w")
     two = side("o_x", "o_y", "o_u", "o_w", "x", "y") * side("o_x", "o_y", "o_u", "o_w", "u", "w")
-    return p.where((one < 0) & (two < 0)).select("pid", "e", F.col("o_e").alias("other"))
+    return p.where((one < 0) & (two < 0)).select("pid", F.least("e", "o_e").alias("e"), F.greatest("e", "o_e").alias("other"))
 
 
 def check_partition(parts: DataFrame, g_vertices: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut
+from .chains import holding
 from .graphs import components, subtree_cost
 
 
@@ -124,7 +125,7 @@ def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int,
 
 def split_ranges(ranges: DataFrame, cuts: DataFrame) -> DataFrame:
     """Ranges (map_id, range_id, s, e), both ends included, cut behind each edge of cuts(map_id, edge) inside them."""
-    inner = ranges.join(cuts.select("map_id", "edge").distinct(), "map_id").where("s <= edge and edge < e").select("map_id", "range_id", F.col("edge").alias("end"))
+    inner = holding(cuts.select("map_id", "edge").distinct(), ranges.select("map_id", "range_id", "s", "e"), ["map_id"], F.col("edge"), F.col("s"), F.col("e") - 1).select("map_id", "range_id", F.col("edge").alias("end"))
     ends = inner.unionByName(ranges.select("map_id", "range_id", F.col("e").alias("end")))
     prev = F.lag("end").over(Window.partitionBy("map_id", "range_id").orderBy("end"))
     return ends.withColumn("prev", prev).join(ranges.select("map_id", "range_id", "s"), ["map_id", "range_id"]).select("map_id", "range_id", F.coalesce(F.col("prev") + 1, F.col("s")).alias("s"), F.col("end").alias("e"))
@@ -141,7 +142,7 @@ def assign_arcs(arcs: DataFrame, chords: DataFrame) -> DataFrame:
 def locate_on_arcs(queries: DataFrame, arcs: DataFrame) -> DataFrame:
     """For queries (map_id, query_id, e): arcs whose range holds e; per region those with e inside are preferred to those with e at an end, then the lowest id."""
     lo, hi = F.least("first_edge", "last_edge"), F.greatest("first_edge", "last_edge")
-    hit = queries.join(arcs.select("map_id", "arc_id", "region_id", lo.alias("lo"), hi.alias("hi")), "map_id").where("lo <= e and e <= hi")
+    hit = holding(queries, arcs.select("map_id", "arc_id", "region_id", lo.alias("lo"), hi.alias("hi")), ["map_id"], F.col("e"), F.col("lo"), F.col("hi"))
     inner = (F.col("lo") < F.col("e")) & (F.col("e") < F.col("hi"))
     return hit.groupBy("map_id", "query_id", "region_id").agg(F.min_by("arc_id", F.struct((~inner).alias("x"), F.col("arc_id").alias("i"))).alias("arc_id"))
 
@@ -190,7 +191,7 @@ def region_adjacency(chords: DataFrame, arcs: DataFrame) -> DataFrame:
 def split_regions(arcs: DataFrame, chords: DataFrame) -> DataFrame:
     """The innermost chord range that holds each arc (null: none); chord ranges are nested. (map_id, arc_id, chord_id)"""
     a = arcs.select("map_id", "arc_id", F.least("first_edge", "last_edge").alias("a"), F.greatest("first_edge", "last_edge").alias("z"))
-    inside = a.join(chords.select("map_id", "chord_id", _lo().alias("lo"), _hi().alias("hi")), "map_id").where("lo <= a and z <= hi")
+    inside = holding(a, chords.select("map_id", "chord_id", _lo().alias("lo"), _hi().alias("hi")), ["map_id"], F.col("a"), F.col("lo"), F.col("hi")).where("z <= hi")
     inner = inside.groupBy("map_id", "arc_id").agg(F.min_by("chord_id", F.struct((F.col("hi") - F.col("lo")).alias("d"), F.col("chord_id").alias("i"))).alias("chord_id"))
     return a.select("map_id", "arc_id").join(inner, ["map_id", "arc_id"], "left")
 
@@ -199,8 +200,8 @@ def internal_chords(region_arcs: DataFrame, chords: DataFrame) -> DataFrame:
     """Chords with both ends on arcs of one region (map_id, region_id, first_edge, last_edge); of those with the same lowest edge the first id."""
     a = region_arcs.select("map_id", "region_id", F.least("first_edge", "last_edge").alias("a"), F.greatest("first_edge", "last_edge").alias("z"))
     c = chords.select("map_id", "chord_id", _lo().alias("lo"), _hi().alias("hi"))
-    one = c.join(a, "map_id").where("a <= lo and lo <= z").select("map_id", "region_id", "chord_id", "lo", "hi").distinct()
-    both = one.join(a, ["map_id", "region_id"]).where("a <= hi and hi <= z").select("map_id", "region_id", "chord_id", "lo").distinct()
+    one = holding(c, a, ["map_id"], F.col("lo"), F.col("a"), F.col("z")).select("map_id", "region_id", "chord_id", "lo", "hi").distinct()
+    both = holding(one, a, ["map_id", "region_id"], F.col("hi"), F.col("a"), F.col("z")).select("map_id", "region_id", "chord_id", "lo").distinct()
     nth = F.row_number().over(Window.partitionBy("map_id", "region_id", "lo").orderBy("chord_id"))
     return both.withColumn("nth", nth).where("nth = 1").select("map_id", "region_id", "chord_id")
 

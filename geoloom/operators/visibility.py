@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.plane import edge_x, orient2d
+from .chains import holding
 from .rings import ring, ring_neighbors, y_extrema
 
 
@@ -161,4 +162,4 @@ def locate_by_height(queries: DataFrame, chords: DataFrame) -> DataFrame:
 def region_locate_on_edge(queries: DataFrame, arcs: DataFrame) -> DataFrame:
     """region for queries (map_id, query_id, e, side): arcs whose edge range holds e on that side."""
     a = arcs.select("map_id", "region_id", F.least("first_edge", "last_edge").alias("a_"), F.greatest("first_edge", "last_edge").alias("z_"), F.col("first_side").alias("side"))
-    return queries.join(a, ["map_id", "side"]).where("a_ <= e and e <= z_").groupBy("map_id", "query_id").agg(F.min("region_id").alias("region"))
+    return holding(queries, a, ["map_id", "side"], F.col("e"), F.col("a_"), F.col("z_")).groupBy("map_id", "query_id").agg(F.min("region_id").alias("region"))

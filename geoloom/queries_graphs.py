@@ -130,6 +130,17 @@ def _g16(s, d):
 
 
 query("g17_shrink", GRID + ", m AS (SELECT gid, v, CASE WHEN v % 100 < 40 THEN min(v) OVER (PARTITION BY gid, v % 100 < 40) ELSE v END AS t FROM gv) SELECT DISTINCT ge.gid, least(a.t, b.t) AS u, greatest(a.t, b.t) AS v FROM ge JOIN m a ON a.gid = ge.gid AND a.v = ge.u JOIN m b ON b.gid = ge.gid AND b.v = ge.v WHERE a.t <> b.t")(lambda s, d: graphs.shrink(*(g := grid(s, d)), g[0].where("v % 100 < 40").select("gid", "v"))[1])
+_CYCLES = f""", nt AS (SELECT ge.* FROM ge JOIN par a ON a.gid = ge.gid AND a.v = ge.u JOIN par b ON b.gid = ge.gid AND b.v = ge.v WHERE a.parent IS DISTINCT FROM ge.v AND b.parent IS DISTINCT FROM ge.u),
+legs AS (SELECT nt.gid, nt.u, nt.v, up.x, count(*) AS times FROM nt JOIN up ON up.gid = nt.gid AND up.v IN (nt.u, nt.v) GROUP BY 1, 2, 3, 4),
+tops AS (SELECT l.gid, l.u, l.v, arg_max(l.x, par.level) AS x FROM legs l JOIN par ON par.gid = l.gid AND par.v = l.x WHERE times = 2 GROUP BY 1, 2, 3),
+cyc AS (SELECT gid, u, v, x FROM legs WHERE times = 1 UNION ALL SELECT gid, u, v, x FROM tops),
+walls AS (SELECT l.gid, l.u, l.v, least(l.x, par.parent) AS x FROM legs l JOIN par ON par.gid = l.gid AND par.v = l.x WHERE times = 1 AND abs(l.x - par.parent) = {WIDTH} UNION ALL SELECT gid, u, v, u FROM nt WHERE v - u = {WIDTH}),
+free AS (SELECT nt.gid, nt.u, nt.v, gv.v AS x, gv.cost FROM nt JOIN gv ON gv.gid = nt.gid ANTI JOIN cyc ON cyc.gid = nt.gid AND cyc.u = nt.u AND cyc.v = nt.v AND cyc.x = gv.v),
+held AS (SELECT f.gid, f.u, f.v, f.x, any_value(f.cost) AS cost, count(w.x) % 2 AS odd FROM free f LEFT JOIN walls w ON w.gid = f.gid AND w.u = f.u AND w.v = f.v AND w.x // {WIDTH} = f.x // {WIDTH} AND w.x < f.x GROUP BY 1, 2, 3, 4),
+two AS (SELECT nt.gid, nt.u, nt.v, coalesce(sum(cost) FILTER (odd = 1), 0) AS a, coalesce(sum(cost) FILTER (odd = 0), 0) AS b FROM nt LEFT JOIN held USING (gid, u, v) GROUP BY 1, 2, 3) """
+query("g18_best_cycle", GRID + _BFS + _TREE + _CYCLES + "SELECT gid, u, v, least(a, b) AS smaller, greatest(a, b) AS larger FROM two QUALIFY row_number() OVER (PARTITION BY gid ORDER BY greatest(a, b), u, v) = 1")(
+    lambda s, d: graphs.best_cycle((g := grid(s, d))[0], _half(g[1]), graphs.bfs(*g)).select("gid", "u", "v", F.least("inside", "outside").alias("smaller"), "larger")
+)
 query("g19_sides", GRID + f", c AS (SELECT gid, v FROM gv WHERE v % {WIDTH} = 9), w AS (SELECT gid, v % {WIDTH} < 9 AS west, sum(cost) AS s, min(v) AS low FROM gv WHERE v % {WIDTH} <> 9 GROUP BY 1, 2), p AS (SELECT gid, west, CASE WHEN 3 * (sum(s) OVER (PARTITION BY gid ORDER BY s DESC, low) - s) <= sum(s) OVER (PARTITION BY gid) THEN 'A' ELSE 'B' END AS part FROM w) SELECT gv.gid, v, CASE WHEN v % {WIDTH} = 9 THEN 'C' ELSE part END AS part FROM gv LEFT JOIN p ON p.gid = gv.gid AND p.west = (v % {WIDTH} < 9)")(lambda s, d: graphs.sides(*(g := grid(s, d)), g[0].where(f"v % {WIDTH} = 9").select("gid", "v")))
 _OK = GRID + "SELECT DISTINCT gid, TRUE AS a_ok, TRUE AS b_ok, TRUE AS c_ok, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS misplaced FROM gv"
 
