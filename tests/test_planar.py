@@ -150,6 +150,52 @@ def test_range_joins_by_pieces_equal_those_by_polygon(spark, vertices):
     assert a.count() == rays.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_ranges_that_hold_points(spark):
+    rng = random.Random(5)
+    points = [(rng.randint(0, 2), k, rng.randint(-5, 700)) for k in range(200)] + [(0, 900, 2**45), (1, 901, None)]
+    ranges = [(rng.randint(0, 2), k, a, a + rng.choice([-1, 0, 1, 7, 8, 9, 63, 64, 500])) for k, a in enumerate(rng.choices(range(-9, 700), k=200))] + [(0, 900, 0, 2**46), (1, 901, None, 5)]
+    p, r = spark.createDataFrame(points, "k long, i long, x long"), spark.createDataFrame(ranges, "k long, j long, a long, b long")
+    got = sorted((g.i, g.j) for g in chains.holding(p, r, ["k"], F.col("x"), F.col("a"), F.col("b")).collect())
+    assert got == sorted((i, j) for k, i, x in points for m, j, a, b in ranges if k == m and None not in (x, a) and a <= x <= b)
+
+
+def test_cycle_costs_against_winding(spark):
+    """A triangulated 5 x 6 grid and a tree, with uneven costs: each cycle's sides by the polygon that it is."""
+    cols, rows = 6, 5
+    place = {v: (v % cols, -(v // cols)) for v in range(rows * cols)}
+    edges = [(a, a + b) for a in place for b in (1, cols, cols + 1) if a + b in place and not (b != cols and a % cols == cols - 1)]
+    cost = {v: float(1 + v * 7 % 5) for v in place}
+    half = [(1, a, b, -math.atan2(place[b][1] - place[a][1], place[b][0] - place[a][0])) for e in edges for a, b in (e, e[::-1])]
+    half += [(2, 0, 1, 0.0), (2, 1, 0, 0.0)]
+    gv = spark.createDataFrame([(1, k, c) for k, c in cost.items()] + [(2, 0, 1.0), (2, 1, 1.0)], "gid long, v long, cost double")
+    gh = spark.createDataFrame(half, "gid long, tail long, head long, pos double")
+    tree = graphs.bfs(gv, gh.select("gid", F.col("tail").alias("u"), F.col("head").alias("v")).where("u < v")).cache()
+    up = {r.v: r.parent for r in tree.where("gid = 1").collect()}
+
+    def path(x):
+        out = [x]
+        while up[out[-1]] is not None:
+            out.append(up[out[-1]])
+        return out
+
+    want = {}
+    for a, b in edges:
+        if up[a] != b and up[b] != a:
+            p, q = path(a), path(b)
+            top = next(x for x in p if x in q)
+            ring = p[: p.index(top) + 1] + q[: q.index(top)][::-1]
+            side = {True: 0.0, False: 0.0}
+            for x in set(place) - set(ring):
+                turns = sum(math.remainder(math.atan2(place[d][1] - place[x][1], place[d][0] - place[x][0]) - math.atan2(place[c][1] - place[x][1], place[c][0] - place[x][0]), 2 * math.pi) for c, d in zip(ring, ring[1:] + ring[:1]))
+                side[abs(turns) > 1] += cost[x]
+            want[a, b] = (side[True], side[False], sum(map(cost.get, ring)))
+    got = {(r.u, r.v): (r.inside, r.outside, r.on_cycle) for r in graphs.cycle_costs(gv, gh, tree).collect()}
+    assert got.keys() == want.keys()
+    assert all(sorted(got[e][:2]) == sorted(want[e][:2]) and got[e][2] == want[e][2] for e in want)
+    best = graphs.best_cycle(gv, gh, tree).collect()
+    assert [r.gid for r in best] == [1] and best[0].larger == min(max(w[:2]) for w in want.values()) and 3 * best[0].larger <= 2 * sum(cost.values())
+
+
 def test_reading_polygon_text(spark, tmp_path):
     (tmp_path / "a.txt").write_text("3\n0 0\n4 0\n2 3\n")
     (tmp_path / "b.txt").write_text("2\n0 0\n1 1\n")
