@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,9 +13,14 @@ def cut(df: DataFrame) -> DataFrame:
     Plans of later rounds start from that table: they carry neither the lineage nor the constraints of
     earlier ones, which grow from round to round, and know its size."""
     spark = df.sparkSession
+    path = scratch(spark, "round")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{folder.rstrip('/')}/geoloom/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/geoloom/{name}-{uuid.uuid4().hex}"

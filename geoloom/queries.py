@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.plane import orient2d, x_at
 from .operators import chains, quality, rings, triangulation, visibility
 from .plans.fixtures import ORDER, skyline_sql, skylines
-from .plans.iterate import cut
+from .plans.iterate import cut, scratch
 from .sources import tables
 
 QUERIES: dict = {}
@@ -33,6 +33,18 @@ def _poly(sql: str):
 
 # Vertices and rings
 
+
+@query("s1_read_polygon_text", "WITH " + skyline_sql("l_suppkey") + " SELECT pid, idx, x, y FROM v")
+def _s1(s, d):
+    """The polygons by supplier, written as a text file each (n, then lines "x y") and read back."""
+    path = scratch(s, "polygons")
+    line = F.concat_ws(" ", "x", "y")
+    ring = skylines(s, d, "l_suppkey").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("v"))
+    ring.select("pid", F.concat_ws("\n", F.size("v").cast("string"), F.col("v.line")).alias("value")).repartition("pid").write.partitionBy("pid").text(path)
+    names = s.read.text(path, wholetext=True).select(F.input_file_name().alias("path")).select(F.xxhash64("path").alias("file"), F.regexp_extract("path", r"pid=(\d+)", 1).cast("long").alias("pid"))
+    return tables.read_polygon_text(s, path)[0].withColumnRenamed("pid", "file").join(names, "file").select("pid", "idx", "x", "y")
+
+
 query("s2_read_vertices", _poly("SELECT pid, idx, x, y FROM v"))(lambda s, d: tables.read_vertices(skylines(s, d).withColumnsRenamed({"pid": "p", "idx": "i"}), "p", "i"))
 
 
@@ -191,6 +203,14 @@ query("t6_triangulate_with", _AREA)(lambda s, d: _areas(cut(triangulation.triang
 query("t7_ring_fan", _poly("SELECT pid, CAST(0 AS BIGINT) AS a, idx AS b, idx + 1 AS c FROM ring WHERE idx BETWEEN 1 AND n - 2"))(lambda s, d: triangulation.ring_fan(skylines(s, d)))
 
 
+@query("s4_write_triangles", _poly("SELECT pid, CAST(0 AS BIGINT) AS a, idx AS b, idx + 1 AS c FROM ring WHERE idx BETWEEN 1 AND n - 2"))
+def _s4(s, d):
+    """Fans written as lines "pid a b c" and read back."""
+    path = scratch(s, "triangles")
+    tables.write_triangles(triangulation.ring_fan(skylines(s, d)), path, text=True, folders=False)
+    return s.read.csv(path, sep=" ", schema="pid long, a long, b long, c long")
+
+
 @query("s5_polygon_report", _poly("SELECT pid, any_value(n) AS vertices, any_value(n) AS edges, any_value(n) - 1 AS trapezoids, CAST(1 << CAST(ceil(log2(any_value(n) - 1)) AS INTEGER) AS BIGINT) + 1 AS padded FROM ring GROUP BY pid"))
 def _s5(s, d):
     v = skylines(s, d)

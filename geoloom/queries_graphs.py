@@ -69,6 +69,7 @@ query("m17_region_boundary", REG + ", b AS (SELECT map_id, region_id, first_edge
 # Graphs
 
 query("s3_read_graph", GRID + "SELECT gid, u, v FROM ge")(lambda s, d: tables.read_graph(*grid(s, d))[1])
+query("s3_read_graph_costs", GRID + "SELECT gid, v, CAST(1 AS DOUBLE) AS cost FROM gv")(lambda s, d: tables.read_graph((g := grid(s, d))[0].drop("cost"), g[1])[0])
 query("g1_undirected_edges", GRID + "SELECT gid, u, v FROM ge")(lambda s, d: graphs.undirected_edges(graphs.both_ways(e := grid(s, d)[1]).unionByName(e.select("gid", "u", F.col("u").alias("v")))))
 query("g2_degree", GRID + "SELECT gid, v, count(*) AS degree FROM (SELECT gid, u AS v FROM ge UNION ALL SELECT gid, v FROM ge) GROUP BY 1, 2")(lambda s, d: graphs.degree(grid(s, d)[1]))
 
@@ -82,6 +83,10 @@ def _half(e: DataFrame) -> DataFrame:
 _H = f", h AS (SELECT gid, u AS tail, v AS head FROM ge UNION ALL SELECT gid, v, u FROM ge), p AS (SELECT *, CASE WHEN head = tail - {WIDTH} THEN 0 WHEN head = tail + 1 THEN 1 WHEN head = tail + {WIDTH} THEN 2 ELSE 3 END AS pos FROM h) "
 query("g3_rotation", GRID + _H + "SELECT a.gid, a.tail, a.head, arg_min(b.head, (b.pos - a.pos + 3) % 4) AS cw, arg_min(b.head, (a.pos - b.pos + 3) % 4) AS ccw FROM p a JOIN p b ON a.gid = b.gid AND a.tail = b.tail GROUP BY 1, 2, 3")(lambda s, d: graphs.rotation(_half(grid(s, d)[1])).select("gid", "tail", "head", "cw", "ccw"))
 query("g4_faces", GRID + "SELECT gid, (SELECT count(*) FROM ge e WHERE e.gid = x.gid) - count(*) + 1 + 1 AS faces, 2 * (SELECT count(*) FROM ge e WHERE e.gid = x.gid) AS sides FROM gv x WHERE EXISTS (SELECT 1 FROM ge e WHERE e.gid = x.gid) GROUP BY gid")(lambda s, d: graphs.embedded_faces(_half(grid(s, d)[1])).groupBy("gid").agg(F.count_distinct("face").alias("faces"), F.count("*").alias("sides")))
+_SQUARE = "SELECT a.gid, a.v AS a, b.v AS b, c.v AS c, d.v AS d FROM gv a JOIN gv b ON b.gid = a.gid AND b.v = a.v + {w} JOIN gv c ON c.gid = a.gid AND c.v = b.v + 1 JOIN gv d ON d.gid = a.gid AND d.v = a.v + 1 WHERE a.v % {w} < {w} - 1".format(w=WIDTH)
+query("g4_square_walks", GRID + f"SELECT gid, tail, head, a AS start_tail, b AS start_head, CAST(pos AS BIGINT) AS pos FROM (SELECT gid, a, b, unnest([a, b, c, d]) AS tail, unnest([b, c, d, a]) AS head, unnest([0, 1, 2, 3]) AS pos FROM ({_SQUARE}))")(
+    lambda s, d: graphs.embedded_faces(_half(grid(s, d)[1])).where("size = 4").select("gid", "tail", "head", F.col("face.tail").alias("start_tail"), F.col("face.head").alias("start_head"), F.col("pos").cast("long").alias("pos"))
+)
 query("t7_fan_faces", GRID + f"SELECT a.gid, 2 * count(*) AS triangles FROM gv a JOIN gv b ON a.gid = b.gid AND b.v = a.v + {WIDTH + 1} AND a.v % {WIDTH} < {WIDTH - 1} GROUP BY 1")(
     lambda s, d: triangulation.fan_faces(graphs.embedded_faces(_half(grid(s, d)[1])).where("size = 4").select("gid", "face", "pos", F.col("tail").alias("v"))).groupBy("gid").agg(F.count("*").alias("triangles"))
 )

@@ -31,10 +31,12 @@ def read_graph(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.select(F.col("gid").cast("long").alias("gid"), F.col("v").cast("long").alias("v"), cost.alias("cost")), e.select(F.col("gid").cast("long").alias("gid"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
 
 
-def write_triangles(triangles: DataFrame, path: str, text: bool = False) -> None:
-    """Parquet, or lines "a b c" in one folder for each polygon."""
-    if text:
+def write_triangles(triangles: DataFrame, path: str, text: bool = False, folders: bool = True) -> None:
+    """Parquet, or text: lines "a b c" in one folder for each polygon or, without folders, lines "pid a b c" of all polygons in as many files as the frame has partitions."""
+    if text and folders:
         triangles.select("pid", F.concat_ws(" ", "a", "b", "c").alias("line")).write.partitionBy("pid").text(path)
+    elif text:
+        triangles.select(F.concat_ws(" ", "pid", "a", "b", "c").alias("line")).write.text(path)
     else:
         triangles.write.parquet(path)
 
