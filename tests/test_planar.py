@@ -221,7 +221,7 @@ def compare(a, b):
     assert plain(a) == plain(b)
 
 
-FAST = [q for q in planar.QUERIES if q in planar.ORACLES and q.split("_")[0] not in ("t4", "g15", "g16", "g18", "g21", "m6")]
+FAST = [q for q in planar.QUERIES if q in planar.ORACLES and q.split("_")[0] not in ("t4", "g15", "g16", "g21", "m6")]
 
 
 @pytest.mark.parametrize("name", FAST)
