@@ -7,6 +7,7 @@ from .langid import op4_language_id
 from .lm_score import op1_lm_score
 from .media import op7_media_chunks
 from .packing import op9_packing
+from .runs import op11_periodic_runs
 from .secrets import op8_secret_scan
 from .simhash import op6_simhash_dedup
 from .token_counts import op10_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
