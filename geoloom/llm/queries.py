@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 
+from .conversations import OP13_SQL, op13_conversation_repair
 from .decontam import op3_decontamination
 from .langid import op4_language_id
 from .lm_score import op1_lm_score
@@ -27,8 +28,9 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op13_conversation_repair": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
