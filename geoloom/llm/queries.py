@@ -8,6 +8,7 @@ from .langid import op4_language_id
 from .lm_score import op1_lm_score
 from .media import op7_media_chunks
 from .packing import op9_packing
+from .quality import op12_quality_neighbours
 from .runs import op11_periodic_runs
 from .secrets import op8_secret_scan
 from .simhash import op6_simhash_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_neighbours": op12_quality_neighbours,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
