@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import cut
+from ..plans.iterate import counted, cut
+from .darts import best_cycle, between_levels, cycle_costs, darts_of  # noqa: F401
+from .walks import faces, lowest_common, tree_path  # noqa: F401
 
 
 def undirected_edges(e: DataFrame) -> DataFrame:
@@ -28,29 +30,6 @@ def rotation(half: DataFrame) -> DataFrame:
     return half.withColumn("cw", F.coalesce(F.lead("head").over(w), F.first("head").over(whole))).withColumn("ccw", F.coalesce(F.lag("head").over(w), F.last("head").over(whole)))
 
 
-def faces(successor: DataFrame, most: int = 40) -> DataFrame:
-    """(gid, h, face, pos, size) for a table of half-edge successors (gid, h, next): face is the lowest h on the walk and pos counts from it.
-
-    Pointer doubling: as many rounds as the logarithm of the longest face."""
-    s = cut(successor.select("gid", "h", "next", F.col("h").alias("face")))
-    for k in range(most):
-        n = s.select("gid", F.col("h").alias("next"), F.col("next").alias("next2"), F.col("face").alias("face2"))
-        new = cut(s.join(n, ["gid", "next"]).select("gid", "h", F.col("next2").alias("next"), F.least("face", "face2").alias("face"), (F.col("face2") < F.col("face")).alias("moved")))
-        s = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("faces are longer than the rounds allow")
-    label = s.select("gid", "h", "face")
-    d = successor.join(label, ["gid", "h"]).select("gid", "h", "face", F.when(F.col("h") == F.col("face"), F.col("h")).otherwise(F.col("next")).alias("jump"), F.when(F.col("h") == F.col("face"), 0).otherwise(1).alias("steps"))
-    d = cut(d)
-    for _ in range(k + 1):
-        n = d.select("gid", F.col("h").alias("jump"), F.col("jump").alias("jump2"), F.col("steps").alias("steps2"))
-        d = cut(d.join(n, ["gid", "jump"]).select("gid", "h", "face", F.col("jump2").alias("jump"), (F.col("steps") + F.col("steps2")).alias("steps")))
-    size = F.count("*").over(Window.partitionBy("gid", "face"))
-    return d.withColumn("size", size).select("gid", "h", "face", F.pmod(F.col("size") - F.col("steps"), F.col("size")).alias("pos"), "size")
-
-
 def embedded_faces(half: DataFrame) -> DataFrame:
     """Faces of an embedded graph, with tail and head of each half-edge: after (u, v) comes the clockwise neighbour of u at v."""
     r = rotation(half)
@@ -67,20 +46,35 @@ def live_subgraph(v: DataFrame, e: DataFrame, keep: DataFrame) -> tuple[DataFram
 def components(v: DataFrame, e: DataFrame, most: int = 60) -> DataFrame:
     """(gid, v, component): the lowest vertex reachable.
 
-    Each round takes the lowest label around, then the label of the label; long paths shrink by doubling."""
-    edges = cut(both_ways(e))
-    state = cut(v.select("gid", "v", F.col("v").alias("component")))
-    for _ in range(most):
-        near = edges.join(state, ["gid", "v"]).groupBy("gid", F.col("u").alias("v")).agg(F.min("component").alias("near"))
-        low = state.join(near, ["gid", "v"], "left").select("gid", "v", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        hook = low.groupBy("gid", F.col("component").alias("v")).agg(F.min("low").alias("hook"))
-        jump = low.select("gid", F.col("v").alias("low"), F.col("low").alias("then"))
-        new = low.join(hook, ["gid", "v"], "left").join(jump, ["gid", "low"]).select("gid", "v", F.least("low", "then", F.coalesce("hook", "low")).alias("new"), "component")
-        new = cut(new)
-        state = new.select("gid", "v", F.col("new").alias("component"))
-        if new.where("new <> component").isEmpty():
-            return state
-    raise RuntimeError(f"components are not settled after {most} rounds")
+    By contraction: each round every vertex goes over to its neighbour (or itself) of lowest random rank, and the edges
+    between what is left are those of the next round; a fixed share of the vertices is expected to vanish each time, whatever the shape. In
+    the end the rounds' tables are joined from the last, smallest one back to the first."""
+    edges, n = counted(undirected_edges(e), "true")
+    steps = []
+    for k in range(most):
+        if not n:
+            break
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("r"), F.col(c).alias("x"))  # noqa: B023, E731
+        near = both_ways(edges).groupBy("gid", "u").agg(F.min(rank("v")).alias("near"))
+        step = cut(near.select("gid", F.col("u").alias("v"), F.least("near", rank("u")).getField("x").alias("to")))
+        left = edges
+        for c in ("u", "v"):
+            left = left.join(step.select("gid", F.col("v").alias(c), F.col("to").alias(f"to_{c}")), ["gid", c])
+        edges, n = counted(undirected_edges(left.select("gid", F.col("to_u").alias("u"), F.col("to_v").alias("v"))), "true", edges)
+        steps.append(step)
+    else:
+        raise RuntimeError(f"components are not settled after {most} rounds")
+    label = None
+    for step in reversed(steps):
+        if label is None:
+            label = step
+        else:
+            then = label.select("gid", F.col("v").alias("to"), F.col("to").alias("then"))
+            label = step.join(then, ["gid", "to"], "left").select("gid", "v", F.coalesce("then", "to").alias("to"))
+    out = v.select("gid", "v", F.col("v").alias("to")) if label is None else v.select("gid", "v").join(label, ["gid", "v"], "left").withColumn("to", F.coalesce("to", "v"))
+    out = cut(out.select("gid", "v", "to"), *steps)
+    low = out.groupBy("gid", "to").agg(F.min("v").alias("component"))
+    return cut(out.join(low, ["gid", "to"]).select("gid", "v", "component"), out)
 
 
 def component_cost(v: DataFrame, parts: DataFrame) -> DataFrame:
@@ -104,11 +98,11 @@ def bfs(v: DataFrame, e: DataFrame, roots: DataFrame | None = None, most: int =
     start = roots if roots is not None else v.groupBy("gid").agg(F.min("v").alias("v"))
     front = cut(start.select("gid", "v", F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")))
     before, done = None, [front]
-    for k in range(1, most):
+    for k in range(1, most + 1):
         near = edges.join(front.select("gid", F.col("v").alias("u")), ["gid", "u"]).groupBy("gid", "v").agg(F.min("u").alias("parent"))
         seen = front if before is None else front.select("gid", "v").unionByName(before.select("gid", "v"))  # neighbours are at most one level back
-        new = cut(near.join(seen, ["gid", "v"], "left_anti").select("gid", "v", F.lit(k).alias("level"), "parent"))
-        if new.isEmpty():
+        new, n = counted(near.join(seen, ["gid", "v"], "left_anti").select("gid", "v", F.lit(k).alias("level"), "parent"), "true")
+        if not n:
             break
         before, front = front, new
         done.append(new)
@@ -117,6 +111,8 @@ def bfs(v: DataFrame, e: DataFrame, roots: DataFrame | None = None, most: int =
             for d in done[1:]:
                 whole = whole.unionByName(d)
             done = [cut(whole)]
+    else:
+        raise RuntimeError(f"the graph has more than {most} levels")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -149,37 +145,12 @@ def subtree_cost(v: DataFrame, tree: DataFrame) -> DataFrame:
     for _ in range(60):
         gives = state.where("up is not null").groupBy("gid", F.col("up").alias("v")).agg(F.sum("subtree").alias("more"))
         above = state.select("gid", F.col("v").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"))
-        state = cut(state.join(gives, ["gid", "v"], "left").join(above, ["gid", "up"], "left").select("gid", "v", F.col("up2").alias("up"), (F.col("subtree") + F.coalesce("more", F.lit(0.0))).alias("subtree"), F.coalesce("root2", "root").alias("root")))
-        if state.where("up is not null").isEmpty():
+        state, n = counted(state.join(gives, ["gid", "v"], "left").join(above, ["gid", "up"], "left").select("gid", "v", F.col("up2").alias("up"), (F.col("subtree") + F.coalesce("more", F.lit(0.0))).alias("subtree"), F.coalesce("root2", "root").alias("root")), "up is not null", state)
+        if not n:
             return state.select("gid", "v", "subtree", "root")
     raise RuntimeError("the tree is too deep, or has a cycle")
 
 
-def tree_path(pairs: DataFrame, tree: DataFrame, most: int = 100_000) -> DataFrame:
-    """Vertices on the tree path of each pair (gid, pair, u, v): (gid, pair, vertex). The deeper end climbs; one round a level."""
-    t = tree.select("gid", F.col("v").alias("x"), F.col("level").alias("lx"), F.col("parent").alias("px"))
-    s = pairs.select("gid", "pair", "u", "v")
-    found = [s.select("gid", "pair", F.col("u").alias("vertex")), s.select("gid", "pair", F.col("v").alias("vertex"))]
-    for _ in range(most):
-        s = s.where("u <> v")
-        a = t.select("gid", F.col("x").alias("u"), F.col("lx").alias("lu"), F.col("px").alias("pu"))
-        b = t.select("gid", F.col("x").alias("v"), F.col("lx").alias("lv"), F.col("px").alias("pv"))
-        s = s.join(a, ["gid", "u"]).join(b, ["gid", "v"])
-        s = cut(s.select("gid", "pair", F.when(F.col("lu") >= F.col("lv"), F.col("pu")).otherwise(F.col("u")).alias("u"), F.when(F.col("lv") >= F.col("lu"), F.col("pv")).otherwise(F.col("v")).alias("v")))
-        if s.isEmpty():
-            break
-        found.append(s.select("gid", "pair", F.explode(F.array("u", "v")).alias("vertex")))
-        if len(found) > 16:
-            whole = found[0]
-            for f in found[1:]:
-                whole = whole.unionByName(f)
-            found = [cut(whole.distinct())]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
-
-
 def cycle_side_cost(path: DataFrame, tree: DataFrame, subtree: DataFrame, v: DataFrame) -> DataFrame:
     """Cost hanging off each cycle vertex: its subtree without itself and without its children on the cycle."""
     subtree = subtree.select("gid", F.col("v").alias("vertex"), "subtree")
@@ -201,80 +172,6 @@ def shrink(v: DataFrame, e: DataFrame, inside: DataFrame) -> tuple[DataFrame, Da
     return kept, undirected_edges(ends)
 
 
-def lowest_common(pairs: DataFrame, tree: DataFrame, levels: DataFrame, most: int = 60) -> DataFrame:
-    """Adds `common`, the lowest common ancestor of u and v in a tree (gid, v, parent) with levels (gid, v, level), to pairs (gid, pair, u, v).
-
-    Ancestors 2**k above by doubling: as many rounds as the logarithm of the depth, not one a level."""
-    jumps = [cut(tree.where("parent is not null").select("gid", F.col("v").alias("x"), F.col("parent").alias("up")))]
-    for _ in range(most):
-        j = jumps[-1]
-        above = cut(j.join(j.select("gid", F.col("x").alias("up"), F.col("up").alias("up2")), ["gid", "up"]).select("gid", "x", F.col("up2").alias("up")))
-        if above.isEmpty():
-            break
-        jumps.append(above)
-    s = pairs
-    for c in ("u", "v"):
-        s = s.withColumn(f"{c}_", F.col(c)).join(levels.select("gid", F.col("v").alias(f"{c}_"), F.col("level").cast("long").alias(f"l{c}")), ["gid", f"{c}_"])
-
-    def lifted(s: DataFrame, k: int) -> DataFrame:
-        for c in ("u", "v"):
-            s = s.join(jumps[k].select("gid", F.col("x").alias(f"{c}_"), F.col("up").alias(f"{c}up")), ["gid", f"{c}_"], "left")
-        return s
-
-    for level_first in (True, False):  # the deeper end climbs to the other's level; then both climb to just below their common ancestor
-        for k in reversed(range(len(jumps))):
-            s = lifted(s, k)
-            if level_first:
-                moves = {c: F.col(f"l{c}") - 2**k >= F.col(f"l{o}") for c, o in (("u", "v"), ("v", "u"))}
-            else:
-                moves = dict.fromkeys("uv", F.coalesce((F.col("u_") != F.col("v_")) & (F.col("uup") != F.col("vup")), F.lit(False)))
-            s = s.select(*pairs.columns, *[F.when(moves[c], F.col(f"{c}up")).otherwise(F.col(f"{c}_")).alias(f"{c}_") for c in "uv"], *[(F.col(f"l{c}") - F.when(moves[c], 2**k).otherwise(0)).alias(f"l{c}") for c in "uv"])
-            s = cut(s)
-    return lifted(s, 0).select(*pairs.columns, F.when(F.col("u_") == F.col("v_"), F.col("u_")).otherwise(F.col("uup")).alias("common"))
-
-
-def cycle_costs(v: DataFrame, half: DataFrame, tree: DataFrame) -> DataFrame:
-    """(gid, u, v, inside, outside, on_cycle) for the cycle that each edge outside a spanning tree closes: what the two sides and the cycle weigh.
-
-    half: an embedding (gid, tail, head, pos), pos growing clockwise; tree: (gid, v, parent), a tree for each component.
-    One walk around the tree passes all half-edges. Between both passes of (u, v) it stays on one side of the cycle, and the
-    vertices first met there are those inside and the path below the lowest common ancestor; so all
-    sides are differences of running sums. The side away from the walk's start, the lowest vertex, is `inside`."""
-    up = tree.where("parent is not null").select("gid", F.col("v").alias("u"), F.col("parent").alias("v"))
-    linked = both_ways(up).select("gid", F.col("u").alias("tail"), F.col("v").alias("head"), F.lit(True).alias("linked"))
-    h = cut(rotation(half).join(linked, ["gid", "tail", "head"], "left").select("gid", "tail", "head", "cw", F.coalesce("linked", F.lit(False)).alias("linked")))
-    back = h.select("gid", F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("cw").alias("turn"))
-    after = F.when(F.col("linked"), F.struct(F.col("head").alias("tail"), F.col("turn").alias("head"))).otherwise(F.struct("tail", F.col("cw").alias("head")))
-    walk = faces(h.join(back, ["gid", "tail", "head"]).select("gid", F.struct("tail", "head").alias("h"), after.alias("next"), "linked"))
-    walk = cut(walk.select("gid", "h.tail", "h.head", "face", "pos").join(h.select("gid", "tail", "head", "linked"), ["gid", "tail", "head"]))
-    cost = v.select("gid", "v", "cost")
-    w = walk.join(walk.select("gid", F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("pos").alias("back")), ["gid", "tail", "head"])
-    w = w.join(cost.select("gid", F.col("v").alias("head"), F.col("cost").alias("hc")), ["gid", "head"]).join(cost.select("gid", F.col("v").alias("tail"), F.col("cost").alias("tc")), ["gid", "tail"])
-    down, upward = F.col("linked") & (F.col("pos") < F.col("back")), F.col("linked") & (F.col("pos") > F.col("back"))
-    so_far = Window.partitionBy("gid", "face").orderBy("pos")
-    run = lambda x: F.sum(x).over(so_far)
-    w = cut(w.select("gid", "tail", "head", "face", "pos", "back", "tc", "linked", down.alias("down"), run(F.when(down, F.col("hc")).otherwise(0.0)).alias("met"), (run(F.when(down, F.col("hc")).when(upward, -F.col("tc")).otherwise(0.0)) + F.first("tc").over(so_far)).alias("chain"), run(F.when(down, 1).when(upward, -1).otherwise(0)).alias("level")))
-    below = w.where("down").select("gid", F.col("head").alias("v"), F.col("tail").alias("parent"), "chain", "level")
-    tops = w.where("pos = 0").select("gid", F.col("tail").alias("v"), F.lit(None).cast("long").alias("parent"), F.col("tc").alias("chain"), F.lit(0).cast("long").alias("level"))
-    rooted = cut(below.unionByName(tops).join(cost, ["gid", "v"]))
-    total = w.groupBy("gid", "face").agg((F.max("met") + F.min_by("tc", "pos")).alias("total"))
-    first = w.where("not linked and pos < back").select("gid", "face", F.col("tail").alias("u"), F.col("head").alias("v"), F.col("met").alias("met_u"), F.col("chain").alias("chain_u"))
-    second = w.where("not linked and pos > back").select("gid", F.col("head").alias("u"), F.col("tail").alias("v"), F.col("met").alias("met_v"), F.col("chain").alias("chain_v"))
-    c = first.join(second, ["gid", "u", "v"]).join(total, ["gid", "face"]).withColumn("pair", F.struct("u", "v"))
-    c = lowest_common(c, rooted, rooted).join(rooted.select("gid", F.col("v").alias("common"), F.col("chain").alias("chain_c"), F.col("cost").alias("cost_c")), ["gid", "common"])
-    inside = F.col("met_v") - F.col("met_u") - (F.col("chain_v") - F.col("chain_c"))
-    on = F.col("chain_u") + F.col("chain_v") - 2 * F.col("chain_c") + F.col("cost_c")
-    return c.select("gid", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), inside.alias("inside"), (F.col("total") - inside - on).alias("outside"), on.alias("on_cycle"))
-
-
-def best_cycle(v: DataFrame, half: DataFrame, tree: DataFrame) -> DataFrame:
-    """The cycle of each graph whose larger side weighs least (see cycle_costs); ties: the lowest edge (u, v). Graphs without a cycle give no row.
-
-    In a triangulated connected graph neither side is above two thirds of the cost."""
-    c = cycle_costs(v, half, tree).withColumn("larger", F.greatest("inside", "outside"))
-    return c.groupBy("gid").agg(F.min_by(F.struct("u", "v", "inside", "outside", "on_cycle", "larger"), F.struct("larger", "u", "v")).alias("b")).select("gid", "b.*")
-
-
 def pack_components(costs: DataFrame) -> DataFrame:
     """part of each component (gid, component, cost): A until it holds more than a third, the rest B; heavy ones first."""
     w = Window.partitionBy("gid").orderBy(F.desc("cost"), "component")
@@ -297,14 +194,17 @@ def sides(v: DataFrame, e: DataFrame, c: DataFrame) -> DataFrame:
     return parts.join(packed, ["gid", "component"]).select("gid", "v", "part").unionByName(c.select("gid", "v", F.lit("C").alias("part")))
 
 
-def find_separator(v: DataFrame, e: DataFrame, most: int = 60) -> DataFrame:
+def find_separator(v: DataFrame, e: DataFrame, most: int = 60, half: DataFrame | None = None) -> DataFrame:
     """(gid, v, part): no edge between A and B, and neither above two thirds of the cost.
 
     Graphs whose components are all light are packed without C. Otherwise two levels of a breadth-first search in
-    the heaviest component go to C, and again in what is left of the graphs that still have a component of more than
-    two thirds, until none has; all graphs in one go. One cut keeps C within 2 sqrt(2 n) vertices; a further cut
-    stands in for the cycle between the two levels and adds as much for the part it divides, which
-    holds for hubs and nested rings but is not bounded for every planar graph: see quality.check_balance."""
+    the heaviest component go to C. What lies between them may still be too heavy:
+
+    With half, an embedding (gid, tail, head, pos) of every edge both ways, pos growing clockwise, a cycle divides it (see
+    darts.between_levels), and C has at most 2 sqrt(2 n) vertices in every graph.
+
+    Without it the levels are cut again, until no part has over two thirds; one cut keeps C within 2 sqrt(2 n) vertices, a
+    further one adds as much for the part it divides: see quality.check_balance."""
     v, e = cut(normalize_cost(v)), cut(e)
     c = None
     for _ in range(most):
@@ -315,16 +215,22 @@ def find_separator(v: DataFrame, e: DataFrame, most: int = 60) -> DataFrame:
         heavy = cut(parts.join(top.where("cost * 3 > 2 + 1e-9").select("gid", "component"), ["gid", "component"]).select("gid", "v"))
         if heavy.isEmpty():
             return sides(v, e, c if c is not None else heavy)
-        hv, he = live_subgraph(v, e, heavy)
+        if half is not None and c is not None:
+            raise RuntimeError("half is no embedding of the edges in the plane")
+        hv, he = map(cut, live_subgraph(v, e, heavy))
         levels = bfs(hv, he)
-        chosen = choose_levels(level_profile(hv, levels)).withColumn("l0", F.coalesce("l0", "l1"))
+        chosen = cut(choose_levels(level_profile(hv, levels)).withColumn("l0", F.coalesce("l0", "l1")))
         more = level_separator(levels, chosen)
+        if half is not None:
+            more = more.unionByName(between_levels(hv, levels, chosen, half)).distinct()
         c = cut(more if c is None else c.unionByName(more))
     raise RuntimeError(f"graphs are not divided after {most} rounds")
 
 
-def iterated_separator(v: DataFrame, e: DataFrame, max_piece: int, most: int = 40) -> DataFrame:
-    """(gid, v, is_separator, piece_id): separates with unit costs again and again, all pieces that are too large in one go, until each has at most max_piece vertices. piece_id: its lowest vertex."""
+def iterated_separator(v: DataFrame, e: DataFrame, max_piece: int, most: int = 40, half: DataFrame | None = None) -> DataFrame:
+    """(gid, v, is_separator, piece_id): separates with unit costs again and again, all pieces that are too large in one go, until each has at most max_piece vertices. piece_id: its lowest vertex.
+
+    half: an embedding of the edges, see find_separator; a piece has what it leaves of it."""
     todo = cut(v.select("gid", "v", F.lit(0).cast("long").alias("piece")))
     cuts: list[DataFrame] = []
     for _ in range(most):
@@ -337,7 +243,12 @@ def iterated_separator(v: DataFrame, e: DataFrame, max_piece: int, most: int = 4
         gv = large.select(name.alias("gid"), "v", F.lit(1.0).alias("cost"), F.col("gid").alias("g0"))
         ge = e.join(gv.select(F.col("g0").alias("gid"), F.col("v").alias("u"), F.col("gid").alias("name")), ["gid", "u"]).select(F.col("name").alias("gid"), "u", "v")
         ge = ge.join(gv.select("gid", "v"), ["gid", "v"], "left_semi").select("gid", "u", "v")
-        parts = find_separator(gv.drop("g0"), ge)
+        name_of = gv.select(F.col("g0").alias("gid"), "v", F.col("gid").alias("name"))
+        own = None
+        if half is not None:
+            own = half.join(name_of.withColumnRenamed("v", "tail"), ["gid", "tail"]).select(F.col("name").alias("gid"), "tail", "head", "pos")
+            own = own.join(gv.select("gid", F.col("v").alias("head")), ["gid", "head"], "left_semi").select("gid", "tail", "head", "pos")
+        parts = find_separator(gv.drop("g0"), ge, half=own)
         cuts.append(cut(parts.where("part = 'C'").select("gid.gid", "v")))
         rest = parts.where("part <> 'C'").withColumn("n_", F.min("v").over(Window.partitionBy("gid", "part")))
         todo = cut(small.unionByName(rest.select("gid.gid", "v", F.col("n_").alias("piece"))))

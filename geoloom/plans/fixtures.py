@@ -73,3 +73,35 @@ arcs AS (SELECT map_id, arc_id, arc_id // 3 AS region_id, arc_id * 2 AS first_ed
 regions AS (SELECT DISTINCT map_id, region_id FROM arcs),
 chords AS (SELECT map_id, arc_id // 3 AS chord_id, arc_id // 3 AS region_a, arc_id // 3 + 1 AS region_b, (arc_id // 3) * 6 + q % 5 AS left_edge, (arc_id // 3) * 6 + q % 17 AS right_edge, CAST(q AS DOUBLE) AS y, q % 5 = q % 17 AS is_null_length FROM a JOIN (SELECT map_id AS m, max(region_id) AS last FROM regions GROUP BY 1) ON m = map_id WHERE arc_id % 3 = 2 AND arc_id // 3 < last),
 ch AS (SELECT *, least(left_edge, right_edge) AS lo, greatest(left_edge, right_edge) AS hi FROM chords)"""
+
+
+STACK = 400
+
+
+def stacked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(g_vertices, g_edges, half): a stacked triangulation of every STACK parts, with its embedding; the part size as cost.
+
+    Part i of a graph, from the fourth on, lies in the middle of triangle i - 3 and makes three of it; triangle g becomes 3 g + 1 to 3 g + 3."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr(f"p_partkey div {STACK}").alias("gid"), F.col("p_partkey").cast("long").alias("v"), F.col("p_size").cast("double").alias("cost"))
+    i = F.row_number().over(Window.partitionBy("gid").orderBy("v")) - 1
+    part = part.withColumn("i", i.cast("long"))
+    up = [F.col("i") - 3]
+    for _ in range(7):
+        up.append(F.floor((up[-1] - 1) / 3))
+    digits = F.transform(F.reverse(F.filter(F.array(*up), lambda t: t > 0)), lambda t: (t - 1) % 3)
+    corner = lambda i, x, y: F.struct(F.lit(i).cast("long").alias("i"), F.lit(x).cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    middle = lambda s: F.struct((s["g"] + 3).alias("i"), ((s["a"]["x"] + s["b"]["x"] + s["c"]["x"]) / 3).alias("x"), ((s["a"]["y"] + s["b"]["y"] + s["c"]["y"]) / 3).alias("y"))
+    pick = lambda s, d, one, two, three: F.when(d == 0, s[one]).when(d == 1, s[two]).otherwise(s[three])
+    begin = F.struct(corner(0, 0, 0).alias("a"), corner(1, 3**8, 0).alias("b"), corner(2, 0, 3**8).alias("c"), F.lit(0).cast("long").alias("g"))
+    fold = lambda s, d: F.struct(pick(s, d, "a", "b", "c").alias("a"), pick(s, d, "b", "c", "a").alias("b"), middle(s).alias("c"), (s["g"] * 3 + 1 + d).alias("g"))
+    inner = part.where("i >= 3").withColumn("t", F.aggregate(digits, begin, fold))
+    me = F.col("i")
+    inner = inner.withColumn("m", middle(F.col("t")))
+    ends = inner.select("gid", F.col("m").alias("p"), F.explode(F.array("t.a", "t.b", "t.c")).alias("q"))
+    outer = part.where("i = 1 or i = 2").select("gid", F.when(me == 1, F.array(F.struct(corner(0, 0, 0).alias("p"), corner(1, 3**8, 0).alias("q")))).otherwise(F.array(F.struct(corner(0, 0, 0).alias("p"), corner(2, 0, 3**8).alias("q")), F.struct(corner(1, 3**8, 0).alias("p"), corner(2, 0, 3**8).alias("q")))).alias("e"))
+    ends = ends.unionByName(outer.select("gid", F.inline("e")))
+    named = lambda c: part.select("gid", F.col("i").alias(f"{c}_i"), F.col("v").alias(c))
+    both = ends.unionByName(ends.select("gid", F.col("q").alias("p"), F.col("p").alias("q")))
+    half = both.select("gid", F.col("p.i").alias("tail_i"), F.col("q.i").alias("head_i"), (-F.atan2(F.col("q.y") - F.col("p.y"), F.col("q.x") - F.col("p.x"))).alias("pos"))
+    half = half.join(named("tail"), ["gid", "tail_i"]).join(named("head"), ["gid", "head_i"]).select("gid", "tail", "head", "pos")
+    return part.select("gid", "v", "cost"), half.where("tail < head").select("gid", F.col("tail").alias("u"), F.col("head").alias("v")), half

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import graphs, quality, regions, rings, triangulation, visibility
-from .plans.fixtures import GRID_SQL, REGION_SQL, WIDTH, grid, region_map, skyline_sql, skylines
+from .operators import darts, graphs, quality, regions, rings, triangulation, visibility
+from .plans.fixtures import BLOCK, GRID_SQL, REGION_SQL, STACK, WIDTH, grid, region_map, skyline_sql, skylines, stacked
 from .plans.iterate import cut
 from .queries import query
 from .sources import tables
@@ -153,13 +153,46 @@ _OK = GRID + "SELECT DISTINCT gid, TRUE AS a_ok, TRUE AS b_ok, TRUE AS c_ok, CAS
 @query("g20_find_separator", GRID + "SELECT gid, TRUE AS a_ok, TRUE AS b_ok, TRUE AS c_ok, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS misplaced FROM gv GROUP BY gid")
 def _g20(s, d):
     v, e = grid(s, d)
-    parts = cut(graphs.find_separator(v, e))
+    return _flags(cut(graphs.find_separator(v, e)), v, e)
+
+
+def _flags(parts: DataFrame, v: DataFrame, e: DataFrame) -> DataFrame:
+    """Balance and size of separators, edges across and vertices out of place."""
     flags = quality.check_balance(parts, v)
     for name, bad in (("crossing", quality.check_cross_edges(parts, e)), ("misplaced", quality.check_partition(parts, v))):
         flags = flags.join(bad.groupBy("gid").agg(F.count("*").alias(name)), "gid", "left").na.fill(0, [name])
     return flags
 
 
+_STACKED = f"SELECT CAST(p_partkey // {STACK} AS BIGINT) AS gid, CAST(p_partkey AS BIGINT) AS v, CAST(p_size AS DOUBLE) AS cost FROM part"
+
+
+@query("g20_find_separator_stacked", f"SELECT gid, TRUE AS a_ok, TRUE AS b_ok, TRUE AS c_ok, CAST(0 AS BIGINT) AS crossing, CAST(0 AS BIGINT) AS misplaced, greatest(2 * count(*) - 4, 2) AS triangles FROM ({_STACKED}) GROUP BY gid HAVING count(*) >= 3")
+def _g20_stacked(s, d):
+    """Separators of stacked triangulations, which need a cycle between the levels; and the number of their faces of three sides."""
+    v, e, half = map(cut, stacked(s, d))
+    three = darts.dart_faces(darts.around(darts.darts_of(half))).where("size = 3 and pos = 0").groupBy("gid").agg(F.count("*").alias("triangles"))
+    return _flags(cut(graphs.find_separator(v, e, half=half)), v, e).join(three, "gid")
+
+
+@query("g21_iterated_separator_stacked", f"SELECT gid, TRUE AS size_ok, TRUE AS all_ok, TRUE AS ids_ok FROM ({_STACKED}) GROUP BY gid")
+def _g21_stacked(s, d):
+    v, e, half = map(cut, stacked(s, d))
+    return quality.check_pieces(cut(graphs.iterated_separator(v, e, 60, half=half)), v, 60)
+
+
+@query("g17_shrink_embedded", GRID + f", m AS (SELECT gid, v, CASE WHEN v % {BLOCK} < 40 THEN min(v) OVER (PARTITION BY gid, v % {BLOCK} < 40) ELSE v END AS t FROM gv), s AS (SELECT DISTINCT ge.gid, least(a.t, b.t) AS u, greatest(a.t, b.t) AS v FROM ge JOIN m a ON a.gid = ge.gid AND a.v = ge.u JOIN m b ON b.gid = ge.gid AND b.v = ge.v WHERE a.t <> b.t), r AS (SELECT s.gid, u AS tail, s.v AS head, row_number() OVER (PARTITION BY s.gid ORDER BY s.v DESC) AS place, count(*) OVER (PARTITION BY s.gid) AS n, min(s.v) OVER (PARTITION BY s.gid) AS low FROM s WHERE u % {BLOCK} = 0) SELECT gid, tail, head, place % n AS place FROM r")
+def _g17_embedded(s, d):
+    """The rotation of the vertex that the upper two rows of each grid become, counted from its lowest neighbour: the vertices of the third row, from right to left."""
+    v, e = grid(s, d)
+    inside = v.where(f"v % {BLOCK} < 40").select("gid", "v")
+    tree = graphs.bfs(*graphs.live_subgraph(v, e, inside)).select("gid", "v", "parent")
+    _, new = darts.shrink_embedded(v, darts.darts_of(_half(e)), inside, tree)
+    ring = darts.around(new).where(f"tail % {BLOCK} = 0")
+    zero = ring.groupBy("gid").agg(F.min_by("p", "head").alias("zero"), F.count("*").alias("n"))
+    return ring.join(zero, "gid").select("gid", "tail", "head", F.pmod(F.col("p") - F.col("zero"), F.col("n")).alias("place"))
+
+
 @query("g21_iterated_separator", GRID + "SELECT gid, TRUE AS size_ok, TRUE AS all_ok, TRUE AS ids_ok FROM gv GROUP BY gid")
 def _g21(s, d):
     v, e = grid(s, d)
