@@ -13,10 +13,12 @@ and drops a node with all below it once they pass the distance.
 
 A bucket reports links of a spanning forest of the pairs it found, not all pairs.
 
-`later_copies` decides by the texts themselves: fingerprints of two-word shingles, which move less
-under edits, only propose pairs, and a link needs a Jaccard similarity of the five-word shingles of
-`least` or more. There a bucket reports a spanning forest of smallest differences, whose links are then
-checked, so that large groups are joined by few links between their closest members.
+`later_copies` decides by the texts themselves. Fingerprints of two-word shingles, which move less
+under edits, only propose: they are merged where equal, then linked within a wider distance (a bucket reports a
+spanning forest of smallest differences), and what links reach is a family. A link of two texts needs a Jaccard similarity of
+their five-word shingles of `least` or more. Checked are the links themselves, and neighbours in the family's order by
+smallest shingle hashes, first by two such orders, then, between texts that are still apart, by more: the
+number of checks follows that of the texts, however many share a fingerprint or fail.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, ship, written
+from ..plans.ordered import neighbours
+from .common import U64, mix, ship, written
 from .components import components
 
 ship(__name__)
@@ -180,9 +183,9 @@ def closest_forest(n: int, chunks: Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def bucket_links(distance: int, fan: int, closest: bool, frontier: int = 1_000_000):
-    """Links of a spanning forest in each bucket; rows (mask, value, code, node) come sorted by bucket and Gray rank."""
+    """Links of a spanning forest in each bucket; rows (mask, value, code) come sorted by bucket and Gray rank."""
 
-    def links(codes: np.ndarray, key: np.ndarray, node: np.ndarray):
+    def links(codes: np.ndarray, key: np.ndarray):
         begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True])))
         size = np.diff(begin)
         index = GrayIndex(codes, begin, fan)
@@ -202,35 +205,34 @@ def bucket_links(distance: int, fan: int, closest: bool, frontier: int = 1_000_0
             label = forest(len(codes), (p[:2] for p in pairs()))
             a = np.flatnonzero(label != np.arange(len(codes)))
             b = label[a]
-        return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
+        return pa.RecordBatch.from_pydict({"a": pa.array(codes[a].view(np.int64)), "b": pa.array(codes[b].view(np.int64))})
 
     def run(batches):
-        codes, key, node = np.zeros(0, U64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+        codes, key = np.zeros(0, U64), np.zeros((0, 2), np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             codes = np.concatenate((codes, batch.column(2).to_numpy().view(U64)))
-            node = np.concatenate((node, batch.column(3).to_numpy()))
             key = np.concatenate((key, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)))
             cut = np.flatnonzero((key != key[-1]).any(1))
             cut = int(cut[-1]) + 1 if len(cut) else 0  # the last bucket may go on
             if cut:
-                yield links(codes[:cut], key[:cut], node[:cut])
-                codes, key, node = codes[cut:], key[cut:], node[cut:]
+                yield links(codes[:cut], key[:cut])
+                codes, key = codes[cut:], key[cut:]
         if len(codes):
-            yield links(codes, key, node)
+            yield links(codes, key)
 
     return run
 
 
-def link_fingerprints(distinct: DataFrame, col: str, distance: int = 4, bucket_rows: int = 20_000, fan: int = 8, node: str | None = None) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, col: str, distance: int = 4, bucket_rows: int = 20_000, fan: int = 8, closest: bool = False) -> DataFrame:
     """(a, b): links that join all fingerprints that chains of differences up to the distance join. Input: distinct non-null 64-bit numbers.
 
-    With node, a column of distinct numbers that fingerprints may share, links name nodes and are those of smallest differences."""
+    closest: a bucket's links are those of smallest differences. A bucket that is dealt again is copied distance + 1 times."""
     code = F.col(col).alias("code")
     masks = split_mask(0, distance + 1)
-    rows = distinct.select(code, F.col(node or col).alias("node"), F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks])).alias("mask"))
-    rows = written(rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code", "node"), "sim-buckets")
+    rows = distinct.select(code, F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks])).alias("mask"))
+    rows = written(rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code"), "sim-buckets")
     parts = []
     while True:
         # buckets with at most `distance` free bits have 2**distance different fingerprints at most
@@ -240,15 +242,15 @@ def link_fingerprints(distinct: DataFrame, col: str, distance: int = 4, bucket_r
             parts.append(rows)
             break
         parts.append(rows.join(large, ["mask", "value"], "left_anti"))
-        rows = rows.join(large, ["mask", "value"], "left_semi").select("code", "node", F.explode(finer_masks(distance + 1)(F.col("mask"))).alias("mask"))
-        rows = written(rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code", "node").distinct(), "sim-buckets")
+        rows = rows.join(large, ["mask", "value"], "left_semi").select("code", F.explode(finer_masks(distance + 1)(F.col("mask"))).alias("mask"))
+        rows = written(rows.select("mask", F.col("code").bitwiseAND(F.col("mask")).alias("value"), "code").distinct(), "sim-buckets")
     out = None
     gray = F.col("code")
     for s in (1, 2, 4, 8, 16, 32):
         gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, s))
     for p in parts:
         spread = p.withColumn("gray", gray).repartition("mask", "value").sortWithinPartitions("mask", "value", "gray")
-        found = spread.select("mask", "value", "code", "node").mapInArrow(bucket_links(distance, fan, node is not None), "a long, b long")
+        found = spread.select("mask", "value", "code").mapInArrow(bucket_links(distance, fan, closest), "a long, b long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -286,12 +288,34 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 7) for i in range(len(words) - k + 1)] if words else [], U64)).view(np.int64)
 
 
+LOOKS = 8  # smallest shingle hashes of a text, each under a mixing of its own
+
+
+def smallest(hashes: np.ndarray) -> list[int]:
+    h = hashes.view(U64)
+    return [int(mix(h ^ U64(k * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64).min()) if len(h) else 0 for k in range(LOOKS)]
+
+
+def proposed(members: DataFrame, looks: range, labels: DataFrame | None) -> DataFrame:
+    """(a, b): nodes that are neighbours among those of a family with the same smallest hash, in order of another such hash; with labels (node, root), of different roots only.
+
+    Chains, not pairs: at most one link for each node and look."""
+    look = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.get("least", F.lit(k)).alias("h"), F.get("least", F.lit((k + 1) % LOOKS)).alias("tie")) for k in looks]))
+    rows = members.select("family", "node", look.alias("x")).select("family", "node", "x.*")
+    order = [F.col("tie"), F.col("node")]
+    if labels is not None:
+        rows = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = rows.groupBy("family", "k", "h", "root").agg(F.min(F.struct("tie", "node")).alias("x")).select("family", "k", "h", "x.tie", "x.node")
+    links = neighbours(rows, ["family", "k", "h"], order, ["node"], around=False).where("next_node is not null")
+    return links.select(F.least("node", "next_node").alias("a"), F.greatest("node", "next_node").alias("b")).distinct()
+
+
 def later_copies(rows: DataFrame, uid: str, text_col: str = "text", order: tuple[str, ...] = (), least: float = 0.8, size: int = 5, index_size: int = 2, distance: int = 9, bucket_rows: int = 20_000) -> DataFrame:
     """A written table of the uids that are not the first of their group, by the order columns (nulls last) and then uid.
 
     rows: a written table in which uid tells rows apart. Groups are chains of texts of equal words and of
     links with a Jaccard similarity of at least `least` of their `size`-word shingles. Null and empty texts have
-    equal words. Texts are read where they lie; fingerprints, digests and the shingles of linked texts are shuffled."""
+    equal words. Texts are read where they lie; fingerprints, digests and the shingles of texts in families are shuffled."""
 
     def prints(texts: pa.Array) -> pa.Array:
         every = texts.to_pylist()
@@ -299,18 +323,30 @@ def later_copies(rows: DataFrame, uid: str, text_col: str = "text", order: tuple
         return pa.StructArray.from_arrays([fp, pa.array([word_digest(t) for t in every], pa.binary())], ["fp", "digest"])
 
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t, size) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        every = [shingles(t, size) for t in texts.to_pylist()]
+        kind = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(every, kind), pa.array([smallest(x) for x in every], kind)], ["s", "least"])
 
     own = rows.select(F.col(uid).alias("uid"), F.struct(*[x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{k}"), F.col(c).alias(f"c{k}"))], F.col(uid).alias("uid")).alias("place"), F.arrow_udf(prints, "fp long, digest binary")(F.col(text_col)).alias("p"))
     own = written(own.select("uid", "place", "p.fp", "p.digest"), "sim-prints")
     kinds = written(own.groupBy("digest").agg(F.min("place").alias("place"), F.first("fp").alias("fp")).select(F.col("place.uid").alias("node"), "place", "fp"), "sim-kinds")
-    links = written(link_fingerprints(kinds, "fp", distance, bucket_rows, node="node").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "sim-proposed")
-    ends = written(links.select(F.explode(F.array("a", "b")).alias(uid)).distinct(), "sim-ends")
-    found = written(rows.select(uid, text_col).join(ends, uid, "left_semi").select(F.col(uid).alias("node"), F.arrow_udf(sets, "array<long>")(F.col(text_col)).alias("s")), "sim-shingles")
-    both = links.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    roots = components(alike, "a", "b")
+    codes = written(kinds.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "sim-codes")
+    near = written(link_fingerprints(codes.select("fp"), "fp", distance, bucket_rows, closest=True).distinct(), "sim-proposed")
+    family = codes.join(components(near, "a", "b").withColumnRenamed("node", "fp"), "fp", "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("family"))
+    member = written(kinds.select("node", "fp").join(family, "fp").select(F.col("node").alias(uid), "family"), "sim-members")
+    found = rows.select(uid, text_col).join(member, uid).select(F.col(uid).alias("node"), "family", F.arrow_udf(sets, "s array<long>, least array<long>")(F.col(text_col)).alias("x"))
+    found = written(found.select("node", "family", "x.*"), "sim-shingles")
+    sets_of = lambda end: found.select(F.col("node").alias(end), F.col("s").alias(f"s{end}"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        common = F.size(F.array_intersect("sa", "sb"))
+        return written(pairs.join(sets_of("a"), "a").join(sets_of("b"), "b").where(common >= least * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "sim-alike")
+
+    node_of = lambda end: codes.select(F.col("fp").alias(end), F.col("node").alias(f"n{end}"))
+    between = near.join(node_of("a"), "a").join(node_of("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    links = alike(between.unionByName(proposed(found, range(2), None)).distinct())
+    links = links.unionByName(alike(proposed(found, range(2, LOOKS), components(links, "a", "b"))))
+    roots = components(links, "a", "b")
     first = kinds.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place").alias("place"))
     return written(own.select("uid").join(first.select(F.col("place.uid").alias("uid")), "uid", "left_anti").select(F.col("uid").alias(uid)), "sim-later")
 

@@ -126,4 +126,4 @@ def test_null_and_repeated_ids_in_dedup_and_decontamination(spark):
 def test_registered(spark):
     from geoloom.llm import queries
 
-    assert queries.QUERIES["pipeline"] is corpus_pipeline.run and len(queries.QUERIES) == 11
+    assert queries.QUERIES["pipeline"] is corpus_pipeline.run and len(queries.QUERIES) == 14

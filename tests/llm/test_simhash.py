@@ -3,7 +3,8 @@ import pytest
 import xxhash
 
 from geoloom.llm.components import components
-from geoloom.llm.simhash import GrayIndex, forest, gray_rank, link_fingerprints, near_duplicates, op6_simhash_dedup
+from geoloom.llm.common import written
+from geoloom.llm.simhash import GrayIndex, fingerprint, forest, gray_rank, later_copies, link_fingerprints, near_duplicates, op6_simhash_dedup, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +78,45 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got[0] != got[1000]
 
 
+def kept(spark, texts):
+    rows = written(spark.createDataFrame(list(enumerate(texts)), "uid long, text string"), "test-rows")
+    gone = {r.uid for r in later_copies(rows, "uid").collect()}
+    return [k for k in range(len(texts)) if k not in gone]
+
+
+def test_many_texts_of_one_fingerprint(spark):
+    """21,000 pages of one template with a number of their own: one fingerprint, above bucket_rows at its default. Long ones are near copies, short ones are not."""
+    rng = np.random.default_rng(7)
+    line = "all rights reserved to the owner of this page " * 4
+    short = [f"{line} {k}" for k in range(21_000)]
+    assert len({fingerprint(t, 2) for t in short[:300]}) == 1
+    words = rng.integers(0, 10**6, 300)
+    long = [" ".join(f"w{x}" for x in words[:150]) + f" number {k} " + " ".join(f"w{x}" for x in words[150:]) for k in range(200)]
+    stay = kept(spark, short + long)
+    assert stay[0] == 0 and sum(k >= 21_000 for k in stay) == 1
+    a, b = (set(shingles(short[k], 5).tolist()) for k in (3, 4))
+    near = len(a & b) / len(a | b) >= 0.8
+    assert sum(k < 21_000 for k in stay) == (1 if near else 21_000)
+
+
+def test_members_of_a_fingerprint_are_told_apart(spark):
+    """Texts of one fingerprint in three groups of near copies, dealt so that neighbours in any one order are often of different groups."""
+    rng = np.random.default_rng(3)
+    common = " ".join(["the same line again"] * 30)
+    own = [[f"g{g}x{i}" for i in range(16)] for g in range(3)]
+    texts = []
+    for k in range(300):
+        w = list(own[k % 3])
+        w[int(rng.integers(0, 16))] = f"edit{k}" if rng.random() < 0.1 else w[0]
+        texts.append(f"{common} {' '.join(w)} {common}")
+    sets = [set(shingles(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = forest(300, [(np.array([i for i, _ in near]), np.array([j for _, j in near]))])
+    want = sorted(set(label.tolist()))
+    got = kept(spark, texts)
+    assert len({fingerprint(t, 2) for t in texts}) < 100 and set(want) <= set(got) and len(got) <= len(want) + 0.02 * (300 - len(want))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
