@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import cut
+from ..plans.iterate import counted, cut
+from ..plans.ordered import ranks, running
 from .chains import holding
-from .graphs import components, subtree_cost
+from .graphs import components
+from .nesting import innermost
+from .walks import faces
 
 
 def _lo(a: str = "left_edge", b: str = "right_edge") -> Column:
@@ -26,7 +29,7 @@ def region_weight(regions: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def region_degree(regions: DataFrame, chords: DataFrame) -> DataFrame:
     """degree: chords at each region."""
-    d = chords.select("map_id", F.explode(F.array("region_a", "region_b")).alias("region_id")).groupBy("map_id", "region_id").agg(F.count("*").alias("degree"))
+    d = chords.select("map_id", F.explode(F.array_distinct(F.array("region_a", "region_b"))).alias("region_id")).groupBy("map_id", "region_id").agg(F.count("*").alias("degree"))
     return regions.select("map_id", "region_id").join(d, ["map_id", "region_id"], "left").na.fill(0, ["degree"])
 
 
@@ -110,10 +113,11 @@ def merged_weights(regions: DataFrame, arcs: DataFrame, chords: DataFrame, heigh
     return got.select("map_id", "chord_id", "region_a", "region_b", "da", "db", F.greatest("wa", "wb", F.coalesce("sums", F.lit(0))).alias("merged"))
 
 
-def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200, heights: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma (see merged_weights). In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average."""
+def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200, heights: DataFrame | None = None, first: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma (see merged_weights); first: only chords with an id below it. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average."""
     for k in range(most):
         c = merged_weights(regions, arcs, chords, heights).where((F.least("da", "db") < 3) & (F.col("merged") <= gamma))
+        c = c if first is None else c.where(F.col("chord_id") < first)
         rank = F.struct(F.xxhash64("map_id", "chord_id", F.lit(k)), "chord_id")
         first = c.select("map_id", "chord_id", F.explode(F.array("region_a", "region_b")).alias("region_id")).groupBy("map_id", "region_id").agg(F.min_by("chord_id", rank).alias("chord_id"))
         chosen = cut(first.groupBy("map_id", "chord_id").agg(F.count("*").alias("n")).where("n = 2").select("map_id", "chord_id"))
@@ -124,49 +128,86 @@ def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int,
 
 
 def split_ranges(ranges: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Ranges (map_id, range_id, s, e), both ends included, cut behind each edge of cuts(map_id, edge) inside them."""
+    """Ranges (map_id, range_id, s, e), both ends included, cut behind each edge of cuts(map_id, edge) inside them.
+
+    With first_side, last_side and turn, the vertex where the range goes over to its other side (null: nowhere): edges before it are on first_side,
+    from it on on last_side, and each piece has the sides of its own first and last edge. A range of two sides without a turn keeps first_side
+    up to its first cut, and last_side behind."""
     inner = holding(cuts.select("map_id", "edge").distinct(), ranges.select("map_id", "range_id", "s", "e"), ["map_id"], F.col("edge"), F.col("s"), F.col("e") - 1).select("map_id", "range_id", F.col("edge").alias("end"))
     ends = inner.unionByName(ranges.select("map_id", "range_id", F.col("e").alias("end")))
     prev = F.lag("end").over(Window.partitionBy("map_id", "range_id").orderBy("end"))
-    return ends.withColumn("prev", prev).join(ranges.select("map_id", "range_id", "s"), ["map_id", "range_id"]).select("map_id", "range_id", F.coalesce(F.col("prev") + 1, F.col("s")).alias("s"), F.col("end").alias("e"))
+    own = [c for c in ("first_side", "last_side", "turn") if c in ranges.columns]
+    out = ends.withColumn("prev", prev).join(ranges.select("map_id", "range_id", "s", *own), ["map_id", "range_id"]).withColumn("b", F.coalesce(F.col("prev") + 1, F.col("s")))
+    if not own:
+        return out.select("map_id", "range_id", F.col("b").alias("s"), F.col("end").alias("e"))
+    side = lambda edge: F.when(F.coalesce(edge < F.col("turn"), F.col("prev").isNull()), F.col("first_side")).otherwise(F.col("last_side"))
+    return out.select("map_id", "range_id", F.col("b").alias("s"), F.col("end").alias("e"), side(F.col("b")).alias("first_side"), side(F.col("end")).alias("last_side"))
+
+
+def assign_arcs(arcs: DataFrame, chords: DataFrame, ranged: bool = False) -> DataFrame:
+    """region of arcs (map_id, arc_id, key): the number of chords (map_id, key) with a key up to theirs; one running sum, no range join. ranged: for giant maps, see plans.ordered."""
+    a = arcs.select("map_id", "key", F.lit(0).cast("long").alias("one"), "arc_id")
+    c = chords.select("map_id", "key", F.lit(1).cast("long").alias("one"), F.lit(None).cast("long").alias("arc_id"))
+    both = a.unionByName(c)
+    if ranged:
+        both = running(both, ["map_id"], [F.col("key"), F.col("one").desc()], {"region": F.col("one")})
+    else:
+        w = Window.partitionBy("map_id").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("region", F.sum("one").over(w))
+    return both.where("one = 0").select("map_id", "arc_id", "region")
+
 
+def at_height(hits: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """Without the arcs that hold the edge e, but not the height y: arcs on one edge span y_first to y_last; those of more edges reach, on their
+    first or last one, from there to the next vertex, by ends(map_id, edge, y_start, y_end). A null y, and an arc without heights, hold all of the edge."""
+    one = F.col("lo") == F.col("hi")
+    span = lambda a, b: F.col("y").between(F.least(a, b), F.greatest(a, b))
+    low_y, high_y = F.when(F.col("first_edge") <= F.col("last_edge"), F.col("y_first")).otherwise(F.col("y_last")), F.when(F.col("first_edge") <= F.col("last_edge"), F.col("y_last")).otherwise(F.col("y_first"))
+    inside = F.when(one, span("y_first", "y_last"))
+    if ends is not None:
+        hits = hits.join(ends.select("map_id", F.col("edge").alias("e"), "y_start", "y_end"), ["map_id", "e"], "left")
+        inside = inside.when(F.col("e") == F.col("lo"), span(low_y, F.col("y_end"))).when(F.col("e") == F.col("hi"), span(F.col("y_start"), high_y))
+    return hits.where(F.coalesce(inside, F.lit(True)))
 
-def assign_arcs(arcs: DataFrame, chords: DataFrame) -> DataFrame:
-    """region of arcs (map_id, arc_id, key): the number of chords (map_id, key) with a key up to theirs; one running sum, no range join."""
-    a = arcs.select("map_id", "key", F.lit(0).alias("one"), "arc_id")
-    c = chords.select("map_id", "key", F.lit(1).alias("one"), F.lit(None).cast("long").alias("arc_id"))
-    w = Window.partitionBy("map_id").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(c).withColumn("region", F.sum("one").over(w)).where("one = 0").select("map_id", "arc_id", "region")
 
+def locate_on_arcs(queries: DataFrame, arcs: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """For queries (map_id, query_id, e): arcs whose range holds e; per region those with e inside are preferred to those with e at an end, then the lowest id.
 
-def locate_on_arcs(queries: DataFrame, arcs: DataFrame) -> DataFrame:
-    """For queries (map_id, query_id, e): arcs whose range holds e; per region those with e inside are preferred to those with e at an end, then the lowest id."""
+    With y in queries, and y_first and y_last in arcs (heights of their ends), arcs that lie elsewhere on the edge don't count; see at_height."""
     lo, hi = F.least("first_edge", "last_edge"), F.greatest("first_edge", "last_edge")
-    hit = holding(queries, arcs.select("map_id", "arc_id", "region_id", lo.alias("lo"), hi.alias("hi")), ["map_id"], F.col("e"), F.col("lo"), F.col("hi"))
+    placed = "y" in queries.columns and "y_first" in arcs.columns
+    more = ["first_edge", "last_edge", "y_first", "y_last"] if placed else []
+    hit = holding(queries, arcs.select("map_id", "arc_id", "region_id", lo.alias("lo"), hi.alias("hi"), *more), ["map_id"], F.col("e"), F.col("lo"), F.col("hi"))
+    if placed:
+        hit = at_height(hit, ends)
     inner = (F.col("lo") < F.col("e")) & (F.col("e") < F.col("hi"))
     return hit.groupBy("map_id", "query_id", "region_id").agg(F.min_by("arc_id", F.struct((~inner).alias("x"), F.col("arc_id").alias("i"))).alias("arc_id"))
 
 
-def canonical_arcs(arcs: DataFrame) -> DataFrame:
-    """place: left side upwards, then right side downwards by the lowest edge; arcs without edges are left out; is_start and is_end."""
+def canonical_arcs(arcs: DataFrame, ranged: bool = False) -> DataFrame:
+    """place: left side upwards, then right side downwards by the lowest edge; arcs without edges are left out; is_start and is_end. ranged: for giant maps, see plans.ordered."""
     key = F.least("first_edge", "last_edge")
     a = arcs.where("first_edge is not null").withColumn("key_", F.when(F.col("first_side") == "L", key).otherwise(-key))
-    w = Window.partitionBy("map_id").orderBy("first_side", "key_", "arc_id")
-    lo, hi = F.min(key).over(Window.partitionBy("map_id")), F.max(F.greatest("first_edge", "last_edge")).over(Window.partitionBy("map_id"))
-    return a.withColumn("place", F.row_number().over(w) - 1).withColumn("is_start", key == lo).withColumn("is_end", F.greatest("first_edge", "last_edge") == hi).drop("key_")
+    bounds = a.groupBy("map_id").agg(F.min(key).alias("lo_"), F.max(F.greatest("first_edge", "last_edge")).alias("hi_"))
+    order = [F.col(c) for c in ("first_side", "key_", "arc_id")]
+    a = ranks(a, ["map_id"], order, "place") if ranged else a.withColumn("place", F.row_number().over(Window.partitionBy("map_id").orderBy(*order)))
+    return a.join(bounds, "map_id").select(*arcs.columns, (F.col("place") - 1).alias("place"), (key == F.col("lo_")).alias("is_start"), (F.greatest("first_edge", "last_edge") == F.col("hi_")).alias("is_end"))
 
 
-def canonical_chords(chords: DataFrame) -> DataFrame:
-    w = Window.partitionBy("map_id").orderBy(_lo(), _hi(), "y", "chord_id")
-    return chords.withColumn("place", F.row_number().over(w) - 1)
+def canonical_chords(chords: DataFrame, ranged: bool = False) -> DataFrame:
+    """place by lower edge, higher edge, y and id. ranged: for giant maps, see plans.ordered."""
+    order = [_lo(), _hi(), F.col("y"), F.col("chord_id")]
+    c = ranks(chords, ["map_id"], order, "place") if ranged else chords.withColumn("place", F.row_number().over(Window.partitionBy("map_id").orderBy(*order)))
+    return c.withColumn("place", F.col("place") - 1)
 
 
 def chord_adjacent_arcs(chords: DataFrame, arcs: DataFrame) -> DataFrame:
     """Up to 4 arcs of a chord's regions that cover or border one of its ends, lowest ids first."""
-    ends = chords.select("map_id", "chord_id", F.explode(F.array("region_a", "region_b")).alias("region_id"), _lo().alias("a"), _hi().alias("b")).distinct()
-    lo, hi = F.least("first_edge", "last_edge"), F.greatest("first_edge", "last_edge")
-    near = ends.join(arcs.select("map_id", "region_id", "arc_id", (lo - 1).alias("lo"), (hi + 1).alias("hi")), ["map_id", "region_id"]).where("(lo <= a and a <= hi) or (lo <= b and b <= hi)").select("map_id", "chord_id", "arc_id").distinct()
+    sides = F.explode(F.array_distinct(F.array("region_a", "region_b"))).alias("region_id")
+    ends = chords.select("map_id", "chord_id", sides, F.array_distinct(F.array(_lo(), _hi())).alias("at")).select("map_id", "chord_id", "region_id", F.explode("at").alias("at")).distinct()
+    near = holding(ends, arcs.select("map_id", "region_id", "arc_id", (F.least("first_edge", "last_edge") - 1).alias("lo"), (F.greatest("first_edge", "last_edge") + 1).alias("hi")), ["map_id", "region_id"], F.col("at"), F.col("lo"), F.col("hi"))
     nth = F.row_number().over(Window.partitionBy("map_id", "chord_id").orderBy("arc_id"))
+    near = near.select("map_id", "chord_id", "arc_id").distinct()
     return near.withColumn("nth", nth).where("nth <= 4").groupBy("map_id", "chord_id").agg(F.sort_array(F.collect_list("arc_id")).alias("arcs"))
 
 
@@ -196,6 +237,36 @@ def split_regions(arcs: DataFrame, chords: DataFrame) -> DataFrame:
     return a.select("map_id", "arc_id").join(inner, ["map_id", "arc_id"], "left")
 
 
+def put_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(regions with weight, arcs, chords) after new chords are put in: new(map_id, chord_id, region_id, left_edge, right_edge, y, is_null_length), each inside one region and with an id that no chord of the map has.
+
+    A new chord cuts off what its edge range holds: that is a region of its own, with the map's next ids in order of the new chords' ids. An arc, or an old
+    chord at the region, goes to the innermost new range that holds all of its edges, else stays; a new chord joins its own region and that around
+    it. New ranges in one region are nested or apart (see nesting.innermost). Ends are edges, or places along them: columns lo and hi, of any type that can be sorted, in all three tables."""
+    def placed(t: DataFrame, a: str, b: str) -> DataFrame:
+        return t if "lo" in t.columns else t.withColumns({"lo": F.least(a, b), "hi": F.greatest(a, b) + 1})  # up to where the last edge ends
+
+    base = regions.groupBy("map_id").agg(F.max("region_id").alias("base"))
+    own = cut(ranks(placed(new, "left_edge", "right_edge"), ["map_id"], [F.col("chord_id")], "nth").join(base, "map_id").withColumn("own", F.col("base") + F.col("nth")).drop("base", "nth"))
+    a, c = placed(arcs, "first_edge", "last_edge"), placed(chords, "left_edge", "right_edge")
+    ask = lambda kind, i: F.struct(F.lit(kind).alias("kind"), F.col(i).alias("id"))
+    asked = a.select("map_id", "region_id", ask(0, "arc_id").alias("ask_id"), "lo", "hi")
+    for kind, side in ((1, "region_a"), (2, "region_b")):
+        asked = asked.unionByName(c.select("map_id", F.col(side).alias("region_id"), ask(kind, "chord_id").alias("ask_id"), "lo", "hi"))
+    # ids of ranges and of what asks share a column there
+    ranges = own.select("map_id", "region_id", F.col("own").alias("range_id"), "lo", "hi")
+    numbered = cut(asked.withColumn("number", F.monotonically_increasing_id()))
+    outer, inner = innermost(ranges, numbered.select("map_id", "region_id", F.col("number").alias("ask_id"), "lo", "hi"), ["map_id", "region_id"])
+    moved = cut(numbered.join(inner.select(F.col("ask_id").alias("number"), "range_id"), "number").select("map_id", F.col("ask_id.kind").alias("kind"), F.col("ask_id.id").alias("id"), F.coalesce("range_id", "region_id").alias("to")))
+    to = lambda kind, i, name: moved.where(F.col("kind") == kind).select("map_id", F.col("id").alias(i), F.col("to").alias(name))
+    arcs_out = arcs.drop("region_id").join(to(0, "arc_id", "region_id"), ["map_id", "arc_id"]).select(*arcs.columns)
+    old = chords.drop("region_a", "region_b").join(to(1, "chord_id", "region_a"), ["map_id", "chord_id"]).join(to(2, "chord_id", "region_b"), ["map_id", "chord_id"]).select(*chords.columns)
+    fresh = own.join(outer.select("map_id", F.col("range_id").alias("own"), "outer"), ["map_id", "own"])
+    fresh = fresh.withColumns({"region_a": F.coalesce("outer", "region_id"), "region_b": F.col("own")}).select(*chords.columns)
+    every = cut(regions.select("map_id", "region_id").unionByName(own.select("map_id", F.col("own").alias("region_id"))))
+    return region_weight(every, arcs_out), arcs_out, old.unionByName(fresh)
+
+
 def internal_chords(region_arcs: DataFrame, chords: DataFrame) -> DataFrame:
     """Chords with both ends on arcs of one region (map_id, region_id, first_edge, last_edge); of those with the same lowest edge the first id."""
     a = region_arcs.select("map_id", "region_id", F.least("first_edge", "last_edge").alias("a"), F.greatest("first_edge", "last_edge").alias("z"))
@@ -214,23 +285,54 @@ def region_boundary(arcs: DataFrame, chords: DataFrame) -> DataFrame:
     return a.unionByName(c).withColumn("place", F.row_number().over(w) - 1)
 
 
+def tree_order(tree: DataFrame) -> DataFrame:
+    """(gid, v, parent, root, pre, last) for trees (gid, v, parent): what hangs on a vertex has pre from its own up to last. Children in order of their ids, by a walk around each tree."""
+    kids = Window.partitionBy("gid", "parent").orderBy("v")
+    t = cut(tree.select("gid", "v", "parent", F.when(F.col("parent").isNotNull(), F.lead("v").over(kids)).alias("sibling")))
+    child = t.where("parent is not null").groupBy("gid", F.col("parent").alias("v")).agg(F.min("v").alias("child"))
+    step = lambda back, x: F.struct(F.lit(back).alias("back"), F.col(x).alias("x"))
+    t = cut(t.join(child, ["gid", "v"], "left"), t)
+    down = t.select("gid", step(0, "v").alias("h"), F.when(F.col("child").isNotNull(), step(0, "child")).otherwise(step(1, "v")).alias("next"))
+    back = t.select("gid", step(1, "v").alias("h"), F.when(F.col("sibling").isNotNull(), step(0, "sibling")).when(F.col("parent").isNotNull(), step(1, "parent")).otherwise(step(0, "v")).alias("next"))
+    walk = cut(faces(down.unionByName(back)))
+    zero = walk.join(t.where("parent is null").select("gid", step(0, "v").alias("h"), F.col("v").alias("root")), ["gid", "h"]).select("gid", "face", "root", F.col("pos").alias("zero"))
+    place = walk.join(zero, ["gid", "face"]).withColumn("at", F.pmod(F.col("pos") - F.col("zero"), F.col("size")))
+    both = place.groupBy("gid", F.col("h.x").alias("v"), "root").agg(F.min("at").alias("pre"), F.max("at").alias("last"))
+    return t.select("gid", "v", "parent").join(both, ["gid", "v"])
+
+
 def center_tree(tree: DataFrame, most: int = 60) -> DataFrame:
     """Splits rooted trees (gid, v, parent) again and again at the edge that leaves the smallest larger side, all parts in one go, until parts are single vertices.
 
     Returns an edge for each split: (gid, v, parent, part, depth, size, larger); part is the root of what was split. A cut edge's lower end is the root
-    of the new part, so no part is rooted anew. Ties: the lowest vertex."""
-    whole = cut(tree.select("gid", "v", "parent"))
+    of the new part, so no part is rooted anew. Ties: the lowest vertex. What hangs on each vertex is counted once; a cut takes its own count from the
+    vertices above it in its part, and parts of one vertex leave the rounds."""
+    size = ((F.col("last") - F.col("pre") + 1) / 2).cast("long")
+    whole = cut(tree_order(tree).select("gid", "v", "parent", "pre", "last", F.col("root").alias("part"), size.alias("n")))
     done = None
     for depth in range(most):
-        size = subtree_cost(whole.select("gid", "v", F.lit(1.0).alias("cost")), whole)
-        p = whole.join(size, ["gid", "v"])
-        total = p.where("v = root").select("gid", "root", F.col("subtree").alias("size"))
-        e = p.where("parent is not null").join(total, ["gid", "root"]).withColumn("larger", F.greatest("subtree", F.col("size") - F.col("subtree")))
-        best = cut(e.groupBy("gid", "root").agg(F.min_by(F.struct("v", "parent", "size", "larger"), F.struct("larger", "v")).alias("b")).select("gid", "b.v", "b.parent", F.col("root").alias("part"), F.lit(depth).alias("depth"), F.col("b.size").cast("long").alias("size"), F.col("b.larger").cast("long").alias("larger")))
-        if best.isEmpty():
-            return best if done is None else done
-        done = best if done is None else cut(done.unionByName(best))
-        gone = best.select("gid", "v", F.lit(True).alias("gone"))
-        whole = cut(whole.join(gone, ["gid", "v"], "left").select("gid", "v", F.when(F.col("gone").isNull(), F.col("parent")).alias("parent")))
+        total = whole.where("v = part").select("gid", "part", F.col("n").alias("size"))
+        e = whole.where("v <> part").join(total, ["gid", "part"]).withColumn("larger", F.greatest("n", F.col("size") - F.col("n")))
+        best, n = counted(e.groupBy("gid", "part").agg(F.min_by(F.struct("v", "parent", "size", "larger", "pre", "last", "n"), F.struct("larger", "v")).alias("b")).select("gid", "part", "b.*"), "true")
+        if not n:
+            return best.select("gid", "v", "parent", "part", F.lit(0).alias("depth"), "size", "larger") if done is None else done
+        split = best.select("gid", "v", "parent", "part", F.lit(depth).alias("depth"), "size", "larger")
+        done = cut(split) if done is None else cut(done.unionByName(split), done)
+        gone = best.select("gid", "part", F.col("v").alias("cut_v"), F.col("pre").alias("cut_pre"), F.col("last").alias("cut_last"), F.col("n").alias("cut_n"))
+        inside, above = F.col("pre").between(F.col("cut_pre"), F.col("cut_last")), (F.col("pre") < F.col("cut_pre")) & (F.col("last") > F.col("cut_last"))
+        whole = cut(whole.join(gone, ["gid", "part"]).select("gid", "v", "parent", "pre", "last", F.when(inside, F.col("cut_v")).otherwise(F.col("part")).alias("part"), (F.col("n") - F.when(above, F.col("cut_n")).otherwise(0)).alias("n")), whole)
     raise RuntimeError(f"parts are left after {most} rounds")
 
+
+def decomposition_tree(tree: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """td(gid, node, v, cut_parent, region, parent, depth): center_tree's splits as a binary tree, whose inner nodes are cut edges (v, cut_parent) and whose leaves are single regions.
+
+    An edge is known by its lower end v: its node is 2 v, the leaf of region r is 2 r + 1. The node above a split is the split a level up
+    that made its part; above a leaf it is the last split at the region."""
+    splits = (cut(center_tree(tree)) if splits is None else splits).withColumnRenamed("parent", "cut_parent")
+    none = F.lit(None).cast("long")
+    made = splits.select("gid", F.explode(F.array("part", "v")).alias("part"), (F.col("depth") + 1).alias("depth"), (F.col("v") * 2).alias("parent"))
+    inner = splits.join(made, ["gid", "part", "depth"], "left").select("gid", (F.col("v") * 2).alias("node"), "v", "cut_parent", none.alias("region"), "parent", "depth")
+    last = made.groupBy("gid", F.col("part").alias("region")).agg(F.max_by("parent", "depth").alias("parent"), F.max("depth").alias("depth"))
+    leaf = tree.select("gid", F.col("v").alias("region")).join(last, ["gid", "region"], "left")
+    return inner.unionByName(leaf.select("gid", (F.col("region") * 2 + 1).alias("node"), none.alias("v"), none.alias("cut_parent"), "region", "parent", F.coalesce("depth", F.lit(0)).alias("depth")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.plane import convexity, edge_x, orient2d, y_compare, y_order
+from ..plans.ordered import neighbours, ranks
 
 
 def validate_polygons(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,13 +21,20 @@ def index_vertices(points: DataFrame, pos: str) -> DataFrame:
     return points.withColumn("idx", (F.row_number().over(Window.partitionBy("pid").orderBy(pos)) - 1).cast("long"))
 
 
-def y_rank(vertices: DataFrame) -> DataFrame:
-    """rk: place from low to high in the polygon, ties by x, then idx."""
-    return vertices.withColumn("rk", F.row_number().over(Window.partitionBy("pid").orderBy("y", "x", "idx")))
+def y_rank(vertices: DataFrame, ranged: bool = False) -> DataFrame:
+    """rk: place from low to high in the polygon, ties by x, then idx. ranged: for giant rings, in ranges over all tasks (plans.ordered) in place of one window a ring."""
+    order = [F.col(c) for c in ("y", "x", "idx")]
+    if ranged:
+        return ranks(vertices, ["pid"], order, "rk")
+    return vertices.withColumn("rk", F.row_number().over(Window.partitionBy("pid").orderBy(*order)))
 
 
-def ring_neighbors(vertices: DataFrame, carry: tuple[str, ...] = ("idx", "x", "y")) -> DataFrame:
-    """prev_* and next_* of the carried columns, around the ring; n: the ring's size. One sort by idx serves all."""
+def ring_neighbors(vertices: DataFrame, carry: tuple[str, ...] = ("idx", "x", "y"), ranged: bool = False) -> DataFrame:
+    """prev_* and next_* of the carried columns, around the ring; n: the ring's size. One sort by idx serves all. ranged: see y_rank."""
+    if ranged:
+        near = [f"{side}{c}" for side in ("prev_", "next_") for c in carry]
+        out = neighbours(vertices, ["pid"], [F.col("idx")], list(carry)).join(vertices.groupBy("pid").agg(F.count("*").alias("n")), "pid")
+        return out.select(*vertices.columns, "n", *near)
     w = Window.partitionBy("pid").orderBy("idx")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here = F.struct(*carry)
@@ -34,9 +42,9 @@ def ring_neighbors(vertices: DataFrame, carry: tuple[str, ...] = ("idx", "x", "y
     return out.select("*", *[F.col(f"p_.{c}").alias(f"prev_{c}") for c in carry], *[F.col(f"q_.{c}").alias(f"next_{c}") for c in carry]).drop("p_", "q_")
 
 
-def ring(vertices: DataFrame) -> DataFrame:
+def ring(vertices: DataFrame, ranged: bool = False) -> DataFrame:
     """Ranked vertices with their neighbours."""
-    return ring_neighbors(y_rank(vertices), ("idx", "x", "y", "rk"))
+    return ring_neighbors(y_rank(vertices, ranged), ("idx", "x", "y", "rk"), ranged)
 
 
 def ring_edges(vertices: DataFrame, closed: bool = True) -> DataFrame:

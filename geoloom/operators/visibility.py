@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.plane import edge_x, orient2d
+from ..plans.iterate import cut
+from ..plans.ordered import running
 from .chains import holding
+from .regions import at_height
 from .rings import ring, ring_neighbors, y_extrema
 
 
@@ -46,9 +49,9 @@ def nearest(pairs: DataFrame, keys: list[str], x: Column, level: Column) -> Data
     ).select(*keys, F.col("l_.e").alias("hl"), F.col("l_.xi").alias("hl_x"), F.col("r_.e").alias("hr"), F.col("r_.xi").alias("hr_x"))
 
 
-def ray_shoot(vertices: DataFrame, closed: bool = True, small: int = 2000) -> DataFrame:
-    """For every vertex the nearest edge to its left (hl) and right (hr) at its height; null if there is none."""
-    r = ring(vertices)
+def ray_shoot(vertices: DataFrame, closed: bool = True, small: int = 2000, ranged: bool = False) -> DataFrame:
+    """For every vertex the nearest edge to its left (hl) and right (hr) at its height; null if there is none. ranged: for giant rings, see rings.y_rank."""
+    r = ring(vertices, ranged)
     pairs = _pairs(r.select("pid", "idx", "x", "y", F.col("rk").cast("long").alias("rk"), "n"), edges_of(r, closed), small)
     hits = nearest(pairs, ["pid", "idx", "x", "y"], F.col("x"), F.col("y"))
     return r.select("pid", "idx", "x", "y").join(hits.drop("x", "y"), ["pid", "idx"], "left")
@@ -120,13 +123,13 @@ def cross_chain_visibility(vertices: DataFrame, chain: str, small: int = 2000) -
     return left.unionByName(right)
 
 
-def trapezoids(vertices: DataFrame, small: int = 2000) -> DataFrame:
+def trapezoids(vertices: DataFrame, small: int = 2000, ranged: bool = False) -> DataFrame:
     """The inside of each counter-clockwise polygon as trapezoids (pid, top_v, bottom_v, left_edge, right_edge): n - 1 for n vertices.
 
     A vertex ends and begins trapezoids by how its edges run; a trapezoid is known by its two
     edges, and along these begins and ends alternate from high to low."""
-    r = ring(vertices)
-    hits = ray_shoot(vertices, True, small).select("pid", "idx", "hl", "hr")
+    r = ring(vertices, ranged)
+    hits = ray_shoot(vertices, True, small, ranged).select("pid", "idx", "hl", "hr")
     v = r.join(hits, ["pid", "idx"]).withColumn("turn", orient2d("prev_x", "prev_y", "x", "y", "next_x", "next_y"))
     ep, en, hl, hr = F.col("prev_idx"), F.col("idx"), F.col("hl"), F.col("hr")
     pa, na = F.col("prev_rk") > F.col("rk"), F.col("next_rk") > F.col("rk")
@@ -149,17 +152,56 @@ def trapezoids(vertices: DataFrame, small: int = 2000) -> DataFrame:
     return flat.withColumn("bottom_v", F.lead("idx").over(w)).where("begins").select("pid", F.col("idx").alias("top_v"), "bottom_v", "left_edge", "right_edge")
 
 
-def locate_by_height(queries: DataFrame, chords: DataFrame) -> DataFrame:
-    """region for queries (map_id, query_id, y): above the last chord (map_id, y, above, below) with a smaller y, else below the lowest. One sort a map, no range join."""
+def region_tables(vertices: DataFrame, traps: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(regions, arcs, chords) of the visibility map inside counter-clockwise polygons; map_id is the pid.
+
+    A region is a trapezoid: its id is twice its top vertex, and one more if the edge that starts there is its left side. Its arcs are its
+    left (L) and right (R) side, with the heights of their ends; an arc of no height has an edge count of 0. A chord lies at a
+    vertex, between a region that ends and one that begins there; its id is twice the vertex, and one more to the right of it. A
+    convex extremum has a chord of no length, with the one region on both sides. Regions are one more than chords of a length."""
+    v = vertices.select("pid", "idx", "y")
+    t = trapezoids(vertices) if traps is None else traps
+    height = lambda c: v.select("pid", F.col("idx").alias(f"{c}_v"), F.col("y").alias(f"{c}_y"))
+    t = t.select(F.col("pid").alias("map_id"), "pid", (F.col("top_v") * 2 + (F.col("left_edge") == F.col("top_v")).cast("long")).alias("region_id"), "top_v", "bottom_v", "left_edge", "right_edge")
+    t = cut(t.join(height("top"), ["pid", "top_v"]).join(height("bottom"), ["pid", "bottom_v"]).drop("pid"))
+    side = lambda k, s, e, first, last: F.struct((F.col("region_id") * 2 + k).alias("arc_id"), F.col("region_id"), F.col(e).alias("first_edge"), F.col(e).alias("last_edge"), F.lit(s).alias("first_side"), F.lit(s).alias("last_side"), (F.col("top_y") > F.col("bottom_y")).cast("long").alias("edge_count"), F.col(first).alias("y_first"), F.col(last).alias("y_last"))
+    arcs = t.select("map_id", F.inline(F.array(side(0, "L", "left_edge", "top_y", "bottom_y"), side(1, "R", "right_edge", "bottom_y", "top_y"))))
+    over = t.select("map_id", F.col("bottom_v").alias("vertex"), F.col("region_id").alias("region_a"), F.col("left_edge").alias("la"), F.col("right_edge").alias("ra"), F.col("bottom_y").alias("y"))
+    under = t.select("map_id", F.col("top_v").alias("vertex"), F.col("region_id").alias("region_b"), F.col("left_edge").alias("lb"), F.col("right_edge").alias("rb"), F.col("top_y").alias("y"))
+    left = F.col("la") == F.col("lb")
+    met = over.join(under.drop("y"), ["map_id", "vertex"])
+    chords = met.select("map_id", (F.col("vertex") * 2 + (~left).cast("long")).alias("chord_id"), "region_a", "region_b", F.when(left, F.col("la")).otherwise(F.col("vertex")).alias("left_edge"), F.when(left, F.col("vertex")).otherwise(F.col("ra")).alias("right_edge"), "y", F.lit(False).alias("is_null_length"))
+    alone = over.select("map_id", "vertex", F.col("region_a").alias("r"), "y").join(under.select("map_id", "vertex"), ["map_id", "vertex"], "left_anti").unionByName(under.select("map_id", "vertex", F.col("region_b").alias("r"), "y").join(over.select("map_id", "vertex"), ["map_id", "vertex"], "left_anti"))
+    null = alone.select("map_id", (F.col("vertex") * 2).alias("chord_id"), F.col("r").alias("region_a"), F.col("r").alias("region_b"), F.col("vertex").alias("left_edge"), F.col("vertex").alias("right_edge"), "y", F.lit(True).alias("is_null_length"))
+    return t.select("map_id", "region_id"), arcs, chords.unionByName(null)
+
+
+def locate_by_height(queries: DataFrame, chords: DataFrame, ranged: bool = False) -> DataFrame:
+    """region for queries (map_id, query_id, y): above the last chord (map_id, y, above, below) with a smaller y, else below the lowest. One sort a map, no range join. ranged: for giant maps, see plans.ordered."""
     q = queries.select("map_id", "y", F.lit(0).alias("kind"), "query_id", F.lit(None).cast("long").alias("above"), F.lit(None).cast("long").alias("below"))
     c = chords.select("map_id", "y", F.lit(1).alias("kind"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "above", "below")
+    both = q.unionByName(c)
+    if ranged:
+        known = F.col("above").isNotNull().cast("long")
+        both = cut(running(both, ["map_id"], [F.col("y"), F.col("kind"), F.col("above")], {"nth": known}))
+        last = both.where("above is not null").select("map_id", "nth", F.col("above").alias("up"))
+        low = c.where("below is not null").groupBy("map_id").agg(F.min_by("below", "y").alias("low"))
+        return both.where("kind = 0").join(last, ["map_id", "nth"], "left").join(low, "map_id", "left").select("map_id", "query_id", F.coalesce("up", "low").alias("region"))
     w = Window.partitionBy("map_id").orderBy("y", "kind")
     up = F.last("above", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     lowest = F.first("below", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return q.unionByName(c).withColumn("region", F.coalesce(up, lowest)).where("kind = 0").select("map_id", "query_id", "region")
+    return both.withColumn("region", F.coalesce(up, lowest)).where("kind = 0").select("map_id", "query_id", "region")
+
 
+def region_locate_on_edge(queries: DataFrame, arcs: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """region for queries (map_id, query_id, e, side): the lowest one with an arc whose edge range holds e on that side; null where there is none.
 
-def region_locate_on_edge(queries: DataFrame, arcs: DataFrame) -> DataFrame:
-    """region for queries (map_id, query_id, e, side): arcs whose edge range holds e on that side."""
-    a = arcs.select("map_id", "region_id", F.least("first_edge", "last_edge").alias("a_"), F.greatest("first_edge", "last_edge").alias("z_"), F.col("first_side").alias("side"))
-    return holding(queries, a, ["map_id", "side"], F.col("e"), F.col("a_"), F.col("z_")).groupBy("map_id", "query_id").agg(F.min("region_id").alias("region"))
+    With y in queries, and y_first and y_last in arcs, arcs elsewhere on the edge don't count; see regions.at_height."""
+    placed = "y" in queries.columns and "y_first" in arcs.columns
+    more = ["first_edge", "last_edge", "y_first", "y_last"] if placed else []
+    a = arcs.select("map_id", "region_id", F.least("first_edge", "last_edge").alias("lo"), F.greatest("first_edge", "last_edge").alias("hi"), F.col("first_side").alias("side"), *more)
+    hit = holding(queries, a, ["map_id", "side"], F.col("e"), F.col("lo"), F.col("hi"))
+    if placed:
+        hit = at_height(hit, ends)
+    found = hit.groupBy("map_id", "query_id").agg(F.min("region_id").alias("region"))
+    return queries.select("map_id", "query_id").distinct().join(found, ["map_id", "query_id"], "left")

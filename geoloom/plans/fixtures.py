@@ -105,3 +105,30 @@ def stacked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     half = both.select("gid", F.col("p.i").alias("tail_i"), F.col("q.i").alias("head_i"), (-F.atan2(F.col("q.y") - F.col("p.y"), F.col("q.x") - F.col("p.x"))).alias("pos"))
     half = half.join(named("tail"), ["gid", "tail_i"]).join(named("head"), ["gid", "head_i"]).select("gid", "tail", "head", "pos")
     return part.select("gid", "v", "cost"), half.where("tail < head").select("gid", F.col("tail").alias("u"), F.col("head").alias("v")), half
+
+
+def nested_map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(regions, arcs, chords, new): one map for each supplier with an arc for each of its line items, all in region 0, old chords from there to
+    regions without arcs, and new chords nested in each other, half as many deep as the map has arcs over 2, with smaller ones between them."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("long").alias("map_id"), F.col("l_quantity").cast("long").alias("q"), *ORDER)
+    w = Window.partitionBy("map_id")
+    a = rows.select("map_id", "q", (F.row_number().over(w.orderBy(*ORDER)) - 1).cast("long").alias("j"), F.count("*").over(w).alias("m"))
+    j, m = F.col("j"), F.col("m")
+    zero, side = F.lit(0).cast("long"), F.lit("L")
+    arcs = a.select("map_id", j.alias("arc_id"), zero.alias("region_id"), j.alias("first_edge"), j.alias("last_edge"), side.alias("first_side"), side.alias("last_side"), (F.col("q") % 11).alias("edge_count"))
+    chord = lambda i, to, lo, hi: F.struct(i.alias("chord_id"), zero.alias("region_a"), to.alias("region_b"), lo.alias("left_edge"), hi.alias("right_edge"), F.col("q").cast("double").alias("y"), F.lit(False).alias("is_null_length"))
+    old = a.where("j % 6 = 1").select("map_id", F.inline(F.array(chord(j, j + 1, j, j))))
+    regions = a.where("j % 6 = 1").select("map_id", (j + 1).alias("region_id")).unionByName(a.select("map_id", zero.alias("region_id")).distinct())
+    big = a.where("j % 2 = 0 and 2 * j < m - 1").select("map_id", F.inline(F.array(chord(10000 + j, zero, j, m - 1 - j))))
+    little = a.where("j % 4 = 0 and 2 * (j + 3) < m").select("map_id", F.inline(F.array(chord(20000 + j, zero, j, j + 1))))
+    new = big.unionByName(little).withColumnRenamed("region_a", "region_id").drop("region_b")
+    return regions, arcs, old, new
+
+
+NESTED_SQL = f"""
+a AS (SELECT CAST(l_suppkey AS BIGINT) AS map_id, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(ORDER)}) - 1 AS j, count(*) OVER (PARTITION BY l_suppkey) AS m FROM lineitem),
+new AS (SELECT map_id, 10000 + j AS chord_id, j AS lo, m - 1 - j AS hi, CAST(q AS DOUBLE) AS y FROM a WHERE j % 2 = 0 AND 2 * j < m - 1 UNION ALL SELECT map_id, 20000 + j, j, j + 1, CAST(q AS DOUBLE) FROM a WHERE j % 4 = 0 AND 2 * (j + 3) < m),
+base AS (SELECT map_id, coalesce(max(j + 1) FILTER (j % 6 = 1), 0) AS base FROM a GROUP BY map_id),
+own AS (SELECT new.*, base + row_number() OVER (PARTITION BY new.map_id ORDER BY chord_id) AS own FROM new JOIN base USING (map_id)),
+held AS (SELECT a.map_id, a.j, a.q, coalesce((SELECT arg_min(own, hi - lo) FROM own WHERE own.map_id = a.map_id AND lo <= a.j AND a.j <= hi), 0) AS region_id FROM a),
+up AS (SELECT x.map_id, x.chord_id, x.own, x.lo, x.hi, x.y, coalesce((SELECT arg_min(o.own, o.hi - o.lo) FROM own o WHERE o.map_id = x.map_id AND o.lo <= x.lo AND x.hi <= o.hi AND o.hi - o.lo > x.hi - x.lo), 0) AS outer_ FROM own x)"""

@@ -51,7 +51,7 @@ query("m7_split_ranges", REG + ", q AS (SELECT map_id, chord_id AS range_id, lo
 query("m8_assign_arcs", REG + "SELECT arcs.map_id, arcs.arc_id, (SELECT count(*) FROM ch WHERE ch.map_id = arcs.map_id AND ch.lo <= arcs.first_edge) AS region FROM arcs")(lambda s, d: regions.assign_arcs((m := region_map(s, d))[1].select("map_id", "arc_id", F.col("first_edge").alias("key")), m[2].select("map_id", F.least("left_edge", "right_edge").alias("key"))))
 _HIT = ", hit AS (SELECT q.map_id, q.query_id, arcs.region_id, arcs.arc_id, row_number() OVER (PARTITION BY q.map_id, q.query_id, arcs.region_id ORDER BY CASE WHEN first_edge < q.e AND q.e < last_edge THEN 0 ELSE 1 END, arcs.arc_id) AS k FROM ({q}) q JOIN arcs ON arcs.map_id = q.map_id AND first_edge <= q.e AND q.e <= last_edge) "
 query("m9_locate_on_arcs", REG + _HIT.format(q="SELECT map_id, chord_id AS query_id, left_edge AS e FROM chords") + "SELECT map_id, query_id, region_id, arc_id FROM hit WHERE k = 1")(lambda s, d: regions.locate_on_arcs((m := region_map(s, d))[2].select("map_id", F.col("chord_id").alias("query_id"), F.col("left_edge").alias("e")), m[1]))
-query("r10_region_locate_on_edge", REG + "SELECT c.map_id, c.chord_id AS query_id, min(arcs.region_id) AS region FROM chords c JOIN arcs ON arcs.map_id = c.map_id AND first_edge <= left_edge AND left_edge <= last_edge AND first_side = 'L' GROUP BY 1, 2")(
+query("r10_region_locate_on_edge", REG + "SELECT c.map_id, c.chord_id AS query_id, min(arcs.region_id) AS region FROM chords c LEFT JOIN arcs ON arcs.map_id = c.map_id AND first_edge <= left_edge AND left_edge <= last_edge AND first_side = 'L' GROUP BY 1, 2")(
     lambda s, d: visibility.region_locate_on_edge((m := region_map(s, d))[2].select("map_id", F.col("chord_id").alias("query_id"), F.col("left_edge").alias("e"), F.lit("L").alias("side")), m[1])
 )
 query("m10_canonical_arcs", REG + "SELECT map_id, arc_id, row_number() OVER (PARTITION BY map_id ORDER BY first_side, CASE WHEN first_side = 'L' THEN first_edge ELSE -first_edge END, arc_id) - 1 AS place, first_edge = min(first_edge) OVER (PARTITION BY map_id) AS is_start, last_edge = max(last_edge) OVER (PARTITION BY map_id) AS is_end FROM arcs")(lambda s, d: regions.canonical_arcs(region_map(s, d)[1]).select("map_id", "arc_id", "place", "is_start", "is_end"))

@@ -241,3 +241,79 @@ def test_stacked_fixture_is_a_triangulation(spark):
     n = v.count()
     assert e.count() == 3 * n - 6
     assert darts.dart_faces(darts.around(darts.darts_of(half))).groupBy("size").count().collect() == [(3, 3 * (2 * n - 4))]
+
+
+def laminar(rng, lo, hi, depth, out):
+    """Ranges nested in each other or apart, some with shared ends."""
+    if depth == 0 or hi < lo:
+        return
+    at = lo
+    while at <= hi:
+        end = rng.randint(at, hi)
+        if rng.random() < 0.7:
+            out.append((at, end))
+            laminar(rng, at, end, depth - 1, out)
+        at = end + rng.choice([0, 1])
+        if at == end and (at == hi or rng.random() < 0.5):
+            at += 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_innermost_range(spark, seed):
+    from geoloom.operators.nesting import innermost
+
+    rng = random.Random(seed)
+    ranges, asked = [], []
+    for key in range(4):
+        own = []
+        laminar(rng, 0, 60, 6, own)
+        own += [(100 + i, 300 - i) for i in range(50)] if key == 0 else []
+        own = list(dict.fromkeys(own))
+        ranges += [(key, i, a, b) for i, (a, b) in enumerate(own)]
+        ends = sorted({x for r in own for x in r} | {-1, 400})
+        # what is asked lies between neighbouring ends
+        asked += [(key, i, a, b) for i, (a, b) in enumerate(zip(ends, ends[1:]))] + [(key, 1000 + i, a + 0.25, a + 0.5) for i, a in enumerate(ends)]
+    asked = [(k, i, float(a), float(b)) for k, i, a, b in asked]
+    ranges = [(k, i, float(a), float(b)) for k, i, a, b in ranges]
+
+    def around(key, a, b, own=None):
+        over = [(hi - lo, i) for k, i, lo, hi in ranges if k == key and i != own and lo < hi and lo <= a and b <= hi and a < hi and (hi - lo > b - a or own is None)]
+        return min(over)[1] if over else None
+
+    outer, inner = innermost(spark.createDataFrame(ranges, "k long, range_id long, lo double, hi double"), spark.createDataFrame(asked, "k long, ask_id long, lo double, hi double"), ["k"])
+    assert {(r.k, r.range_id): r.outer for r in outer.collect()} == {(k, i): around(k, a, b, i) for k, i, a, b in ranges}
+    assert {(r.k, r.ask_id): r.range_id for r in inner.collect()} == {(k, i): around(k, a, b) for k, i, a, b in asked}
+
+
+def test_giant_ring_is_many_tasks(spark):
+    """One ring of 300,000 vertices: ranks and neighbours come from slices of a bounded share, and equal those of one window."""
+    from pyspark.sql import Window
+
+    from geoloom.operators import rings
+
+    n = 300_000
+    v = spark.range(n).select(F.lit(1).cast("long").alias("pid"), F.col("id").alias("idx"), (F.col("id") % 1009).cast("double").alias("x"), (F.col("id") * 7919 % 50_021).cast("double").alias("y")).repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        share = ordered.sliced(v, ["pid"], [F.col("y"), F.col("x"), F.col("idx")]).groupBy(ordered.SLICE).count().agg(F.max("count")).first()[0]
+        assert share < n / 3
+        got = rings.ring(v, ranged=True).select("idx", "rk", "prev_idx", "next_idx", "prev_rk", "next_rk", "n")
+        want = rings.ring(v).select(*got.columns)
+        assert got.count() == n and got.exceptAll(want.withColumn("rk", F.col("rk").cast("long"))).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_heights_on_arcs_of_several_edges(spark):
+    """An arc over edges 2 to 4 begins in the middle of edge 2 and ends in that of edge 4; others hold the rest of these edges."""
+    from geoloom.operators import regions, visibility
+
+    arcs = spark.createDataFrame([(1, 10, 0, 2, 4, "L", "L", 3.0, 7.0), (1, 11, 1, 2, 2, "L", "L", 1.0, 3.0), (1, 12, 2, 4, 4, "L", "L", 7.0, 9.0)], "map_id long, arc_id long, region_id long, first_edge long, last_edge long, first_side string, last_side string, y_first double, y_last double")
+    ends = spark.createDataFrame([(1, 2, 1.0, 5.0), (1, 3, 5.0, 6.0), (1, 4, 6.0, 9.0)], "map_id long, edge long, y_start double, y_end double")
+    asked = spark.createDataFrame([(1, 0, 2, 2.0), (1, 1, 2, 4.0), (1, 2, 3, 5.5), (1, 3, 4, 8.0), (1, 4, 4, 6.5), (1, 5, 2, 3.0), (1, 6, 9, 1.0), (1, 7, 2, None)], "map_id long, query_id long, e long, y double")
+    got = {}
+    for r in regions.locate_on_arcs(asked, arcs, ends).collect():
+        got.setdefault(r.query_id, set()).add(r.arc_id)
+    assert got == {0: {11}, 1: {10}, 2: {10}, 3: {12}, 4: {10}, 5: {10, 11}, 7: {10, 11}}
+    one = visibility.region_locate_on_edge(asked.withColumn("side", F.lit("L")), arcs, ends)
+    assert {r.query_id: r.region for r in one.collect()} == {0: 1, 1: 0, 2: 0, 3: 2, 4: 0, 5: 0, 6: None, 7: 0}
