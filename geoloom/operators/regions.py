@@ -113,11 +113,11 @@ def merged_weights(regions: DataFrame, arcs: DataFrame, chords: DataFrame, heigh
     return got.select("map_id", "chord_id", "region_a", "region_b", "da", "db", F.greatest("wa", "wb", F.coalesce("sums", F.lit(0))).alias("merged"))
 
 
-def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200, heights: DataFrame | None = None, first: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma (see merged_weights); first: only chords with an id below it. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average."""
+def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200, heights: DataFrame | None = None, below: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma (see merged_weights); below: only chords with an id below it. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average."""
     for k in range(most):
         c = merged_weights(regions, arcs, chords, heights).where((F.least("da", "db") < 3) & (F.col("merged") <= gamma))
-        c = c if first is None else c.where(F.col("chord_id") < first)
+        c = c if below is None else c.where(F.col("chord_id") < below)
         rank = F.struct(F.xxhash64("map_id", "chord_id", F.lit(k)), "chord_id")
         first = c.select("map_id", "chord_id", F.explode(F.array("region_a", "region_b")).alias("region_id")).groupBy("map_id", "region_id").agg(F.min_by("chord_id", rank).alias("chord_id"))
         chosen = cut(first.groupBy("map_id", "chord_id").agg(F.count("*").alias("n")).where("n = 2").select("map_id", "chord_id"))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.plane import orient2d
 from ..plans.iterate import cut
+from ..sources.tables import polygon_report
 from .graphs import faces
-from .rings import orient_ccw, ring_neighbors
-from .visibility import trapezoids
+from .rings import orient_ccw, pad_ring, ring_edges, ring_neighbors
+from .visibility import region_tables, trapezoids
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -134,3 +135,11 @@ def ring_fan(vertices: DataFrame) -> DataFrame:
     """The fan of a convex ring from vertex 0."""
     r = ring_neighbors(vertices, ("idx",))
     return r.where("idx > 0 and next_idx > idx").select("pid", F.lit(0).cast("long").alias("a"), F.col("idx").alias("b"), F.col("next_idx").alias("c"))
+
+
+def polygon_counts(vertices: DataFrame) -> DataFrame:
+    """(pid, vertices, padded, edges, grades, regions, chords, arcs, triangles) of counter-clockwise polygons: rows of each table that they give. Chords of no length don't count."""
+    regions, arcs, chords = (t.withColumnRenamed("map_id", "pid") for t in region_tables(vertices))
+    out = polygon_report(vertices=vertices, padded=pad_ring(vertices), edges=ring_edges(vertices), regions=regions, chords=chords.where("not is_null_length"), arcs=arcs, triangles=triangulate(vertices))
+    grades = F.length(F.bin(F.col("padded") - 1)).cast("long")  # padded is 2**p + 1
+    return out.select("pid", "vertices", "padded", "edges", grades.alias("grades"), "regions", "chords", "arcs", "triangles")

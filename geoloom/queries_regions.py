@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import graphs, regions, rings, visibility
-from .plans.fixtures import NESTED_SQL, nested_map, region_map, skyline_sql, skylines
+from .operators import darts, graphs, regions, rings, triangulation, visibility
+from .plans.fixtures import NESTED_SQL, WIDTH, grid, nested_map, region_map, skyline_sql, skylines
 from .plans.iterate import cut
-from .queries import _TRAPS, ORACLES, query
-from .queries_graphs import REG
+from .queries import _SHOT, _TRAPS, ORACLES, query
+from .queries_graphs import _H, _SQUARE, GRID, REG, _half
 
 # Visibility maps of the skylines by part: the same names as the made-up maps have in their SQL
 
@@ -143,3 +143,73 @@ def _r9_ranged(s, d):
     v = cut(skylines(s, d))
     c = v.groupBy("pid", "y").agg(F.min("idx").alias("above")).select(F.col("pid").alias("map_id"), "y", "above", (F.col("above") + 1000).alias("below"))
     return visibility.locate_by_height(v.select(F.col("pid").alias("map_id"), F.col("idx").alias("query_id"), "y"), c, ranged=True)
+
+
+# Counts of each polygon
+
+
+@query(
+    "s5_polygon_counts",
+    "WITH " + skyline_sql("l_suppkey") + ", c AS (SELECT pid, count(*) AS n, CAST(ceil(log2(count(*) - 1)) AS BIGINT) AS p FROM v GROUP BY pid) "
+    "SELECT pid, n AS vertices, (CAST(1 AS BIGINT) << p) + 1 AS padded, n AS edges, p + 1 AS grades, n - 1 AS regions, n - 2 AS chords, 2 * (n - 1) AS arcs, n - 2 AS triangles FROM c",
+)
+def _s5_counts(s, d):
+    return triangulation.polygon_counts(cut(skylines(s, d, "l_suppkey")))
+
+
+# Rays against chords and edges
+
+
+@query(
+    "r4_shoot_chords_and_edges",
+    "WITH " + skyline_sql() + _SHOT + """,
+rays AS (SELECT pid, idx * 2 AS ray_id, 'L' AS side, x, y, hl AS e, hl_x AS e_x FROM shot UNION ALL SELECT pid, idx * 2 + 1, 'R', x, y, hr, hr_x FROM shot),
+ends AS (SELECT pid, idx, y, x + 0.25 AS x1, x + 0.75 AS x2 FROM v WHERE idx > 1),
+hit AS (SELECT r.pid, ray_id, 'CHORD' AS hit_type, idx AS hit_id, CASE WHEN side = 'L' THEN x2 ELSE x1 END AS hit_x, CASE WHEN side = 'L' THEN x - x2 ELSE x1 - x END AS d FROM rays r JOIN ends c ON c.pid = r.pid AND c.y = r.y
+  UNION ALL SELECT pid, ray_id, 'ARC', e, e_x, abs(e_x - x) FROM rays WHERE e IS NOT NULL),
+best AS (SELECT * FROM hit WHERE d >= 0 QUALIFY row_number() OVER (PARTITION BY pid, ray_id ORDER BY d, hit_type = 'ARC', hit_id) = 1)
+SELECT r.pid, r.ray_id, hit_type, hit_id, hit_x FROM rays r LEFT JOIN best b ON b.pid = r.pid AND b.ray_id = r.ray_id""",
+)
+def _r4_both(s, d):
+    """From every vertex to both sides: chords behind every roof vertex at its height, in competition with the edges."""
+    shot = cut(visibility.ray_shoot(skylines(s, d)))
+    side = lambda k, name, e: F.struct((F.col("idx") * 2 + k).alias("ray_id"), F.lit(name).alias("side"), F.col(e).alias("e"), F.col(f"{e}_x").alias("hit_x"))
+    rays = shot.select("pid", "idx", "x", "y", F.inline(F.array(side(0, "L", "hl"), side(1, "R", "hr"))))
+    chords = shot.where("idx > 1").select("pid", F.col("idx").alias("chord_id"), "y", (F.col("x") + 0.25).alias("x1"), (F.col("x") + 0.75).alias("x2"))
+    return visibility.shoot_chords(rays.select("pid", "ray_id", "x", "y", "side"), chords, rays.select("pid", "ray_id", "e", "hit_x"))
+
+
+# Chords taken out of real maps, the first of them only
+
+
+@query("m6_coarsen_first", VIS + " SELECT map_id, TRUE AS bounded, TRUE AS maximal, count(*) AS late FROM chords WHERE chord_id >= 20 GROUP BY 1")
+def _m6_first(s, d):
+    """Visibility maps without the chords below 20 that could go: weights within gamma, no such chord left, and every later chord still there."""
+    gamma, first = 4, 20
+    r, a, c = map(cut, _map(s, d))
+    r, a, c = regions.coarsen(r, a, c, gamma, below=first)
+    left = regions.merged_weights(r, a, c).where((F.least("da", "db") < 3) & (F.col("merged") <= gamma) & (F.col("chord_id") < first)).groupBy("map_id").agg(F.count("*").alias("left_"))
+    late = c.where(F.col("chord_id") >= first).groupBy("map_id").agg(F.count("*").alias("late"))
+    return regions.region_weight(r, a).groupBy("map_id").agg((F.max("weight") <= gamma).alias("bounded")).join(left, "map_id", "left").join(late, "map_id").select("map_id", "bounded", F.col("left_").isNull().alias("maximal"), "late")
+
+
+# Rotations from edges put in one by one; triangles of the fans
+
+
+@query("g3_rotation_inserted", GRID + _H + "SELECT a.gid, a.tail, a.head, arg_min(b.head, (b.pos - a.pos + 3) % 4) AS cw FROM p a JOIN p b ON a.gid = b.gid AND a.tail = b.tail GROUP BY 1, 2, 3")
+def _g3_inserted(s, d):
+    """The grid, its edges put in by rows: an edge to the right behind the one up, an edge down behind that to the right, else that up; other ends come last."""
+    v, e = grid(s, d)
+    down = F.col("v") - F.col("u") == WIDTH
+    e = cut(e.select("gid", (F.col("u") * 2 + down.cast("int")).alias("e"), "u", "v", down.alias("down")))
+    there = lambda name, shift: e.select("gid", (F.col("e") + shift).alias("at"), F.col("e").alias(name))
+    own = e.withColumn("at", F.col("u") * 2)
+    own = own.join(there("up", 2 * WIDTH - 1).where("up % 2 = 1"), ["gid", "at"], "left").join(there("right", 0).where("right % 2 = 0"), ["gid", "at"], "left")
+    after = F.when(F.col("down"), F.coalesce("right", "up")).otherwise(F.col("up"))
+    turns = darts.around(darts.inserted(own.select("gid", "e", "u", "v", after.alias("after_u"), F.lit(None).cast("long").alias("after_v"))))
+    return turns.join(turns.select("gid", F.col("d").alias("cw"), F.col("head").alias("then")), ["gid", "cw"]).select("gid", "tail", "head", F.col("then").alias("cw"))
+
+
+query("t7_fan_triangles", GRID + f"SELECT gid, a, b, c FROM ({_SQUARE}) UNION ALL SELECT gid, a, c, d FROM ({_SQUARE})")(
+    lambda s, d: triangulation.fan_faces(graphs.embedded_faces(_half(grid(s, d)[1])).where("size = 4").select("gid", "face", "pos", F.col("tail").alias("v"))).select("gid", "a", "b", "c")
+)
