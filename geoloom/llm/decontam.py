@@ -1,12 +1,16 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. Test items become seeds: (n-gram hash, item, place). A bitmap of fixed size of their hashes goes to
+1. Items of equal words are one. Test items become seeds: (n-gram hash, item, place). Rare n-grams, those of at most `rare`
+   items, are all seeds. Of an item's more frequent ones the most frequent `spare` share is none: a passage that has no
+   rare seed of an item must have more of its n-grams than that share, and so has one of the others. An n-gram that many items have
+   in common doesn't make a pair of each of them with each passage. A bitmap of fixed size of the seeds' hashes goes to
    the tasks, and with it a table of fixed size that tells for a hash how long the longest item around it is.
+   Items of `shortest` to n - 1 words are one seed each, and must occur whole.
 2. One scan of the corpus finds the places whose n-gram is in the bitmap and keeps the words around
    them (as hashes), as far as those items reach, so the rest of the corpus is never shuffled. Texts
    are read whole.
-3. Passages of equal words are one from there on, and every pair of a passage and an item that share
-   a seed counts, however many passages have that seed.
+3. Passages of equal words are one from there on. A pair with a rare seed in common goes on; any other first counts the
+   seeds it shares, and goes on if, with the n-grams that are no seeds, they can pass the spare share.
 4. Pairs whose common words cannot reach the threshold are left out, which is exact; the others are
    aligned: local alignment of words, match 2, mismatch and gap -1, in blocks of pairs at once. The
    score is divided by that of the whole item.
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, byte_table, fresh, mix, sent_bitmap, separator_mask, ship, utf8, word_spans, written
@@ -89,13 +93,14 @@ def alignments(rows: list[tuple[np.ndarray, np.ndarray]], cells: int = 1_000_000
 
 
 class Decontaminator:
-    def __init__(self, n: int = 5, threshold: float = 0.5, bitmap_bits: int = 1 << 26, reach_places: int = 1 << 18):
-        """threshold: share of the item's full alignment score from which a text counts as contaminated. n is also the least length of an item: shorter ones say too little to be searched for."""
+    def __init__(self, n: int = 5, threshold: float = 0.5, bitmap_bits: int = 1 << 26, reach_places: int = 1 << 18, rare: int = 30, spare: float = 0.125, shortest: int = 3):
+        """threshold: share of the item's full alignment score from which a text counts as contaminated. shortest: items of fewer words say too little to be searched for; 1 searches for all."""
         self.n, self.threshold, self.bitmap_bits, self.reach_places = n, threshold, bitmap_bits, reach_places
+        self.rare, self.spare, self.shortest = rare, spare, shortest
         self.table, self.mask = byte_table(41), separator_mask(LETTERS)
 
     def _items(self, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        table, mask, n = self.table, self.mask, self.n
+        table, mask, n, shortest = self.table, self.mask, self.n, self.shortest
 
         def run(batches):
             for b in batches:
@@ -105,12 +110,27 @@ class Decontaminator:
                 cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
                 words = [h[x:y].tobytes() for x, y in zip(first[:-1], first[1:])]
                 grams = [g[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:])]
+                for k, size in enumerate(np.diff(first).tolist()):
+                    if shortest <= size < n:
+                        grams[k] = ngrams(h[first[k] : first[k + 1]], np.array([0, size]), size)[0].view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["item_id", "item_words", "grams"])
 
         kind = benchmark.schema[id_col].dataType.simpleString()
         rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {kind}, item_words binary, grams array<long>")
         return written(rows.withColumn("item", F.monotonically_increasing_id()), "leak-items")
 
+    def _seeds(self, items: DataFrame) -> DataFrame:
+        """(item, g, ipos, is_rare, many, spared) for items of different words: many is the item's number of different n-grams, spared how many of them are no seeds."""
+        every = items.select("item", F.posexplode("grams").alias("ipos", "g"))
+        each = every.groupBy("item", "g").agg(F.count("*").alias("times"))
+        known = each.join(each.groupBy("g").agg(F.count("*").alias("items")), "g")
+        w = Window.partitionBy("item")
+        known = known.withColumns({"many": F.count("*").over(w), "nth": F.row_number().over(w.orderBy(F.desc("items"), "g")), "is_rare": F.col("items") <= self.rare})
+        known = known.withColumn("keeps", F.col("is_rare") | (F.col("nth") > F.floor(F.col("many") * self.spare)))
+        spared = F.sum((~F.col("keeps")).cast("long")).over(w)
+        kept = known.withColumn("spared", spared).where("keeps").select("item", "g", "is_rare", "many", "spared")
+        return written(every.join(kept, ["item", "g"]), "leak-seeds")
+
     def _reach(self, items: DataFrame):
         """By place of a table of reach_places bytes: the logarithm of the longest item's number of words."""
         most = self.reach_places
@@ -126,7 +146,8 @@ class Decontaminator:
         out[rows.column("place").to_numpy()] = rows.column("e").to_numpy()
         return items.sparkSession.sparkContext.broadcast(out)
 
-    def _passages(self, docs: DataFrame, id_col: str, text_col: str, sent, reach) -> DataFrame:
+    def _passages(self, docs: DataFrame, id_col: str, text_col: str, sent, reach, short: tuple[int, ...] = ()) -> DataFrame:
+        """short: the lengths of items of fewer than n words."""
         table, mask, n = self.table, self.mask, self.n
 
         def run(batches):
@@ -138,12 +159,14 @@ class Decontaminator:
                 rows = []
                 for x, y in blocks(map(len, texts), 2_000_000):
                     *_, h, first = word_spans(texts[x:y], mask, table)
-                    g, at = ngrams(h, first, n)
-                    hit = np.flatnonzero(sent.value.has(g))
-                    if not len(hit):
+                    found = [ngrams(h, first, k) for k in (n, *short)]
+                    hit = [np.flatnonzero(sent.value.has(g)) for g, _ in found]
+                    g, at = (np.concatenate([f[c][k] for f, k in zip(found, hit)]) for c in (0, 1))
+                    if not len(g):
                         continue
-                    g, at = g[hit], at[hit]
-                    margin = reach_of(reach.value, g) * 5 // 4 + n
+                    order = np.argsort(at, kind="stable")
+                    g, at = g[order], at[order]
+                    margin = reach_of(reach.value, g) * 2 + n  # an item's length beyond its ends, see score_pairs
                     doc = np.searchsorted(first, at, "right") - 1
                     lo, hi = np.maximum(at - margin, first[doc]), np.minimum(at + n + margin, first[doc + 1])
                     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (lo[1:] > np.maximum.accumulate(hi)[:-1]))))
@@ -171,22 +194,27 @@ class Decontaminator:
     def find(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
         """(id, item, score, matched, begin, end) of contaminated texts: the best alignment of each row and item; begin and end count words.
 
-        Null and empty texts are never found, nor are items of fewer than n words. Repeated rows, and rows of
+        Null and empty texts are never found, nor are items of fewer than `shortest` words. Repeated rows, and rows of
         null or equal ids, each give rows of their own. Other columns are left out, so their names can't clash."""
-        items = self._items(benchmark, item_col, item_text_col)
-        seeds = items.select("item", F.posexplode("grams").alias("ipos", "g"))
+        every = self._items(benchmark, item_col, item_text_col)
+        named = every.groupBy("item_words").agg(F.min("item").alias("item"))
+        items = written(every.join(named, ["item_words", "item"], "left_semi"), "leak-item-kinds")
+        names = every.join(named.withColumnRenamed("item", "kind"), "item_words").select("kind", "item_id")
+        seeds = self._seeds(items)
         bitmap = sent_bitmap(seeds.select("g"), self.bitmap_bits)
-        passages = self._passages(docs, id_col, text_col, bitmap, self._reach(items))
+        size = F.expr("octet_length(item_words) div 8")
+        short = items.where((size < self.n) & (size >= self.shortest)).select(size.cast("int").alias("k")).distinct().collect()  # n rows at most
+        passages = self._passages(docs, id_col, text_col, bitmap, self._reach(items), tuple(r.k for r in short))
         keyed = passages.withColumn("key", F.sha2("words", 256))
         first = written(keyed.groupBy("key").agg(F.min("passage").alias("passage")), "leak-kinds")
         kinds = passages.join(first.select("passage"), "passage", "left_semi")
         hits = kinds.select("passage", F.explode("hits").alias("h")).select("passage", "h.g", "h.at")
         diagonal = F.col("at") - F.col("ipos")
-        pairs = hits.join(seeds.select("item", "g", "ipos"), "g").groupBy("passage", "item").agg(F.min(diagonal).alias("lo"), F.max(diagonal).alias("hi"))
-        rows = pairs.join(passages.select("passage", "words"), "passage").join(items.select("item", "item_id", "item_words"), "item")
-        kind = benchmark.schema[item_col].dataType.simpleString()
-        found = rows.select("passage", "item_id", "words", "item_words", "lo", "hi").mapInArrow(score_pairs(self.threshold), f"passage long, item_id {kind}, score double, matched long, from long, to long")
-        found = written(found.join(first, "passage").drop("passage"), "leak-found")
+        pairs = hits.join(seeds, "g").groupBy("passage", "item").agg(F.min(diagonal).alias("lo"), F.max(diagonal).alias("hi"), F.bool_or("is_rare").alias("is_rare"), F.count_distinct("g").alias("shared"), F.first("many").alias("many"), F.first("spared").alias("spared"))
+        pairs = pairs.where(F.col("is_rare") | (F.col("shared") + F.col("spared") > F.floor(F.col("many") * self.spare)))
+        rows = pairs.join(passages.select("passage", "words"), "passage").join(items.select("item", "item_words"), "item").withColumnRenamed("item", "kind")
+        found = rows.select("passage", "kind", "words", "item_words", "lo", "hi").mapInArrow(score_pairs(self.threshold, self.n), "passage long, kind long, score double, matched long, from long, to long")
+        found = written(found.join(first, "passage").drop("passage").join(names, "kind").drop("kind"), "leak-found")
         scored = keyed.select("key", "id", "row", "begin").join(found, "key").select("id", "row", "item_id", "score", "matched", (F.col("begin") + F.col("from")).alias("begin"), (F.col("begin") + F.col("to")).alias("end"))
         best = F.max_by(F.struct("score", "matched", "begin", "end"), F.struct("score", -F.col("begin")))
         return scored.groupBy("row", "item_id").agg(F.first("id").alias("id"), best.alias("b")).select("id", "item_id", "b.*")
@@ -200,26 +228,33 @@ class Decontaminator:
         return rows.join(bad, uid, "left_anti").select(*docs.columns)
 
 
-def score_pairs(threshold: float):
+def score_pairs(threshold: float, n: int):
+    """Pairs that reach the threshold; items of fewer than n words must be there whole.
+
+    A gap costs one, and no alignment of at least half the full score has more of them than the item has words: with the
+    item's length on both sides, the text around the seeds holds all of it. A lower threshold widens that."""
+
     def run(batches):
         for b in batches:
-            rows, starts, whence = [], [], []
+            rows, starts, whence, limits = [], [], [], []
             for k, (words, item, lo, hi) in enumerate(zip(*(b.column(c).to_pylist() for c in ("words", "item_words", "lo", "hi")))):
                 t, i = np.frombuffer(words, U64), np.frombuffer(item, U64)
-                slack = len(i) // 4 + 5
+                slack = int(np.ceil(2 * len(i) * (1 - min(threshold, 1))))
+                least = threshold if len(i) >= n else 1.0
                 x, y = max(0, lo - slack), min(len(t), hi + len(i) + slack)
                 # a match needs a word of the item that is in the text: no score passes twice their number
-                if 2 * np.isin(i, t[x:y]).sum() / max(1, 2 * len(i)) < threshold:
+                if 2 * np.isin(i, t[x:y]).sum() / max(1, 2 * len(i)) < least:
                     continue
                 rows.append((t[x:y], i))
+                limits.append(least)
                 starts.append(x)
                 whence.append(k)
             got = alignments(rows)
             share = got[:, 0] / np.array([max(1, 2 * len(i)) for _, i in rows]) if rows else np.zeros(0)
-            keep = np.flatnonzero(share >= threshold)
+            keep = np.flatnonzero(share >= np.array(limits))
             at = np.array(starts, np.int64)[keep]
             pick = pa.array(np.array(whence, np.int64)[keep])
-            yield pa.RecordBatch.from_arrays([b.column("passage").take(pick), b.column("item_id").take(pick), pa.array(share[keep]), pa.array(got[keep, 2] - got[keep, 1]), pa.array(at + got[keep, 1]), pa.array(at + got[keep, 2])], ["passage", "item_id", "score", "matched", "from", "to"])
+            yield pa.RecordBatch.from_arrays([b.column("passage").take(pick), b.column("kind").take(pick), pa.array(share[keep]), pa.array(got[keep, 2] - got[keep, 1]), pa.array(at + got[keep, 1]), pa.array(at + got[keep, 2])], ["passage", "kind", "score", "matched", "from", "to"])
 
     return run
 

@@ -105,6 +105,54 @@ def test_edited_copies_whose_seeds_are_all_frequent(spark):
     assert all(got[k][1:] == got[5][1:] for k in range(90, 120))
 
 
+def test_a_stock_phrase_of_many_items_makes_few_pairs(spark):
+    """One 5-gram in 1,000 items and 2,000 passages: no pair of each with each, and copies of items are still found."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    stock = "please answer with one letter"
+    items = [(k, " ".join([word() for _ in range(9)] + [stock] + [word() for _ in range(9)])) for k in range(1000)]
+    texts = [(k, " ".join([word() for _ in range(20)] + [stock] + [word() for _ in range(20)])) for k in range(2000)]
+    for k in range(0, 2000, 200):
+        w = items[k // 2][1].split()
+        w[3] = word()
+        texts[k] = (k, texts[k][1] + " " + " ".join(w))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    d = Decontaminator()
+    seeds = d._seeds(d._items(bench, "item_id", "text"))
+    assert seeds.groupBy("g").count().agg({"count": "max"}).first()[0] <= d.rare
+    assert {(r.id, r.item_id) for r in d.find(docs, bench).collect()} == {(k, k // 2) for k in range(0, 2000, 200)}
+
+
+def test_items_that_are_alike_are_each_found(spark):
+    """Sixty items of one template: all n-grams but a few are frequent; a passage of the template is found for each."""
+    rng = np.random.default_rng(13)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    frame = [word() for _ in range(30)]
+    items = [(k, " ".join(frame[:15] + [word()] + frame[15:])) for k in range(60)] + [(100, items_text) for items_text in [" ".join(frame[:15] + ["x"] + frame[15:])]] + [(101, " ".join(frame[:15] + ["X"] + frame[15:]))]
+    docs = spark.createDataFrame([(1, " ".join([word() for _ in range(5)] + frame[:15] + ["other"] + frame[15:])), (2, " ".join(frame[13:17])), (3, " ".join(word() for _ in range(40)))], "doc_id long, text string")
+    got = Decontaminator().find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item_id) for r in got} == {(1, i) for i, _ in items}
+
+
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "so it goes they say"), (2, "it goes"), (3, "goes it so"), (4, "what is up, Doc?"), (5, "yes"), (6, "Bold new world order now")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "So it goes"), (2, "What is up doc"), (3, "yes"), (4, "new world")], "item_id long, text string")
+    assert {(r.id, r.item_id) for r in Decontaminator().find(docs, bench).collect()} == {(1, 1), (4, 2)}
+    assert {(r.id, r.item_id) for r in Decontaminator(shortest=1).find(docs, bench).collect()} == {(1, 1), (4, 2), (5, 3), (6, 4)}
+
+
+def test_alignments_with_many_gaps(spark):
+    """A copy with a word put in after every two: the alignment is longer than its item by half."""
+    rng = np.random.default_rng(14)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    item = [word() for _ in range(60)]
+    spread = [w for k, x in enumerate(item) for w in ([x, word()] if k % 2 and k > 9 else [x])]
+    docs = spark.createDataFrame([(1, " ".join([word() for _ in range(100)] + spread + [word() for _ in range(100)]))], "doc_id long, text string")
+    d = Decontaminator()
+    (r,) = d.find(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert r.score == slow_align(spread, item) / 120 and r.end - r.begin == len(spread) - 1
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "same text here now same text here"), (None, "no id at all here"), (2, "")], "item_id long, text string")
     got = Decontaminator().find(odd_docs, bench).collect()
