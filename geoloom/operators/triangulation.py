@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -60,20 +61,35 @@ TRIANGLES = "array<struct<a:long,b:long,c:long>>"
 
 
 def _cut_ears(chains: pa.Array) -> pa.Array:
-    """Triangles of unimonotone chains, given from one end of the base to the other, the inside to the left: one pass with a stack each."""
-    out = []
-    for chain in chains.to_pylist():
-        stack, found = [], []
-        for v in chain:
-            while len(stack) > 1:
-                a, b = stack[-2], stack[-1]
-                if (b["x"] - a["x"]) * (v["y"] - a["y"]) - (b["y"] - a["y"]) * (v["x"] - a["x"]) < 0:
-                    break
-                found.append({"a": a["idx"], "b": b["idx"], "c": v["idx"]})
-                stack.pop()
-            stack.append(v)
-        out.append(found)
-    return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])))
+    """Triangles of unimonotone chains, given from one end of the base to the other, the inside to the left: one pass with a stack each, all chains of the batch at once.
+
+    In a step every chain cuts the corner on top of its stack off, if it turns left or not at all, or puts its next vertex there."""
+    size = chains.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.concatenate(([0], np.cumsum(size)))
+    flat = chains.flatten()
+    idx, x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("idx", "x", "y"))
+    stack = np.zeros(first[-1], np.int64)  # of each chain from its first place on
+    high, at = first[:-1].copy(), first[:-1].copy()  # one past the top of each stack; the next vertex
+    found, of = [], []
+    live = np.flatnonzero(size > 0)
+    while len(live):
+        v, top = at[live], high[live]
+        two = top - first[live] > 1
+        a, b = stack[np.where(two, top - 2, 0)], stack[np.where(two, top - 1, 0)]
+        cut_off = two & ((x[b] - x[a]) * (y[v] - y[a]) - (y[b] - y[a]) * (x[v] - x[a]) >= 0)
+        found.append(np.stack([idx[a[cut_off]], idx[b[cut_off]], idx[v[cut_off]]]))
+        of.append(live[cut_off])
+        high[live[cut_off]] -= 1
+        put = live[~cut_off]
+        stack[high[put]] = at[put]
+        high[put] += 1
+        at[put] += 1
+        live = live[at[live] < first[live + 1]]
+    of = np.concatenate(of or [np.zeros(0, np.int64)])
+    order = np.argsort(of, kind="stable")
+    a, b, c = np.concatenate(found or [np.zeros((3, 0), np.int64)], axis=1)[:, order]
+    cut_at = np.searchsorted(of[order], np.arange(len(size) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut_at), pa.StructArray.from_arrays([pa.array(z, pa.int64()) for z in (a, b, c)], ["a", "b", "c"]))
 
 
 def triangulate_monotone(pieces: DataFrame, small: int = 5000, most: int = 60) -> DataFrame:

@@ -317,3 +317,29 @@ def test_heights_on_arcs_of_several_edges(spark):
     assert got == {0: {11}, 1: {10}, 2: {10}, 3: {12}, 4: {10}, 5: {10, 11}, 7: {10, 11}}
     one = visibility.region_locate_on_edge(asked.withColumn("side", F.lit("L")), arcs, ends)
     assert {r.query_id: r.region for r in one.collect()} == {0: 1, 1: 0, 2: 0, 3: 2, 4: 0, 5: 0, 6: None, 7: 0}
+
+
+def test_corners_of_all_chains_at_once():
+    """The stack passes of a batch, step by step together, against one after the other."""
+    import pyarrow as pa
+
+    from geoloom.operators.triangulation import _cut_ears
+
+    def plain(chain):
+        stack, found = [], []
+        for v in chain:
+            while len(stack) > 1:
+                a, b = stack[-2], stack[-1]
+                if (b["x"] - a["x"]) * (v["y"] - a["y"]) - (b["y"] - a["y"]) * (v["x"] - a["x"]) < 0:
+                    break
+                found.append({"a": a["idx"], "b": b["idx"], "c": v["idx"]})
+                stack.pop()
+            stack.append(v)
+        return found
+
+    rng = random.Random(1)
+    chains = [[{"k": i, "idx": rng.randrange(1000), "x": float(rng.randint(0, 9)), "y": float(-i)} for i in range(rng.randrange(0, 40))] for _ in range(300)]
+    kind = pa.list_(pa.struct([("k", pa.int64()), ("idx", pa.int64()), ("x", pa.float64()), ("y", pa.float64())]))
+    got = _cut_ears(pa.array(chains, kind))
+    assert got.to_pylist() == [plain(c) for c in chains]
+    assert _cut_ears(pa.array(chains, kind).slice(50, 9)).to_pylist() == [plain(c) for c in chains[50:59]]
