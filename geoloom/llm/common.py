@@ -38,6 +38,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/geoloom/{name}-{uuid.uuid4().hex}"
 
 
+def store(folder: str):
+    """(file system, path) of a folder for pyarrow, which knows s3a only as s3."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as a Parquet table in the shared folder and reads them back: cuts the lineage and outlives executors."""
     spark = df.sparkSession

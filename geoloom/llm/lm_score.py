@@ -21,9 +21,9 @@ How it runs on Spark:
   are counted and scored from there, so texts are read and hashed once. Rarer words are joined by word.
 * pairs: per-task sorted (pair, count) runs, one shuffle by hash range; each range becomes a
   segment of the filter, sized by its own items.
-* segments are laid one behind the other in files of about `max_filter_bytes`, which Spark hands to each
-  executor once; its workers read them through one memory map. A larger filter has several files:
-  each goes over the class numbers and adds the logarithms of its own pairs, so a larger corpus
+* segments are laid one behind the other in files of about `max_filter_bytes` in the shared folder. A task opens
+  the one file of its pass there, through a memory map where it can; no file is copied to executors. A larger
+  filter has several files: each goes over the class numbers and adds the logarithms of its own pairs, so a larger corpus
   needs more passes over a small table and not more memory. Scores don't depend on the number of files.
 """
 
@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, byte_table, held_out, mix, per_doc, scratch_path, separator_mask, ship, sum_by, utf8, word_spans, written
+from .common import U64, blocks, byte_table, held_out, mix, per_doc, scratch_path, separator_mask, ship, store, sum_by, utf8, word_spans, written
 
 ship(__name__)
 
@@ -265,11 +265,15 @@ class Filter:
         return out
 
 
-def mapped(name: str | None) -> np.ndarray:
-    """A file that Spark handed to this machine; all its workers share the pages."""
-    from pyspark import SparkFiles
-
-    return np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r")) if name else np.zeros(1, np.uint8)
+def mapped(path: str | None) -> np.ndarray:
+    """The bytes of a filter file in the shared folder. On a mounted folder all workers of a machine share the pages; from any other store the file, of max_filter_bytes about, is read into memory."""
+    if not path:
+        return np.zeros(1, np.uint8)
+    fs, place = store(path)
+    if fs.type_name == "local":
+        return np.asarray(np.memmap(place, np.uint8, "r"))
+    with fs.open_input_file(place) as f:
+        return np.frombuffer(f.read(), np.uint8)
 
 
 class Model:
@@ -349,14 +353,12 @@ class LogFrequencyBloom:
         return self
 
     def _lay_out(self, filled: DataFrame, n_files: int) -> list[tuple[str | None, list[tuple[int, int, int]]]]:
-        """Writes the segments into n_files files of nearly equal ranges of segments: (name, [(segment, first byte, bytes)]) of each; no name for a range without pairs."""
+        """Writes the segments into n_files files of nearly equal ranges of segments: (path, [(segment, first byte, bytes)]) of each; no path for a range without pairs."""
         spark = filled.sparkSession
         folder, segments = scratch_path(spark, "lm-files"), self.segments
 
         def run(batches):
-            from pyarrow.fs import FileSystem
-
-            fs, root = FileSystem.from_uri(folder)
+            fs, root = store(folder)
             fs.create_dir(root, recursive=True)
             out, at, last, name = None, 0, None, None
             for b in batches:
@@ -381,8 +383,7 @@ class LogFrequencyBloom:
         report = written(laid.mapInArrow(run, "part long, name string, seg int, at long, n long"), "lm-places")
         files: list = [(None, [])] * n_files
         for r in report.groupBy("part", "name").agg(F.collect_list(F.struct("seg", "at", "n")).alias("place")).collect():  # a few bytes for each segment
-            files[r["part"]] = (r["name"], [tuple(p) for p in r["place"]])
-            spark.sparkContext.addFile(f"{folder}/{r['name']}")
+            files[r["part"]] = (f"{folder}/{r['name']}", [tuple(p) for p in r["place"]])
         return files
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, digest_keys, mix, scratch_path, sent_bitmap, ship, written
+from .common import U64, digest_keys, mix, scratch_path, sent_bitmap, ship, store, written
 
 ship(__name__)
 
@@ -118,9 +118,7 @@ class Archiver:
     """Collects a task's records into files of about file_bytes; rows() reports those that are done."""
 
     def __init__(self, folder: str, file_bytes: int):
-        from pyarrow.fs import FileSystem
-
-        self.fs, self.root = FileSystem.from_uri(folder)
+        self.fs, self.root = store(folder)
         self.fs.create_dir(self.root, recursive=True)
         self.file_bytes, self.held, self.size, self.done = file_bytes, [], 0, []
 
@@ -219,9 +217,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     report = spark.read.schema(REPORT).parquet(f"{folder}/report")
 
     def run(batches):
-        from pyarrow.fs import FileSystem
-
-        fs, root = FileSystem.from_uri(folder)
+        fs, root = store(folder)
         for b in batches:
             for name in b.column(0).to_pylist():
                 with fs.open_input_stream(f"{root}/{name}") as f:
