@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .operators import darts, graphs, regions, rings, triangulation, visibility
 from .plans.fixtures import NESTED_SQL, WIDTH, grid, nested_map, region_map, skyline_sql, skylines
 from .plans.iterate import cut
-from .queries import _SHOT, _TRAPS, ORACLES, query
+from .queries import _DIAG, _SHOT, _TRAPS, ORACLES, _pieces, query
 from .queries_graphs import _H, _SQUARE, GRID, REG, _half
 
 # Visibility maps of the skylines by part: the same names as the made-up maps have in their SQL
@@ -213,3 +213,52 @@ def _g3_inserted(s, d):
 query("t7_fan_triangles", GRID + f"SELECT gid, a, b, c FROM ({_SQUARE}) UNION ALL SELECT gid, a, c, d FROM ({_SQUARE})")(
     lambda s, d: triangulation.fan_faces(graphs.embedded_faces(_half(grid(s, d)[1])).where("size = 4").select("gid", "face", "pos", F.col("tail").alias("v"))).select("gid", "a", "b", "c")
 )
+
+
+# Pieces of the triangulation as rows; a piece is known by its lowest half-edge
+
+_PIECES = (
+    "WITH RECURSIVE "
+    + skyline_sql()
+    + _DIAG
+    + """,
+nb AS (SELECT pid, idx AS at_, (idx + 1) % n AS to_, 1 AS turn FROM v JOIN nn USING (pid) UNION ALL SELECT pid, (idx + 1) % n, idx, n - 1 FROM v JOIN nn USING (pid)
+  UNION ALL SELECT pid, u, w, w - u FROM dg UNION ALL SELECT pid, w, u, n + u - w FROM dg JOIN nn USING (pid)),
+nx AS (SELECT pid, to_ AS tail, at_ AS head, lag(to_) OVER (PARTITION BY pid, at_ ORDER BY turn) AS then_ FROM nb),
+hn AS (SELECT * FROM nx WHERE then_ IS NOT NULL),
+walk AS (SELECT pid, tail AS t0, head AS h0, tail, head, CAST(0 AS BIGINT) AS pos FROM hn
+  UNION ALL SELECT w.pid, t0, h0, hn.head, hn.then_, pos + 1 FROM walk w JOIN hn ON hn.pid = w.pid AND hn.tail = w.tail AND hn.head = w.head WHERE NOT (hn.head = t0 AND hn.then_ = h0)),
+low AS (SELECT pid, t0, h0, count(*) AS size FROM walk GROUP BY 1, 2, 3 HAVING bool_and(tail > t0 OR (tail = t0 AND head >= h0))),
+pc AS (SELECT walk.pid, t0, h0, pos, tail AS idx, size FROM walk JOIN low USING (pid, t0, h0))"""
+)
+query("t2_piece_rows", _PIECES + " SELECT pid, t0 AS piece_tail, h0 AS piece_head, pos, idx FROM pc")(
+    lambda s, d: _pieces(s, d).select("pid", F.col("piece.tail").alias("piece_tail"), F.col("piece.head").alias("piece_head"), "pos", "idx")
+)
+query(
+    "t3_mountain_rows",
+    _PIECES
+    + """, m AS (SELECT pc.pid, t0, h0, any_value(size) AS size, arg_max(pc.idx, rk) AS top, arg_min(pc.idx, rk) AS bottom, arg_max(pos, rk) AS tp, arg_min(pos, rk) AS bp FROM pc JOIN r ON r.pid = pc.pid AND r.idx = pc.idx GROUP BY 1, 2, 3)
+SELECT pid, t0 AS piece_tail, h0 AS piece_head, size, top, bottom, CASE WHEN (tp - bp + size) % size = 1 THEN tp WHEN (bp - tp + size) % size = 1 THEN bp END AS start_pos, CASE WHEN (tp - bp + size) % size = 1 THEN 'down' WHEN (bp - tp + size) % size = 1 THEN 'up' END AS direction FROM m""",
+)(lambda s, d: triangulation.mountain_base(_pieces(s, d)).select("pid", F.col("piece.tail").alias("piece_tail"), F.col("piece.head").alias("piece_head"), "size", "top", "bottom", "start_pos", "direction"))
+
+
+# Chords taken out of real maps: the joined regions branch
+
+_LOW = """, dr AS (SELECT map_id, region_a AS x, region_b AS y FROM chords WHERE chord_id % 4 = 0 UNION SELECT map_id, region_b, region_a FROM chords WHERE chord_id % 4 = 0),
+cl AS (SELECT map_id, region_id, region_id AS other FROM regions UNION SELECT cl.map_id, cl.region_id, dr.y FROM cl JOIN dr ON dr.map_id = cl.map_id AND dr.x = cl.other),
+low AS (SELECT map_id, region_id, min(other) AS low FROM cl GROUP BY 1, 2),
+used AS"""
+
+
+def _branching(sql: str) -> str:
+    head, rest = sql.split(", low AS", 1)
+    rest = rest.split("used AS", 1)[1].replace("chord_id % 2 = 1", "chord_id % 4 <> 0").replace("chord_id % 2 = 0", "chord_id % 4 = 0")
+    return head.replace("WITH ", "WITH RECURSIVE ", 1) + _LOW + rest
+
+
+@query("m5_contract_chords_visible", _branching(VIS + ORACLES["m5_contract_chords"].removeprefix(REG)))
+def _m5_visible(s, d):
+    """Arcs of visibility maps after the chords of every second vertex's left side have gone, with their regions' weights."""
+    r, a, c = map(cut, _map(s, d))
+    weights, glued, _ = regions.contract_chords(r, a, c, c.where("chord_id % 4 = 0").select("map_id", "chord_id"))
+    return glued.join(weights, ["map_id", "region_id"]).select("map_id", "region_id", "arc_id", "first_edge", "last_edge", "edge_count", "weight")
