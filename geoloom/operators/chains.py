@@ -31,14 +31,20 @@ def dyadic_cut(ranges: DataFrame, top: int = 62) -> DataFrame:
     return out.select("range_id", F.col("k").alias("grade"), F.col("piece").alias("chain"), (F.col("piece") * unit).alias("start"), ((F.col("piece") + 1) * unit).alias("end"))
 
 
-def holding(points: DataFrame, ranges: DataFrame, keys: list[str], at: Column, lo: Column, hi: Column, top: int = 13) -> DataFrame:
+def holding(points: DataFrame, ranges: DataFrame, keys: list[str], at: Column, lo: Column, hi: Column, top: int = 13, few: int = 64) -> DataFrame:
     """Each pair of a point and a range of the same keys with lo <= at <= hi, once; both ends are whole numbers. Null ends meet nothing.
 
     A range of a length from 8**g up to 8**(g + 1) lies in at most nine blocks of 8**g numbers, and a point looks in its own
     block of each grade; so the join is an equi-join on the keys, grade and block and doesn't crowd on the keys.
-    Ranges beyond 8**(top + 1) take more blocks of the top grade."""
+    Ranges beyond 8**(top + 1) take more blocks of the top grade. Keys of up to `few` ranges take the plain equi-join
+    on the keys: a point meets no more than these."""
     size = F.least(F.expr("(length(bin(hi_ - lo_)) - 1) div 3").cast("int"), F.lit(top))
-    r = ranges.withColumns({"lo_": lo.cast("long"), "hi_": hi.cast("long")}).where("lo_ <= hi_").withColumn("g_", size)
-    r = r.withColumn("block_", F.explode(F.expr("sequence(shiftright(lo_, 3 * g_), shiftright(hi_, 3 * g_))")))
-    p = points.withColumn("at_", at.cast("long")).withColumn("g_", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("block_", F.expr("shiftright(at_, 3 * g_)"))
-    return p.join(r, [*keys, "g_", "block_"]).where("lo_ <= at_ and at_ <= hi_").drop("g_", "block_", "lo_", "hi_", "at_")
+    n = ranges.groupBy(*keys).agg(F.count("*").alias("n_"))
+    r = ranges.withColumns({"lo_": lo.cast("long"), "hi_": hi.cast("long")}).where("lo_ <= hi_").join(n, keys)
+    p = points.withColumn("at_", at.cast("long"))
+    some = p.join(r.where(F.col("n_") <= few).drop("n_"), keys).where("lo_ <= at_ and at_ <= hi_")
+    blocks = F.explode(F.expr("sequence(shiftright(lo_, 3 * g_), shiftright(hi_, 3 * g_))"))
+    big = r.where(F.col("n_") > few).drop("n_").withColumn("g_", size).withColumn("block_", blocks)
+    asked = p.join(n.where(F.col("n_") > few).select(*keys), keys, "left_semi").withColumn("g_", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("block_", F.expr("shiftright(at_, 3 * g_)"))
+    many = asked.join(big, [*keys, "g_", "block_"]).where("lo_ <= at_ and at_ <= hi_").drop("g_", "block_")
+    return some.unionByName(many).drop("lo_", "hi_", "at_")

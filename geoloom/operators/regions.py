@@ -272,6 +272,7 @@ def internal_chords(region_arcs: DataFrame, chords: DataFrame) -> DataFrame:
     a = region_arcs.select("map_id", "region_id", F.least("first_edge", "last_edge").alias("a"), F.greatest("first_edge", "last_edge").alias("z"))
     c = chords.select("map_id", "chord_id", _lo().alias("lo"), _hi().alias("hi"))
     one = holding(c, a, ["map_id"], F.col("lo"), F.col("a"), F.col("z")).select("map_id", "region_id", "chord_id", "lo", "hi").distinct()
+    one = cut(one)  # read twice
     both = holding(one, a, ["map_id", "region_id"], F.col("hi"), F.col("a"), F.col("z")).select("map_id", "region_id", "chord_id", "lo").distinct()
     nth = F.row_number().over(Window.partitionBy("map_id", "region_id", "lo").orderBy("chord_id"))
     return both.withColumn("nth", nth).where("nth = 1").select("map_id", "region_id", "chord_id")

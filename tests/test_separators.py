@@ -343,3 +343,16 @@ def test_corners_of_all_chains_at_once():
     got = _cut_ears(pa.array(chains, kind))
     assert got.to_pylist() == [plain(c) for c in chains]
     assert _cut_ears(pa.array(chains, kind).slice(50, 9)).to_pylist() == [plain(c) for c in chains[50:59]]
+
+
+@pytest.mark.parametrize("few", [0, 20, 10**6])
+def test_ranges_of_few_and_many(spark, few):
+    """Pairs of points and ranges, by blocks, by plain joins, and by both."""
+    from geoloom.operators.chains import holding
+
+    rng = random.Random(few)
+    points = [(rng.randint(0, 3), k, rng.randint(-5, 700)) for k in range(150)] + [(0, 900, 2**45), (1, 901, None)]
+    ranges = [(rng.choice([0, 0, 0, 1, 2, 4]), k, a, a + rng.choice([-1, 0, 1, 7, 8, 9, 63, 64, 500])) for k, a in enumerate(rng.choices(range(-9, 700), k=90))] + [(0, 900, 0, 2**46), (1, 901, None, 5)]
+    p, r = spark.createDataFrame(points, "k long, i long, x long"), spark.createDataFrame(ranges, "k long, j long, a long, b long")
+    got = sorted((g.i, g.j) for g in holding(p, r, ["k"], F.col("x"), F.col("a"), F.col("b"), few=few).collect())
+    assert got == sorted((i, j) for k, i, x in points for m, j, a, b in ranges if k == m and None not in (x, a) and a <= x <= b)
