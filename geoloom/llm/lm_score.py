@@ -6,25 +6,29 @@ another number; probing 1, 2, ... until the first miss gives the level back. Lev
 in no case and raised seldom (by false positives).
 
 The model: the `head_words` most frequent words (up to a power of two as least count) and the end of
-a text are classes of their own, all other words are one class. With C the exact count of a class,
+a text are classes of their own. Rarer words are classes by hash: one for some four of them, `rare_classes`
+at most, so pairs of rare words are in the filter too. With C the exact count of a class,
 P(b) = (C(b) + 1) / (tokens + classes) and J(a, b) the lower bound of the pair's level less one,
 
     p(b after a) = (J + (mu + share * C(a)) * P(b)) / ((1 + share) * C(a) + mu + margin)
 
-and a word w of the common class also has its exact share (c(w) + 1) / (N' + V' + 1) of that
-class. Taking one off each J leaves slack for every successor of a, J never passes C(a) or C(b), and
+and a rare word w also has its exact share (c(w) + 1) / (N' + V' + 1) of its class of N' tokens and V'
+words. Taking one off each J leaves slack for every successor of a, J never passes C(a) or C(b), and
 margin bounds the false positives of all classes together; so the sum over b stays at or below 1.
 
 How it runs on Spark:
-* words: per-task counters and one shuffle by word; head words' counts are broadcast (`head_words` rows).
+* words: per-task counters and one shuffle by word; counts of classes are broadcast (`head_words` + `rare_classes` rows).
 * one scan of the texts turns them into class numbers, which are written as a table (`encode`); pairs
   are counted and scored from there, so texts are read and hashed once. Rarer words are joined by word.
 * pairs: per-task sorted (pair, count) runs, one shuffle by hash range; each range becomes a
   segment of the filter, sized by its own items.
 * segments are laid one behind the other in files of about `max_filter_bytes` in the shared folder. A task opens
-  the one file of its pass there, through a memory map where it can; no file is copied to executors. A larger
-  filter has several files: each goes over the class numbers and adds the logarithms of its own pairs, so a larger corpus
-  needs more passes over a small table and not more memory. Scores don't depend on the number of files.
+  the one file of its pass there, through a memory map where it can; no file is copied to executors. A filter of
+  a few files goes over the class numbers once for each and adds the logarithms of its own pairs.
+* a filter of more than `most_passes` files would take ever more passes. Then the pairs go to the files instead: the
+  levels of the most frequent pairs (`hot_pairs` of them at most: those with over that share of all tokens) are broadcast and answer most places
+  at once, the others are shuffled once by file, with a text's repeats as one, and their logarithms come back by text.
+  Scores don't depend on the number of files or on the way.
 """
 
 from __future__ import annotations
@@ -84,19 +88,41 @@ def word_keys(words: list[bytes], table: np.ndarray, is_word: np.ndarray) -> np.
 
 
 class Classes:
-    """Class numbers of hashed words: 0 to n - 1 the head words in order of their hashes, then END, RARE and START."""
+    """Class numbers of hashed words: 0 to n - 1 the head words in order of their hashes, then END, START and the rare words' classes by hash."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_docs: int, n_tokens: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_docs: int, n_tokens: int, rare_counts: np.ndarray, rare_types: np.ndarray):
         self.keys, self.n = keys, len(keys)
-        self.end, self.rare, self.start = self.n, self.n + 1, self.n + 2
-        self.counts = np.concatenate((counts, [n_docs, n_tokens - n_docs - int(counts.sum()), n_docs])).astype(np.int64)
-        self.unigram = (self.counts + 1) / (n_tokens + self.n + 2)
+        self.end, self.start, self.rare = self.n, self.n + 1, self.n + 2
+        self.counts = np.concatenate((counts, [n_docs, n_docs], rare_counts)).astype(np.int64)
+        self.successors = self.n + 1 + len(rare_counts)  # all but START
+        self.unigram = (self.counts + 1) / (n_tokens + self.successors)
+        self.rare_bottom = (rare_counts + rare_types + 1).astype(float)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
+        rare = self.rare + rare_class(hashes, len(self.rare_bottom))
         if not self.n:
-            return np.full(len(hashes), self.rare, np.int32)
+            return rare.astype(np.int32)
         at = np.minimum(np.searchsorted(self.keys, hashes), self.n - 1)
-        return np.where(self.keys[at] == hashes, at, self.rare).astype(np.int32)
+        return np.where(self.keys[at] == hashes, at, rare).astype(np.int32)
+
+
+def rare_class(hashes: np.ndarray, classes: int) -> np.ndarray:
+    return (hashes & U64(classes - 1)).astype(np.int64)
+
+
+def count_rare(table: np.ndarray, is_word: np.ndarray, classes: int):
+    """Tokens and words of each rare class, from rows of words and counts."""
+
+    def run(batches):
+        n, v = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+        for batch in batches:
+            own = rare_class(word_keys(batch.column(0).to_pylist(), table, is_word), classes)
+            np.add.at(n, own, batch.column(1).to_numpy())
+            v += np.bincount(own, minlength=classes)
+        at = np.flatnonzero(v)
+        yield pa.RecordBatch.from_pydict({"class": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64()), "v": pa.array(v[at], pa.int64())})
+
+    return run
 
 
 def rare_words(data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, at: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -111,13 +137,14 @@ def rare_words(data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.nda
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(first))), pa.int32()), each)
 
 
-ENCODED = "uid long, id {}, train boolean, n_tokens long, head_known long, head_sum double, n_rare long, ids binary, tail array<struct<word:binary,n:long>>"
+ENCODED = "uid long, id {}, train boolean, n_tokens long, head_known long, head_sum double, shift double, ids binary, tail array<struct<word:binary,n:long>>"
 
 
 def encoder(sent, table: np.ndarray, is_word: np.ndarray, bottom: float):
     def run(batches):
         classes = sent.value
         logs = np.log10((classes.counts[: classes.end + 1] + 1) / bottom)
+        shifts = np.log10(bottom / classes.rare_bottom)  # from the whole base to that of a rare class
         for batch in batches:
             for x, docs in text_blocks(batch.column(3)):
                 data, starts, ends, hashes, first = word_spans(docs, is_word, table)
@@ -126,6 +153,7 @@ def encoder(sent, table: np.ndarray, is_word: np.ndarray, bottom: float):
                 in_head = own < classes.n
                 rare = np.flatnonzero(~in_head)
                 n_rare = per_doc((~in_head).astype(np.int64), first)
+                shift = per_doc(np.where(in_head, 0.0, shifts[np.maximum(own - classes.rare, 0)]), first)
                 sums = per_doc(np.where(in_head, logs[np.minimum(own, classes.end)], 0.0), first) + logs[classes.end]
                 size = first[1:] - first[:-1]
                 cut = first.tolist()
@@ -138,11 +166,11 @@ def encoder(sent, table: np.ndarray, is_word: np.ndarray, bottom: float):
                         pa.array(size + 1, pa.int64()),
                         pa.array(size - n_rare + (classes.counts[classes.end] > 0), pa.int64()),
                         pa.array(sums),
-                        pa.array(n_rare, pa.int64()),
+                        pa.array(shift),
                         pa.array([own[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
                         rare_words(data, starts, ends, hashes, rare, first),
                     ],
-                    ["uid", "id", "train", "n_tokens", "head_known", "head_sum", "n_rare", "ids", "tail"],
+                    ["uid", "id", "train", "n_tokens", "head_known", "head_sum", "shift", "ids", "tail"],
                 )
 
     return run
@@ -211,8 +239,8 @@ def places(pairs: np.ndarray, level: int, probe: int, base, size) -> np.ndarray:
     return base + (((a + U64(probe) * b) & U64(0xFFFFFFFF)) * size >> U64(32))
 
 
-def fill_segment(levels: np.ndarray, probes: np.ndarray, bits_per_probe: float):
-    """Merges a segment's runs and sets its bits."""
+def fill_segment(levels: np.ndarray, probes: np.ndarray, bits_per_probe: float, segments: int, hot_from: int):
+    """Merges a segment's runs and sets its bits; pairs of counts from hot_from on come with their levels too."""
 
     def run(key, group):
         keys, counts = [], []
@@ -230,26 +258,44 @@ def fill_segment(levels: np.ndarray, probes: np.ndarray, bits_per_probe: float):
             for j in range(probes[level - 1]):
                 bits[places(own, level, j, U64(0), U64(size))] = True
         packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"seg": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed], pa.binary()), "n_bytes": pa.array([size // 8], pa.int64()), "n_set": pa.array([int(bits.sum())], pa.int64())})
+        seg = key[0].as_py()
+        hot = k[c >= hot_from]
+        hot_levels = Filter(segments, [(seg, 0, size // 8)], probes, np.frombuffer(packed, np.uint8)).level(hot).astype(np.uint8)
+        row = {"seg": seg, "bits": packed, "n_bytes": size // 8, "n_set": int(bits.sum()), "hot": hot.tobytes(), "hot_levels": hot_levels.tobytes()}
+        return pa.Table.from_pylist([row], SEGMENT)
 
     return run
 
 
+SEGMENT = pa.schema([("seg", pa.int32()), ("bits", pa.binary()), ("n_bytes", pa.int64()), ("n_set", pa.int64()), ("hot", pa.binary()), ("hot_levels", pa.binary())])
+
+
 class Filter:
     """Segments of the filter over one array of bytes; probing gives levels."""
 
     def __init__(self, segments: int, place: list[tuple[int, int, int]], probes: np.ndarray, bits: np.ndarray):
         """place: (segment, first byte, bytes) of the segments that are here."""
         self.segments, self.probes, self.bits = segments, probes, bits
-        self.base, self.size = np.zeros(segments, U64), np.zeros(segments, U64)
-        for seg, at, n in place:
-            self.base[seg], self.size[seg] = at * 8, n * 8
+        seg, at, n = np.array(place, np.int64).reshape(-1, 3).T
+        self.first = int(seg.min(initial=segments - 1))
+        self.base, self.size = np.zeros((2, int(seg.max(initial=self.first)) - self.first + 1), U64)
+        self.base[seg - self.first], self.size[seg - self.first] = at * 8, n * 8
+
+    @staticmethod
+    def opened(segments: int, probes: np.ndarray, path: str | None) -> Filter:
+        """The segments of a file of _lay_out; none without a path."""
+        if not path:
+            return Filter(segments, [], probes, np.zeros(1, np.uint8))
+        bits = mapped(path)
+        n = int(bits[-8:].copy().view(np.int64)[0])
+        return Filter(segments, bits[len(bits) - 24 * n - 8 : -8].copy().view(np.int64).reshape(-1, 3), probes, bits)
 
     def level(self, pairs: np.ndarray) -> np.ndarray:
         """The level of each pair, 0 for those not found; pairs of segments that are not here count as not found."""
         out = np.zeros(len(pairs), np.int64)
-        seg = segment_of(pairs, self.segments)
-        live = np.flatnonzero(self.size[seg] > 0)
+        seg = segment_of(pairs, self.segments) - self.first
+        live = np.flatnonzero((seg >= 0) & (seg < len(self.size)))
+        live = live[self.size[seg[live]] > 0]
         for q, probes in enumerate(self.probes, 1):
             k, base, size = pairs[live], self.base[seg[live]], self.size[seg[live]]
             a = mix(k + U64(q * STEP % 2**64))
@@ -265,10 +311,8 @@ class Filter:
         return out
 
 
-def mapped(path: str | None) -> np.ndarray:
+def mapped(path: str) -> np.ndarray:
     """The bytes of a filter file in the shared folder. On a mounted folder all workers of a machine share the pages; from any other store the file, of max_filter_bytes about, is read into memory."""
-    if not path:
-        return np.zeros(1, np.uint8)
     fs, place = store(path)
     if fs.type_name == "local":
         return np.asarray(np.memmap(place, np.uint8, "r"))
@@ -295,12 +339,13 @@ class Model:
 class LogFrequencyBloom:
     """A language model of words and pairs. Fit once, then score any frame of texts."""
 
-    def __init__(self, growth: float = 1.5, probes: int = 8, sure_probes: int = 24, sure_from: int = 32, bits_per_probe: float = 1.5, mu: float = 100.0, share: float = 0.5, max_filter_bytes: int = 256 << 20, head_words: int = 300_000, ngrams_per_segment: int = 1_000_000):
-        """probes: bits an item sets at a level; levels from the count sure_from on, where a raised level would weigh most, set sure_probes."""
+    def __init__(self, growth: float = 1.5, probes: int = 8, sure_probes: int = 24, sure_from: int = 32, bits_per_probe: float = 1.5, mu: float = 100.0, share: float = 0.5, max_filter_bytes: int = 256 << 20, head_words: int = 300_000, rare_classes: int = 1 << 18, ngrams_per_segment: int = 1_000_000, most_passes: int = 4, hot_pairs: int = 500_000):
+        """rare_classes: a power of two. probes: bits an item sets at a level; levels from the count sure_from on, where a raised level would weigh most, set sure_probes."""
         self.levels = thresholds(growth)
         self.probes = np.where(self.levels < sure_from, probes, sure_probes)
         self.bits_per_probe, self.mu, self.share = bits_per_probe, mu, share
         self.max_filter_bytes, self.head_words, self.ngrams_per_segment = max_filter_bytes, head_words, ngrams_per_segment
+        self.rare_classes, self.most_passes, self.hot_pairs = rare_classes, most_passes, hot_pairs
         self.table, self.is_word = byte_table(SEED), separator_mask()
 
     def fit(self, texts: DataFrame, text_col: str = "text") -> LogFrequencyBloom:
@@ -325,7 +370,13 @@ class LogFrequencyBloom:
         head = self.vocab.where((F.col("n") >= self.head_from) & ~is_end).toArrow()  # head_words rows at most
         keys = word_keys(head.column("word").to_pylist(), self.table, self.is_word)
         order = np.argsort(keys)
-        self.classes = Classes(keys[order], np.asarray(head.column("n").to_numpy(), np.int64)[order], self.n_docs, self.n_tokens)
+        v_rare = self.n_types - len(keys) - (self.n_docs > 0)
+        classes = min(self.rare_classes, 1 << max(0, (v_rare // 4 - 1).bit_length()))
+        rare = self.vocab.where((F.col("n") < self.head_from) & ~is_end).mapInArrow(count_rare(self.table, self.is_word, classes), "class int, n long, v long")
+        rare = rare.groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()  # rare_classes rows at most
+        n_v = np.zeros((2, classes), np.int64)
+        n_v[:, rare.column("class").to_numpy()] = rare.column("n").to_numpy(), rare.column("v").to_numpy()
+        self.classes = Classes(keys[order], np.asarray(head.column("n").to_numpy(), np.int64)[order], self.n_docs, self.n_tokens, *n_v)
         self.sent_classes = texts.sparkSession.sparkContext.broadcast(self.classes)
         return self
 
@@ -343,49 +394,53 @@ class LogFrequencyBloom:
         """Builds the filter from the encoded rows that are marked for training."""
         self.segments = max(1, -(-self.n_tokens // self.ngrams_per_segment))
         runs = encoded.where("train").select("ids").mapInArrow(count_pairs(self.segments, self.classes.start, self.classes.end), "seg int, pairs binary, counts binary")
-        filled = written(runs.groupBy("seg").applyInArrow(fill_segment(self.levels, self.probes, self.bits_per_probe), "seg int, bits binary, n_bytes long, n_set long"), "lm-filter")
+        filled = written(runs.groupBy("seg").applyInArrow(fill_segment(self.levels, self.probes, self.bits_per_probe, self.segments, self.n_tokens // self.hot_pairs + 1), "seg int, bits binary, n_bytes long, n_set long, hot binary, hot_levels binary"), "lm-filter")
         whole = filled.agg(F.sum("n_bytes").alias("n"), F.sum("n_set").alias("ones")).collect()[0]
         n_bytes = whole["n"] or 0
         miss = ((whole["ones"] or 0) / (8 * n_bytes) if n_bytes else 0.0) ** int(self.probes[0])
-        false = (self.classes.n + 2) * miss**2  # classes that would look like successors of any one, with a J of at least 1
+        false = self.classes.successors * miss**2  # classes that would look like successors of any one, with a J of at least 1
         self.model = Model(self.classes, self.levels, self.mu, self.share, false + 6 * false**0.5 + 16)
-        self.files = self._lay_out(filled, min(self.segments, max(1, -(-n_bytes // self.max_filter_bytes))))
+        self.filled, self.files = filled, self._lay_out(filled, min(self.segments, max(1, -(-n_bytes // self.max_filter_bytes))))
         return self
 
-    def _lay_out(self, filled: DataFrame, n_files: int) -> list[tuple[str | None, list[tuple[int, int, int]]]]:
-        """Writes the segments into n_files files of nearly equal ranges of segments: (path, [(segment, first byte, bytes)]) of each; no path for a range without pairs."""
+    def _lay_out(self, filled: DataFrame, n_files: int) -> list[str | None]:
+        """Writes the segments into n_files files of nearly equal ranges of segments, each with (segment, first byte, bytes) of all behind them and their number last; no path for a range without pairs."""
         spark = filled.sparkSession
         folder, segments = scratch_path(spark, "lm-files"), self.segments
 
         def run(batches):
             fs, root = store(folder)
             fs.create_dir(root, recursive=True)
-            out, at, last, name = None, 0, None, None
+            out, last, names, place = None, None, {}, []
+
+            def close():
+                if out:
+                    out.write(np.array(place, np.int64).tobytes() + np.int64(len(place)).tobytes())
+                    out.close()
+
             for b in batches:
-                rows = []
                 for part, seg, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                     if part != last:
-                        if out:
-                            out.close()
-                        name, at, last = f"{uuid.uuid4().hex}.bits", 0, part
-                        out = fs.open_output_stream(f"{root}/{name}")
+                        close()
+                        names[part], last, place = f"{uuid.uuid4().hex}.bits", part, []
+                        out = fs.open_output_stream(f"{root}/{names[part]}")
                     data = bits.as_buffer()
                     out.write(data)
-                    rows.append((part, name, seg, at, data.size))
-                    at += data.size
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["part", "name", "seg", "at", "n"])
-            if out:
-                out.close()
+                    place.append((seg, sum(place[-1][1:]) if place else 0, data.size))
+            close()
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(names), pa.int64()), "name": pa.array(list(names.values()), pa.string())})
 
         part = F.expr(f"cast(seg as bigint) * {n_files} div {segments}")
         laid = filled.select(part.alias("part"), "seg", "bits").repartition(n_files, "part").sortWithinPartitions("part", "seg")
-        report = written(laid.mapInArrow(run, "part long, name string, seg int, at long, n long"), "lm-places")
-        files: list = [(None, [])] * n_files
-        for r in report.groupBy("part", "name").agg(F.collect_list(F.struct("seg", "at", "n")).alias("place")).collect():  # a few bytes for each segment
-            files[r["part"]] = (f"{folder}/{r['name']}", [tuple(p) for p in r["place"]])
+        files: list[str | None] = [None] * n_files
+        for r in written(laid.mapInArrow(run, "part long, name string"), "lm-names").collect():  # a name for each file
+            files[r["part"]] = f"{folder}/{r['name']}"
         return files
 
+    def filter(self, k: int = 0) -> Filter:
+        """The k-th file's range of segments."""
+        return Filter.opened(self.segments, self.probes, self.files[k])
+
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """id, n_tokens, n_known, train_tokens, base_score, score for each row; a null text counts as empty.
 
@@ -393,21 +448,22 @@ class LogFrequencyBloom:
         return self.score_encoded(self.encode(docs, id_col, text_col), id_col)
 
     def score_encoded(self, encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        base = ["uid", "id", "n_tokens", "head_known", "head_sum", "n_rare"]
+        base = ["uid", "id", "n_tokens", "head_known", "head_sum", "shift"]
         kind = encoded.schema["id"].dataType.simpleString()
-        shape = f"uid long, id {kind}, n_tokens long, head_known long, head_sum double, n_rare long, score double"
-        scored = None
-        for k in range(len(self.files)):
-            one = encoded.select(*base, "ids").mapInArrow(self._scorer(k), shape)
-            scored = one if scored is None else scored.unionByName(one)
+        shape = f"uid long, id {kind}, n_tokens long, head_known long, head_sum double, shift double, score double"
+        if len(self.files) > self.most_passes:
+            scored = encoded.select(*base, F.lit(0.0).alias("score")).unionByName(self._by_file(encoded), allowMissingColumns=True)
+        else:
+            scored = None
+            for k in range(len(self.files)):
+                one = encoded.select(*base, "ids").mapInArrow(self._scorer(k), shape)
+                scored = one if scored is None else scored.unionByName(one)
         if len(self.files) > 1:
-            scored = scored.groupBy("uid").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.max("head_known").alias("head_known"), F.max("head_sum").alias("head_sum"), F.max("n_rare").alias("n_rare"), F.sum("score").alias("score"))
+            scored = scored.groupBy("uid").agg(*(F.max(c).alias(c) for c in base[1:]), F.sum("score").alias("score"))
         tail = encoded.where(F.size("tail") > 0).select("uid", F.explode("tail").alias("t")).select("uid", "t.word", F.col("t.n").alias("tf"))
         rare = self.vocab.where(F.col("n") < self.head_from).select("word", F.col("n").alias("c"))
         c = F.coalesce("c", F.lit(0))
         tail = tail.join(rare, "word", "left").groupBy("uid").agg(F.sum(F.col("tf") * F.log10((c + 1) / F.lit(self.bottom))).alias("tail_sum"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
-        n_rare, v_rare = int(self.classes.counts[self.classes.rare]), self.n_types - self.classes.n - (self.n_docs > 0)
-        shift = float(np.log10(self.bottom / (n_rare + v_rare + 1)))  # from the whole base to that of the rare words
         none = F.lit(0.0)
         return scored.join(tail, "uid", "left").select(
             F.col("id").alias(id_col),
@@ -415,18 +471,18 @@ class LogFrequencyBloom:
             (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
             F.lit(self.n_tokens).cast("long").alias("train_tokens"),
             (F.col("head_sum") + F.coalesce("tail_sum", none)).alias("base_score"),
-            (F.col("score") + F.coalesce("tail_sum", none) + F.col("n_rare") * shift).alias("score"),
+            (F.col("score") + F.coalesce("tail_sum", none) + F.col("shift")).alias("score"),
         )
 
     def _scorer(self, k: int):
         """Adds up the logarithms of the pairs whose segments are in the k-th file's range; a text's other pairs are left to the other files."""
         sent, n_files = self.sent_classes, len(self.files)
-        (name, place), segments, probes = self.files[k], self.segments, self.probes
+        path, segments, probes = self.files[k], self.segments, self.probes
         levels, mu, share, margin = self.levels, self.mu, self.share, self.model.margin
 
         def run(batches):
             own = Model(sent.value, levels, mu, share, margin)
-            filter_ = Filter(segments, place, probes, mapped(name))
+            filter_ = Filter.opened(segments, probes, path)
             for batch in batches:
                 for x, pairs, at in neighbours(batch.column(6), own.classes.start, own.classes.end):
                     kinds, which = np.unique(pairs, return_inverse=True)
@@ -435,11 +491,72 @@ class LogFrequencyBloom:
                         p = np.where(segment_of(kinds, segments) * n_files // segments == k, p, 0.0)
                     part = batch.slice(x, len(at) - 1)
                     rest = [part.column(c) if k == 0 else pa.nulls(part.num_rows, part.column(c).type) for c in range(1, 6)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), *rest, pa.array(per_doc(p[which], at))], ["uid", "id", "n_tokens", "head_known", "head_sum", "n_rare", "score"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), *rest, pa.array(per_doc(p[which], at))], ["uid", "id", "n_tokens", "head_known", "head_sum", "shift", "score"])
 
         return run
 
 
+    def _by_file(self, encoded: DataFrame, salts: int = 16) -> DataFrame:
+        """uid, score: parts of each row's sum of logarithms, by one shuffle of pairs to the filter's files."""
+        spark = encoded.sparkSession
+        hot = self.filled.where("length(hot) > 0").select("hot", "hot_levels").toArrow()  # hot_pairs pairs at most, nine bytes each
+        pairs, level = (np.frombuffer(b"".join(hot.column(c).to_pylist()), t) for c, t in (("hot", U64), ("hot_levels", np.uint8)))
+        order = np.argsort(pairs)
+        sent_hot = spark.sparkContext.broadcast((pairs[order], level[order]))
+        sent, files, segments, probes = self.sent_classes, self.files, self.segments, self.probes
+        levels, mu, share, margin = self.levels, self.mu, self.share, self.model.margin
+
+        def spread(batches):
+            own = Model(sent.value, levels, mu, share, margin)
+            hot_pairs, hot_levels = sent_hot.value
+            for batch in batches:
+                for x, pairs, at in neighbours(batch.column(1), own.classes.start, own.classes.end):
+                    uid = batch.column(0).slice(x, len(at) - 1).to_numpy()
+                    kinds, which = np.unique(pairs, return_inverse=True)
+                    k = np.minimum(np.searchsorted(hot_pairs, kinds), max(0, len(hot_pairs) - 1))
+                    known = hot_pairs[k] == kinds if len(hot_pairs) else np.zeros(len(kinds), bool)
+                    p = np.zeros(len(kinds))
+                    p[known] = own.log10(kinds[known], hot_levels[k[known]].astype(np.int64))
+                    rows = [(-1, 0, uid.tobytes(), b"", per_doc(p[which], at).tobytes())]
+                    far = np.flatnonzero(~known[which])
+                    doc = np.searchsorted(at, far, "right") - 1
+                    each, times = np.unique(doc * len(kinds) + which[far], return_counts=True)
+                    doc, kind = each // len(kinds), kinds[each % len(kinds)]
+                    part = segment_of(kind, segments) * len(files) // segments
+                    order = np.argsort(part, kind="stable")
+                    doc, kind, part, times = doc[order], kind[order], part[order], times[order]
+                    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else part
+                    salt = int(mix(uid[:1].astype(U64))[0] % U64(salts))
+                    rows += [(int(part[i]), salt, uid[doc[i:j]].tobytes(), kind[i:j].tobytes(), times[i:j].astype("<u4").tobytes()) for i, j in zip(cut, [*cut[1:], len(part)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "salt", "uids", "pairs", "n"])
+
+        def sums(uid: np.ndarray, p: np.ndarray):
+            if len(uid):
+                uid, p = sum_by(uid, p)
+            return pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "score": pa.array(p, pa.float64())})
+
+        def probe(batches):
+            own, filter_, last = Model(sent.value, levels, mu, share, margin), None, None
+            for batch in batches:
+                uids, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
+                for part, uid, pairs, n in zip(*(batch.column(c).to_pylist() for c in ("part", "uids", "pairs", "n"))):
+                    if part != last:
+                        filter_, last = Filter.opened(segments, probes, files[part]), part
+                    pairs = np.frombuffer(pairs, U64)
+                    uids.append(np.frombuffer(uid, np.int64))
+                    logs.append(own.log10(pairs, filter_.level(pairs)) * np.frombuffer(n, "<u4"))
+                yield sums(np.concatenate(uids), np.concatenate(logs))
+
+        def answered(batches):
+            for batch in batches:
+                for uid, p in zip(batch.column("uids").to_pylist(), batch.column("n").to_pylist()):
+                    yield sums(np.frombuffer(uid, np.int64), np.frombuffer(p, float))
+
+        rows = written(encoded.select("uid", "ids").mapInArrow(spread, "part int, salt int, uids binary, pairs binary, n binary"), "lm-spread")
+        far = rows.where("part >= 0").repartition(F.col("part"), F.col("salt")).sortWithinPartitions("part")
+        return rows.where("part < 0").mapInArrow(answered, "uid long, score double").unionByName(far.mapInArrow(probe, "uid long, score double"))
+
+
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     left = held_out("doc_id", 7, 2)
