@@ -517,7 +517,8 @@ class LogFrequencyBloom:
                     known = hot_pairs[k] == kinds if len(hot_pairs) else np.zeros(len(kinds), bool)
                     p = np.zeros(len(kinds))
                     p[known] = own.log10(kinds[known], hot_levels[k[known]].astype(np.int64))
-                    rows = [(-1, 0, uid.tobytes(), b"", per_doc(p[which], at).tobytes())]
+                    mark = mix(uid[:1].astype(U64))[0] >> U64(33)
+                    rows = [(-1, int(mark), uid.tobytes(), b"", per_doc(p[which], at).tobytes())]  # answered here
                     far = np.flatnonzero(~known[which])
                     doc = np.searchsorted(at, far, "right") - 1
                     each, times = np.unique(doc * len(kinds) + which[far], return_counts=True)
@@ -526,35 +527,27 @@ class LogFrequencyBloom:
                     order = np.argsort(part, kind="stable")
                     doc, kind, part, times = doc[order], kind[order], part[order], times[order]
                     cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else part
-                    salt = int(mix(uid[:1].astype(U64))[0] % U64(salts))
-                    rows += [(int(part[i]), salt, uid[doc[i:j]].tobytes(), kind[i:j].tobytes(), times[i:j].astype("<u4").tobytes()) for i, j in zip(cut, [*cut[1:], len(part)])]
+                    rows += [(int(part[i]), int(mark % U64(salts)), uid[doc[i:j]].tobytes(), kind[i:j].tobytes(), times[i:j].astype("<u4").tobytes()) for i, j in zip(cut, [*cut[1:], len(part)])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "salt", "uids", "pairs", "n"])
 
-        def sums(uid: np.ndarray, p: np.ndarray):
-            if len(uid):
-                uid, p = sum_by(uid, p)
-            return pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "score": pa.array(p, pa.float64())})
-
         def probe(batches):
             own, filter_, last = Model(sent.value, levels, mu, share, margin), None, None
             for batch in batches:
                 uids, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
                 for part, uid, pairs, n in zip(*(batch.column(c).to_pylist() for c in ("part", "uids", "pairs", "n"))):
+                    uids.append(np.frombuffer(uid, np.int64))
+                    if part < 0:
+                        logs.append(np.frombuffer(n, float))
+                        continue
                     if part != last:
                         filter_, last = Filter.opened(segments, probes, files[part]), part
                     pairs = np.frombuffer(pairs, U64)
-                    uids.append(np.frombuffer(uid, np.int64))
                     logs.append(own.log10(pairs, filter_.level(pairs)) * np.frombuffer(n, "<u4"))
-                yield sums(np.concatenate(uids), np.concatenate(logs))
-
-        def answered(batches):
-            for batch in batches:
-                for uid, p in zip(batch.column("uids").to_pylist(), batch.column("n").to_pylist()):
-                    yield sums(np.frombuffer(uid, np.int64), np.frombuffer(p, float))
+                uid, p = sum_by(np.concatenate(uids), np.concatenate(logs))
+                yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "score": pa.array(p, pa.float64())})
 
-        rows = written(encoded.select("uid", "ids").mapInArrow(spread, "part int, salt int, uids binary, pairs binary, n binary"), "lm-spread")
-        far = rows.where("part >= 0").repartition(F.col("part"), F.col("salt")).sortWithinPartitions("part")
-        return rows.where("part < 0").mapInArrow(answered, "uid long, score double").unionByName(far.mapInArrow(probe, "uid long, score double"))
+        rows = encoded.select("uid", "ids").mapInArrow(spread, "part int, salt int, uids binary, pairs binary, n binary")
+        return rows.repartition(F.col("part"), F.col("salt")).sortWithinPartitions("part").mapInArrow(probe, "uid long, score double")
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
