@@ -148,7 +148,7 @@ class ChunkStore:
         self.spark, self.folder, self.mask_bits, self.bitmap_bits = spark, folder, mask_bits, bitmap_bits
 
     def write(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Stores every row's payload (a null text's is empty); repeated rows share their chunks. Other columns are left out."""
+        """Stores every row's payload (a null text's is empty); repeated rows share their chunks; an empty table leaves an empty store. Other columns are left out, so their names can't clash."""
         bits, kind = self.mask_bits, docs.schema[id_col].dataType.simpleString()
         text = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         each = text.select("text").mapInArrow(chunk_digests(bits), "digest binary, n long")

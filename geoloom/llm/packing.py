@@ -142,7 +142,8 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
     """A row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
     A null or empty text is one piece of the end id alone; repeated rows are packed each. Pieces of a
-    sequence lie from offset 0 on without gaps; what is left up to `size` is padding."""
+    sequence lie from offset 0 on without gaps; what is left up to `size` is padding. An empty table has no
+    pieces. Other columns are left out, so their names can't clash."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     shape = PIECE.format(kind, ", ids array<long>" if with_ids else "")

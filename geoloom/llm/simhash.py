@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts without words (null, empty) have fingerprint 0 and are linked like any other. Repeated
     rows each get a row. A null id gets a row and never names a component, unless all its ids are null.
-    So components share a name where ids are null or repeated; root, a fingerprint, tells them apart."""
+    So components share a name where ids are null or repeated; root, a fingerprint, tells them apart.
+    An empty table gives no rows. Other columns are left out, so their names can't clash."""
     rows = docs.select(F.col(id_col).alias("id"), fingerprints(size, seed)(F.col(text_col)).alias("fp"))
     rows = written(rows, "sim-fingerprints")
     kinds = written(rows.groupBy("fp").agg(F.min("id").alias("lowest")), "sim-kinds")

@@ -151,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     A null payload is empty; a null url is left out. Of equal payloads the smallest id is the
     response (null ids count as larger than all); repeated rows of that id are responses each, as are all
-    pages of a payload whose ids are all null. Other columns are left out, so their names can't clash."""
+    pages of a payload whose ids are all null. An empty table makes no archives and gives no rows. Other columns are left out, so their names can't clash."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     counted = rows.select("id", F.unhex(F.sha1("payload")).alias("digest")).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
