@@ -339,7 +339,7 @@ class Model:
 class LogFrequencyBloom:
     """A language model of words and pairs. Fit once, then score any frame of texts."""
 
-    def __init__(self, growth: float = 1.5, probes: int = 8, sure_probes: int = 24, sure_from: int = 32, bits_per_probe: float = 1.5, mu: float = 100.0, share: float = 0.5, max_filter_bytes: int = 256 << 20, head_words: int = 300_000, rare_classes: int = 1 << 18, ngrams_per_segment: int = 1_000_000, most_passes: int = 4, hot_pairs: int = 500_000):
+    def __init__(self, growth: float = 1.5, probes: int = 8, sure_probes: int = 24, sure_from: int = 32, bits_per_probe: float = 1.5, mu: float = 100.0, share: float = 0.5, max_filter_bytes: int = 256 << 20, head_words: int = 300_000, rare_classes: int = 1 << 18, ngrams_per_segment: int = 1_000_000, most_passes: int = 4, hot_pairs: int = 2_000_000):
         """rare_classes: a power of two. probes: bits an item sets at a level; levels from the count sure_from on, where a raised level would weigh most, set sure_probes."""
         self.levels = thresholds(growth)
         self.probes = np.where(self.levels < sure_from, probes, sure_probes)
