@@ -3,8 +3,9 @@
 Documents are tokenised and cut into pieces of at most `size` ids. The histogram of piece lengths
 has `size` entries at most and is all that the driver sees; it places lengths longest first into
 the shortest open pack, keeping counts of patterns instead of packs.
-Pieces learn their place by rank: a piece's rank among those of its length is known from the task
-that made it and a running sum over tasks, so equal lengths are never gathered in one task.
+Pieces learn their place by rank: rows are sorted by length in ranges over all tasks, each task numbers
+the pieces of each of its lengths, and a range learns how many lie in the ranges before. So equal lengths
+are never gathered in one task, and there is about one row of counts for each range and one for each length.
 """
 
 from __future__ import annotations
@@ -130,6 +131,24 @@ def cut_pieces(path: str, pattern: str, size: int, end_id: int, with_ids: bool):
     return run
 
 
+def number_by_length(batches):
+    """Numbers from 0 the rows of each length in a partition sorted by length, and names the partition."""
+    from pyspark import TaskContext
+
+    task, last, seen = TaskContext.get().partitionId(), -1, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        length = batch.column(batch.schema.get_field_index("length")).to_numpy()
+        new = np.concatenate(([length[0] != last], length[1:] != length[:-1]))
+        begin = np.where(new, np.arange(n), -seen)  # an open length began `seen` rows before the batch
+        rank = np.arange(n) - np.maximum.accumulate(begin)
+        last, seen = length[-1], int(rank[-1]) + 1
+        columns = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        yield pa.RecordBatch.from_pydict(columns | {"task": pa.array(np.full(n, task), pa.int32()), "nth": pa.array(rank, pa.int64())})
+
+
 def placer(sent):
     def run(length: pa.Array, rank: pa.Array) -> pa.Array:
         seq, at = sent.value.place(length.to_numpy(), rank.to_numpy())
@@ -149,12 +168,14 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
     shape = PIECE.format(kind, ", ids array<long>" if with_ids else "")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pieces = written(rows.mapInArrow(cut_pieces(tokenizer_path, pattern, size, end_id, with_ids), shape), "pack-pieces")
-    by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
+    by = ["length", "task", "nth"]  # tells all pieces apart, so a task that is run again gets the same rows
+    numbered = written(pieces.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(number_by_length, shape), "pack-ranks")
+    by_range = numbered.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = written(by_task.select("length", "task", "n", F.coalesce(before, F.lit(0)).alias("before")), "pack-offsets")
+    offsets = written(by_range.select("length", "task", "n", F.coalesce(before, F.lit(0)).alias("before")), "pack-offsets")
     counts = {r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size entries at most
     layout = spark.sparkContext.broadcast(Layout(shortest_pack_first(counts, size), size))
-    ranked = pieces.join(offsets.drop("n"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = numbered.join(offsets.drop("n"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.withColumn("at", placer(layout)(F.col("length"), F.col("rank")))
     more = ["ids"] if with_ids else []
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "at.sequence_id", "at.offset", *more)

@@ -4,9 +4,10 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geoloom.llm.packing import op9_packing, pack, shortest_pack_first
+from geoloom.llm.packing import PIECE, number_by_length, op9_packing, pack, shortest_pack_first
 from geoloom.llm.token_counts import TokenCounts, op10_token_counts
 from geoloom.llm.tokens import PretokenIds
 
@@ -62,6 +63,29 @@ def check_packs(docs, rows, size):
         assert at <= size
 
 
+@pytest.mark.parametrize("coalesce", [True, False])
+def test_a_length_in_many_ranges_is_packed_whole(spark, coalesce):
+    text = F.when(F.col("id") % 3 == 0, "one two three four five").otherwise(F.expr("repeat('a b ', cast(id % 40 as int))"))
+    docs = spark.range(0, 6000, 1, 7).select(F.col("id").alias("doc_id"), text.alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(coalesce).lower())
+    try:
+        rows = pack(docs, PATH, P.PATTERN, size=64).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check_packs({r.doc_id: r.text for r in docs.collect()}, rows, 64)
+
+
+def test_pieces_are_numbered_over_batches(spark):
+    lengths = [3] * 5 + [4] + [9] * 7
+    rows = spark.createDataFrame([(i, 0, n, 0, 0, 0, 0) for i, n in enumerate(lengths)], PIECE.format("long", "")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = rows.sortWithinPartitions("length", "id").mapInArrow(number_by_length, PIECE.format("long", "")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r.nth for r in sorted(got, key=lambda r: r.id)] == [0, 1, 2, 3, 4, 0, 0, 1, 2, 3, 4, 5, 6]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_patterns_use_up_the_histogram(seed):
     rng = np.random.default_rng(seed)
