@@ -24,10 +24,19 @@ def ids_of(text):
 def test_ids_equal_the_librarys(spark):
     own = PretokenIds(PATH, P.PATTERN)
     texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += ["".join(chr(c) for c in range(k, k + 40)) for k in range(0, 12_000, 40)] + [None]
     for t in texts:
         assert np.frombuffer(own.ids(t), "<u4").tolist() == ids_of(t)
 
 
+def test_kept_ids_are_forgotten_without_harm():
+    own = PretokenIds(PATH, P.PATTERN, most=50)
+    texts = [f"a{k} b{k % 7} " * 3 for k in range(400)] * 2
+    for t in texts:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == ids_of(t)
+        assert len(own) <= 50
+
+
 def test_packing_against_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op9_packing(spark, SF).collect()
