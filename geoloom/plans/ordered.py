@@ -18,7 +18,7 @@ def sliced(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The rows with their slice and a number that grows in the order; written, so that both stay."""
     by = [F.col(k) for k in keys] + order
     spread = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(AT, F.monotonically_increasing_id())
-    return cut(spread.withColumn(SLICE, F.shiftright(AT, 33)))
+    return cut(spread.withColumn(SLICE, F.shiftright(AT, 33)), sized=False)  # texts come here too
 
 
 def _offsets(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
