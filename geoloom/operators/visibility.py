@@ -3,14 +3,15 @@
 An edge is met at the level of vertex v if its ends' ranks enclose v's rank; ranks settle all ties. An
 edge's rank range is cut into dyadic pieces and a vertex looks in its own piece of each grade,
 so the join is an equi-join on (pid, grade, piece): exact pairs only, and no crowding on pid, be it
-millions of small polygons or one large one. Polygons of up to `small` vertices take the plain
-equi-join on pid, whose extra pairs are few there."""
+millions of small polygons or one large one. Rays from the vertices of polygons of up to `small` vertices are
+answered on one array a polygon, without pairs; other rays there take the plain equi-join on pid."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packed import HITS, ray_hits
 from ..functions.plane import edge_x, orient2d
 from ..plans.iterate import cut
 from ..plans.ordered import running
@@ -49,12 +50,32 @@ def nearest(pairs: DataFrame, keys: list[str], x: Column, level: Column) -> Data
     ).select(*keys, F.col("l_.e").alias("hl"), F.col("l_.xi").alias("hl_x"), F.col("r_.e").alias("hr"), F.col("r_.xi").alias("hr_x"))
 
 
+def _shot(vertices: DataFrame, closed: bool, small: int, ranged: bool) -> DataFrame:
+    """The ranked ring with hl, hl_x, hr and hr_x. Rings of up to `small` vertices are an array each, asked where they are: no pairs, and one shuffle for ranks, neighbours and hits."""
+    def ranked(v: DataFrame) -> DataFrame:
+        return ring(v, ranged).withColumn("rk", F.col("rk").cast("long")).withColumn("next_rk", F.col("next_rk").cast("long"))
+
+    few = many = None
+    some = False
+    if small > 0:
+        big = cut(vertices.groupBy("pid").agg(F.count("*").alias("n_")).where(F.col("n_") > small).select("pid"))
+        some = not big.isEmpty()
+        r = ranked(vertices.join(big, "pid", "left_anti") if some else vertices)
+        edge = F.lit(True) if closed else F.col("next_idx") > F.col("idx")
+        asked = F.struct(F.col("idx").alias("e"), "x", "y", "rk", "next_x", "next_y", "next_rk", edge.alias("edge"))
+        packed = r.groupBy("pid").agg(F.collect_list(F.struct(*[c for c in r.columns if c != "pid"], asked.alias("asked_"))).alias("v_"))
+        packed = packed.withColumn("h_", F.arrow_udf(ray_hits, HITS)(F.col("v_.asked_"))).select("pid", F.explode(F.arrays_zip("v_", "h_")).alias("z_"))
+        few = packed.select("pid", "z_.v_.*", "z_.h_.*").select(*r.columns, "hl", "hl_x", "hr", "hr_x")
+    if some or small <= 0:
+        r = ranked(vertices.join(big, "pid", "left_semi") if small > 0 else vertices)
+        hits = nearest(_pairs(r.select("pid", "idx", "x", "y", "rk", "n"), edges_of(r, closed), small), ["pid", "idx", "x", "y"], F.col("x"), F.col("y"))
+        many = r.join(hits.drop("x", "y"), ["pid", "idx"], "left").select(*r.columns, "hl", "hl_x", "hr", "hr_x")
+    return few.unionByName(many) if few is not None and many is not None else few if many is None else many
+
+
 def ray_shoot(vertices: DataFrame, closed: bool = True, small: int = 2000, ranged: bool = False) -> DataFrame:
     """For every vertex the nearest edge to its left (hl) and right (hr) at its height; null if there is none. ranged: for giant rings, see rings.y_rank."""
-    r = ring(vertices, ranged)
-    pairs = _pairs(r.select("pid", "idx", "x", "y", F.col("rk").cast("long").alias("rk"), "n"), edges_of(r, closed), small)
-    hits = nearest(pairs, ["pid", "idx", "x", "y"], F.col("x"), F.col("y"))
-    return r.select("pid", "idx", "x", "y").join(hits.drop("x", "y"), ["pid", "idx"], "left")
+    return _shot(vertices, closed, small, ranged).select("pid", "idx", "x", "y", "hl", "hl_x", "hr", "hr_x")
 
 
 def _heights(rays: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,9 +149,7 @@ def trapezoids(vertices: DataFrame, small: int = 2000, ranged: bool = False) ->
 
     A vertex ends and begins trapezoids by how its edges run; a trapezoid is known by its two
     edges, and along these begins and ends alternate from high to low."""
-    r = ring(vertices, ranged)
-    hits = ray_shoot(vertices, True, small, ranged).select("pid", "idx", "hl", "hr")
-    v = r.join(hits, ["pid", "idx"]).withColumn("turn", orient2d("prev_x", "prev_y", "x", "y", "next_x", "next_y"))
+    v = _shot(vertices, True, small, ranged).withColumn("turn", orient2d("prev_x", "prev_y", "x", "y", "next_x", "next_y"))
     ep, en, hl, hr = F.col("prev_idx"), F.col("idx"), F.col("hl"), F.col("hr")
     pa, na = F.col("prev_rk") > F.col("rk"), F.col("next_rk") > F.col("rk")
     convex = F.col("turn") > 0
