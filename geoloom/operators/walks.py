@@ -4,14 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StructType
 
+from ..functions.packed import walks
 from ..plans.iterate import counted, cut
 
 
-def faces(successor: DataFrame, most: int = 40) -> DataFrame:
-    """(gid, h, face, pos, size) for a table of half-edge successors (gid, h, next): face is the lowest h on the walk and pos counts from it.
+def faces(successor: DataFrame, most: int = 40, small: int = 20_000) -> DataFrame:
+    """(gid, h, face, pos, size) for a table of half-edge successors (gid, h, next), each the next of one: face is the lowest h on the walk and pos counts from it.
 
-    Each round knows the lowest h among the next 2**k, and the steps to it; as many rounds as the logarithm of the longest face."""
+    Graphs of up to `small` rows are an array each and are walked where they are. In larger ones each round knows the lowest h among
+    the next 2**k, and the steps to it; as many rounds as the logarithm of the longest face."""
+    kind = successor.schema["h"].dataType.simpleString()
+    if not _whole(successor.schema["h"].dataType):
+        return _doubled(cut(successor), most)
+    rows = cut(successor.select("gid", "h", "next"))
+    large = cut(rows.groupBy("gid").agg(F.count("*").alias("n_")).where(F.col("n_") > small).select("gid"))
+    some = not large.isEmpty()
+    few = (rows.join(large, "gid", "left_anti") if some else rows).groupBy("gid").agg(F.collect_list(F.struct("h", "next")).alias("w_"))
+    few = few.withColumn("f_", F.arrow_udf(walks, f"array<struct<face:{kind},pos:bigint,size:bigint>>")(F.col("w_")))
+    few = few.select("gid", F.explode(F.arrays_zip("w_", "f_")).alias("z_")).select("gid", "z_.w_.h", "z_.f_.*")
+    return few.unionByName(_doubled(rows.join(large, "gid", "left_semi"), most)) if some else few
+
+
+def _whole(t: DataType) -> bool:
+    return all(_whole(f.dataType) for f in t.fields) if isinstance(t, StructType) else isinstance(t, IntegralType)
+
+
+def _doubled(successor: DataFrame, most: int) -> DataFrame:
     s = cut(successor.select("gid", "h", "next", F.col("h").alias("face"), F.lit(0).cast("long").alias("steps")))
     for k in range(most):
         n = s.select("gid", F.col("h").alias("next"), F.col("next").alias("next2"), F.col("face").alias("face2"), F.col("steps").alias("steps2"))
