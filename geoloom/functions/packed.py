@@ -84,3 +84,68 @@ def walks(graphs: pa.Array) -> pa.Array:
     long = np.bincount(face, minlength=n)[face]
     columns = [flat.field("h").take(pa.array(face)), pa.array((long - steps) % np.maximum(long, 1), pa.int64()), pa.array(long, pa.int64())]
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(columns, ["face", "pos", "size"]))
+
+
+def _nodes(graphs: pa.Array) -> tuple[np.ndarray, ...]:
+    """For arrays of (v, to): the number of each row's array, numbers of v and to that grow with array and vertex (to: -1 for none), and per number its array and vertex."""
+    size = graphs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = graphs.flatten()
+    of = np.repeat(np.arange(len(size)), size)
+    there = flat.field("to").is_valid().to_numpy(zero_copy_only=False)
+    v, to = flat.field("v").to_numpy(zero_copy_only=False), flat.field("to").fill_null(0).to_numpy(zero_copy_only=False)
+    name, place = np.unique(np.concatenate([v, to[there]]), return_inverse=True)
+    number, code = np.unique(np.concatenate([of, of[there]]) * max(len(name), 1) + place, return_inverse=True)
+    end = np.full(len(v), -1)
+    end[there] = code[len(v) :]
+    return code[: len(v)], end, number // max(len(name), 1), name[number % max(len(name), 1)] if len(name) else name
+
+
+def _lists(of: np.ndarray, n: int, columns: dict[str, pa.Array]) -> pa.Array:
+    """A list of structs for each of n arrays, from columns in the order of the arrays' numbers."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+
+def levels(graphs: pa.Array) -> pa.Array:
+    """(v, level, parent) of what is reached, for arrays of edges (v, to), both ways, and of roots (v, null): one level of all graphs of the batch at a time; parent: the lowest neighbour a level up."""
+    a, b, of, name = _nodes(graphs)
+    n = len(of)
+    level, parent = np.full(n, -1, np.int32), np.full(n, n)
+    front = np.unique(a[b < 0])
+    level[front] = 0
+    order = np.argsort(a[b >= 0], kind="stable")
+    tail, head = a[b >= 0][order], b[b >= 0][order]
+    first = np.searchsorted(tail, np.arange(n + 1))
+    k = 0
+    while len(front):
+        k += 1
+        many = first[front + 1] - first[front]
+        at = np.repeat(first[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        new = level[head[at]] < 0
+        up, down = tail[at][new], head[at][new]
+        np.minimum.at(parent, down, up)
+        front = np.unique(down)
+        level[front] = k
+    seen = np.flatnonzero(level >= 0)
+    up = parent[seen]
+    rooted = up == n
+    return _lists(of[seen], len(graphs), {"v": pa.array(name[seen], pa.int64()), "level": pa.array(level[seen]), "parent": pa.array(name[np.where(rooted, 0, up)], pa.int64(), mask=rooted)})
+
+
+def lowest(graphs: pa.Array) -> pa.Array:
+    """(v, component) of the vertices, for arrays of vertices (v, null) and edges (v, to): the lowest vertex reachable."""
+    a, b, of, name = _nodes(graphs)
+    n = len(of)
+    label = np.arange(n)
+    u, w = a[b >= 0], b[b >= 0]
+    while len(u):
+        low = np.minimum(label[u], label[w])
+        np.minimum.at(label, label[u], low)  # the roots of both ends get the lower one
+        np.minimum.at(label, label[w], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[u] != label[w]
+        u, w = u[apart], w[apart]
+    own = np.unique(a[b < 0])
+    best = np.full(n, n)
+    np.minimum.at(best, label[own], own)
+    return _lists(of[own], len(graphs), {"v": pa.array(name[own], pa.int64()), "component": pa.array(name[best[label[own]]], pa.int64())})

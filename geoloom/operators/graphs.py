@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from ..functions.packed import levels as reached
+from ..functions.packed import lowest
 from ..plans.iterate import counted, cut
 from .darts import best_cycle, between_levels, cycle_costs, darts_of  # noqa: F401
-from .walks import faces, lowest_common, tree_path  # noqa: F401
+from .walks import by_size, faces, lowest_common, tree_path  # noqa: F401
 
 
 def undirected_edges(e: DataFrame) -> DataFrame:
@@ -43,8 +46,26 @@ def live_subgraph(v: DataFrame, e: DataFrame, keep: DataFrame) -> tuple[DataFram
     return v.join(k, ["gid", "v"], "left_semi"), e.join(k, ["gid", "v"], "left_semi").join(k.withColumnRenamed("v", "u"), ["gid", "u"], "left_semi").select(*e.columns)
 
 
-def components(v: DataFrame, e: DataFrame, most: int = 60) -> DataFrame:
-    """(gid, v, component): the lowest vertex reachable.
+def _packed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("gid").agg(F.collect_list(F.struct("v", "to")).alias("g_"))
+
+
+def components(v: DataFrame, e: DataFrame, most: int = 60, small: int = 20_000) -> DataFrame:
+    """(gid, v, component): the lowest vertex reachable. Graphs of up to `small` vertices and edges are an array each; larger ones by rounds, see _contracted."""
+    if v.schema["v"].dataType != LongType():
+        return _contracted(v, e, most)
+    none = F.lit(None).cast("long")
+    rows = cut(v.select("gid", "v", none.alias("to")).unionByName(e.select("gid", F.col("u").cast("long").alias("v"), F.col("v").cast("long").alias("to"))))
+    few, large = by_size(rows, small)
+    few = _packed(few).withColumn("c_", F.arrow_udf(lowest, "array<struct<v:bigint,component:bigint>>")("g_")).select("gid", F.inline("c_"))
+    if large is None:
+        return cut(few, rows)
+    wide = rows.join(large, "gid", "left_semi")
+    return cut(few.unionByName(_contracted(wide.where("to is null").select("gid", "v"), wide.where("to is not null").select("gid", F.col("v").alias("u"), F.col("to").alias("v")), most)))
+
+
+def _contracted(v: DataFrame, e: DataFrame, most: int) -> DataFrame:
+    """Components of giant graphs.
 
     By contraction: each round every vertex goes over to its neighbour (or itself) of lowest random rank, and the edges
     between what is left are those of the next round; a fixed share of the vertices is expected to vanish each time, whatever the shape. In
@@ -92,10 +113,27 @@ def normalize_cost(v: DataFrame) -> DataFrame:
     return v.join(total, "gid").withColumn("cost", F.when(F.col("total_") == 0, F.col("cost")).otherwise(F.col("cost") / F.col("total_"))).drop("total_")
 
 
-def bfs(v: DataFrame, e: DataFrame, roots: DataFrame | None = None, most: int = 100_000) -> DataFrame:
-    """(gid, v, level, parent) from the roots (gid, v), else from each graph's lowest vertex. Only the last level is joined in a round; the parent is the lowest neighbour a level up."""
-    edges = cut(both_ways(e))
+def bfs(v: DataFrame, e: DataFrame, roots: DataFrame | None = None, most: int = 100_000, small: int = 20_000) -> DataFrame:
+    """(gid, v, level, parent) from the roots (gid, v), else from each graph's lowest vertex; the parent is the lowest neighbour a level up.
+
+    Graphs of up to `small` edges both ways are an array each. In larger ones a round finds a level; only the last one is joined."""
     start = roots if roots is not None else v.groupBy("gid").agg(F.min("v").alias("v"))
+    if start.schema["v"].dataType != LongType():
+        return _by_levels(cut(both_ways(e)), start, most)
+    rows = cut(both_ways(e).select("gid", F.col("u").cast("long").alias("v"), F.col("v").cast("long").alias("to")).unionByName(start.select("gid", "v", F.lit(None).cast("long").alias("to"))))
+    few, large = by_size(rows, small)
+    few = _packed(few).withColumn("l_", F.arrow_udf(reached, "array<struct<v:bigint,level:int,parent:bigint>>")("g_")).select("gid", F.inline("l_"))
+    few, deep = counted(few, F.col("level") >= most)
+    if deep:
+        raise RuntimeError(f"the graph has more than {most} levels")
+    if large is None:
+        return few
+    wide = rows.join(large, "gid", "left_semi")
+    return cut(few.unionByName(_by_levels(cut(wide.where("to is not null").select("gid", F.col("v").alias("u"), F.col("to").alias("v"))), wide.where("to is null").select("gid", "v"), most)))
+
+
+def _by_levels(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """Breadth-first search in giant graphs, for edges both ways."""
     front = cut(start.select("gid", "v", F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")))
     before, done = None, [front]
     for k in range(1, most + 1):

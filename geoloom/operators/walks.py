@@ -19,12 +19,17 @@ def faces(successor: DataFrame, most: int = 40, small: int = 20_000) -> DataFram
     if not _whole(successor.schema["h"].dataType):
         return _doubled(cut(successor), most)
     rows = cut(successor.select("gid", "h", "next"))
-    large = cut(rows.groupBy("gid").agg(F.count("*").alias("n_")).where(F.col("n_") > small).select("gid"))
-    some = not large.isEmpty()
-    few = (rows.join(large, "gid", "left_anti") if some else rows).groupBy("gid").agg(F.collect_list(F.struct("h", "next")).alias("w_"))
+    few, large = by_size(rows, small)
+    few = few.groupBy("gid").agg(F.collect_list(F.struct("h", "next")).alias("w_"))
     few = few.withColumn("f_", F.arrow_udf(walks, f"array<struct<face:{kind},pos:bigint,size:bigint>>")(F.col("w_")))
     few = few.select("gid", F.explode(F.arrays_zip("w_", "f_")).alias("z_")).select("gid", "z_.w_.h", "z_.f_.*")
-    return few.unionByName(_doubled(rows.join(large, "gid", "left_semi"), most)) if some else few
+    return few if large is None else few.unionByName(_doubled(rows.join(large, "gid", "left_semi"), most))
+
+
+def by_size(rows: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of graphs that have at most `small`, and the gids of the others; None without any."""
+    large = cut(rows.groupBy("gid").agg(F.count("*").alias("n_")).where(F.col("n_") > small).select("gid"))
+    return (rows, None) if large.isEmpty() else (rows.join(large, "gid", "left_anti"), large)
 
 
 def _whole(t: DataType) -> bool:

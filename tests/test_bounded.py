@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import graphs, regions, visibility, walks  # noqa: F401
-from geoloom.plans.fixtures import skylines
+from geoloom.operators import graphs, visibility, walks
+from geoloom.plans.fixtures import grid, skylines
 from geoloom.plans.iterate import cut
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,25 @@ def test_walks_in_place_and_by_rounds_are_the_same(spark):
     assert rows(few) == rows(walks.faces(s, small=0)) and few.count() == 4 * n
     both = s.unionByName(s.where("gid = 0").withColumn("gid", F.lit(9).cast("long")))
     assert rows(walks.faces(both, small=50)) == rows(walks.faces(both))
+
+
+def test_small_graphs_in_place_and_giant_ones_by_rounds_are_the_same(spark):
+    v, e = map(cut, grid(spark, "/root/testdata/sf0.01"))
+    e = cut(e.where("(u * 7 + v) % 5 > 0"))  # in parts, some vertices alone
+    for small in (0, 250, 20_000):
+        assert rows(graphs.components(v, e, small=small)) == rows(graphs._contracted(v, e, 60))
+    start = v.groupBy("gid").agg(F.min("v").alias("v"))
+    levels = rows(graphs._by_levels(cut(graphs.both_ways(e)), start, 1000))
+    for small in (0, 250, 20_000):
+        assert rows(graphs.bfs(v, e, small=small).select("gid", "v", "level", "parent")) == levels
+    with pytest.raises(RuntimeError, match="levels"):
+        graphs.bfs(v, e, most=2)
+
+
+def test_levels_of_small_graphs_take_no_round_each(spark):
+    path = cut(spark.range(300).select((F.col("id") % 3).alias("gid"), F.col("id").alias("u"), (F.col("id") + 3).alias("v")))
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("levels", "levels")
+    out = graphs.bfs(path.select("gid", F.col("u").alias("v")), path)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(seen.getJobIdsForGroup("levels")) < 20 and out.agg(F.max("level")).first()[0] == 100
