@@ -61,3 +61,12 @@ def test_levels_of_small_graphs_take_no_round_each(spark):
     out = graphs.bfs(path.select("gid", F.col("u").alias("v")), path)
     spark.sparkContext.setJobGroup("", "")
     assert len(seen.getJobIdsForGroup("levels")) < 20 and out.agg(F.max("level")).first()[0] == 100
+
+
+def test_components_of_small_graphs_take_no_rounds(spark):
+    path = cut(spark.range(3000).select((F.col("id") % 3).alias("gid"), F.col("id").alias("u"), (F.col("id") + 3).alias("v")))
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("parts", "parts")
+    out = graphs.components(path.select("gid", F.col("u").alias("v")), path)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(seen.getJobIdsForGroup("parts")) < 10 and rows(out.select("gid", "component").distinct()) == rows(spark.range(3).selectExpr("id as gid", "id as component"))
