@@ -149,3 +149,158 @@ def lowest(graphs: pa.Array) -> pa.Array:
     best = np.full(n, n)
     np.minimum.at(best, label[own], own)
     return _lists(of[own], len(graphs), {"v": pa.array(name[own], pa.int64()), "component": pa.array(name[best[label[own]]], pa.int64())})
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each row's array, and the rows."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(size)), size), lists.flatten()
+
+
+def _xxhash64(longs: list[np.ndarray], k: int) -> np.ndarray:
+    """Spark's xxhash64 of long columns and a whole number."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+    def end(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    h = np.full(len(longs[0]), 42, np.uint64)
+    for x in longs:
+        h = end(turned((h + p5 + np.uint64(8)) ^ (turned(x.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4)
+    return end(turned((h + p5 + np.uint64(4)) ^ (np.full(1, k, np.uint64) * p1), 23) * p2 + p3).view(np.int64)
+
+
+def _matches(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair (place in asked, place in the sorted keys) of equal values."""
+    first = np.searchsorted(keys, asked)
+    many = np.searchsorted(keys, asked, side="right") - first
+    return np.repeat(np.arange(len(asked)), many), np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+ARC = "arc_id:long,region_id:long,first_edge:long,last_edge:long,first_side:string,last_side:string,edge_count:long"
+COARSE = f"struct<regions:array<long>,arcs:array<struct<{ARC}>>,chords:array<struct<at:int,region_a:long,region_b:long>>>"
+
+
+def coarser(gamma: int, below: int | None, most: int):
+    """A function of maps (map, regions, arcs, chords) as arrays, without nulls but for ARCs that have no edges: see operators.regions.coarsen, whose rounds it takes for all maps of a batch at once. Chords are (chord_id, region_a, region_b, lo, hi, lo_fixed, hi_fixed), fixed: no end that vanishes, and come back as their places."""
+
+    def coarse(maps: pa.Array, regions: pa.Array, arcs: pa.Array, chords: pa.Array) -> pa.Array:
+        n = len(maps)
+        name = maps.to_numpy(zero_copy_only=False)
+        (r_of, r), (a_of, a), (c_of, c) = _flat(regions), _flat(arcs), _flat(chords)
+        whole = lambda t, f: t.field(f).fill_null(0).to_numpy(zero_copy_only=False)
+        ids = np.concatenate([r.to_numpy(zero_copy_only=False), whole(a, "region_id"), whole(c, "region_a"), whole(c, "region_b")])
+        value, place = np.unique(ids, return_inverse=True)
+        number, code = np.unique(np.concatenate([r_of, a_of, c_of, c_of]) * max(len(value), 1) + place, return_inverse=True)
+        of_region, id_of = number // max(len(value), 1), value[number % max(len(value), 1)] if len(value) else value
+        alive, reg, ca, cb = np.split(code, np.cumsum([len(r), len(a), len(c)]))
+        known = a.field("first_edge").is_valid().to_numpy(zero_copy_only=False)
+        aid, first, last, count = (whole(a, f) for f in ("arc_id", "first_edge", "last_edge", "edge_count"))
+        side = pa.concat_arrays([a.field("first_side"), a.field("last_side")]).dictionary_encode()
+        fs, ls = np.split(side.indices.fill_null(-1).to_numpy(zero_copy_only=False), 2)
+        lo, hi = np.minimum(first, last), np.maximum(first, last)
+        cid, clo, chi = (whole(c, f) for f in ("chord_id", "lo", "hi"))
+        fixed = [c.field(f).to_numpy(zero_copy_only=False).astype(bool) for f in ("lo_fixed", "hi_fixed")]
+        edges = np.unique(np.concatenate([clo, chi]))
+        wide = max(len(edges), 1)
+        ends = [np.searchsorted(edges, clo), np.searchsorted(edges, chi)]
+        two = clo != chi
+        live = np.arange(len(c))
+
+        def at_ends(rows: np.ndarray, regions_: tuple[np.ndarray, ...], keep) -> np.ndarray:
+            """(region, edge) as a number, for the kept ends of chords at each of the regions."""
+            return np.concatenate([x[ok] * wide + ends[e][rows[ok]] for x in regions_ for e in (0, 1) for ok in [keep(e)]] or [np.zeros(0, np.int64)])
+
+        for k in range(most):
+            x, y = ca[live], cb[live]
+            degree = np.bincount(x, minlength=len(number)) + np.bincount(y[x != y], minlength=len(number))
+            weight = np.zeros(len(number), np.int64)
+            np.maximum.at(weight, reg, count)
+            heavy = np.maximum(weight[x], weight[y])
+            able = (x != y) & (np.minimum(degree[x], degree[y]) < 3) & (heavy <= gamma)
+            if below is not None:
+                able &= cid[live] < below
+            if not able.any():
+                break
+            used, times = np.unique(np.concatenate([at_ends(live, (x,), lambda e: two[live] | (e == 0)), at_ends(live, (y,), lambda e: (x != y) & (two[live] | (e == 0)))]), return_counts=True)
+            q = live[able]
+            qx, qy, most_of = ca[q], cb[q], heavy[able]
+            touched = [(reg[known] * wide, lo[known], 0), (reg[known] * wide, hi[known], 1), (reg[known] * wide, hi[known] + 1, 2)]
+            keys, which = [], []
+            rows = np.flatnonzero(known)
+            for base, edge, nth in touched:
+                where = np.searchsorted(edges, edge)
+                ok = (where < len(edges)) & (edges[np.minimum(where, wide - 1)] == edge)
+                if nth == 1:
+                    ok &= lo[known] != hi[known]
+                keys.append(base[ok] + where[ok])
+                which.append(rows[ok])
+            keys, which = np.concatenate(keys), np.concatenate(which)
+            order = np.argsort(keys, kind="stable")
+            keys, which = keys[order], which[order]
+            pair, bit = [], []
+            for e in (0, 1):
+                here = [z * wide + ends[e][q] for z in (qx, qy)]
+                free = ~fixed[e][q] & (two[q] | (e == 0))
+                for h in here:
+                    free &= times[np.minimum(np.searchsorted(used, h), len(used) - 1)] == 1
+                f = np.flatnonzero(free)
+                for h in here:
+                    i, j = _matches(keys, h[f])
+                    pair.append(f[i] * max(len(aid), 1) + which[j])
+                    bit.append(np.full(len(i), e + 1))
+            met, back = np.unique(np.concatenate(pair), return_inverse=True)
+            kind = np.bincount(back, weights=np.concatenate(bit), minlength=len(met)).astype(np.int64)
+            chord, n_of = met // max(len(aid), 1), count[met % max(len(aid), 1)] if len(aid) else met
+            low, high, bridge = (np.bincount(chord[kind == b], weights=n_of[kind == b], minlength=len(q)).astype(np.int64) for b in (1, 2, 3))
+            merged = np.maximum(most_of, np.where(bridge > 0, low + high + bridge, np.maximum(low, high)))
+            q, qx, qy = q[merged <= gamma], qx[merged <= gamma], qy[merged <= gamma]
+            if not len(q):
+                break
+            place = np.empty(len(q), np.int64)
+            place[np.lexsort((cid[q], _xxhash64([name[c_of[q]], cid[q]], k)))] = np.arange(len(q))
+            best = np.full(len(number), len(q))
+            np.minimum.at(best, qx, place)
+            np.minimum.at(best, qy, place)
+            chosen = q[(best[qx] == place) & (best[qy] == place)]
+            to = np.arange(len(number))
+            to[np.maximum(ca[chosen], cb[chosen])] = np.minimum(ca[chosen], cb[chosen])
+            live = live[~np.isin(live, chosen)]
+            ca, cb, reg, alive = to[ca], to[cb], to[reg], np.unique(to[alive])
+            held = at_ends(live, (ca[live], cb[live]), lambda e: np.ones(len(live), bool))
+            gone = np.setdiff1d(at_ends(chosen, (ca[chosen],), lambda e: ~fixed[e][chosen]), held)
+            mine = np.isin(reg, gone // wide) & known
+            s = np.flatnonzero(mine)
+            s = s[np.lexsort((aid[s], lo[s], fs[s], reg[s]))]
+            if not len(s):
+                continue
+            where = np.minimum(np.searchsorted(edges, lo[s]), wide - 1)
+            glue = (edges[where] == lo[s]) & np.isin(reg[s] * wide + where, gone)
+            glue[0] = False
+            glue[1:] &= (reg[s][1:] == reg[s][:-1]) & (fs[s][1:] == fs[s][:-1]) & ((hi[s][:-1] == lo[s][1:]) | (hi[s][:-1] + 1 == lo[s][1:]))
+            start, run = np.flatnonzero(~glue), np.cumsum(~glue) - 1
+            final = s[np.lexsort((aid[s], hi[s], run))][np.append(start[1:], len(s)) - 1]  # of each run the arc that reaches highest
+            new = {"aid": np.minimum.reduceat(aid[s], start), "count": np.add.reduceat(count[s], start)}
+            rest = np.flatnonzero(~mine)
+            both = lambda old, of_run: np.concatenate([old[rest], of_run])
+            begin = s[start]
+            first, last, fs, ls = both(first, first[begin]), both(last, last[final]), both(fs, fs[begin]), both(ls, ls[final])
+            aid, count, reg, a_of, known = both(aid, new["aid"]), both(count, new["count"]), both(reg, reg[begin]), both(a_of, a_of[begin]), both(known, known[begin])
+            lo, hi = np.minimum(first, last), np.maximum(first, last)
+        else:
+            raise RuntimeError(f"chords can still go after {most} rounds")
+        order = np.argsort(a_of, kind="stable")
+        longs = lambda z: pa.array(z, pa.int64())
+        text = lambda z: side.dictionary.take(pa.array(z, mask=z < 0))
+        none = ~known[order]
+        out = {"arc_id": longs(aid[order]), "region_id": longs(id_of[reg[order]]), "first_edge": pa.array(first[order], pa.int64(), mask=none), "last_edge": pa.array(last[order], pa.int64(), mask=none), "first_side": text(fs[order]), "last_side": text(ls[order]), "edge_count": longs(count[order])}
+        alive = np.unique(alive)
+        at = live - np.searchsorted(c_of, c_of[live])
+        left = _lists(c_of[live], n, {"at": pa.array(at, pa.int32()), "region_a": longs(id_of[ca[live]]), "region_b": longs(id_of[cb[live]])})
+        kept = pa.ListArray.from_arrays(pa.array(np.searchsorted(of_region[alive], np.arange(n + 1)).astype(np.int32)), longs(id_of[alive]))
+        return pa.StructArray.from_arrays([kept, _lists(a_of[order], n, out), left], ["regions", "arcs", "chords"])
+
+    return coarse

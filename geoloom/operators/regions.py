@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from ..functions.packed import COARSE, coarser
 from ..plans.iterate import counted, cut
 from ..plans.ordered import ranks, running
 from .chains import holding
@@ -113,8 +115,49 @@ def merged_weights(regions: DataFrame, arcs: DataFrame, chords: DataFrame, heigh
     return got.select("map_id", "chord_id", "region_a", "region_b", "da", "db", F.greatest("wa", "wb", F.coalesce("sums", F.lit(0))).alias("merged"))
 
 
-def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200, heights: DataFrame | None = None, below: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma (see merged_weights); below: only chords with an id below it. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average."""
+GLUED = ("map_id", "region_id", "first_side", "arc_id", "first_edge", "last_edge", "last_side", "edge_count")
+
+
+def coarsen(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int = 200, heights: DataFrame | None = None, below: int | None = None, small: int = 20_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Drops chords as long as one has a side of degree below 3 and a merged weight of at most gamma (see merged_weights); below: only chords with an id below it. In a round those go that rank first by a hash of the round at both their regions, a fixed share of the candidates on average.
+
+    Maps of up to `small` rows are an array each and take all their rounds where they are; larger ones, and those with nulls elsewhere than in arcs without edges, are joined in rounds. Same rows either way."""
+    if small <= 0 or any(t.schema[c].dataType != LongType() for t, c in ((regions, "map_id"), (regions, "region_id"), (chords, "chord_id"))):
+        return _coarsen_joined(regions, arcs, chords, gamma, most, heights, below)
+    empty = lambda *names: F.array_contains(F.array(*[F.col(c).isNull() for c in names]), True)
+    odd = [regions.select("map_id", empty("region_id").alias("odd")), arcs.select("map_id", (empty("region_id", "arc_id", "edge_count") | (F.col("first_edge").isNull() != F.col("last_edge").isNull())).alias("odd")), chords.select("map_id", empty("chord_id", "region_a", "region_b", "left_edge", "right_edge").alias("odd"))]
+    large = cut(odd[0].unionByName(odd[1]).unionByName(odd[2]).groupBy("map_id").agg(F.count("*").alias("n"), F.bool_or("odd").alias("odd")).where((F.col("n") > small) | F.col("odd")).select("map_id"))
+    whole = [regions, arcs, chords]
+    some = not large.isEmpty()
+    r, a, c = [t.join(large, "map_id", "left_anti") for t in whole] if some else whole
+    c = c.withColumns({"lo_": _lo(), "hi_": _hi(), "lo_fixed": F.lit(False), "hi_fixed": F.lit(False)})
+    if heights is not None:
+        for end in ("lo", "hi"):
+            known = heights.select("map_id", F.col("edge").alias(f"{end}_"), "y", F.lit(True).alias("known_")).distinct()
+            c = c.join(known, ["map_id", f"{end}_", "y"], "left").withColumn(f"{end}_fixed", F.col("known_").isNotNull()).drop("known_")
+    long = lambda x, name: F.col(x).cast("long").alias(name)
+    rs = r.groupBy("map_id").agg(F.collect_list("region_id").alias("r_"))
+    as_ = a.groupBy("map_id").agg(F.collect_list(F.struct(*[long(x, x) for x in ("arc_id", "region_id", "first_edge", "last_edge")], "first_side", "last_side", long("edge_count", "edge_count"))).alias("a_"))
+    own = [x for x in chords.columns if x != "map_id"]
+    asked = F.struct("chord_id", long("region_a", "region_a"), long("region_b", "region_b"), long("lo_", "lo"), long("hi_", "hi"), "lo_fixed", "hi_fixed")
+    cs = c.groupBy("map_id").agg(F.collect_list(F.struct(*own, asked.alias("asked_"))).alias("c_"))
+    packed = rs.join(as_, "map_id", "left").join(cs, "map_id", "left")
+    none = lambda t, x: F.coalesce(x, F.array().cast(t.schema[x].dataType))
+    packed = packed.select("map_id", "r_", none(as_, "a_").alias("a_"), none(cs, "c_").alias("c_"))
+    packed = packed.withColumn("z_", F.arrow_udf(coarser(gamma, below, most), COARSE)("map_id", "r_", "a_", "c_.asked_"))
+    kept = F.transform("z_.chords", lambda x: F.struct(*[x[y].alias(y) if y in ("region_a", "region_b") else F.get("c_", x["at"])[y].alias(y) for y in own]))
+    out = cut(packed.select("map_id", F.col("z_.regions").alias("r_"), F.col("z_.arcs").alias("a_"), kept.alias("c_")))
+    a = out.select("map_id", F.inline("a_")).select(*GLUED)
+    r = region_weight(out.select("map_id", F.explode("r_").alias("region_id")), a)
+    c = out.select("map_id", F.inline("c_")).select(*chords.columns)
+    if not some:
+        return r, a, c
+    r2, a2, c2 = _coarsen_joined(*[t.join(large, "map_id", "left_semi") for t in whole], gamma, most, heights, below)
+    return r.unionByName(region_weight(r2, a2)), a.unionByName(a2.select(*GLUED)), c.unionByName(c2)
+
+
+def _coarsen_joined(regions: DataFrame, arcs: DataFrame, chords: DataFrame, gamma: int, most: int, heights: DataFrame | None, below: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """coarsen for giant maps: a round of joins at a time."""
     for k in range(most):
         c = merged_weights(regions, arcs, chords, heights).where((F.least("da", "db") < 3) & (F.col("merged") <= gamma))
         c = c if below is None else c.where(F.col("chord_id") < below)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import graphs, visibility, walks
+from geoloom.operators import graphs, regions, visibility, walks
 from geoloom.plans.fixtures import grid, skylines
 from geoloom.plans.iterate import cut
 
@@ -70,3 +70,13 @@ def test_components_of_small_graphs_take_no_rounds(spark):
     out = graphs.components(path.select("gid", F.col("u").alias("v")), path)
     spark.sparkContext.setJobGroup("", "")
     assert len(seen.getJobIdsForGroup("parts")) < 10 and rows(out.select("gid", "component").distinct()) == rows(spark.range(3).selectExpr("id as gid", "id as component"))
+
+
+def test_maps_are_coarsened_in_place_as_by_joins(spark):
+    r, a, c = (cut(t.where("map_id < 12")) for t in visibility.region_tables(skylines(spark, SF)))
+    a = cut(a.withColumns({e: F.when(F.col("arc_id") != 20, F.col(e)) for e in ("first_edge", "last_edge")}))
+    for below in (None, 20):
+        few, wide = (regions.coarsen(r, a, c, 6, below=below, small=small) for small in (20_000, 0))
+        for x, y in zip(few, (regions.region_weight(*wide[:2]), *wide[1:])):
+            assert rows(x) == rows(y.select(*x.columns))
+        assert few[2].count() < c.count()
