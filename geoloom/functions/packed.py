@@ -304,3 +304,44 @@ def coarser(gamma: int, below: int | None, most: int):
         return pa.StructArray.from_arrays([kept, _lists(a_of[order], n, out), left], ["regions", "arcs", "chords"])
 
     return coarse
+
+
+PIECES = "array<struct<piece:struct<tail:long,head:long>,pos:long,idx:long,size:long,x:double,y:double>>"
+
+
+def split(rings: pa.Array, diagonals: pa.Array) -> pa.Array:
+    """The pieces' corners for arrays of (idx, x, y), in order of idx, which counts from 0, and of (u, v): see operators.triangulation.split_by_diagonals."""
+    of, ring = _flat(rings)
+    d_of, d = _flat(diagonals)
+    idx, u, v = ring.field("idx").to_numpy(zero_copy_only=False), d.field("u").to_numpy(zero_copy_only=False), d.field("v").to_numpy(zero_copy_only=False)
+    n = np.bincount(of, minlength=len(rings))
+    first = np.cumsum(n) - n
+    if (idx != np.arange(len(idx)) - first[of]).any():
+        raise ValueError("idx doesn't count from 0")
+    after = np.where(idx + 1 < n[of], idx + 1, 0)
+    own, at, to = np.concatenate([of, of, d_of, d_of]), np.concatenate([idx, after, u, v]), np.concatenate([after, idx, v, u])
+    turn = (to - at) % n[own]
+    order = np.lexsort((turn, at, own))
+    own, at, to = own[order], at[order], to[order]
+    k = np.flatnonzero((own[1:] == own[:-1]) & (at[1:] == at[:-1])) + 1
+    side = lambda a, b: pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["tail", "head"])
+    own, at, to, then = own[k], at[k], to[k], to[k - 1]
+    f = walks(_lists(own, len(rings), {"h": side(to, at), "next": side(at, then)})).flatten()
+    row = pa.array(first[own] + to)
+    return _lists(own, len(rings), {"piece": f.field("face"), "pos": f.field("pos"), "idx": pa.array(to, pa.int64()), "size": f.field("size"), "x": ring.field("x").take(row), "y": ring.field("y").take(row)})
+
+
+def areas(rings: pa.Array, triangles: pa.Array) -> pa.Array:
+    """Twice the sum of the triangles' areas, for arrays of (idx, x, y), in order of idx, and of (a, b, c)."""
+    of, ring = _flat(rings)
+    t_of, t = _flat(triangles)
+    ids = [ring.field("idx"), *(t.field(c) for c in "abc")]
+    place = np.unique(np.concatenate([i.to_numpy(zero_copy_only=False) for i in ids]), return_inverse=True)[1]
+    code = np.concatenate([of, t_of, t_of, t_of]) * (place.max(initial=0) + 1) + place
+    keys, asked = code[: len(of)], code[len(of) :]
+    row = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0)) if len(keys) else np.zeros(0, np.int64)
+    (ax, ay), (bx, by), (cx, cy) = ((ring.field("x").take(pa.array(r)).to_numpy(zero_copy_only=False), ring.field("y").take(pa.array(r)).to_numpy(zero_copy_only=False)) for r in np.split(row, 3))
+    there = (keys[row] == asked).reshape(3, -1).all(axis=0)
+    area = np.abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+    total = np.bincount(t_of[there], weights=area[there], minlength=len(rings))
+    return pa.array(total, pa.float64(), mask=np.bincount(t_of[there], minlength=len(rings)) == 0)

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packed import areas
 from ..functions.plane import orient2d
+from ..plans.iterate import cut
 from .chains import holding
 from .rings import ring_neighbors, signed_area
 
@@ -45,13 +47,21 @@ def check_count(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return _sizes(vertices).join(t, "pid", "left").na.fill(0, ["triangles"]).where("triangles <> n - 2")
 
 
-def check_area(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """area2 of each polygon and the sum of its triangles'."""
+def check_area(triangles: DataFrame, vertices: DataFrame, small: int = 20_000) -> DataFrame:
+    """area2 of each polygon and the sum of its triangles'. Polygons of up to `small` vertices are an array each; corners of larger ones are joined."""
     p = vertices.select("pid", "idx", "x", "y")
-    t = triangles
-    for c in "abc":
-        t = t.join(p.select("pid", F.col("idx").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")), ["pid", c])
-    s = t.groupBy("pid").agg(F.sum(F.abs(orient2d("ax", "ay", "bx", "by", "cx", "cy"))).alias("triangles2"))
+    big = cut(_sizes(p).where(F.col("n") > small).select("pid"))
+    some = not big.isEmpty()
+    own = p.join(big, "pid", "left_anti") if some else p
+    rings = own.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y"))).alias("v_"))
+    few = triangles.join(big, "pid", "left_anti") if some else triangles
+    few = few.groupBy("pid").agg(F.collect_list(F.struct("a", "b", "c")).alias("t_")).join(rings, "pid")
+    s = few.select("pid", F.arrow_udf(areas, "double")("v_", "t_").alias("triangles2")).where("triangles2 is not null")
+    if some:
+        t = triangles.join(big, "pid", "left_semi")
+        for c in "abc":
+            t = t.join(p.select("pid", F.col("idx").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y")), ["pid", c])
+        s = s.unionByName(t.groupBy("pid").agg(F.sum(F.abs(orient2d("ax", "ay", "bx", "by", "cx", "cy"))).alias("triangles2")))
     return signed_area(vertices).join(s, "pid", "left")
 
 

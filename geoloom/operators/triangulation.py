@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packed import PIECES, split
 from ..functions.plane import orient2d
 from ..plans.iterate import cut
 from ..sources.tables import polygon_report
@@ -30,8 +31,32 @@ def diagonals(traps: DataFrame, vertices: DataFrame) -> DataFrame:
     return classify_trapezoids(traps, vertices).where("class = 'B'").select("pid", F.least("top_v", "bottom_v").alias("u"), F.greatest("top_v", "bottom_v").alias("v")).distinct()
 
 
-def split_by_diagonals(vertices: DataFrame, diags: DataFrame) -> DataFrame:
-    """(pid, piece, pos, idx): the ring cut along diagonals that don't cross; a polygon without diagonals is one piece.
+def split_by_diagonals(vertices: DataFrame, diags: DataFrame, small: int = 2000) -> DataFrame:
+    """(pid, piece, pos, idx): the ring cut along diagonals that don't cross; a polygon without diagonals is one piece."""
+    few, many = pieces(vertices.select("pid", "idx", *[F.col(c) if c in vertices.columns else F.lit(None).cast("double").alias(c) for c in "xy"]), diags, small)
+    return (few if many is None else few.unionByName(many)).select("pid", "piece", "pos", "idx")
+
+
+def pieces(vertices: DataFrame, diags: DataFrame, small: int = 2000) -> tuple[DataFrame, DataFrame | None]:
+    """Pieces with coordinates (pid, piece, pos, idx, size, x, y) of polygons of up to `small` vertices, and those of larger ones; None without any.
+
+    The former are an array each, split where it is: with diagonals of trapezoids, which lie by polygon, the one shuffle is that of the vertices, and the rows still lie by polygon."""
+    v = vertices.select("pid", "idx", "x", "y")
+    big = cut(v.groupBy("pid").agg(F.count("*").alias("n_")).where(F.col("n_") > small).select("pid"))
+    some = not big.isEmpty()
+    own = v.join(big, "pid", "left_anti") if some else v
+    rings = own.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("idx", "x", "y"))).alias("v_"))
+    across = diags.groupBy("pid").agg(F.collect_list(F.struct("u", "v")).alias("d_"))
+    both = rings.join(across, "pid", "left").withColumn("d_", F.coalesce("d_", F.array().cast(across.schema["d_"].dataType)))
+    few = both.select("pid", F.inline(F.arrow_udf(split, PIECES)("v_", "d_"))).select("pid", "piece", "pos", "idx", "size", "x", "y")
+    if not some:
+        return few, None
+    wide = v.join(big, "pid", "left_semi")
+    return few, _walked(wide, diags.join(big, "pid", "left_semi")).join(wide, ["pid", "idx"]).select(*few.columns)
+
+
+def _walked(vertices: DataFrame, diags: DataFrame) -> DataFrame:
+    """Pieces of giant polygons.
 
     Around a vertex the neighbours lie by their distance along the ring, so the edge that follows on
     a piece's border is the neighbour before in that order, with no angles needed."""
@@ -45,7 +70,7 @@ def split_by_diagonals(vertices: DataFrame, diags: DataFrame) -> DataFrame:
     after = around.withColumn("then", before).where("then is not null")
     half = after.select(F.col("pid").alias("gid"), F.struct(F.col("to").alias("tail"), F.col("at").alias("head")).alias("h"), F.struct(F.col("at").alias("tail"), F.col("then").alias("head")).alias("next"))
     f = faces(half)
-    return f.select(F.col("gid").alias("pid"), F.col("face").alias("piece"), "pos", F.col("h.tail").alias("idx"))
+    return f.select(F.col("gid").alias("pid"), F.col("face").alias("piece"), "pos", F.col("h.tail").alias("idx"), "size")
 
 
 def mountain_base(pieces: DataFrame) -> DataFrame:
@@ -97,27 +122,27 @@ def triangulate_monotone(pieces: DataFrame, small: int = 5000, most: int = 60) -
 
     Chains of up to `small` vertices are cut in one pass each. A longer one is first split at the
     vertex closest to its base line: that triangle is empty, and both rests are chains again."""
-    base = mountain_base(pieces).where("direction is not null and size >= 3")
-    p = pieces.join(base.select("pid", "piece", "size", "start_pos"), ["pid", "piece"])
-    p = p.select("pid", F.struct("piece").alias("chain"), F.pmod(F.col("pos") - F.col("start_pos"), F.col("size")).alias("k"), "idx", "x", "y", "size")
-    p = p.withColumn("chain", F.concat_ws("/", F.to_json("chain"))).withColumn("k", F.col("k").cast("long"))
-    done = []
+    p = pieces if "size" in pieces.columns else pieces.withColumn("size", F.count("*").over(Window.partitionBy("pid", "piece")))
+    done = [_in_one_pass(p.where(F.col("size") <= small))]
+    p = p.where(F.col("size") > small)
+    base = mountain_base(p.drop("size")).where("direction is not null and size >= 3")
+    p = p.drop("size").join(base.select("pid", "piece", "size", "start_pos"), ["pid", "piece"])
+    p = cut(p.select("pid", F.struct("piece", F.lit("").alias("path")).alias("chain"), F.pmod(F.col("pos") - F.col("start_pos"), F.col("size")).cast("long").alias("k"), "idx", "x", "y", "size"))
     for _ in range(most):
+        short = p.where(F.col("size") <= small).groupBy("pid", "chain").agg(F.sort_array(F.collect_list(F.struct("k", "idx", "x", "y"))).alias("c"))
+        done.append(short.select("pid", F.inline(F.arrow_udf(_cut_ears, TRIANGLES)("c"))))
         long_ = p.where(F.col("size") > small)
-        done_part = p.where(F.col("size") <= small)
-        rows = done_part.groupBy("pid", "chain").agg(F.sort_array(F.collect_list(F.struct("k", "idx", "x", "y"))).alias("c"))
-        done.append(rows.select("pid", F.explode(F.arrow_udf(_cut_ears, TRIANGLES)(F.col("c"))).alias("t")).select("pid", "t.*"))
-        long_ = cut(long_)
         if long_.isEmpty():
             break
-        g = long_.groupBy("pid", "chain").agg(F.min_by(F.struct("idx", "x", "y"), "k").alias("s"), F.max_by(F.struct("idx", "x", "y"), "k").alias("z"), F.max("k").alias("m"))
-        q = long_.join(g, ["pid", "chain"])
-        off = F.abs(orient2d("s.x", "s.y", "z.x", "z.y", "x", "y"))
-        mid = q.where("k > 0 and k < m").groupBy("pid", "chain").agg(F.min_by(F.struct("idx", "k"), F.struct(off, "k")).alias("w"))
-        j = q.join(mid, ["pid", "chain"])
-        done.append(cut(j.where("k = 0").select("pid", F.col("s.idx").alias("a"), F.col("w.idx").alias("b"), F.col("z.idx").alias("c"))))
-        left = j.where("k <= w.k").select("pid", F.concat_ws("", "chain", F.lit("l")).alias("chain"), "k", "idx", "x", "y", (F.col("w.k") + 1).alias("size"))
-        right = j.where("k >= w.k").select("pid", F.concat_ws("", "chain", F.lit("r")).alias("chain"), (F.col("k") - F.col("w.k")).alias("k"), "idx", "x", "y", (F.col("m") - F.col("w.k") + 1).alias("size"))
+        w = Window.partitionBy("pid", "chain")
+        end = F.struct("idx", "x", "y")
+        q = long_.withColumns({"s": F.min_by(end, "k").over(w), "z": F.max_by(end, "k").over(w), "m": F.max("k").over(w)})
+        off = F.struct(F.abs(orient2d("s.x", "s.y", "z.x", "z.y", "x", "y")), "k")
+        j = cut(q.withColumn("w", F.min_by(F.struct("idx", "k"), F.when((F.col("k") > 0) & (F.col("k") < F.col("m")), off)).over(w)))
+        done.append(j.where("k = 0").select("pid", F.col("s.idx").alias("a"), F.col("w.idx").alias("b"), F.col("z.idx").alias("c")))
+        longer = lambda side: F.struct("chain.piece", F.concat("chain.path", F.lit(side)).alias("path")).alias("chain")
+        left = j.where("k <= w.k").select("pid", longer("l"), "k", "idx", "x", "y", (F.col("w.k") + 1).alias("size"))
+        right = j.where("k >= w.k").select("pid", longer("r"), (F.col("k") - F.col("w.k")).alias("k"), "idx", "x", "y", (F.col("m") - F.col("w.k") + 1).alias("size"))
         p = cut(left.unionByName(right).where("size >= 3"))
     else:
         raise RuntimeError(f"pieces are too long after {most} rounds")
@@ -127,11 +152,25 @@ def triangulate_monotone(pieces: DataFrame, small: int = 5000, most: int = 60) -
     return out
 
 
+def _in_one_pass(pieces: DataFrame) -> DataFrame:
+    """Triangles of the unimonotone ones of pieces with coordinates and size, an array each; rows that lie by polygon stay where they are."""
+    corner = F.struct("pos", "idx", "x", "y")
+    by = F.struct("y", "x", "idx")
+    p = pieces.groupBy("pid", "piece").agg(F.sort_array(F.collect_list(corner)).alias("c_"), F.max_by("pos", by).alias("t_"), F.min_by("pos", by).alias("b_"), F.count("*").alias("n_"))
+    start = F.when(F.pmod(F.col("t_") - F.col("b_"), F.col("n_")) == 1, F.col("t_")).when(F.pmod(F.col("b_") - F.col("t_"), F.col("n_")) == 1, F.col("b_")).cast("int")
+    p = p.withColumn("s_", start).where("n_ >= 3 and s_ is not null")
+    chain = F.concat(F.expr("slice(c_, s_ + 1, n_)"), F.expr("slice(c_, 1, s_)"))
+    return p.select("pid", F.inline(F.arrow_udf(_cut_ears, TRIANGLES)(chain)))
+
+
 def triangulate_with(vertices: DataFrame, traps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(triangles, pieces that are not unimonotone) from given trapezoids of counter-clockwise polygons."""
     v = vertices.select("pid", "idx", "x", "y")
-    pieces = cut(split_by_diagonals(v, diagonals(traps, v)).join(v, ["pid", "idx"]))
-    return triangulate_monotone(pieces), mountain_base(pieces).where("direction is null")
+    few, many = pieces(v, diagonals(traps, v))
+    if many is None:
+        return _in_one_pass(few), mountain_base(few).where("direction is null")
+    many = cut(many)
+    return _in_one_pass(few).unionByName(triangulate_monotone(many)), mountain_base(few.unionByName(many)).where("direction is null")
 
 
 def triangulate(vertices: DataFrame) -> DataFrame:

@@ -185,7 +185,8 @@ query("t1_diagonals", _poly(_DIAG + "SELECT pid, u, w AS v FROM dg"))(lambda s,
 
 def _pieces(s, d):
     v = cut(skylines(s, d))
-    return cut(triangulation.split_by_diagonals(v, triangulation.diagonals(visibility.trapezoids(v), v)).join(v, ["pid", "idx"]))
+    few, many = triangulation.pieces(v, triangulation.diagonals(visibility.trapezoids(v), v))
+    return few if many is None else few.unionByName(many)
 
 
 query("t2_split_by_diagonals", _poly(_DIAG + "SELECT nn.pid, n + 2 * count(dg.u) AS corners, count(dg.u) + 1 AS pieces FROM nn LEFT JOIN dg USING (pid) GROUP BY nn.pid, n"))(lambda s, d: _pieces(s, d).groupBy("pid").agg(F.count("*").alias("corners"), F.count_distinct("piece").alias("pieces")))
@@ -197,7 +198,7 @@ def _areas(t: DataFrame, v: DataFrame) -> DataFrame:
     return quality.check_area(t, v).join(t.groupBy("pid").agg(F.count("*").alias("triangles")), "pid").select("pid", "triangles", F.col("triangles2").alias("area2"))
 
 
-query("t4_triangulate_monotone", _AREA)(lambda s, d: _areas(cut(triangulation.triangulate_monotone(_pieces(s, d), small=12)), skylines(s, d)))
+query("t4_triangulate_monotone", _AREA)(lambda s, d: _areas(cut(triangulation.triangulate_monotone(cut(_pieces(s, d)), small=12)), skylines(s, d)))
 query("t5_triangulate", _AREA)(lambda s, d: _areas(cut(triangulation.triangulate(v := cut(skylines(s, d)))), v))
 query("t6_triangulate_with", _AREA)(lambda s, d: _areas(cut(triangulation.triangulate_with(v := cut(skylines(s, d)), visibility.trapezoids(v))[0]), v))
 query("t7_ring_fan", _poly("SELECT pid, CAST(0 AS BIGINT) AS a, idx AS b, idx + 1 AS c FROM ring WHERE idx BETWEEN 1 AND n - 2"))(lambda s, d: triangulation.ring_fan(skylines(s, d)))

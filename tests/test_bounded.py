@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import graphs, regions, visibility, walks
+from geoloom.operators import graphs, quality, regions, triangulation, visibility, walks
 from geoloom.plans.fixtures import grid, skylines
 from geoloom.plans.iterate import cut
 
@@ -75,8 +75,17 @@ def test_components_of_small_graphs_take_no_rounds(spark):
 def test_maps_are_coarsened_in_place_as_by_joins(spark):
     r, a, c = (cut(t.where("map_id < 12")) for t in visibility.region_tables(skylines(spark, SF)))
     a = cut(a.withColumns({e: F.when(F.col("arc_id") != 20, F.col(e)) for e in ("first_edge", "last_edge")}))
-    for below in (None, 20):
-        few, wide = (regions.coarsen(r, a, c, 6, below=below, small=small) for small in (20_000, 0))
-        for x, y in zip(few, (regions.region_weight(*wide[:2]), *wide[1:])):
-            assert rows(x) == rows(y.select(*x.columns))
-        assert few[2].count() < c.count()
+    few, wide = (regions.coarsen(r, a, c, 6, below=8, small=small) for small in (20_000, 0))
+    for x, y in zip(few, (regions.region_weight(*wide[:2]), *wide[1:])):
+        assert rows(x) == rows(y.select(*x.columns))
+    assert few[2].count() < c.count()
+
+
+def test_small_polygons_are_split_where_they_are(spark):
+    v = cut(skylines(spark, SF))
+    d = triangulation.diagonals(visibility.trapezoids(v), v)
+    few, many = triangulation.pieces(v, d)
+    assert many is None and "Join Inner, ((pid" not in (plan := few._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(pid#" in plan and ", idx#" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    assert rows(triangulation.split_by_diagonals(v, d)) == rows(triangulation.split_by_diagonals(v, d, small=0))
+    t = cut(triangulation.triangulate(v))
+    assert rows(quality.check_area(t, v)) == rows(quality.check_area(t, v, small=0))
