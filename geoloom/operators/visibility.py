@@ -144,8 +144,8 @@ def cross_chain_visibility(vertices: DataFrame, chain: str, small: int = 2000) -
     return left.unionByName(right)
 
 
-def trapezoids(vertices: DataFrame, small: int = 2000, ranged: bool = False) -> DataFrame:
-    """The inside of each counter-clockwise polygon as trapezoids (pid, top_v, bottom_v, left_edge, right_edge): n - 1 for n vertices.
+def trapezoids(vertices: DataFrame, small: int = 2000, ranged: bool = False, heights: bool = False) -> DataFrame:
+    """The inside of each counter-clockwise polygon as trapezoids (pid, top_v, bottom_v, left_edge, right_edge): n - 1 for n vertices. heights: with top_y and bottom_y.
 
     A vertex ends and begins trapezoids by how its edges run; a trapezoid is known by its two
     edges, and along these begins and ends alternate from high to low."""
@@ -166,9 +166,10 @@ def trapezoids(vertices: DataFrame, small: int = 2000, ranged: bool = False) ->
         .when(convex, F.array(end(ep, en)))
         .otherwise(F.array(end(hl, en), end(ep, hr), begin(hl, hr)))
     )
-    flat = v.select("pid", "idx", "rk", F.explode(events).alias("t")).select("pid", "idx", "rk", "t.*")
+    flat = v.select("pid", "idx", "rk", "y", F.explode(events).alias("t")).select("pid", "idx", "rk", "y", "t.*")
     w = Window.partitionBy("pid", "left_edge", "right_edge").orderBy(F.desc("rk"))
-    return flat.withColumn("bottom_v", F.lead("idx").over(w)).where("begins").select("pid", F.col("idx").alias("top_v"), "bottom_v", "left_edge", "right_edge")
+    flat = flat.withColumns({"bottom_v": F.lead("idx").over(w), "bottom_y": F.lead("y").over(w)}).where("begins")
+    return flat.select("pid", F.col("idx").alias("top_v"), "bottom_v", "left_edge", "right_edge", *([F.col("y").alias("top_y"), "bottom_y"] if heights else []))
 
 
 def region_tables(vertices: DataFrame, traps: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -178,11 +179,12 @@ def region_tables(vertices: DataFrame, traps: DataFrame | None = None) -> tuple[
     left (L) and right (R) side, with the heights of their ends; an arc of no height has an edge count of 0. A chord lies at a
     vertex, between a region that ends and one that begins there; its id is twice the vertex, and one more to the right of it. A
     convex extremum has a chord of no length, with the one region on both sides. Regions are one more than chords of a length."""
-    v = vertices.select("pid", "idx", "y")
-    t = trapezoids(vertices) if traps is None else traps
-    height = lambda c: v.select("pid", F.col("idx").alias(f"{c}_v"), F.col("y").alias(f"{c}_y"))
-    t = t.select(F.col("pid").alias("map_id"), "pid", (F.col("top_v") * 2 + (F.col("left_edge") == F.col("top_v")).cast("long")).alias("region_id"), "top_v", "bottom_v", "left_edge", "right_edge")
-    t = cut(t.join(height("top"), ["pid", "top_v"]).join(height("bottom"), ["pid", "bottom_v"]).drop("pid"))
+    t = trapezoids(vertices, heights=True) if traps is None else traps
+    if "top_y" not in t.columns:
+        for c in ("top", "bottom"):
+            t = t.join(vertices.select("pid", F.col("idx").alias(f"{c}_v"), F.col("y").alias(f"{c}_y")), ["pid", f"{c}_v"])
+    t = t.select(F.col("pid").alias("map_id"), "pid", (F.col("top_v") * 2 + (F.col("left_edge") == F.col("top_v")).cast("long")).alias("region_id"), "top_v", "bottom_v", "left_edge", "right_edge", "top_y", "bottom_y")
+    t = cut(t.drop("pid"))
     side = lambda k, s, e, first, last: F.struct((F.col("region_id") * 2 + k).alias("arc_id"), F.col("region_id"), F.col(e).alias("first_edge"), F.col(e).alias("last_edge"), F.lit(s).alias("first_side"), F.lit(s).alias("last_side"), (F.col("top_y") > F.col("bottom_y")).cast("long").alias("edge_count"), F.col(first).alias("y_first"), F.col(last).alias("y_last"))
     arcs = t.select("map_id", F.inline(F.array(side(0, "L", "left_edge", "top_y", "bottom_y"), side(1, "R", "right_edge", "bottom_y", "top_y"))))
     over = t.select("map_id", F.col("bottom_v").alias("vertex"), F.col("region_id").alias("region_a"), F.col("left_edge").alias("la"), F.col("right_edge").alias("ra"), F.col("bottom_y").alias("y"))

@@ -89,3 +89,11 @@ def test_small_polygons_are_split_where_they_are(spark):
     assert rows(triangulation.split_by_diagonals(v, d)) == rows(triangulation.split_by_diagonals(v, d, small=0))
     t = cut(triangulation.triangulate(v))
     assert rows(quality.check_area(t, v)) == rows(quality.check_area(t, v, small=0))
+
+
+def test_region_tables_take_heights_without_joins(spark):
+    v = cut(skylines(spark, SF))
+    t = visibility.trapezoids(v, heights=True)
+    assert "Join" not in t._jdf.queryExecution().optimizedPlan().toString()
+    for x, y in zip(visibility.region_tables(v), visibility.region_tables(v, visibility.trapezoids(v))):
+        assert rows(x.select(*y.columns)) == rows(y)
