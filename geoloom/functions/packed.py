@@ -58,6 +58,23 @@ def _numbers(rows: pa.Array) -> list[np.ndarray]:
     return [rows.to_numpy(zero_copy_only=False).astype(np.int64)]
 
 
+def cycled(rank: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The row of lowest rank on each row's walk, the place counted from it, and the walk's length; rank tells rows apart, then is the next row."""
+    n = len(rank)
+    row = np.full(rank.max(initial=-1) + 1, -1)
+    row[rank] = np.arange(n)
+    low, steps, k = rank, np.zeros(n, np.int64), 0
+    while True:
+        lower = low[then] < low
+        if not lower.any():
+            break
+        steps = np.where(lower, steps[then] + 2**k, steps)
+        low, then, k = np.where(lower, low[then], low), then[then], k + 1
+    face = row[low]
+    long = np.bincount(face, minlength=n)[face]
+    return face, (long - steps) % np.maximum(long, 1), long
+
+
 def walks(graphs: pa.Array) -> pa.Array:
     """face, pos and size for arrays of (h, next): the lowest h on the walk, the place counted from it, and the walk's length; see operators.walks.faces."""
     size = graphs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -73,16 +90,8 @@ def walks(graphs: pa.Array) -> pa.Array:
     then = row[code[n:]]
     if (then < 0).any():
         raise ValueError("a walk has no next row")
-    low, steps, k = code[:n], np.zeros(n, np.int64), 0
-    while True:
-        lower = low[then] < low
-        if not lower.any():
-            break
-        steps = np.where(lower, steps[then] + 2**k, steps)
-        low, then, k = np.where(lower, low[then], low), then[then], k + 1
-    face = row[low]
-    long = np.bincount(face, minlength=n)[face]
-    columns = [flat.field("h").take(pa.array(face)), pa.array((long - steps) % np.maximum(long, 1), pa.int64()), pa.array(long, pa.int64())]
+    face, pos, long = cycled(code[:n], then)
+    columns = [flat.field("h").take(pa.array(face)), pa.array(pos, pa.int64()), pa.array(long, pa.int64())]
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(columns, ["face", "pos", "size"]))
 
 
@@ -105,15 +114,12 @@ def _lists(of: np.ndarray, n: int, columns: dict[str, pa.Array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
 
-def levels(graphs: pa.Array) -> pa.Array:
-    """(v, level, parent) of what is reached, for arrays of edges (v, to), both ways, and of roots (v, null): one level of all graphs of the batch at a time; parent: the lowest neighbour a level up."""
-    a, b, of, name = _nodes(graphs)
-    n = len(of)
+def spread(n: int, tail: np.ndarray, head: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level (-1: not reached) and parent (n: none) of n vertices, from those of front along edges given both ways."""
     level, parent = np.full(n, -1, np.int32), np.full(n, n)
-    front = np.unique(a[b < 0])
     level[front] = 0
-    order = np.argsort(a[b >= 0], kind="stable")
-    tail, head = a[b >= 0][order], b[b >= 0][order]
+    order = np.argsort(tail, kind="stable")
+    tail, head = tail[order], head[order]
     first = np.searchsorted(tail, np.arange(n + 1))
     k = 0
     while len(front):
@@ -125,18 +131,23 @@ def levels(graphs: pa.Array) -> pa.Array:
         np.minimum.at(parent, down, up)
         front = np.unique(down)
         level[front] = k
+    return level, parent
+
+
+def levels(graphs: pa.Array) -> pa.Array:
+    """(v, level, parent) of what is reached, for arrays of edges (v, to), both ways, and of roots (v, null): one level of all graphs of the batch at a time; parent: the lowest neighbour a level up."""
+    a, b, of, name = _nodes(graphs)
+    n = len(of)
+    level, parent = spread(n, a[b >= 0], b[b >= 0], np.unique(a[b < 0]))
     seen = np.flatnonzero(level >= 0)
     up = parent[seen]
     rooted = up == n
     return _lists(of[seen], len(graphs), {"v": pa.array(name[seen], pa.int64()), "level": pa.array(level[seen]), "parent": pa.array(name[np.where(rooted, 0, up)], pa.int64(), mask=rooted)})
 
 
-def lowest(graphs: pa.Array) -> pa.Array:
-    """(v, component) of the vertices, for arrays of vertices (v, null) and edges (v, to): the lowest vertex reachable."""
-    a, b, of, name = _nodes(graphs)
-    n = len(of)
+def joined(n: int, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The lowest of n vertices that each reaches along edges."""
     label = np.arange(n)
-    u, w = a[b >= 0], b[b >= 0]
     while len(u):
         low = np.minimum(label[u], label[w])
         np.minimum.at(label, label[u], low)  # the roots of both ends get the lower one
@@ -145,6 +156,14 @@ def lowest(graphs: pa.Array) -> pa.Array:
             label = label[label]
         apart = label[u] != label[w]
         u, w = u[apart], w[apart]
+    return label
+
+
+def lowest(graphs: pa.Array) -> pa.Array:
+    """(v, component) of the vertices, for arrays of vertices (v, null) and edges (v, to): the lowest vertex reachable."""
+    a, b, of, name = _nodes(graphs)
+    n = len(of)
+    label = joined(n, a[b >= 0], b[b >= 0])
     own = np.unique(a[b < 0])
     best = np.full(n, n)
     np.minimum.at(best, label[own], own)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import DoubleType, LongType
 
+from ..functions.divide import divider
 from ..functions.packed import levels as reached
 from ..functions.packed import lowest
 from ..plans.iterate import counted, cut
@@ -232,7 +233,25 @@ def sides(v: DataFrame, e: DataFrame, c: DataFrame) -> DataFrame:
     return parts.join(packed, ["gid", "component"]).select("gid", "v", "part").unionByName(c.select("gid", "v", F.lit("C").alias("part")))
 
 
-def find_separator(v: DataFrame, e: DataFrame, most: int = 60, half: DataFrame | None = None) -> DataFrame:
+def _arrays(v: DataFrame, e: DataFrame, half: DataFrame | None, small: int) -> tuple[DataFrame | None, tuple[DataFrame, ...] | None]:
+    """(gid, g_), an array of (kind, a, b, x) for each graph of up to `small` rows (see divide.divider), and (v, e, half) of the others; None without any."""
+    longs = [v.schema["v"], e.schema["u"], e.schema["v"], *([half.schema["tail"], half.schema["head"]] if half is not None else [])]
+    if small <= 0 or any(f.dataType != LongType() for f in longs):
+        return None, (v, e, half)
+    none, number = F.lit(None), lambda k: F.lit(k).cast("tinyint").alias("kind")
+    rows = v.select("gid", number(0), F.col("v").alias("a"), none.cast("long").alias("b"), F.col("cost").cast("double").alias("x"))
+    rows = rows.unionByName(e.select("gid", number(1), F.col("u").alias("a"), F.col("v").alias("b"), none.cast("double").alias("x")))
+    if half is not None:
+        place = F.col("pos") if half.schema["pos"].dataType == DoubleType() else F.row_number().over(Window.partitionBy("gid", "tail").orderBy("pos", F.least("tail", "head"), F.greatest("tail", "head"))).cast("double")
+        rows = rows.unionByName(half.select("gid", number(2), F.col("tail").alias("a"), F.col("head").alias("b"), place.alias("x")))
+    rows = cut(rows)
+    few, large = by_size(rows, small)
+    few = few.groupBy("gid").agg(F.collect_list(F.struct("kind", "a", "b", "x")).alias("g_"))
+    keep = lambda t: t.join(large, "gid", "left_semi")
+    return few, None if large is None else (keep(v), keep(e), None if half is None else keep(half))
+
+
+def find_separator(v: DataFrame, e: DataFrame, most: int = 60, half: DataFrame | None = None, small: int = 20_000) -> DataFrame:
     """(gid, v, part): no edge between A and B, and neither above two thirds of the cost.
 
     Graphs whose components are all light are packed without C. Otherwise two levels of a breadth-first search in
@@ -242,7 +261,18 @@ def find_separator(v: DataFrame, e: DataFrame, most: int = 60, half: DataFrame |
     darts.between_levels), and C has at most 2 sqrt(2 n) vertices in every graph.
 
     Without it the levels are cut again, until no part has over two thirds; one cut keeps C within 2 sqrt(2 n) vertices, a
-    further one adds as much for the part it divides: see quality.check_balance."""
+    further one adds as much for the part it divides: see quality.check_balance.
+
+    Graphs of up to `small` vertices, edges and half-edges are an array each and are divided where they are; larger ones by rounds of joins."""
+    few, large = _arrays(v, e, half, small)
+    if few is None:
+        return _divided(v, e, most, half)
+    few = few.select("gid", F.inline(F.arrow_udf(divider(half is not None, most), "array<struct<v:bigint,part:string>>")("g_")))
+    return few if large is None else few.unionByName(_divided(*large[:2], most, large[2]))
+
+
+def _divided(v: DataFrame, e: DataFrame, most: int, half: DataFrame | None) -> DataFrame:
+    """Separators of giant graphs."""
     v, e = cut(normalize_cost(v)), cut(e)
     c = None
     for _ in range(most):
@@ -265,10 +295,20 @@ def find_separator(v: DataFrame, e: DataFrame, most: int = 60, half: DataFrame |
     raise RuntimeError(f"graphs are not divided after {most} rounds")
 
 
-def iterated_separator(v: DataFrame, e: DataFrame, max_piece: int, most: int = 40, half: DataFrame | None = None) -> DataFrame:
+def iterated_separator(v: DataFrame, e: DataFrame, max_piece: int, most: int = 40, half: DataFrame | None = None, small: int = 20_000) -> DataFrame:
     """(gid, v, is_separator, piece_id): separates with unit costs again and again, all pieces that are too large in one go, until each has at most max_piece vertices. piece_id: its lowest vertex.
 
-    half: an embedding of the edges, see find_separator; a piece has what it leaves of it."""
+    half: an embedding of the edges, see find_separator; a piece has what it leaves of it. Graphs of up to `small` rows are an array each, for all rounds."""
+    few, large = _arrays(v.withColumn("cost", F.lit(1.0)), e, half, small)
+    if few is None:
+        return _iterated(v, e, max_piece, most, half, small)
+    few = few.select("gid", F.inline(F.arrow_udf(divider(half is not None, 60, max_piece, most), "array<struct<v:bigint,piece_id:bigint>>")("g_")))
+    few = few.select("gid", "v", F.col("piece_id").isNull().alias("is_separator"), "piece_id")
+    return few if large is None else few.unionByName(_iterated(*large[:2], max_piece, most, large[2], small))
+
+
+def _iterated(v: DataFrame, e: DataFrame, max_piece: int, most: int, half: DataFrame | None, small_graph: int) -> DataFrame:
+    """Pieces of giant graphs, a round of find_separator at a time; pieces that are small by then are divided in place."""
     todo = cut(v.select("gid", "v", F.lit(0).cast("long").alias("piece")))
     cuts: list[DataFrame] = []
     for _ in range(most):
@@ -286,7 +326,7 @@ def iterated_separator(v: DataFrame, e: DataFrame, max_piece: int, most: int = 4
         if half is not None:
             own = half.join(name_of.withColumnRenamed("v", "tail"), ["gid", "tail"]).select(F.col("name").alias("gid"), "tail", "head", "pos")
             own = own.join(gv.select("gid", F.col("v").alias("head")), ["gid", "head"], "left_semi").select("gid", "tail", "head", "pos")
-        parts = find_separator(gv.drop("g0"), ge, half=own)
+        parts = cut(find_separator(gv.drop("g0"), ge, half=own, small=small_graph))
         cuts.append(cut(parts.where("part = 'C'").select("gid.gid", "v")))
         rest = parts.where("part <> 'C'").withColumn("n_", F.min("v").over(Window.partitionBy("gid", "part")))
         todo = cut(small.unionByName(rest.select("gid.gid", "v", F.col("n_").alias("piece"))))
