@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
 
 
@@ -94,7 +96,7 @@ def stacked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     pick = lambda s, d, one, two, three: F.when(d == 0, s[one]).when(d == 1, s[two]).otherwise(s[three])
     begin = F.struct(corner(0, 0, 0).alias("a"), corner(1, 3**8, 0).alias("b"), corner(2, 0, 3**8).alias("c"), F.lit(0).cast("long").alias("g"))
     fold = lambda s, d: F.struct(pick(s, d, "a", "b", "c").alias("a"), pick(s, d, "b", "c", "a").alias("b"), middle(s).alias("c"), (s["g"] * 3 + 1 + d).alias("g"))
-    inner = part.where("i >= 3").withColumn("t", F.aggregate(digits, begin, fold))
+    inner = cut(part.where("i >= 3").select("gid", F.aggregate(digits, begin, fold).alias("t")))  # read for both ways and both tables
     me = F.col("i")
     inner = inner.withColumn("m", middle(F.col("t")))
     ends = inner.select("gid", F.col("m").alias("p"), F.explode(F.array("t.a", "t.b", "t.c")).alias("q"))
