@@ -280,27 +280,31 @@ def split_regions(arcs: DataFrame, chords: DataFrame) -> DataFrame:
     return a.select("map_id", "arc_id").join(inner, ["map_id", "arc_id"], "left")
 
 
-def put_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def put_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, new: DataFrame, small: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(regions with weight, arcs, chords) after new chords are put in: new(map_id, chord_id, region_id, left_edge, right_edge, y, is_null_length), each inside one region and with an id that no chord of the map has.
 
     A new chord cuts off what its edge range holds: that is a region of its own, with the map's next ids in order of the new chords' ids. An arc, or an old
     chord at the region, goes to the innermost new range that holds all of its edges, else stays; a new chord joins its own region and that around
-    it. New ranges in one region are nested or apart (see nesting.innermost). Ends are edges, or places along them: columns lo and hi, of any type that can be sorted, in all three tables."""
+    it. New ranges in one region are nested or apart (see nesting.innermost). Ends are edges, or places along them: columns lo and hi, of any type that can be sorted, in all three tables.
+
+    If no map has more than `small` new chords, and no region more than that many arcs and chords, all order is by windows; else giant ones are sorted in ranges."""
     def placed(t: DataFrame, a: str, b: str) -> DataFrame:
         return t if "lo" in t.columns else t.withColumns({"lo": F.least(a, b), "hi": F.greatest(a, b) + 1})  # up to where the last edge ends
 
     base = regions.groupBy("map_id").agg(F.max("region_id").alias("base"))
-    own = cut(ranks(placed(new, "left_edge", "right_edge"), ["map_id"], [F.col("chord_id")], "nth").join(base, "map_id").withColumn("own", F.col("base") + F.col("nth")).drop("base", "nth"))
+    giant = not new.groupBy("map_id").agg(F.count("*").alias("n_")).where(F.col("n_") > small).isEmpty()
+    nth = F.row_number().over(Window.partitionBy("map_id").orderBy("chord_id")).cast("long")
+    put = placed(new, "left_edge", "right_edge")
+    put = ranks(put, ["map_id"], [F.col("chord_id")], "nth") if giant else put.withColumn("nth", nth)
+    own = cut(put.join(base, "map_id").withColumn("own", F.col("base") + F.col("nth")).drop("base", "nth"))
     a, c = placed(arcs, "first_edge", "last_edge"), placed(chords, "left_edge", "right_edge")
     ask = lambda kind, i: F.struct(F.lit(kind).alias("kind"), F.col(i).alias("id"))
     asked = a.select("map_id", "region_id", ask(0, "arc_id").alias("ask_id"), "lo", "hi")
     for kind, side in ((1, "region_a"), (2, "region_b")):
         asked = asked.unionByName(c.select("map_id", F.col(side).alias("region_id"), ask(kind, "chord_id").alias("ask_id"), "lo", "hi"))
-    # ids of ranges and of what asks share a column there
     ranges = own.select("map_id", "region_id", F.col("own").alias("range_id"), "lo", "hi")
-    numbered = cut(asked.withColumn("number", F.monotonically_increasing_id()))
-    outer, inner = innermost(ranges, numbered.select("map_id", "region_id", F.col("number").alias("ask_id"), "lo", "hi"), ["map_id", "region_id"])
-    moved = cut(numbered.join(inner.select(F.col("ask_id").alias("number"), "range_id"), "number").select("map_id", F.col("ask_id.kind").alias("kind"), F.col("ask_id.id").alias("id"), F.coalesce("range_id", "region_id").alias("to")))
+    outer, inner = innermost(ranges, asked, ["map_id", "region_id"], small)
+    moved = cut(inner.select("map_id", "ask_id.kind", "ask_id.id", F.coalesce("range_id", "region_id").alias("to")))
     to = lambda kind, i, name: moved.where(F.col("kind") == kind).select("map_id", F.col("id").alias(i), F.col("to").alias(name))
     arcs_out = arcs.drop("region_id").join(to(0, "arc_id", "region_id"), ["map_id", "arc_id"]).select(*arcs.columns)
     old = chords.drop("region_a", "region_b").join(to(1, "chord_id", "region_a"), ["map_id", "chord_id"]).join(to(2, "chord_id", "region_b"), ["map_id", "chord_id"]).select(*chords.columns)

@@ -114,7 +114,7 @@ def nested_map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     regions without arcs, and new chords nested in each other, half as many deep as the map has arcs over 2, with smaller ones between them."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").cast("long").alias("map_id"), F.col("l_quantity").cast("long").alias("q"), *ORDER)
     w = Window.partitionBy("map_id")
-    a = rows.select("map_id", "q", (F.row_number().over(w.orderBy(*ORDER)) - 1).cast("long").alias("j"), F.count("*").over(w).alias("m"))
+    a = cut(rows.select("map_id", "q", (F.row_number().over(w.orderBy(*ORDER)) - 1).cast("long").alias("j"), F.count("*").over(w).alias("m")))  # sorted once for all tables
     j, m = F.col("j"), F.col("m")
     zero, side = F.lit(0).cast("long"), F.lit("L")
     arcs = a.select("map_id", j.alias("arc_id"), zero.alias("region_id"), j.alias("first_edge"), j.alias("last_edge"), side.alias("first_side"), side.alias("last_side"), (F.col("q") % 11).alias("edge_count"))
