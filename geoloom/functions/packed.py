@@ -170,6 +170,37 @@ def lowest(graphs: pa.Array) -> pa.Array:
     return _lists(of[own], len(graphs), {"v": pa.array(name[own], pa.int64()), "component": pa.array(name[best[label[own]]], pa.int64())})
 
 
+def nearby(rows: int):
+    """A function over batches of (gid, v, to), vertices (to: null) and edges, sorted by gid and v. It gives (gid, v, low, own): the lowest vertex that v reaches by the edges of its block of some `rows` rows, and whether v is among the vertices there."""
+
+    def settle(blocks: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(blocks).combine_chunks()
+        gid, v, to = (t.column(c).combine_chunks() for c in ("gid", "v", "to"))
+        g = gid.dictionary_encode()
+        there = to.is_valid().to_numpy(zero_copy_only=False)
+        of, v, to = g.indices.to_numpy(), v.to_numpy(), to.fill_null(0).to_numpy()
+        name, place = np.unique(np.concatenate([v, to[there]]), return_inverse=True)
+        number, code = np.unique(np.concatenate([of, of[there]]) * len(name) + place, return_inverse=True)
+        low = joined(len(number), code[: len(v)][there], code[len(v) :])
+        own = np.zeros(len(number), bool)
+        own[code[: len(v)][~there]] = True
+        ids = number % len(name)
+        return pa.record_batch([g.dictionary.take(pa.array(number // len(name))), pa.array(name[ids], pa.int64()), pa.array(name[ids[low]], pa.int64()), pa.array(own)], ["gid", "v", "low", "own"])
+
+    def blocks(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield settle(held)
+                held, n = [], 0
+        if n:
+            yield settle(held)
+
+    return blocks
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The number of each row's array, and the rows."""
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, IntegralType, LongType, StringType
 
 from ..functions.divide import divider
 from ..functions.packed import levels as reached
-from ..functions.packed import lowest
+from ..functions.packed import lowest, nearby
 from ..plans.iterate import counted, cut
 from .darts import best_cycle, between_levels, cycle_costs, darts_of  # noqa: F401
 from .walks import by_size, faces, lowest_common, tree_path  # noqa: F401
@@ -61,8 +61,31 @@ def components(v: DataFrame, e: DataFrame, most: int = 60, small: int = 20_000)
     few = _packed(few).withColumn("c_", F.arrow_udf(lowest, "array<struct<v:bigint,component:bigint>>")("g_")).select("gid", F.inline("c_"))
     if large is None:
         return cut(few, rows)
-    wide = rows.join(large, "gid", "left_semi")
-    return cut(few.unionByName(_contracted(wide.where("to is null").select("gid", "v"), wide.where("to is not null").select("gid", F.col("v").alias("u"), F.col("to").alias("v")), most)))
+    return cut(few.unionByName(_by_blocks(rows.join(F.broadcast(large), "gid", "left_semi"), most)))
+
+
+def _by_blocks(rows: DataFrame, most: int, block: int = 500_000) -> DataFrame:
+    """Components of giant graphs, for rows of vertices (gid, v, null) and edges (gid, v, to).
+
+    Rows are sorted in ranges by (gid, v), and each block of a range is settled where it lies; only vertices that lie in several blocks link
+    what is left, and these links are contracted, see _contracted. So where ids of neighbours are near, few rows are left for the rounds."""
+    if not isinstance(rows.schema["gid"].dataType, (IntegralType, StringType)):
+        return _contracted(rows.where("to is null").select("gid", "v"), rows.where("to is not null").select("gid", F.col("v").alias("u"), F.col("to").alias("v")), most)
+    near = rows.repartitionByRange("gid", "v").sortWithinPartitions("gid", "v").mapInArrow(nearby(block), f"gid {rows.schema['gid'].dataType.simpleString()}, v bigint, low bigint, own boolean")
+    of = Window.partitionBy("gid", "v")
+    near = near.withColumns({"nth": F.row_number().over(of.orderBy("low")), "to": F.min("low").over(of), "own": F.max("own").over(of)})
+    near, others = counted(near, "not own")
+    links, n = counted(near.where("low <> to").select("gid", F.col("to").alias("u"), F.col("low").alias("v")), "true")
+    step = near.where("nth = 1").select("gid", "v", "to", "own")
+    if n:
+        ends = both_ways(links).select("gid", F.col("u").alias("v")).distinct()
+        then = _contracted(ends, links, most).select("gid", F.col("v").alias("to"), "component")
+        step = step.join(then, ["gid", "to"], "left").select("gid", "v", F.coalesce("component", "to").alias("to"), "own")
+    if not others:
+        return step.select("gid", "v", F.col("to").alias("component"))
+    # an edge's end that is no vertex gives no component its name
+    step = cut(step.where("own"))
+    return step.join(step.groupBy("gid", "to").agg(F.min("v").alias("component")), ["gid", "to"]).select("gid", "v", "component")
 
 
 def _contracted(v: DataFrame, e: DataFrame, most: int) -> DataFrame:
