@@ -11,16 +11,27 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
 HITS = "array<struct<hl:long,hl_x:double,hr:long,hr_x:double>>"
+SLOPED = "array<struct<hl:long,hl_x:double,hl_slope:double,hr:long,hr_x:double,hr_slope:double>>"
 CELLS = 1_000_000
 
 
 def ray_hits(rings: pa.Array) -> pa.Array:
     """hl, hl_x, hr, hr_x for arrays of (e, x, y, rk, next_x, next_y, next_rk, edge): of the edges that enclose a row's rank the nearest left and right of it; of equal places by slope, as just above. edge: whether one begins there."""
+    return _hits(rings, False)
+
+
+def sloped_hits(rings: pa.Array) -> pa.Array:
+    """What ray_hits gives, with the slopes of both edges."""
+    return _hits(rings, True)
+
+
+def _hits(rings: pa.Array, sloped: bool) -> pa.Array:
     size = rings.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.concatenate(([0], np.cumsum(size)))
     flat = rings.flatten()
     e, x, y, rk, nx, ny, nrk, edge = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("e", "x", "y", "rk", "next_x", "next_y", "next_rk", "edge"))
     hit, at = np.full((2, len(flat)), -1, np.int64), np.zeros((2, len(flat)))
+    lean = np.zeros((2, len(flat)))
     with np.errstate(all="ignore"):
         slope = (nx - x) / (ny - y)
     for n in np.unique(size[size > 0]):
@@ -44,11 +55,13 @@ def ray_hits(rings: pa.Array) -> pa.Array:
                     seen = best > -np.inf
                     hit[side, ask[seen]] = e[which[seen]]
                     at[side, ask[seen]] = sign * best[seen]
-    columns = []
+                    lean[side, ask[seen]] = slope[which[seen]]
+    columns, names = [], []
     for side in (0, 1):
         none = hit[side] < 0
-        columns += [pa.array(hit[side], pa.int64(), mask=none), pa.array(at[side], pa.float64(), mask=none)]
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(columns, ["hl", "hl_x", "hr", "hr_x"]))
+        columns += [pa.array(hit[side], pa.int64(), mask=none), *[pa.array(c[side], pa.float64(), mask=none) for c in ((at, lean) if sloped else (at,))]]
+        names += [f"h{'lr'[side]}{c}" for c in (("", "_x", "_slope") if sloped else ("", "_x"))]
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(columns, names))
 
 
 def _numbers(rows: pa.Array) -> list[np.ndarray]:

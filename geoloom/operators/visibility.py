@@ -4,14 +4,15 @@ An edge is met at the level of vertex v if its ends' ranks enclose v's rank; ran
 edge's rank range is cut into dyadic pieces and a vertex looks in its own piece of each grade,
 so the join is an equi-join on (pid, grade, piece): exact pairs only, and no crowding on pid, be it
 millions of small polygons or one large one. Rays from the vertices of polygons of up to `small` vertices are
-answered on one array a polygon, without pairs; other rays there take the plain equi-join on pid."""
+answered on one array a polygon, without pairs; other rays there take the plain equi-join on pid. Rays from the
+vertices of larger ones are answered on one array a block of 2**GRADE ranks; only edges over whole blocks are met in pieces."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.packed import HITS, ray_hits
+from ..functions.packed import HITS, SLOPED, ray_hits, sloped_hits
 from ..functions.plane import edge_x, orient2d
 from ..plans.iterate import cut
 from ..plans.ordered import running
@@ -19,6 +20,9 @@ from .chains import holding
 from .regions import at_height
 from .rings import ring, ring_neighbors, y_extrema
 
+GRADE = 10  # a block's array has up to 2,048 rows: its vertices, and edges that end there
+WIDE = 100_000  # ranged: rings of more vertices are sorted in ranges, others take windows
+
 
 def edges_of(r: DataFrame, closed: bool = True) -> DataFrame:
     """Edges of a ranked ring with both ends and the rank range; an open curve lacks the closing one."""
@@ -29,50 +33,86 @@ def edges_of(r: DataFrame, closed: bool = True) -> DataFrame:
 def _pairs(levels: DataFrame, edges: DataFrame, small: int) -> DataFrame:
     """levels(pid, rk, ...) with every edge whose range encloses rk. levels have n, the polygon's size."""
     few = levels.where(F.col("n") <= small).join(edges.where(F.col("n") <= small).drop("n"), "pid").where("lo < rk and rk < hi")
-    grades = F.explode(F.sequence(F.lit(0), F.lit(40)))
-    big = edges.where(F.col("n") > small).drop("n").withColumn("grade", grades)
+    return few.unionByName(_met(levels.where(F.col("n") > small), edges.where(F.col("n") > small), 0))
+
+
+def _met(levels: DataFrame, edges: DataFrame, least: int) -> DataFrame:
+    """levels with the edges that enclose them by pieces of the grade `least` or above; polygons have 2**least vertices or more."""
+    big = edges.drop("n").withColumn("grade", F.explode(F.sequence(F.lit(least), F.lit(40))))
     big = big.withColumn("l", F.expr("shiftright(lo + 1 + shiftleft(1L, grade) - 1, grade)")).withColumn("r", F.expr("shiftright(hi, grade)")).where("l < r")
     left, right = F.when(F.col("l") % 2 == 1, F.col("l")), F.when((F.col("r") % 2 == 1) & ((F.col("r") - 1 > F.col("l")) | (F.col("l") % 2 == 0)), F.col("r") - 1)
     big = big.withColumn("piece", F.explode(F.array_compact(F.array(left, right)))).drop("l", "r")
-    ask = levels.where(F.col("n") > small).withColumn("grade", F.explode(F.sequence(F.lit(0), F.ceil(F.log2("n")).cast("int")))).withColumn("piece", F.expr("shiftright(cast(rk as bigint), grade)"))
-    many = ask.join(big, ["pid", "grade", "piece"]).drop("grade", "piece")
-    return few.unionByName(many)
+    ask = levels.withColumn("grade", F.explode(F.sequence(F.lit(least), F.ceil(F.log2("n")).cast("int")))).withColumn("piece", F.expr("shiftright(cast(rk as bigint), grade)"))
+    return ask.join(big, ["pid", "grade", "piece"]).drop("grade", "piece")
 
 
 def nearest(pairs: DataFrame, keys: list[str], x: Column, level: Column) -> DataFrame:
     """hl and hr: the nearest edges left and right of x at the level, and where they are met. Equal places: by slope, as just above the level."""
+    return _sloped(pairs, keys, x, level).drop("hl_slope", "hr_slope")
+
+
+def _sloped(pairs: DataFrame, keys: list[str], x: Column, level: Column) -> DataFrame:
+    """What nearest gives, with the slopes of both edges."""
     xi = F.col("ax") + (level - F.col("ay")) * ((F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
     p = pairs.withColumn("xi", xi).withColumn("slope", (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
-    hit = F.struct("e", "xi")
+    hit = F.struct("e", "xi", "slope")
     return p.groupBy(*keys).agg(
         F.max_by(F.when(F.col("xi") <= x, hit), F.when(F.col("xi") <= x, F.struct("xi", "slope"))).alias("l_"),
         F.min_by(F.when(F.col("xi") >= x, hit), F.when(F.col("xi") >= x, F.struct(F.col("xi"), -F.col("slope")))).alias("r_"),
-    ).select(*keys, F.col("l_.e").alias("hl"), F.col("l_.xi").alias("hl_x"), F.col("r_.e").alias("hr"), F.col("r_.xi").alias("hr_x"))
+    ).select(*keys, *[F.col(f"{side}_.{c}").alias(f"h{side}{name}") for side in "lr" for c, name in (("e", ""), ("xi", "_x"), ("slope", "_slope"))])
 
 
 def _shot(vertices: DataFrame, closed: bool, small: int, ranged: bool) -> DataFrame:
-    """The ranked ring with hl, hl_x, hr and hr_x. Rings of up to `small` vertices are an array each, asked where they are: no pairs, and one shuffle for ranks, neighbours and hits."""
+    """The ranked ring with hl, hl_x, hr and hr_x. Rings of up to `small` vertices are an array each, asked where they are: no pairs, and one shuffle for ranks, neighbours and hits. Larger ones are asked in blocks."""
+    block = 2**GRADE
+    big = cut(vertices.groupBy("pid").agg(F.count("*").alias("n_")).where(F.col("n_") > (small if small > 0 else block - 1)))
+    most = big.agg(F.max("n_")).first()[0] or 0
+
     def ranked(v: DataFrame) -> DataFrame:
-        return ring(v, ranged).withColumn("rk", F.col("rk").cast("long")).withColumn("next_rk", F.col("next_rk").cast("long"))
+        if ranged and most > WIDE:
+            wide = big.where(F.col("n_") > WIDE).select("pid")
+            r = ring(v.join(wide, "pid", "left_anti")).unionByName(ring(v.join(wide, "pid", "left_semi"), ranged))
+        else:
+            r = ring(v)
+        return r.withColumn("rk", F.col("rk").cast("long")).withColumn("next_rk", F.col("next_rk").cast("long"))
 
     few = many = None
-    some = False
     if small > 0:
-        big = cut(vertices.groupBy("pid").agg(F.count("*").alias("n_")).where(F.col("n_") > small).select("pid"))
-        some = not big.isEmpty()
-        r = ranked(vertices.join(big, "pid", "left_anti") if some else vertices)
-        edge = F.lit(True) if closed else F.col("next_idx") > F.col("idx")
-        asked = F.struct(F.col("idx").alias("e"), "x", "y", "rk", "next_x", "next_y", "next_rk", edge.alias("edge"))
-        packed = r.groupBy("pid").agg(F.collect_list(F.struct(*[c for c in r.columns if c != "pid"], asked.alias("asked_"))).alias("v_"))
-        packed = packed.withColumn("h_", F.arrow_udf(ray_hits, HITS)(F.col("v_.asked_"))).select("pid", F.explode(F.arrays_zip("v_", "h_")).alias("z_"))
-        few = packed.select("pid", "z_.v_.*", "z_.h_.*").select(*r.columns, "hl", "hl_x", "hr", "hr_x")
-    if some or small <= 0:
+        few = _packed(ranked(vertices.join(big, "pid", "left_anti") if most else vertices), closed)
+    if most or small <= 0:
         r = ranked(vertices.join(big, "pid", "left_semi") if small > 0 else vertices)
-        hits = nearest(_pairs(r.select("pid", "idx", "x", "y", "rk", "n"), edges_of(r, closed), small), ["pid", "idx", "x", "y"], F.col("x"), F.col("y"))
-        many = r.join(hits.drop("x", "y"), ["pid", "idx"], "left").select(*r.columns, "hl", "hl_x", "hr", "hr_x")
+        many = _by_blocks(cut(r), closed) if most >= block else _packed(r, closed)  # all of one block: an array each
     return few.unionByName(many) if few is not None and many is not None else few if many is None else many
 
 
+def _packed(r: DataFrame, closed: bool, by: tuple[str, ...] = (), sloped: bool = False) -> DataFrame:
+    """The rows with their hits among the edges of one array for each polygon, and each value of `by`. sloped: with hl_slope and hr_slope."""
+    edge = F.lit(True) if closed else F.col("next_idx") > F.col("idx")
+    asked = F.struct(F.col("idx").alias("e"), "x", "y", "rk", "next_x", "next_y", "next_rk", edge.alias("edge"))
+    packed = r.groupBy("pid", *by).agg(F.collect_list(F.struct(*[c for c in r.columns if c != "pid"], asked.alias("asked_"))).alias("v_"))
+    packed = packed.withColumn("h_", F.arrow_udf(*((sloped_hits, SLOPED) if sloped else (ray_hits, HITS)))(F.col("v_.asked_"))).select("pid", F.explode(F.arrays_zip("v_", "h_")).alias("z_"))
+    return packed.select("pid", "z_.v_.*", "z_.h_.*").select(*r.columns, "hl", "hl_x", "hr", "hr_x", *(["hl_slope", "hr_slope"] if sloped else []))
+
+
+def _by_blocks(r: DataFrame, closed: bool) -> DataFrame:
+    """The rows with their hits: among the edges that begin or end in their block of 2**GRADE ranks on one array a block, among those over the whole block in pieces of that grade or above."""
+    end = F.lit(True) if closed else F.col("next_idx") > F.col("idx")
+    blocks = F.array_compact(F.array_distinct(F.array("own_", F.when(end, F.shiftright("next_rk", GRADE)))))
+    near = _packed(r.withColumn("own_", F.shiftright("rk", GRADE)).withColumn("block_", F.explode(blocks)), closed, ("block_",), True).where("own_ = block_")
+    several = F.col("n") >= 2**GRADE
+    asks, over = r.select("pid", "idx", "x", "y", "rk", "n").where(several), edges_of(r, closed).where(several)
+    far = _sloped(_met(asks, over, GRADE), ["pid", "idx", "x", "y"], F.col("x"), F.col("y"))
+    names = [f"h{side}{c}" for side in "lr" for c in ("", "_x", "_slope")]
+    both = near.join(far.select("pid", "idx", *[F.col(c).alias(f"far_{c}") for c in names]), ["pid", "idx"], "left")
+
+    def nearer(side: str, sign: int) -> Column:
+        hit = lambda far_: F.struct((F.col(f"{far_}h{side}_x") * sign).alias("at"), F.col(f"{far_}h{side}_slope").alias("slope"), F.col(f"{far_}h{side}").alias("e"))
+        return F.greatest(hit(""), hit("far_"))  # without an edge: null, which is least
+
+    both = both.withColumns({"l_": nearer("l", 1), "r_": nearer("r", -1)})
+    return both.select(*r.columns, F.col("l_.e").alias("hl"), F.col("l_.at").alias("hl_x"), F.col("r_.e").alias("hr"), (-F.col("r_.at")).alias("hr_x"))
+
+
 def ray_shoot(vertices: DataFrame, closed: bool = True, small: int = 2000, ranged: bool = False) -> DataFrame:
     """For every vertex the nearest edge to its left (hl) and right (hr) at its height; null if there is none. ranged: for giant rings, see rings.y_rank."""
     return _shot(vertices, closed, small, ranged).select("pid", "idx", "x", "y", "hl", "hl_x", "hr", "hr_x")
