@@ -319,7 +319,7 @@ def coarser(gamma: int, below: int | None, most: int):
             kind = np.bincount(back, weights=np.concatenate(bit), minlength=len(met)).astype(np.int64)
             chord, n_of = met // max(len(aid), 1), count[met % max(len(aid), 1)] if len(aid) else met
             low, high, bridge = (np.bincount(chord[kind == b], weights=n_of[kind == b], minlength=len(q)).astype(np.int64) for b in (1, 2, 3))
-            merged = np.maximum(most_of, np.where(bridge > 0, low + high + bridge, np.maximum(low, high)))
+            merged = np.maximum(most_of, np.where(np.bincount(chord[kind == 3], minlength=len(q)) > 0, low + high + bridge, np.maximum(low, high)))
             q, qx, qy = q[merged <= gamma], qx[merged <= gamma], qy[merged <= gamma]
             if not len(q):
                 break

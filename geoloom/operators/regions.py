@@ -94,7 +94,7 @@ def contract_chords(regions: DataFrame, arcs: DataFrame, chords: DataFrame, drop
 def merged_weights(regions: DataFrame, arcs: DataFrame, chords: DataFrame, heights: DataFrame | None = None) -> DataFrame:
     """(map_id, chord_id, region_a, region_b, da, db, merged) for each chord between two regions: their degrees, and the largest edge count that an arc would have without the chord.
 
-    Arcs of both regions that touch an end which would vanish count together; those that touch both ends join both sums."""
+    Arcs of both regions that touch an end which would vanish count together; those that touch both ends, be it without edges, join both sums."""
     s = region_degree(regions, chords).join(region_weight(regions, arcs), ["map_id", "region_id"])
     c = chords.where("region_a <> region_b")
     for side in ("a", "b"):
@@ -109,8 +109,8 @@ def merged_weights(regions: DataFrame, arcs: DataFrame, chords: DataFrame, heigh
     met = free.join(touch, ["map_id", "region_id", "edge"]).groupBy("map_id", "chord_id", "arc_id").agg(F.first("edge_count").alias("n"), F.min("edge").alias("e0"), F.max("edge").alias("e1"))
     met = met.join(c.select("map_id", "chord_id", F.least("left_edge", "right_edge").alias("a_")), ["map_id", "chord_id"])
     part = lambda x: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0))
-    one = met.groupBy("map_id", "chord_id").agg(part((F.col("e0") == F.col("a_")) & (F.col("e1") == F.col("a_"))).alias("low"), part(F.col("e0") > F.col("a_")).alias("high"), part(F.col("e0") < F.col("e1")).alias("bridge"))
-    sums = F.when(F.col("bridge") > 0, F.col("low") + F.col("high") + F.col("bridge")).otherwise(F.greatest("low", "high"))
+    one = met.groupBy("map_id", "chord_id").agg(part((F.col("e0") == F.col("a_")) & (F.col("e1") == F.col("a_"))).alias("low"), part(F.col("e0") > F.col("a_")).alias("high"), part(F.col("e0") < F.col("e1")).alias("bridge"), F.bool_or(F.col("e0") < F.col("e1")).alias("bridged"))
+    sums = F.when(F.col("bridged"), F.col("low") + F.col("high") + F.col("bridge")).otherwise(F.greatest("low", "high"))
     got = c.join(one.select("map_id", "chord_id", sums.alias("sums")), ["map_id", "chord_id"], "left")
     return got.select("map_id", "chord_id", "region_a", "region_b", "da", "db", F.greatest("wa", "wb", F.coalesce("sums", F.lit(0))).alias("merged"))
 
