@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 
 import numpy as np
@@ -12,14 +13,32 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 HITS = "array<struct<hl:long,hl_x:double,hr:long,hr_x:double>>"
 SLOPED = "array<struct<hl:long,hl_x:double,hl_slope:double,hr:long,hr_x:double,hr_slope:double>>"
-CELLS = 1_000_000
+CELLS = 400_000
+PART = 100_000
 
 
+def in_parts(f):
+    """A function of lists, a row for each polygon or graph, that works on rows of some PART elements in all at a time, so that its memory doesn't grow with the batch."""
+
+    @functools.wraps(f)
+    def parted(*columns: pa.Array) -> pa.Array:
+        size = sum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns if pa.types.is_list(c.type))
+        part = (np.cumsum(size) - size) // PART
+        begin = np.flatnonzero(np.diff(part, prepend=-1))
+        if len(begin) < 2:
+            return f(*columns)
+        return pa.concat_arrays([f(*(c.slice(a, b - a) for c in columns)) for a, b in zip(begin, np.append(begin[1:], len(part)))])
+
+    return parted
+
+
+@in_parts
 def ray_hits(rings: pa.Array) -> pa.Array:
     """hl, hl_x, hr, hr_x for arrays of (e, x, y, rk, next_x, next_y, next_rk, edge): of the edges that enclose a row's rank the nearest left and right of it; of equal places by slope, as just above. edge: whether one begins there."""
     return _hits(rings, False)
 
 
+@in_parts
 def sloped_hits(rings: pa.Array) -> pa.Array:
     """What ray_hits gives, with the slopes of both edges."""
     return _hits(rings, True)
@@ -88,6 +107,7 @@ def cycled(rank: np.ndarray, then: np.ndarray) -> tuple[np.ndarray, ...]:
     return face, (long - steps) % np.maximum(long, 1), long
 
 
+@in_parts
 def walks(graphs: pa.Array) -> pa.Array:
     """face, pos and size for arrays of (h, next): the lowest h on the walk, the place counted from it, and the walk's length; see operators.walks.faces."""
     size = graphs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -147,6 +167,7 @@ def spread(n: int, tail: np.ndarray, head: np.ndarray, front: np.ndarray) -> tup
     return level, parent
 
 
+@in_parts
 def levels(graphs: pa.Array) -> pa.Array:
     """(v, level, parent) of what is reached, for arrays of edges (v, to), both ways, and of roots (v, null): one level of all graphs of the batch at a time; parent: the lowest neighbour a level up."""
     a, b, of, name = _nodes(graphs)
@@ -172,6 +193,7 @@ def joined(n: int, u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return label
 
 
+@in_parts
 def lowest(graphs: pa.Array) -> pa.Array:
     """(v, component) of the vertices, for arrays of vertices (v, null) and edges (v, to): the lowest vertex reachable."""
     a, b, of, name = _nodes(graphs)
@@ -250,6 +272,7 @@ COARSE = f"struct<regions:array<long>,arcs:array<struct<{ARC}>>,chords:array<str
 def coarser(gamma: int, below: int | None, most: int):
     """A function of maps (map, regions, arcs, chords) as arrays, without nulls but for ARCs that have no edges: see operators.regions.coarsen, whose rounds it takes for all maps of a batch at once. Chords are (chord_id, region_a, region_b, lo, hi, lo_fixed, hi_fixed), fixed: no end that vanishes, and come back as their places."""
 
+    @in_parts
     def coarse(maps: pa.Array, regions: pa.Array, arcs: pa.Array, chords: pa.Array) -> pa.Array:
         n = len(maps)
         name = maps.to_numpy(zero_copy_only=False)
@@ -372,6 +395,7 @@ def coarser(gamma: int, below: int | None, most: int):
 PIECES = "array<struct<piece:struct<tail:long,head:long>,pos:long,idx:long,size:long,x:double,y:double>>"
 
 
+@in_parts
 def split(rings: pa.Array, diagonals: pa.Array) -> pa.Array:
     """The pieces' corners for arrays of (idx, x, y), in order of idx, which counts from 0, and of (u, v): see operators.triangulation.split_by_diagonals."""
     of, ring = _flat(rings)
@@ -394,6 +418,7 @@ def split(rings: pa.Array, diagonals: pa.Array) -> pa.Array:
     return _lists(own, len(rings), {"piece": f.field("face"), "pos": f.field("pos"), "idx": pa.array(to, pa.int64()), "size": f.field("size"), "x": ring.field("x").take(row), "y": ring.field("y").take(row)})
 
 
+@in_parts
 def areas(rings: pa.Array, triangles: pa.Array) -> pa.Array:
     """Twice the sum of the triangles' areas, for arrays of (idx, x, y), in order of idx, and of (a, b, c)."""
     of, ring = _flat(rings)

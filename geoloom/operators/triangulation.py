@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.packed import PIECES, split
+from ..functions.packed import PIECES, in_parts, split
 from ..functions.plane import orient2d
 from ..plans.iterate import cut
 from ..sources.tables import polygon_report
@@ -85,6 +85,7 @@ def mountain_base(pieces: DataFrame) -> DataFrame:
 TRIANGLES = "array<struct<a:long,b:long,c:long>>"
 
 
+@in_parts
 def _cut_ears(chains: pa.Array) -> pa.Array:
     """Triangles of unimonotone chains, given from one end of the base to the other, the inside to the left: one pass with a stack each, all chains of the batch at once.
 

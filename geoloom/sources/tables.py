@@ -42,9 +42,9 @@ def write_triangles(triangles: DataFrame, path: str, text: bool = False, folders
 
 
 def polygon_report(**tables: DataFrame) -> DataFrame:
-    """Rows of each table for each pid, in a column named after it."""
+    """Rows of each table for each pid, in a column named after it. Tables are counted in tasks of their own, not all in one."""
     out = None
     for name, t in tables.items():
-        n = t.groupBy("pid").agg(F.count("*").alias(name))
-        out = n if out is None else out.join(n, "pid", "full_outer")
-    return out.na.fill(0)
+        n = t.groupBy("pid").agg(F.count("*").alias("n")).select("pid", *[(F.col("n") if c == name else F.lit(0).cast("long")).alias(c) for c in tables])
+        out = n if out is None else out.unionByName(n)
+    return out.groupBy("pid").agg(*[F.sum(c).alias(c) for c in tables])
