@@ -267,131 +267,185 @@ def _matches(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 ARC = "arc_id:long,region_id:long,first_edge:long,last_edge:long,first_side:string,last_side:string,edge_count:long"
 COARSE = f"struct<regions:array<long>,arcs:array<struct<{ARC}>>,chords:array<struct<at:int,region_a:long,region_b:long>>>"
+WEIGHED = COARSE.replace(ARC, ARC + ",weight:long")
 
 
-def coarser(gamma: int, below: int | None, most: int):
-    """A function of maps (map, regions, arcs, chords) as arrays, without nulls but for ARCs that have no edges: see operators.regions.coarsen, whose rounds it takes for all maps of a batch at once. Chords are (chord_id, region_a, region_b, lo, hi, lo_fixed, hi_fixed), fixed: no end that vanishes, and come back as their places."""
+class Maps:
+    """Region maps of a batch as numbers: regions, arcs (known: with edges) and chords of all maps, and what the steps of operators.regions do to them.
 
-    @in_parts
-    def coarse(maps: pa.Array, regions: pa.Array, arcs: pa.Array, chords: pa.Array) -> pa.Array:
-        n = len(maps)
-        name = maps.to_numpy(zero_copy_only=False)
-        (r_of, r), (a_of, a), (c_of, c) = _flat(regions), _flat(arcs), _flat(chords)
+    Arrays are without nulls but for ARCs that have no edges. Chords are (chord_id, region_a, region_b, lo, hi, lo_fixed, hi_fixed), fixed: no end that vanishes."""
+
+    def __init__(self, maps: pa.Array, regions: pa.Array, arcs: pa.Array, chords: pa.Array):
+        self.n, self.name = len(maps), maps.to_numpy(zero_copy_only=False)
+        (r_of, r), (self.a_of, a), (self.c_of, c) = _flat(regions), _flat(arcs), _flat(chords)
         whole = lambda t, f: t.field(f).fill_null(0).to_numpy(zero_copy_only=False)
         ids = np.concatenate([r.to_numpy(zero_copy_only=False), whole(a, "region_id"), whole(c, "region_a"), whole(c, "region_b")])
         value, place = np.unique(ids, return_inverse=True)
-        number, code = np.unique(np.concatenate([r_of, a_of, c_of, c_of]) * max(len(value), 1) + place, return_inverse=True)
-        of_region, id_of = number // max(len(value), 1), value[number % max(len(value), 1)] if len(value) else value
-        alive, reg, ca, cb = np.split(code, np.cumsum([len(r), len(a), len(c)]))
-        known = a.field("first_edge").is_valid().to_numpy(zero_copy_only=False)
-        aid, first, last, count = (whole(a, f) for f in ("arc_id", "first_edge", "last_edge", "edge_count"))
-        side = pa.concat_arrays([a.field("first_side"), a.field("last_side")]).dictionary_encode()
-        fs, ls = np.split(side.indices.fill_null(-1).to_numpy(zero_copy_only=False), 2)
-        lo, hi = np.minimum(first, last), np.maximum(first, last)
-        cid, clo, chi = (whole(c, f) for f in ("chord_id", "lo", "hi"))
-        fixed = [c.field(f).to_numpy(zero_copy_only=False).astype(bool) for f in ("lo_fixed", "hi_fixed")]
-        edges = np.unique(np.concatenate([clo, chi]))
-        wide = max(len(edges), 1)
-        ends = [np.searchsorted(edges, clo), np.searchsorted(edges, chi)]
-        two = clo != chi
-        live = np.arange(len(c))
-
-        def at_ends(rows: np.ndarray, regions_: tuple[np.ndarray, ...], keep) -> np.ndarray:
-            """(region, edge) as a number, for the kept ends of chords at each of the regions."""
-            return np.concatenate([x[ok] * wide + ends[e][rows[ok]] for x in regions_ for e in (0, 1) for ok in [keep(e)]] or [np.zeros(0, np.int64)])
+        number, code = np.unique(np.concatenate([r_of, self.a_of, self.c_of, self.c_of]) * max(len(value), 1) + place, return_inverse=True)
+        self.of_region, self.id_of = number // max(len(value), 1), value[number % max(len(value), 1)] if len(value) else value
+        self.alive, self.reg, self.ca, self.cb = np.split(code, np.cumsum([len(r), len(a), len(c)]))
+        self.known = a.field("first_edge").is_valid().to_numpy(zero_copy_only=False)
+        self.aid, self.first, self.last, self.count = (whole(a, f) for f in ("arc_id", "first_edge", "last_edge", "edge_count"))
+        self.side = pa.concat_arrays([a.field("first_side"), a.field("last_side")]).dictionary_encode()
+        self.fs, self.ls = np.split(self.side.indices.fill_null(-1).to_numpy(zero_copy_only=False), 2)
+        self.lo, self.hi = np.minimum(self.first, self.last), np.maximum(self.first, self.last)
+        self.cid, clo, chi = (whole(c, f) for f in ("chord_id", "lo", "hi"))
+        self.fixed = [c.field(f).to_numpy(zero_copy_only=False).astype(bool) for f in ("lo_fixed", "hi_fixed")]
+        self.edges = np.unique(np.concatenate([clo, chi]))
+        self.wide = max(len(self.edges), 1)
+        self.ends = [np.searchsorted(self.edges, clo), np.searchsorted(self.edges, chi)]
+        self.two = clo != chi
+        self.live = np.arange(len(c))
+
+    def at_ends(self, rows: np.ndarray, regions: tuple[np.ndarray, ...], keep) -> np.ndarray:
+        """(region, edge) as a number, for the kept ends of chords at each of the regions."""
+        return np.concatenate([x[ok] * self.wide + self.ends[e][rows[ok]] for x in regions for e in (0, 1) for ok in [keep(e)]] or [np.zeros(0, np.int64)])
+
+    def measures(self) -> tuple[np.ndarray, np.ndarray]:
+        """Degree and weight of each region."""
+        x, y = self.ca[self.live], self.cb[self.live]
+        weight = np.zeros(len(self.of_region), np.int64)
+        np.maximum.at(weight, self.reg, self.count)
+        return np.bincount(x, minlength=len(weight)) + np.bincount(y[x != y], minlength=len(weight)), weight
+
+    def merged(self, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The largest edge count of an arc without each of the chords q, which lie between two regions: see operators.regions.merged_weights."""
+        live, ends, edges, wide, known, two = self.live, self.ends, self.edges, self.wide, self.known, self.two
+        x, y = self.ca[live], self.cb[live]
+        used, times = np.unique(np.concatenate([self.at_ends(live, (x,), lambda e: two[live] | (e == 0)), self.at_ends(live, (y,), lambda e: (x != y) & (two[live] | (e == 0)))]), return_counts=True)
+        qx, qy = self.ca[q], self.cb[q]
+        lo, hi, base = self.lo[known], self.hi[known], self.reg[known] * wide
+        keys, which = [], []
+        rows = np.flatnonzero(known)
+        for edge, nth in ((lo, 0), (hi, 1), (hi + 1, 2)):
+            where = np.searchsorted(edges, edge)
+            ok = (where < len(edges)) & (edges[np.minimum(where, wide - 1)] == edge)
+            if nth == 1:
+                ok &= lo != hi
+            keys.append(base[ok] + where[ok])
+            which.append(rows[ok])
+        keys, which = np.concatenate(keys), np.concatenate(which)
+        order = np.argsort(keys, kind="stable")
+        keys, which = keys[order], which[order]
+        pair, bit = [], []
+        many = max(len(self.aid), 1)
+        for e in (0, 1):
+            here = [z * wide + ends[e][q] for z in (qx, qy)]
+            free = ~self.fixed[e][q] & (two[q] | (e == 0))
+            for h in here:
+                free &= times[np.minimum(np.searchsorted(used, h), len(used) - 1)] == 1
+            f = np.flatnonzero(free)
+            for h in here:
+                i, j = _matches(keys, h[f])
+                pair.append(f[i] * many + which[j])
+                bit.append(np.full(len(i), e + 1))
+        met, back = np.unique(np.concatenate(pair), return_inverse=True)
+        kind = np.bincount(back, weights=np.concatenate(bit), minlength=len(met)).astype(np.int64)
+        chord, n_of = met // many, self.count[met % many] if len(self.aid) else met
+        low, high, bridge = (np.bincount(chord[kind == b], weights=n_of[kind == b], minlength=len(q)).astype(np.int64) for b in (1, 2, 3))
+        bridged = np.bincount(chord[kind == 3], minlength=len(q)) > 0
+        return np.maximum(np.maximum(weight[qx], weight[qy]), np.where(bridged, low + high + bridge, np.maximum(low, high)))
+
+    def contract(self, chosen: np.ndarray, to: np.ndarray) -> None:
+        """Takes chords out; to: the region that each goes over to. See operators.regions.contract_chords."""
+        self.live = np.setdiff1d(self.live, chosen)
+        live, edges, wide = self.live, self.edges, self.wide
+        self.ca, self.cb, self.reg, self.alive = to[self.ca], to[self.cb], to[self.reg], np.unique(to[self.alive])
+        held = self.at_ends(live, (self.ca[live], self.cb[live]), lambda e: np.ones(len(live), bool))
+        gone = np.setdiff1d(self.at_ends(chosen, (self.ca[chosen],), lambda e: ~self.fixed[e][chosen]), held)
+        mine = np.isin(self.reg, gone // wide) & self.known
+        s = np.flatnonzero(mine)
+        s = s[np.lexsort((self.aid[s], self.lo[s], self.fs[s], self.reg[s]))]
+        if not len(s):
+            return
+        lo, hi, reg, fs = self.lo[s], self.hi[s], self.reg[s], self.fs[s]
+        where = np.minimum(np.searchsorted(edges, lo), wide - 1)
+        glue = (edges[where] == lo) & np.isin(reg * wide + where, gone)
+        glue[0] = False
+        glue[1:] &= (reg[1:] == reg[:-1]) & (fs[1:] == fs[:-1]) & ((hi[:-1] == lo[1:]) | (hi[:-1] + 1 == lo[1:]))
+        start, run = np.flatnonzero(~glue), np.cumsum(~glue) - 1
+        final = s[np.lexsort((self.aid[s], hi, run))][np.append(start[1:], len(s)) - 1]  # of each run the arc that reaches highest
+        ids, sums = np.minimum.reduceat(self.aid[s], start), np.add.reduceat(self.count[s], start)
+        rest, begin = np.flatnonzero(~mine), s[start]
+        both = lambda old, of_run: np.concatenate([old[rest], of_run])
+        self.first, self.last, self.fs, self.ls = both(self.first, self.first[begin]), both(self.last, self.last[final]), both(self.fs, self.fs[begin]), both(self.ls, self.ls[final])
+        self.aid, self.count, self.reg, self.a_of, self.known = both(self.aid, ids), both(self.count, sums), both(self.reg, self.reg[begin]), both(self.a_of, self.a_of[begin]), both(self.known, self.known[begin])
+        self.lo, self.hi = np.minimum(self.first, self.last), np.maximum(self.first, self.last)
+
+    def lists(self, weighed: bool = False) -> pa.Array:
+        """COARSE: regions, arcs and chords, these as their places. weighed: WEIGHED, arcs with the weight of their region."""
+        order = np.argsort(self.a_of, kind="stable")
+        longs = lambda z: pa.array(z, pa.int64())
+        text = lambda z: self.side.dictionary.take(pa.array(z, mask=z < 0))
+        none = ~self.known[order]
+        edge = lambda z: pa.array(z[order], pa.int64(), mask=none)
+        out = {"arc_id": longs(self.aid[order]), "region_id": longs(self.id_of[self.reg[order]]), "first_edge": edge(self.first), "last_edge": edge(self.last), "first_side": text(self.fs[order]), "last_side": text(self.ls[order]), "edge_count": longs(self.count[order])}
+        if weighed:
+            out["weight"] = longs(self.measures()[1][self.reg[order]])
+        alive, live = np.unique(self.alive), self.live
+        at = live - np.searchsorted(self.c_of, self.c_of[live])
+        left = _lists(self.c_of[live], self.n, {"at": pa.array(at, pa.int32()), "region_a": longs(self.id_of[self.ca[live]]), "region_b": longs(self.id_of[self.cb[live]])})
+        kept = pa.ListArray.from_arrays(pa.array(np.searchsorted(self.of_region[alive], np.arange(self.n + 1)).astype(np.int32)), longs(self.id_of[alive]))
+        return pa.StructArray.from_arrays([kept, _lists(self.a_of[order], self.n, out), left], ["regions", "arcs", "chords"])
 
+
+def coarser(gamma: int, below: int | None, most: int):
+    """A function of Maps, map, regions, arcs and chords as arrays: see operators.regions.coarsen, whose rounds it takes for all maps of a batch at once."""
+
+    @in_parts
+    def coarse(maps: pa.Array, regions: pa.Array, arcs: pa.Array, chords: pa.Array) -> pa.Array:
+        m = Maps(maps, regions, arcs, chords)
         for k in range(most):
-            x, y = ca[live], cb[live]
-            degree = np.bincount(x, minlength=len(number)) + np.bincount(y[x != y], minlength=len(number))
-            weight = np.zeros(len(number), np.int64)
-            np.maximum.at(weight, reg, count)
-            heavy = np.maximum(weight[x], weight[y])
-            able = (x != y) & (np.minimum(degree[x], degree[y]) < 3) & (heavy <= gamma)
+            degree, weight = m.measures()
+            x, y = m.ca[m.live], m.cb[m.live]
+            able = (x != y) & (np.minimum(degree[x], degree[y]) < 3) & (np.maximum(weight[x], weight[y]) <= gamma)
             if below is not None:
-                able &= cid[live] < below
-            if not able.any():
-                break
-            used, times = np.unique(np.concatenate([at_ends(live, (x,), lambda e: two[live] | (e == 0)), at_ends(live, (y,), lambda e: (x != y) & (two[live] | (e == 0)))]), return_counts=True)
-            q = live[able]
-            qx, qy, most_of = ca[q], cb[q], heavy[able]
-            touched = [(reg[known] * wide, lo[known], 0), (reg[known] * wide, hi[known], 1), (reg[known] * wide, hi[known] + 1, 2)]
-            keys, which = [], []
-            rows = np.flatnonzero(known)
-            for base, edge, nth in touched:
-                where = np.searchsorted(edges, edge)
-                ok = (where < len(edges)) & (edges[np.minimum(where, wide - 1)] == edge)
-                if nth == 1:
-                    ok &= lo[known] != hi[known]
-                keys.append(base[ok] + where[ok])
-                which.append(rows[ok])
-            keys, which = np.concatenate(keys), np.concatenate(which)
-            order = np.argsort(keys, kind="stable")
-            keys, which = keys[order], which[order]
-            pair, bit = [], []
-            for e in (0, 1):
-                here = [z * wide + ends[e][q] for z in (qx, qy)]
-                free = ~fixed[e][q] & (two[q] | (e == 0))
-                for h in here:
-                    free &= times[np.minimum(np.searchsorted(used, h), len(used) - 1)] == 1
-                f = np.flatnonzero(free)
-                for h in here:
-                    i, j = _matches(keys, h[f])
-                    pair.append(f[i] * max(len(aid), 1) + which[j])
-                    bit.append(np.full(len(i), e + 1))
-            met, back = np.unique(np.concatenate(pair), return_inverse=True)
-            kind = np.bincount(back, weights=np.concatenate(bit), minlength=len(met)).astype(np.int64)
-            chord, n_of = met // max(len(aid), 1), count[met % max(len(aid), 1)] if len(aid) else met
-            low, high, bridge = (np.bincount(chord[kind == b], weights=n_of[kind == b], minlength=len(q)).astype(np.int64) for b in (1, 2, 3))
-            merged = np.maximum(most_of, np.where(np.bincount(chord[kind == 3], minlength=len(q)) > 0, low + high + bridge, np.maximum(low, high)))
-            q, qx, qy = q[merged <= gamma], qx[merged <= gamma], qy[merged <= gamma]
+                able &= m.cid[m.live] < below
+            q = m.live[able]
+            if len(q):
+                q = q[m.merged(q, weight) <= gamma]
             if not len(q):
                 break
+            qx, qy = m.ca[q], m.cb[q]
             place = np.empty(len(q), np.int64)
-            place[np.lexsort((cid[q], _xxhash64([name[c_of[q]], cid[q]], k)))] = np.arange(len(q))
-            best = np.full(len(number), len(q))
+            place[np.lexsort((m.cid[q], _xxhash64([m.name[m.c_of[q]], m.cid[q]], k)))] = np.arange(len(q))
+            best = np.full(len(degree), len(q))
             np.minimum.at(best, qx, place)
             np.minimum.at(best, qy, place)
             chosen = q[(best[qx] == place) & (best[qy] == place)]
-            to = np.arange(len(number))
-            to[np.maximum(ca[chosen], cb[chosen])] = np.minimum(ca[chosen], cb[chosen])
-            live = live[~np.isin(live, chosen)]
-            ca, cb, reg, alive = to[ca], to[cb], to[reg], np.unique(to[alive])
-            held = at_ends(live, (ca[live], cb[live]), lambda e: np.ones(len(live), bool))
-            gone = np.setdiff1d(at_ends(chosen, (ca[chosen],), lambda e: ~fixed[e][chosen]), held)
-            mine = np.isin(reg, gone // wide) & known
-            s = np.flatnonzero(mine)
-            s = s[np.lexsort((aid[s], lo[s], fs[s], reg[s]))]
-            if not len(s):
-                continue
-            where = np.minimum(np.searchsorted(edges, lo[s]), wide - 1)
-            glue = (edges[where] == lo[s]) & np.isin(reg[s] * wide + where, gone)
-            glue[0] = False
-            glue[1:] &= (reg[s][1:] == reg[s][:-1]) & (fs[s][1:] == fs[s][:-1]) & ((hi[s][:-1] == lo[s][1:]) | (hi[s][:-1] + 1 == lo[s][1:]))
-            start, run = np.flatnonzero(~glue), np.cumsum(~glue) - 1
-            final = s[np.lexsort((aid[s], hi[s], run))][np.append(start[1:], len(s)) - 1]  # of each run the arc that reaches highest
-            new = {"aid": np.minimum.reduceat(aid[s], start), "count": np.add.reduceat(count[s], start)}
-            rest = np.flatnonzero(~mine)
-            both = lambda old, of_run: np.concatenate([old[rest], of_run])
-            begin = s[start]
-            first, last, fs, ls = both(first, first[begin]), both(last, last[final]), both(fs, fs[begin]), both(ls, ls[final])
-            aid, count, reg, a_of, known = both(aid, new["aid"]), both(count, new["count"]), both(reg, reg[begin]), both(a_of, a_of[begin]), both(known, known[begin])
-            lo, hi = np.minimum(first, last), np.maximum(first, last)
+            to = np.arange(len(degree))
+            to[np.maximum(m.ca[chosen], m.cb[chosen])] = np.minimum(m.ca[chosen], m.cb[chosen])
+            m.contract(chosen, to)
         else:
             raise RuntimeError(f"chords can still go after {most} rounds")
-        order = np.argsort(a_of, kind="stable")
-        longs = lambda z: pa.array(z, pa.int64())
-        text = lambda z: side.dictionary.take(pa.array(z, mask=z < 0))
-        none = ~known[order]
-        out = {"arc_id": longs(aid[order]), "region_id": longs(id_of[reg[order]]), "first_edge": pa.array(first[order], pa.int64(), mask=none), "last_edge": pa.array(last[order], pa.int64(), mask=none), "first_side": text(fs[order]), "last_side": text(ls[order]), "edge_count": longs(count[order])}
-        alive = np.unique(alive)
-        at = live - np.searchsorted(c_of, c_of[live])
-        left = _lists(c_of[live], n, {"at": pa.array(at, pa.int32()), "region_a": longs(id_of[ca[live]]), "region_b": longs(id_of[cb[live]])})
-        kept = pa.ListArray.from_arrays(pa.array(np.searchsorted(of_region[alive], np.arange(n + 1)).astype(np.int32)), longs(id_of[alive]))
-        return pa.StructArray.from_arrays([kept, _lists(a_of[order], n, out), left], ["regions", "arcs", "chords"])
+        return m.lists()
 
     return coarse
 
 
+MERGED = "array<struct<chord_id:long,region_a:long,region_b:long,da:long,db:long,merged:long>>"
+
+
+@in_parts
+def merged(maps: pa.Array, regions: pa.Array, arcs: pa.Array, chords: pa.Array) -> pa.Array:
+    """MERGED, for Maps as coarser takes them: see operators.regions.merged_weights."""
+    m = Maps(maps, regions, arcs, chords)
+    degree, weight = m.measures()
+    q = m.live[m.ca != m.cb]
+    x, y = m.ca[q], m.cb[q]
+    longs = [m.cid[q], m.id_of[x], m.id_of[y], degree[x], degree[y], m.merged(q, weight) if len(q) else x]
+    return _lists(m.c_of[q], m.n, dict(zip(("chord_id", "region_a", "region_b", "da", "db", "merged"), (pa.array(z, pa.int64()) for z in longs))))
+
+
+@in_parts
+def contracted(maps: pa.Array, regions: pa.Array, arcs: pa.Array, chords: pa.Array, drop: pa.Array) -> pa.Array:
+    """WEIGHED, without the chords that drop marks, for Maps as coarser takes them: see operators.regions.contract_chords."""
+    m = Maps(maps, regions, arcs, chords)
+    chosen = np.flatnonzero(drop.flatten().to_numpy(zero_copy_only=False).astype(bool))
+    m.contract(chosen, joined(len(m.of_region), m.ca[chosen], m.cb[chosen]))
+    return m.lists(weighed=True)
+
+
 PIECES = "array<struct<piece:struct<tail:long,head:long>,pos:long,idx:long,size:long,x:double,y:double>>"
 
 

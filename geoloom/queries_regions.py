@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import darts, graphs, regions, rings, triangulation, visibility
+from .operators import darts, graphs, maps, regions, rings, triangulation, visibility
 from .plans.fixtures import NESTED_SQL, WIDTH, grid, nested_map, region_map, skyline_sql, skylines
 from .plans.iterate import cut
 from .queries import _DIAG, _SHOT, _TRAPS, ORACLES, _pieces, query
@@ -35,6 +35,12 @@ def _map(s, d):
     return visibility.region_tables(skylines(s, d))
 
 
+def _placed(s, d, rows, tables):
+    """What rows gives for maps in place, and tables for the region tables of giant polygons."""
+    few, many = maps.region_maps(cut(skylines(s, d)))
+    return rows(few) if many is None else rows(few).unionByName(tables(*many))
+
+
 query("r6_region_arcs", VIS + " SELECT map_id, arc_id, region_id, first_edge, first_side, edge_count, y_first, y_last FROM arcs")(
     lambda s, d: _map(s, d)[1].select("map_id", "arc_id", "region_id", "first_edge", "first_side", "edge_count", "y_first", "y_last")
 )
@@ -49,9 +55,13 @@ def _counts(s, d):
     return r.groupBy("map_id").agg(F.count("*").alias("regions")).join(chords, "map_id", "left").na.fill(0, ["chords"])
 
 
-def on_visible(name: str, run, sql=lambda x: x) -> None:
-    """A query of the made-up maps again, over the visibility maps."""
-    query(f"{name}_visible", sql(VIS + ORACLES[name].removeprefix(REG)))(lambda s, d: run(*_map(s, d)))
+def on_visible(name: str, run, sql=lambda x: x, rows=None) -> None:
+    """A query of the made-up maps again, over the visibility maps; rows: its way for maps in place."""
+    query(f"{name}_visible", sql(VIS + ORACLES[name].removeprefix(REG)))(lambda s, d: run(*_map(s, d)) if rows is None else _placed(s, d, rows, run))
+
+
+def _joined_arcs(t):
+    return t.withColumn("arcs", F.concat_ws(",", F.col("arcs").cast("array<string>")))
 
 
 on_visible("m1_region_weight", lambda r, a, c: regions.region_weight(r, a))
@@ -72,18 +82,16 @@ query("r10_region_locate_at_height", VIS + " SELECT c.map_id, chord_id AS query_
 )
 
 
-def _trees(s, d):
+def _trees(r, a, c):
     """The region trees of the visibility maps, rooted at the lowest region by a walk over chords."""
-    r, _, c = map(cut, _map(s, d))
     v = r.select(F.col("map_id").alias("gid"), F.col("region_id").alias("v"))
     e = c.where("not is_null_length").select(F.col("map_id").alias("gid"), F.col("region_a").alias("u"), F.col("region_b").alias("v"))
     return graphs.bfs(v, e).select("gid", "v", "parent")
 
 
-@query("m18_decomposition_tree", VIS + ", n AS (SELECT map_id, count(*) AS n FROM regions GROUP BY 1) SELECT map_id AS gid, n AS leaves, n - 1 AS splits, TRUE AS binary_tree, TRUE AS levels_ok, TRUE AS balanced FROM n")
-def _td(s, d):
-    """Leaves and inner nodes; whether there is one root and each inner node has two children a level deeper; whether no part ever held more than three quarters (and a quarter vertex) of what was split."""
-    tree = cut(_trees(s, d))
+def _tree_flags(r, a, c):
+    """What maps.tree_flags gives, by joins."""
+    tree = cut(_trees(*map(cut, (r, a, c))))
     splits = cut(regions.center_tree(tree))
     td = cut(regions.decomposition_tree(tree, splits))
     kids = td.where("parent is not null").groupBy("gid", F.col("parent").alias("node")).agg(F.count("*").alias("kids"), F.min("depth").alias("low"), F.max("depth").alias("high"))
@@ -92,7 +100,14 @@ def _td(s, d):
     levels = F.coalesce((F.col("low") == F.col("depth") + 1) & (F.col("high") == F.col("depth") + 1), F.lit(True))
     flags = t.groupBy("gid").agg(F.count("region").alias("leaves"), F.count_if(F.col("region").isNull()).alias("splits"), F.bool_and(good).alias("good"), F.count_if(F.col("parent").isNull()).alias("roots"), F.bool_and(levels).alias("levels_ok"))
     even = splits.groupBy("gid").agg(F.bool_and(F.col("larger") * 4 <= F.col("size") * 3 + 1).alias("balanced"))
-    return flags.join(even, "gid", "left").select("gid", "leaves", "splits", (F.col("good") & (F.col("roots") == 1)).alias("binary_tree"), "levels_ok", F.coalesce("balanced", F.lit(True)).alias("balanced"))
+    return flags.join(even, "gid", "left").select("gid", "leaves", "splits", "good", "roots", "levels_ok", F.coalesce("balanced", F.lit(True)).alias("balanced"))
+
+
+@query("m18_decomposition_tree", VIS + ", n AS (SELECT map_id, count(*) AS n FROM regions GROUP BY 1) SELECT map_id AS gid, n AS leaves, n - 1 AS splits, TRUE AS binary_tree, TRUE AS levels_ok, TRUE AS balanced FROM n")
+def _td(s, d):
+    """Leaves and inner nodes; whether there is one root and each inner node has two children a level deeper; whether no part ever held more than three quarters (and a quarter vertex) of what was split."""
+    flags = _placed(s, d, lambda m: maps.tree_flags(maps.decomposition_tree(m)), _tree_flags)
+    return flags.select("gid", "leaves", "splits", (F.col("good") & (F.col("roots") == 1)).alias("binary_tree"), "levels_ok", "balanced")
 
 
 # Nested chords put in
