@@ -201,11 +201,20 @@ def _r4_both(s, d):
 def _m6_first(s, d):
     """Visibility maps without the chords below 20 that could go: weights within gamma, no such chord left, and every later chord still there."""
     gamma, first = 4, 20
-    r, a, c = map(cut, _map(s, d))
-    r, a, c = regions.coarsen(r, a, c, gamma, below=first)
-    left = regions.merged_weights(r, a, c).where((F.least("da", "db") < 3) & (F.col("merged") <= gamma) & (F.col("chord_id") < first)).groupBy("map_id").agg(F.count("*").alias("left_"))
-    late = c.where(F.col("chord_id") >= first).groupBy("map_id").agg(F.count("*").alias("late"))
-    return regions.region_weight(r, a).groupBy("map_id").agg((F.max("weight") <= gamma).alias("bounded")).join(left, "map_id", "left").join(late, "map_id").select("map_id", "bounded", F.col("left_").isNull().alias("maximal"), "late")
+
+    def rows(m):
+        m = maps.coarsen(m, gamma, first)
+        m = m.select("map_id", "a_", "c_", F.exists(maps.merged_weights(m), lambda x: (F.least(x["da"], x["db"]) < 3) & (x["merged"] <= gamma) & (x["chord_id"] < first)).alias("left_"))
+        late = F.size(F.filter("c_", lambda x: x["chord_id"] >= first)).cast("long")
+        return m.select("map_id", F.forall("a_", lambda x: x["edge_count"] <= gamma).alias("bounded"), (~F.col("left_")).alias("maximal"), late.alias("late")).where("late > 0")
+
+    def tables(r, a, c):
+        r, a, c = regions.coarsen(*map(cut, (r, a, c)), gamma, below=first)
+        left = regions.merged_weights(r, a, c).where((F.least("da", "db") < 3) & (F.col("merged") <= gamma) & (F.col("chord_id") < first)).groupBy("map_id").agg(F.count("*").alias("left_"))
+        late = c.where(F.col("chord_id") >= first).groupBy("map_id").agg(F.count("*").alias("late"))
+        return regions.region_weight(r, a).groupBy("map_id").agg((F.max("weight") <= gamma).alias("bounded")).join(left, "map_id", "left").join(late, "map_id").select("map_id", "bounded", F.col("left_").isNull().alias("maximal"), "late")
+
+    return _placed(s, d, rows, tables)
 
 
 # Rotations from edges put in one by one; triangles of the fans
