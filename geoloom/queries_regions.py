@@ -283,6 +283,13 @@ def _branching(sql: str) -> str:
 @query("m5_contract_chords_visible", _branching(VIS + ORACLES["m5_contract_chords"].removeprefix(REG)))
 def _m5_visible(s, d):
     """Arcs of visibility maps after the chords of every second vertex's left side have gone, with their regions' weights."""
-    r, a, c = map(cut, _map(s, d))
-    weights, glued, _ = regions.contract_chords(r, a, c, c.where("chord_id % 4 = 0").select("map_id", "chord_id"))
-    return glued.join(weights, ["map_id", "region_id"]).select("map_id", "region_id", "arc_id", "first_edge", "last_edge", "edge_count", "weight")
+    def rows(m):
+        glued = maps.contract_chords(m, lambda x: x["chord_id"] % 4 == 0).select("map_id", F.inline("a_"))
+        return glued.select("map_id", "region_id", "arc_id", "first_edge", "last_edge", "edge_count", "weight")
+
+    def tables(r, a, c):
+        r, a, c = map(cut, (r, a, c))
+        weights, glued, _ = regions.contract_chords(r, a, c, c.where("chord_id % 4 = 0").select("map_id", "chord_id"))
+        return glued.join(weights, ["map_id", "region_id"]).select("map_id", "region_id", "arc_id", "first_edge", "last_edge", "edge_count", "weight")
+
+    return _placed(s, d, rows, tables)
