@@ -69,7 +69,7 @@ on_visible("m2_region_degree", lambda r, a, c: regions.region_degree(r, c))
 on_visible("m3_map_flags", lambda r, a, c: regions.map_flags(r, a, c, 9))
 on_visible("m10_canonical_arcs", lambda r, a, c: regions.canonical_arcs(a).select("map_id", "arc_id", "place", "is_start", "is_end"))
 on_visible("m12_chord_adjacent_arcs", lambda r, a, c: _joined_arcs(regions.chord_adjacent_arcs(c, a)), rows=lambda m: _joined_arcs(maps.chord_adjacent_arcs(m)))
-on_visible("m14_region_adjacency", lambda r, a, c: regions.region_adjacency(c, a), lambda x: x.replace("SELECT map_id, region_a AS r1, region_b AS r2 FROM chords UNION", "SELECT map_id, least(region_a, region_b) AS r1, greatest(region_a, region_b) AS r2 FROM chords WHERE region_a <> region_b UNION"))
+on_visible("m14_region_adjacency", lambda r, a, c: regions.region_adjacency(c, a), lambda x: x.replace("SELECT map_id, region_a AS r1, region_b AS r2 FROM chords UNION", "SELECT map_id, least(region_a, region_b) AS r1, greatest(region_a, region_b) AS r2 FROM chords WHERE region_a <> region_b UNION"), maps.region_adjacency)
 on_visible("m16_internal_chords", lambda r, a, c: regions.internal_chords(a, c), rows=maps.internal_chords)
 on_visible("m17_region_boundary", lambda r, a, c: regions.region_boundary(a, c).select("map_id", "region_id", "kind", "id", "place"), lambda x: x.replace("SELECT map_id, region_b, lo, 0, chord_id FROM ch", "SELECT map_id, region_b, lo, 0, chord_id FROM ch WHERE region_a <> region_b"))
 
