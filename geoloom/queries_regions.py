@@ -75,7 +75,7 @@ on_visible("m17_region_boundary", lambda r, a, c: regions.region_boundary(a, c).
 
 _AT = " FROM chords c {join} JOIN arcs ON arcs.map_id = c.map_id AND first_edge <= c.left_edge AND c.left_edge <= last_edge AND c.y BETWEEN least(y_first, y_last) AND greatest(y_first, y_last)"
 query("m9_locate_on_arcs_at_height", VIS + " SELECT c.map_id, chord_id AS query_id, region_id, min(arc_id) AS arc_id" + _AT.format(join="") + " GROUP BY 1, 2, 3")(
-    lambda s, d: regions.locate_on_arcs((m := _map(s, d))[2].select("map_id", F.col("chord_id").alias("query_id"), F.col("left_edge").alias("e"), "y"), m[1])
+    lambda s, d: _placed(s, d, lambda m: maps.locate_on_arcs(m, F.transform("c_", lambda x: F.struct(x["chord_id"].alias("query_id"), x["left_edge"].alias("e"), x["y"].alias("y")))), lambda r, a, c: regions.locate_on_arcs(c.select("map_id", F.col("chord_id").alias("query_id"), F.col("left_edge").alias("e"), "y"), a))
 )
 query("r10_region_locate_at_height", VIS + " SELECT c.map_id, chord_id AS query_id, min(region_id) AS region" + _AT.format(join="LEFT") + " AND first_side = 'L' GROUP BY 1, 2")(
     lambda s, d: visibility.region_locate_on_edge((m := _map(s, d))[2].select("map_id", F.col("chord_id").alias("query_id"), F.col("left_edge").alias("e"), "y", F.lit("L").alias("side")), m[1])
