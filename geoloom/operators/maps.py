@@ -56,7 +56,8 @@ CHORD = ("chord_id", "region_a", "region_b", "left_edge", "right_edge", "y", "is
 
 def _after(maps: DataFrame, step: Column) -> DataFrame:
     kept = F.transform("z_.chords", lambda x: F.struct(*[x[y].alias(y) if y in ("region_a", "region_b") else F.get("c_", x["at"])[y].alias(y) for y in CHORD]))
-    return maps.withColumn("z_", step).select("map_id", F.col("z_.regions").alias("r_"), F.col("z_.arcs").alias("a_"), kept.alias("c_"))
+    after = F.struct(F.col("z_.regions").alias("r_"), F.col("z_.arcs").alias("a_"), kept.alias("c_"))
+    return maps.withColumn("z_", step).select("map_id", F.inline(F.array(after)))  # as one row, so that a later step doesn't take this one again
 
 
 def contract_chords(maps: DataFrame, drop) -> DataFrame:
